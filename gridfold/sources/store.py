@@ -24,8 +24,8 @@ def date_of_dirname(name: Column | str) -> Column:
     but is not a calendar date (``2020-13-40``) also yields NULL.
     """
     name = F.col(name) if isinstance(name, str) else name
-    return (F.when(name.rlike(DASHED_DIR), F.try_to_date(name, F.lit("yyyy-MM-dd")))
-             .when(name.rlike(COMPACT_DIR), F.try_to_date(name, F.lit("yyyyMMdd"))))
+    return (F.when(name.rlike(DASHED_DIR), F.try_to_date(name, "yyyy-MM-dd"))
+             .when(name.rlike(COMPACT_DIR), F.try_to_date(name, "yyyyMMdd")))
 
 
 def date_dirs(names: DataFrame, col: str = "name", strict: bool = False) -> DataFrame:
@@ -54,7 +54,7 @@ def parse_tile_name(df: DataFrame, col: str = "file") -> DataFrame:
     c = F.col(col)
     return (df.withColumn("prefix", F.regexp_extract(c, TILE_NAME, 1))
               .withColumn("name_date", F.try_to_date(F.regexp_extract(c, TILE_NAME, 2),
-                                                     F.lit("yyyyMMdd")))
+                                                     "yyyyMMdd"))
               .withColumn("tile_key", F.regexp_extract(c, TILE_NAME, 3)))
 
 
