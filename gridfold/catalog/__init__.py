@@ -1,7 +1,8 @@
 """Registered queries and their DuckDB oracles."""
 
 from gridfold.catalog.registry import ORACLES, QUERIES  # noqa: F401
-from gridfold.catalog import q_reduce, q_select, q_landcover, q_points  # noqa: F401,E402
+from gridfold.catalog import (q_reduce, q_select, q_landcover, q_points,  # noqa: F401,E402
+                              q_reproject, q_align, q_io, q_jobs)
 
 
 def queries():
