@@ -53,6 +53,22 @@ class Summary:
     zonal: DataFrame | None = None
 
 
+def materialize(product: DataFrame, how: bool | str = True) -> DataFrame:
+    """Keep the product for its several outputs.
+
+    ``True``: cache (memory, spilling to disk); a lost executor's blocks are
+    recomputed from lineage.  ``"checkpoint"``: write it to the session's
+    checkpoint folder and cut the lineage (survives executor loss without
+    recomputing the reductions).  ``False``: recompute per output."""
+    if how == "checkpoint":
+        from gridfold.session import shared_dir
+        shared_dir(product.sparkSession)
+        return product.checkpoint(eager=True)
+    if how:
+        return product.persist(StorageLevel.MEMORY_AND_DISK)
+    return product
+
+
 def sub_spec(spec: GridSpec, box: Crop) -> tuple[GridSpec, tuple[int, int, int, int]]:
     """The part of ``spec`` whose cell centres lie in ``box`` (a grid of its
     own, indices restarting at 0) and its index window in ``spec``."""
@@ -79,7 +95,7 @@ def grid_summary(cells: DataFrame, spec: GridSpec, operator: str = "mean",
                  vmax: float | None = None, max_factor: float = 1.0,
                  profiles: tuple[str, ...] = ("sum", "mean"),
                  lc: DataFrame | None = None, lc_spec: GridSpec | None = None,
-                 exclude_lc: tuple[str, ...] = (), persist: bool = True) -> Summary:
+                 exclude_lc: tuple[str, ...] = (), persist: bool | str = True) -> Summary:
     """Summary of a stack (E4): product grid, statistics, display range,
     latitude profiles and land-cover shares."""
     box = box or Crop()
@@ -118,11 +134,9 @@ def _summary_of_product(product: DataFrame, pspec: GridSpec, box: Crop | None =
                         value_factor: float = 1.0, plot_type: str = "standard",
                         vmax=None, max_factor: float = 1.0,
                         profiles=("sum", "mean"), lc=None, lc_spec=None,
-                        exclude_lc=(), persist: bool = True) -> Summary:
+                        exclude_lc=(), persist: bool | str = True) -> Summary:
     box = box or Crop()
-    product = scale_value(crop(product, **box.kw()), value_factor)
-    if persist:
-        product = product.persist(StorageLevel.MEMORY_AND_DISK)
+    product = materialize(scale_value(crop(product, **box.kw()), value_factor), persist)
     stats = grid_stats(product)
     disp = display_range(quick_stats(product), plot_type, vmax, max_factor)
     profs = {m: profile(product, m) for m in profiles}

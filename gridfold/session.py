@@ -43,16 +43,15 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder named by ``spark.checkpoint.dir``.
 
     Only when the session has none (local tests) a private one is made and
-    registered, so lineage cuts and written tables always land in a place
-    every executor can reach.
+    registered as the checkpoint folder, so lineage cuts and written tables
+    always land in a place every executor can reach.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="gridfold-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d) if not spark.sparkContext.getCheckpointDir() else None
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d
 
 

@@ -96,6 +96,7 @@ def write_tiles(cells: DataFrame, root: str, spec: GridSpec, tile_h: int, tile_w
     Tiles are named ``hHHvVV`` (tile column HH, row VV) and cover
     ``tile_h`` x ``tile_w`` cells; absent cells are NaN (the no-data value)."""
     bands = [b for b in BAND_COLS if b in cells.columns]
+    root = root[len("file:"):] if root.startswith("file:") else root
 
     def one_tile(pdf: pd.DataFrame) -> pd.DataFrame:
         date, tile = pdf["date"].iloc[0], pdf["tile"].iloc[0]

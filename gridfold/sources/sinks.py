@@ -43,9 +43,11 @@ def write_cells(df: DataFrame, path: str, float32: bool = True, mode: str = "ove
 def write_series_csv(series: DataFrame, path: str, mode: str = "overwrite") -> str:
     """One CSV folder per station (K2).  Two points with the same name keep
     both their rows (they share a folder)."""
-    # one task per station folder: a single file per station, not one per
-    # (task, station); a series has one row per date, so a station is small
-    (series.repartition("station").sortWithinPartitions("station", "time").write.mode(mode)
+    # all rows of a point in one task (one row per date: bounded), so a
+    # station folder gets one file per point, not one per (task, station);
+    # a name shared by many points is spread over several tasks
+    keys = ["station"] + (["point_id"] if "point_id" in series.columns else [])
+    (series.repartition(*keys).sortWithinPartitions(*keys, "time").write.mode(mode)
            .partitionBy("station").option("header", True).csv(path))
     return path
 

@@ -245,3 +245,12 @@ def test_unknown_projection(spark):
 def test_raise_error_type():
     assert issubclass(PySparkException, Exception)
     assert Row(a=1).a == 1
+
+
+def test_summary_checkpointed(spark, grid_small):
+    """A summary whose product is cut from its lineage gives the same stats."""
+    from gridfold.plans.jobs import grid_summary
+    c = full_grid(spark, grid_small, dates=(D1, D2))
+    a = grid_summary(c, grid_small, "mean", "banded", 2, persist="checkpoint").stats.first()
+    b = grid_summary(c, grid_small, "mean", "banded", 2, persist=False).stats.first()
+    assert a == b
