@@ -124,3 +124,18 @@ GROUP BY ord, date""", {
 def q_composite_summary(spark, sf):
     _, stats = composite_summary(fx.cells(spark, sf), SPEC, DATE_REQUEST, k=4)
     return r6(stats, *STAT_ORDER)
+
+
+@register("composite_summary_reprojected", with_fixtures("""
+SELECT ord, date, round(avg(value), 6) AS mean, round(min(value), 6) AS min,
+       round(max(value), 6) AS max, round(coalesce(sum(value), 0.0), 6) AS sum,
+       round(stddev_pop(value), 6) AS std, round(var_pop(value), 6) AS var
+FROM b GROUP BY ord, date""", {
+    "sel": f"""SELECT c.*, r.ord FROM cells c JOIN (VALUES {", ".join(
+        f"({i}, DATE '{d}')" for i, d in enumerate(DATE_REQUEST))}) r(ord, d) ON c.date = r.d""",
+    "src": "SELECT ord, date, iy, ix, value FROM sel",
+    "b": bilinear_sql(SIN_SPEC, DST, keys=("ord", "date"))}))
+def q_composite_summary_reprojected(spark, sf):
+    """Per-date products of a sinusoidal stack, reprojected in one job."""
+    _, stats = composite_summary(fx.cells(spark, sf), SIN_SPEC, DATE_REQUEST, k=1)
+    return r6(stats, *STAT_ORDER)

@@ -28,12 +28,14 @@ def dbl(v: float) -> str:
     return f"CAST('{v!r}' AS DOUBLE)"
 
 
-def bilinear_sql(src: GridSpec, dst: GridSpec, source_cte: str = "src") -> str:
+def bilinear_sql(src: GridSpec, dst: GridSpec, source_cte: str = "src",
+                 keys: tuple[str, ...] = ()) -> str:
     """Bilinear resampling of ``source_cte`` (iy, ix, value) from a
     sinusoidal ``src`` to the lon/lat grid ``dst``, as SQL."""
     R = dbl(R_SINUSOIDAL)
+    kc = "".join(f"s.{k}, " for k in keys)
     return f"""
-SELECT tiy AS iy, tix AS ix,
+SELECT {kc}tiy AS iy, tix AS ix,
        {dbl(dst.y0)} - (tiy + 0.5) * {dbl(dst.dy)} AS y,
        {dbl(dst.x0)} + (tix + 0.5) * {dbl(dst.dx)} AS x,
        sum(w * s.value) / sum(w) AS value
@@ -55,7 +57,7 @@ FROM (SELECT tiy, tix, j0 + dj AS iy, i0 + di AS ix,
 JOIN {source_cte} s ON s.iy = e.iy AND s.ix = e.ix
 WHERE w > 0 AND e.iy BETWEEN 0 AND {src.ny - 1} AND e.ix BETWEEN 0 AND {src.nx - 1}
   AND s.value IS NOT NULL
-GROUP BY tiy, tix"""
+GROUP BY {kc}tiy, tix"""
 
 
 SRC_MEAN_SQL = "SELECT iy, ix, avg(value) AS value FROM cells GROUP BY iy, ix"

@@ -109,16 +109,20 @@ def bilinear_taps(frame: DataFrame, src: GridSpec, dst: GridSpec) -> DataFrame:
                    & F.col("ix").between(0, src.nx - 1))
 
 
-def reproject_bilinear(grid: DataFrame, src: GridSpec, dst: GridSpec) -> DataFrame:
-    """Resample ``grid`` (on ``src``) to ``dst`` bilinearly."""
+def reproject_bilinear(grid: DataFrame, src: GridSpec, dst: GridSpec,
+                       keys: tuple[str, ...] = ()) -> DataFrame:
+    """Resample ``grid`` (on ``src``) to ``dst`` bilinearly.
+
+    ``keys`` (e.g. ``date``) resample several grids in one job: the taps
+    are computed once per target cell and joined to every keyed grid."""
     spark = grid.sparkSession
     iy_lo, iy_hi, ix_lo, ix_hi = source_window(src, dst)
     source = grid.where(F.col("iy").between(iy_lo, iy_hi) & F.col("ix").between(ix_lo, ix_hi)
-                        & F.col("value").isNotNull()).select("iy", "ix", "value")
+                        & F.col("value").isNotNull()).select(*keys, "iy", "ix", "value")
     frame = grid_frame(spark, dst).select(F.col("iy").alias("tiy"), F.col("ix").alias("tix"))
     taps = bilinear_taps(frame, src, dst)
     out = (taps.join(source, ["iy", "ix"])
-               .groupBy("tiy", "tix")
+               .groupBy(*keys, "tiy", "tix")
                .agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value")))
-    out = out.select(F.col("tiy").alias("iy"), F.col("tix").alias("ix"), "value")
-    return dst.with_coords(out).select("iy", "ix", "y", "x", "value")
+    out = out.select(*keys, F.col("tiy").alias("iy"), F.col("tix").alias("ix"), "value")
+    return dst.with_coords(out).select(*keys, "iy", "ix", "y", "x", "value")

@@ -153,10 +153,15 @@ def composite_summary(cells: DataFrame, spec: GridSpec, dates: list[str], k: int
     all dates in one job: ``ord`` (request position) and ``date`` are group
     keys instead of a loop.  Returns (product, stats)."""
     box = box or Crop()
-    if spec.crs != WGS84:
-        raise NotImplementedError("per-date reprojection: reproject the stack first")
-    sel = select_dates(precrop_source(cells, spec, k, box), dates)
+    reproject = spec.crs != WGS84
+    src = cells if reproject else precrop_source(cells, spec, k, box)
+    sel = select_dates(src, dates)
     product = coarsen(value_band(sel), k, "max", spec, keys=("ord", "date"))
+    if reproject:
+        pspec = spec.coarsened(k)
+        full = target_grid(pspec, WGS84, **box.kw())
+        dst, _ = sub_spec(full, box) if box.active else (full, None)
+        product = reproject_bilinear(product, pspec, dst, keys=("ord", "date"))
     product = scale_value(crop(product, **box.kw()), value_factor)
     return product, grid_stats(product, keys=("ord", "date"))
 
