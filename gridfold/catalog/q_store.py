@@ -83,3 +83,41 @@ GROUP BY ord, date""", {
         f"({i}, DATE '{d}')" for i, d in enumerate(DATES))}) r(ord, d) ON c.date = r.d"""}))
 def q_store_composite_summary(spark, sf):
     return composite_summary_on(spark, big_store(spark, sf))
+
+
+# -- bucketed (co-located) store ----------------------------------------------
+BUCKET_BLOCK = 64
+
+
+def bucketed_store(spark, sf) -> str:
+    import uuid
+    from gridfold.sources.sinks import write_cells_bucketed
+    table = f"gridfold_cells_{uuid.uuid4().hex[:10]}"
+    return write_cells_bucketed(fx.cells_big(spark, sf), table, BIG,
+                                scratch_path(spark, "bucketed-store"), block=BUCKET_BLOCK)
+
+
+def summarise_on(spark, store):
+    """The same product over the date-partitioned (not bucketed) store."""
+    from gridfold.operators.coarsen import summarise
+    cells = read_cells(spark, store, start=START, end=END)
+    return r6(summarise(cells, "mean", K, BIG, "banded"), "value")
+
+
+def bucketed_summarise_on(spark, table):
+    from gridfold.operators.coarsen import summarise
+    from gridfold.sources.store import read_bucketed
+    cells = read_bucketed(spark, table, start=START, end=END)
+    return r6(summarise(cells, "mean", K, BIG, "banded", bucket_block=BUCKET_BLOCK), "value")
+
+
+@register("bucketed_summarise", with_fixtures(f"""
+SELECT biy AS iy, bix AS ix, {_big_coords(K)}, round(avg(value), 6) AS value
+FROM ({_blk(K, 't')}) b GROUP BY biy, bix""", {
+    **STORE_CTE,
+    "t": f"SELECT iy, ix, avg(value) AS value FROM st "
+         f"WHERE date BETWEEN DATE '{START}' AND DATE '{END}' GROUP BY iy, ix"}))
+def q_bucketed_summarise(spark, sf):
+    """Time mean of a date range and 8 x 8 blocks over a store bucketed by
+    64 x 64 blocks: no shuffle at all."""
+    return bucketed_summarise_on(spark, bucketed_store(spark, sf))

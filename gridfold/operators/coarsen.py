@@ -58,19 +58,30 @@ PRESETS = {
 
 
 def summarise(cells: DataFrame, operator: str, k: int, spec: GridSpec,
-              preset: str = "banded") -> DataFrame:
+              preset: str = "banded", bucket_block: int | None = None) -> DataFrame:
     """Operator over time followed by k x k coarsening.
 
     ``operator="only_plot"`` coarsens every date with ``max`` and keeps the
     date (when present) as a key.
+
+    ``bucket_block``: the input carries ``blk`` (spatial blocks of that size,
+    see ``write_cells_bucketed``).  ``blk`` then joins the group keys, so a
+    store bucketed by ``blk`` is reduced inside its scan tasks; for the
+    block step only when k divides the bucket block (a coarse block must not
+    straddle two buckets).
     """
+    colocated = bucket_block is not None and "blk" in cells.columns
+    bkey = ("blk",) if colocated else ()
+    bkey_k = bkey if colocated and bucket_block % k == 0 else ()
     if operator == "only_plot":
         src = value_band(cells)
         keys = ("date",) if "date" in src.columns else ()
-        return coarsen(src, k, "max", spec, keys=keys)
+        return coarsen(src, k, "max", spec, keys=keys + bkey_k).drop(*bkey_k)
     if (operator, preset) not in PRESETS:
         raise ValueError(
             f"Operator {operator} not supported. Supported operators are: mean and sum.")
     time_op, block_op = PRESETS[(operator, preset)]
-    per_cell = temporal_reduce(cells, time_op, spec)
-    return coarsen(per_cell, k, block_op, spec)
+    per_cell = temporal_reduce(cells, time_op, spec, keys=bkey)
+    if bkey and not bkey_k:
+        per_cell = per_cell.drop("blk")
+    return coarsen(per_cell, k, block_op, spec, keys=bkey_k).drop(*bkey_k)

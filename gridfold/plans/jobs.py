@@ -95,15 +95,17 @@ def grid_summary(cells: DataFrame, spec: GridSpec, operator: str = "mean",
                  vmax: float | None = None, max_factor: float = 1.0,
                  profiles: tuple[str, ...] = ("sum", "mean"),
                  lc: DataFrame | None = None, lc_spec: GridSpec | None = None,
-                 exclude_lc: tuple[str, ...] = (), persist: bool | str = True) -> Summary:
+                 exclude_lc: tuple[str, ...] = (), persist: bool | str = True,
+                 bucket_block: int | None = None) -> Summary:
     """Summary of a stack (E4): product grid, statistics, display range,
-    latitude profiles and land-cover shares."""
+    latitude profiles and land-cover shares.  ``bucket_block``: the stack
+    is a bucketed store (see ``summarise``)."""
     box = box or Crop()
     reproject = spec.crs != WGS84
     if operator == "only_plot" and "date" in value_band(cells).columns:
         raise ValueError("grid_summary reduces over time; use composite_summary per date")
     src = cells if reproject else precrop_source(cells, spec, k, box)
-    product = summarise(src, operator, k, spec, preset)
+    product = summarise(src, operator, k, spec, preset, bucket_block)
     pspec = spec.coarsened(k)
     if reproject:
         full = target_grid(pspec, WGS84, **box.kw())

@@ -116,6 +116,22 @@ def read_cells(spark: SparkSession, path: str | list[str], start=None, end=None,
     return df
 
 
+def read_bucketed(spark: SparkSession, table: str, start=None, end=None,
+                  dates: list[str] | None = None) -> DataFrame:
+    """Read a table written by ``write_cells_bucketed`` (keeps ``blk``)."""
+    df = spark.table(table)
+    if start is not None:
+        df = df.where(F.col("date") >= F.lit(start).cast("date"))
+    if end is not None:
+        df = df.where(F.col("date") <= F.lit(end).cast("date"))
+    if dates:
+        df = df.where(F.col("date").isin([F.lit(d).cast("date") for d in dates]))
+    for c in ("value", "qflag"):
+        if c in df.columns:
+            df = df.withColumn(c, nan_to_null(F.col(c).cast("double")))
+    return df
+
+
 # -- points (S4, C7, F9) ---------------------------------------------------
 def read_points(df: DataFrame, x: str = "x", y: str = "y", name_col: str | None = None,
                 id_col: str = "point_id", crs: str | None = None,

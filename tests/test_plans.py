@@ -61,3 +61,13 @@ def test_reduce_does_not_shuffle_coordinates(spark, store):
     exchanges = [line for line in p.splitlines() if "Exchange hashpartitioning" in line]
     assert len(exchanges) == 1
     assert not re.search(r"[(, ][xy]#", exchanges[0])
+
+
+def test_bucketed_store_reduces_without_shuffle(spark):
+    from gridfold.catalog import q_store
+    table = q_store.bucketed_store(spark, SF_SMALL)
+    df = q_store.bucketed_summarise_on(spark, table)
+    p = plan(df)
+    assert "Exchange" not in p
+    assert "Bucketed: true" in p and "PartitionFilters: [isnotnull(date" in p
+    assert df.count() > 0
