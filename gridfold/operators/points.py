@@ -18,10 +18,13 @@ from gridfold.plans.broadcast import broadcast_if_small
 
 def to_grid_crs(points: DataFrame, crs: str) -> DataFrame:
     """Points (x, y, crs) -> the grid's CRS (C8).  The points' CRS must be a
-    single value; it is taken from the first row (a one-row action)."""
-    src = points.select("crs").where(F.col("crs").isNotNull()).limit(1).collect()
+    single value (checked with a bounded action: at most two distinct
+    values reach the driver)."""
+    src = points.select("crs").where(F.col("crs").isNotNull()).distinct().limit(2).collect()
     if not src:
         return points
+    if len(src) > 1:
+        raise ValueError("points carry more than one CRS; convert them per CRS")
     src_crs = src[0][0]
     if src_crs == crs:
         return points
