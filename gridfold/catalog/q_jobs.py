@@ -31,7 +31,7 @@ PRODUCT_CTES = {
 def summary(spark, sf, with_lc: bool = False):
     lc = dict(lc=fx.lc_fine(spark, sf), lc_spec=fx.LC_SPEC, exclude_lc=tuple(EXCLUDED)) if with_lc else {}
     return grid_summary(fx.cells(spark, sf), SPEC, "mean", "banded", K, BOX,
-                        value_factor=FACTOR, **lc)
+                        value_factor=FACTOR, persist=False, **lc)
 
 
 @register("grid_summary", with_fixtures(STATS_SQL, PRODUCT_CTES))
@@ -85,7 +85,7 @@ def q_grid_summary_zonal(spark, sf):
 @register("grid_summary_reprojected", with_fixtures(STATS_SQL, {
     "src": SRC_MEAN_SQL, "t": bilinear_sql(SIN_SPEC, DST)}))
 def q_grid_summary_reprojected(spark, sf):
-    s = grid_summary(fx.cells(spark, sf), SIN_SPEC, "mean", "banded", 1)
+    s = grid_summary(fx.cells(spark, sf), SIN_SPEC, "mean", "banded", 1, persist=False)
     return r6(s.stats, *STAT_ORDER)
 
 
@@ -100,7 +100,7 @@ RANGE_CTES = {
     **RANGE_CTES,
     "t": f"SELECT sum(value) AS value FROM ({_block_sql(4, 't0')}) q GROUP BY biy, bix"}))
 def q_range_summary(spark, sf):
-    s = range_summary(fx.cells(spark, sf), SPEC, fx.DATE_RANGES, "sum", 4)
+    s = range_summary(fx.cells(spark, sf), SPEC, fx.DATE_RANGES, "sum", 4, persist=False)
     return r6(s.stats, *STAT_ORDER)
 
 
@@ -108,7 +108,8 @@ def q_range_summary(spark, sf):
     **RANGE_CTES,
     "t": f"SELECT max(value) AS value FROM ({_block_sql(4, 't0')}) q GROUP BY biy, bix"}))
 def q_range_summary_lowmem(spark, sf):
-    s = range_summary(fx.cells(spark, sf), SPEC, fx.DATE_RANGES, "sum", 4, low_mem=True)
+    s = range_summary(fx.cells(spark, sf), SPEC, fx.DATE_RANGES, "sum", 4, low_mem=True,
+                      persist=False)
     return r6(s.stats, *STAT_ORDER)
 
 

@@ -52,6 +52,10 @@ class Summary:
     profiles: dict = field(default_factory=dict)
     zonal: DataFrame | None = None
 
+    def release(self) -> None:
+        """Drop the cached product once its outputs have been taken."""
+        self.product.unpersist()
+
 
 def materialize(product: DataFrame, how: bool | str = True) -> DataFrame:
     """Keep the product for its several outputs.
@@ -170,13 +174,19 @@ def composite_summary(cells: DataFrame, spec: GridSpec, dates: list[str], k: int
 
 def point_series(cells: DataFrame, spec: GridSpec, points: DataFrame, start=None, end=None,
                  buffer: int = 0, scale_factor: float | None = None, flag_value: bool = True,
-                 flag_quality: bool = False, edge: str = "truncate") -> DataFrame:
+                 flag_quality: bool = False, edge: str = "truncate",
+                 points_crs: str | None = None) -> DataFrame:
     """Time series at points (E1): date range -> points in the grid CRS ->
     nearest cell (buffer 0) or window mean -> per-station series."""
     if not (flag_value or flag_quality):
         raise ValueError("No objects to concatenate: enable flag_value or flag_quality")
     sel = select_range(cells, start, end)
-    pts = to_grid_crs(points, spec.crs)
+    if points_crs is None:
+        pts = to_grid_crs(points, spec.crs)
+    elif points_crs == spec.crs:
+        pts = points
+    else:
+        pts = to_grid_crs(points.withColumn("crs", F.lit(points_crs)), spec.crs)
     if buffer > 0:
         sampled = sample_window(sel, pts, spec, buffer, edge)
     else:

@@ -22,6 +22,24 @@ DEFAULT_CONF = {
 }
 
 
+def scale_conf(shuffle_bytes: float, total_cores: int,
+               partition_bytes: int = 256 << 20) -> dict:
+    """Settings for a job that shuffles about ``shuffle_bytes``.
+
+    Shuffle partitions start at ~``partition_bytes`` each (at least two
+    waves of the cluster's cores) and AQE merges small ones back to the same
+    advisory size and splits skewed ones; scans read splits of the same
+    size.  At 100 TB of cells with a full-stack time shuffle this gives
+    ~400k partitions, e.g. on 4000 cores ~100 waves of one task per core."""
+    n = max(2 * total_cores, int(shuffle_bytes // partition_bytes) + 1)
+    return {
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * partition_bytes),
+    }
+
+
 def get_session(master: str | None = None, app: str = "gridfold",
                 shuffle_partitions: int | None = None,
                 extra: dict | None = None) -> SparkSession:

@@ -71,3 +71,10 @@ def test_bucketed_store_reduces_without_shuffle(spark):
     assert "Exchange" not in p
     assert "Bucketed: true" in p and "PartitionFilters: [isnotnull(date" in p
     assert df.count() > 0
+
+
+def test_scale_conf_sizes_partitions():
+    from gridfold.session import scale_conf
+    c = scale_conf(100 * 2**40, 4000)
+    assert int(c["spark.sql.shuffle.partitions"]) == 100 * 2**40 // (256 << 20) + 1
+    assert int(scale_conf(1e6, 8)["spark.sql.shuffle.partitions"]) == 16
