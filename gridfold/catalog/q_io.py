@@ -11,7 +11,8 @@ from gridfold.operators.landcover import zonal_share, zonal_sum
 from gridfold.operators.points import sample_window
 from gridfold.operators.stats import grid_stats, profile
 from gridfold.operators.temporal import temporal_reduce
-from gridfold.plans.jobs import point_series
+from gridfold.catalog.q_select import _ranges_values
+from gridfold.plans.jobs import point_series, range_summary
 from gridfold.session import scratch_path
 from gridfold.sources import fixtures as fx
 from gridfold.sources.sinks import (write_cells, write_profile_csv, write_series_csv,
@@ -89,3 +90,16 @@ def q_window_cells(spark, sf):
     path = write_cells(w, scratch_path(spark, "window"), float32=False)
     df = read_cells(spark, path).select("point_id", "station", "date", "value", "qflag")
     return r6(df, "value", "qflag")
+
+
+@register("range_save_stack", with_fixtures(f"""
+SELECT c.date, c.tile, c.iy, c.ix, c.y, c.x, CAST(CAST(c.value AS FLOAT) AS DOUBLE) AS value,
+       CAST(CAST(c.qflag AS FLOAT) AS DOUBLE) AS qflag, r.k
+FROM cells c JOIN (VALUES {_ranges_values()}) r(k, s, e) ON c.date BETWEEN r.s AND r.e"""))
+def q_range_save_stack(spark, sf):
+    """The stack of overlapping ranges saved before the reduction (a date in
+    two ranges is saved twice, tagged by range) and read back."""
+    path = scratch_path(spark, "range-stack")
+    range_summary(fx.cells(spark, sf), SPEC, fx.DATE_RANGES, "sum", 4, save_path=path,
+                  stop_after_save=True)
+    return read_cells(spark, path)

@@ -24,6 +24,7 @@ from gridfold.operators.select import (crop, is_cropped, scale_value, select_dat
                                        select_range, select_ranges)
 from gridfold.operators.stats import display_range, grid_stats, profile, quick_stats
 from gridfold.operators.temporal import temporal_reduce, value_band
+from gridfold.sources.sinks import write_cells
 
 
 @dataclass
@@ -100,10 +101,17 @@ def grid_summary(cells: DataFrame, spec: GridSpec, operator: str = "mean",
                  profiles: tuple[str, ...] = ("sum", "mean"),
                  lc: DataFrame | None = None, lc_spec: GridSpec | None = None,
                  exclude_lc: tuple[str, ...] = (), persist: bool | str = True,
-                 bucket_block: int | None = None) -> Summary:
+                 bucket_block: int | None = None, save_path: str | None = None,
+                 stop_after_save: bool = False) -> Summary | None:
     """Summary of a stack (E4): product grid, statistics, display range,
     latitude profiles and land-cover shares.  ``bucket_block``: the stack
-    is a bucketed store (see ``summarise``)."""
+    is a bucketed store (see ``summarise``).  ``save_path``: the stack as
+    given (before any reduction) is written there first; with
+    ``stop_after_save`` nothing else is computed (returns None)."""
+    if save_path is not None:
+        write_cells(cells, save_path)
+        if stop_after_save:
+            return None
     box = box or Crop()
     reproject = spec.crs != WGS84
     if operator == "only_plot" and "date" in value_band(cells).columns:
@@ -121,17 +129,29 @@ def grid_summary(cells: DataFrame, spec: GridSpec, operator: str = "mean",
 
 
 def range_summary(cells: DataFrame, spec: GridSpec, ranges: list[tuple], operator: str = "mean",
-                  k: int = 1, low_mem: bool = False, **kw) -> Summary:
+                  k: int = 1, low_mem: bool = False, save_path: str | None = None,
+                  stop_after_save: bool = False, **kw) -> Summary | None:
     """Summary over date ranges (E3).  Overlapping ranges count a date once
     per range.  ``low_mem`` reproduces the per-tile path: the operator per
-    tile first, then blocks by ``max`` (a different answer when k > 1)."""
+    tile first, then blocks by ``max`` (a different answer when k > 1).
+    ``save_path`` writes the selected stack (with its range index ``k``)
+    before the reduction; the low-memory path saves the per-tile product
+    instead, as its stack no longer exists."""
     sel = select_ranges(cells, ranges)
+    if save_path is not None and not low_mem:
+        write_cells(sel, save_path)
+        if stop_after_save:
+            return None
     if low_mem:
         if operator not in ("mean", "sum"):
             raise ValueError(f"Operator {operator} not supported. "
                              "Supported operators are: mean and sum.")
-        per_cell = temporal_reduce(sel, operator, spec, keys=("tile",)).drop("tile")
-        product = coarsen(per_cell, k, "max", spec)
+        per_tile = temporal_reduce(sel, operator, spec, keys=("tile",))
+        if save_path is not None:
+            write_cells(per_tile, save_path)
+            if stop_after_save:
+                return None
+        product = coarsen(per_tile.drop("tile"), k, "max", spec)
         return _summary_of_product(product, spec.coarsened(k), **kw)
     return grid_summary(sel, spec, operator, "banded", k, **kw)
 
@@ -154,10 +174,19 @@ def _summary_of_product(product: DataFrame, pspec: GridSpec, box: Crop | None =
 
 
 def composite_summary(cells: DataFrame, spec: GridSpec, dates: list[str], k: int = 1,
-                      box: Crop | None = None, value_factor: float = 1.0) -> tuple[DataFrame, DataFrame]:
+                      box: Crop | None = None, value_factor: float = 1.0,
+                      save_path: str | None = None,
+                      stop_after_save: bool = False) -> tuple[DataFrame, DataFrame] | None:
     """Per-composite products and statistics for the requested dates (E2),
     all dates in one job: ``ord`` (request position) and ``date`` are group
-    keys instead of a loop.  Returns (product, stats)."""
+    keys instead of a loop.  Returns (product, stats).  ``save_path``: the
+    chosen composites (value band, full resolution) are written first."""
+    if save_path is not None:
+        # each chosen composite once, even when the request repeats a date
+        unique = list(dict.fromkeys(dates))
+        write_cells(value_band(select_dates(cells, unique)).drop("ord"), save_path)
+        if stop_after_save:
+            return None
     box = box or Crop()
     reproject = spec.crs != WGS84
     src = cells if reproject else precrop_source(cells, spec, k, box)

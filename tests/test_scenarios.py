@@ -87,3 +87,16 @@ def test_cropped_summary_stats_after_scale(spark):
     assert a["sum"] == pytest.approx(2 * b["sum"])
     g = grid_stats(summarise(cells, "mean", 2, SPEC)).first()
     assert g["sum"] >= b["sum"]
+
+
+def test_save_before_reduce(spark):
+    """Saving stores the selected, un-reduced stack; stop_after_save ends
+    the job there."""
+    cells = fx.cells(spark, SF_SMALL)
+    p1 = scratch_path(spark, "save-composite")
+    assert composite_summary(cells, SPEC, ["2020-01-09", "2020-01-09"], k=2, save_path=p1,
+                             stop_after_save=True) is None
+    assert read_cells(spark, p1).count() == cells.where("date = '2020-01-09'").count()
+    p2 = scratch_path(spark, "save-grid")
+    s = grid_summary(cells, SPEC, "sum", "banded", 2, save_path=p2, persist=False)
+    assert read_cells(spark, p2).count() == cells.count() and s.stats.count() == 1
