@@ -130,6 +130,24 @@ def _unpredict(block: np.ndarray, predictor: int, dtype: np.dtype, spp: int) ->
     raise NotImplementedError(f"TIFF predictor {predictor} not supported")
 
 
+def header(buf: bytes) -> dict:
+    """Georeference and size without decoding pixels: x0, y0, dx, dy,
+    width, height, epsg."""
+    _, t = _tags(buf)
+    scale = t.get(MODEL_PIXEL_SCALE, (1.0, 1.0, 0.0))
+    tie = t.get(MODEL_TIEPOINT, (0.0, 0.0, 0.0, 0.0, 0.0, 0.0))
+    epsg = None
+    gk = t.get(GEO_KEY_DIRECTORY)
+    if gk:
+        for i in range(gk[3]):
+            key, loc, _cnt, val = gk[4 + 4 * i: 8 + 4 * i]
+            if key in (GEOGRAPHIC_TYPE_KEY, PROJECTED_CS_TYPE_KEY) and loc == 0:
+                epsg = val
+    return {"x0": tie[3] - tie[0] * scale[0], "y0": tie[4] + tie[1] * scale[1],
+            "dx": scale[0], "dy": scale[1], "width": t[IMAGE_WIDTH][0],
+            "height": t[IMAGE_LENGTH][0], "epsg": epsg}
+
+
 def decode(buf: bytes) -> Raster:
     """Decode a GeoTIFF held in memory."""
     bo, t = _tags(buf)

@@ -88,6 +88,40 @@ def decode_tiles(files: DataFrame, spec: GridSpec, bands: tuple[str, ...] = BAND
     return spec.with_coords(cells).select("date", "tile", "iy", "ix", "y", "x", *bands)
 
 
+def tile_headers(files: DataFrame) -> DataFrame:
+    """Georeference of every tile file: (path, x0, y0, dx, dy, width,
+    height, epsg); pixels are not decoded."""
+    from gridfold.sources.geotiff import header
+
+    def run(batches):
+        for pdf in batches:
+            rows = [dict(path=p, **header(bytes(c))) for p, c in zip(pdf["path"], pdf["content"])]
+            yield pd.DataFrame(rows, columns=["path", "x0", "y0", "dx", "dy", "width", "height",
+                                              "epsg"])
+    schema = ("path STRING, x0 DOUBLE, y0 DOUBLE, dx DOUBLE, dy DOUBLE, width INT, height INT, "
+              "epsg INT")
+    return files.select("path", "content").mapInPandas(run, schema)
+
+
+def infer_spec(headers: DataFrame, crs: str | None = None) -> GridSpec:
+    """The grid that holds all tiles: union of their bounds at their common
+    cell size (one aggregate row reaches the driver)."""
+    from gridfold.model import WGS84
+    r = headers.agg(F.min("x0").alias("w"), F.max(F.col("x0") + F.col("width") * F.col("dx")).alias("e"),
+                    F.max("y0").alias("n"), F.min(F.col("y0") - F.col("height") * F.col("dy")).alias("s"),
+                    F.min("dx").alias("dx"), F.max("dx").alias("dx_hi"),
+                    F.min("dy").alias("dy"), F.max("dy").alias("dy_hi"),
+                    F.max("epsg").alias("epsg")).first()
+    if r is None or r["dx"] is None:
+        raise ValueError("no tiles to infer the grid from")
+    if abs(r["dx_hi"] - r["dx"]) > 1e-9 * r["dx"] or abs(r["dy_hi"] - r["dy"]) > 1e-9 * r["dy"]:
+        raise ValueError("tiles have different cell sizes")
+    crs = crs or (WGS84 if r["epsg"] == 4326 else (f"EPSG:{r['epsg']}" if r["epsg"] else WGS84))
+    return GridSpec(x0=r["w"], y0=r["n"], dx=r["dx"], dy=r["dy"],
+                    nx=int(round((r["e"] - r["w"]) / r["dx"])),
+                    ny=int(round((r["n"] - r["s"]) / r["dy"])), crs=crs)
+
+
 def write_tiles(cells: DataFrame, root: str, spec: GridSpec, tile_h: int, tile_w: int,
                 prefix: str = "PRD_GPP", suffix: str = "v02", compression: str = "deflate",
                 predictor: int = 2) -> str:
@@ -97,6 +131,7 @@ def write_tiles(cells: DataFrame, root: str, spec: GridSpec, tile_h: int, tile_w
     ``tile_h`` x ``tile_w`` cells; absent cells are NaN (the no-data value)."""
     bands = [b for b in BAND_COLS if b in cells.columns]
     root = root[len("file:"):] if root.startswith("file:") else root
+    epsg = int(spec.crs.split(":")[1]) if spec.crs.startswith("EPSG:") else None
 
     def one_tile(pdf: pd.DataFrame) -> pd.DataFrame:
         date, tile = pdf["date"].iloc[0], pdf["tile"].iloc[0]
@@ -110,7 +145,7 @@ def write_tiles(cells: DataFrame, root: str, spec: GridSpec, tile_h: int, tile_w
         for i, b in enumerate(bands):
             arr[i, rr, cc] = pdf[b].to_numpy(dtype=np.float64, na_value=np.nan)
         buf = encode(arr, spec.x0 + c0 * spec.dx, spec.y0 - r0 * spec.dy, spec.dx, spec.dy,
-                     compression=compression, predictor=predictor)
+                     compression=compression, predictor=predictor, epsg=epsg)
         folder = os.path.join(root, date.strftime("%Y-%m-%d"))
         os.makedirs(folder, exist_ok=True)
         path = os.path.join(folder, f"{prefix}_{date.strftime('%Y%m%d')}_{tile}_{suffix}.tif")

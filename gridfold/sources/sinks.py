@@ -105,16 +105,23 @@ def write_zonal_csv(shares: DataFrame, path: str, mode: str = "overwrite") -> st
     return path
 
 
-def stats_lines(stats: DataFrame) -> DataFrame:
+def stats_lines(stats: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """``key: value`` lines in the order mean, min, max, sum, std, var."""
-    return stats_long(stats).select(
-        "ord", F.concat(F.col("stat"), F.lit(": "), F.col("value").cast("string")).alias("line"))
-
-
-def write_stats_text(stats: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """Statistics as a six-line text file (K5)."""
-    (stats_lines(stats).coalesce(1).sortWithinPartitions("ord").select("line")
-         .write.mode(mode).text(path))
+    return stats_long(stats, keys).select(
+        *keys, "ord",
+        F.concat(F.col("stat"), F.lit(": "), F.col("value").cast("string")).alias("line"))
+
+
+def write_stats_text(stats: DataFrame, path: str, mode: str = "overwrite",
+                     keys: tuple[str, ...] = ()) -> str:
+    """Statistics as six-line text files (K5): one file, or one per key
+    value (e.g. per date) in ``key=value`` folders."""
+    lines = stats_lines(stats, keys)
+    if keys:
+        (lines.repartition(*keys).sortWithinPartitions(*keys, "ord").select(*keys, "line")
+              .write.mode(mode).partitionBy(*keys).text(path))
+    else:
+        lines.coalesce(1).sortWithinPartitions("ord").select("line").write.mode(mode).text(path)
     return path
 
 
