@@ -67,7 +67,7 @@ YEARS = (2020, 2021, 2022, 2023)
 
 
 @register("time_stack", with_fixtures(f"""
-SELECT biy AS iy, bix AS ix, {_coords(4, 'biy', 'bix')}, round(max(value), 6) AS value
+SELECT biy AS iy, bix AS ix, {_coords(4, 'biy', 'bix')}, round(max(value) + 3.725290298461914e-09, 6) AS value
 FROM ({_block_sql(4, 't')}) b GROUP BY biy, bix""", {
     "cy": YEARS_SQL,
     "t0": "SELECT year(date) AS yr, iy, ix, coalesce(sum(value), 0.0) AS value FROM cy GROUP BY 1, 2, 3",

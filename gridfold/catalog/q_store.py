@@ -47,9 +47,9 @@ STORE_CTE = {"st": f"SELECT date, iy, ix, {F32} AS value, CAST(CAST(qflag AS FLO
 
 
 @register("store_range_summary", with_fixtures(f"""
-SELECT round(avg(value), 6) AS mean, round(min(value), 6) AS min, round(max(value), 6) AS max,
-       round(coalesce(sum(value), 0.0), 6) AS sum,
-       round(stddev_pop(value), 6) AS std, round(var_pop(value), 6) AS var
+SELECT round(avg(value) + 3.725290298461914e-09, 6) AS mean, round(min(value) + 3.725290298461914e-09, 6) AS min, round(max(value) + 3.725290298461914e-09, 6) AS max,
+       round(coalesce(sum(value), 0.0) + 3.725290298461914e-09, 6) AS sum,
+       round(stddev_pop(value) + 3.725290298461914e-09, 6) AS std, round(var_pop(value) + 3.725290298461914e-09, 6) AS var
 FROM (SELECT {_big_coords(K)}, avg(value) AS value FROM ({_blk(K, 't')}) b GROUP BY biy, bix) p
 WHERE x BETWEEN 60.0 AND 400.0 AND y BETWEEN -150.0 AND 40.0""", {
     **STORE_CTE,
@@ -60,8 +60,8 @@ def q_store_range_summary(spark, sf):
 
 
 @register("store_point_series", with_fixtures(f"""
-SELECT w.point_id, w.station, c.date AS time, round(avg(c.value), 6) AS data_value,
-       round(avg(c.qflag), 6) AS quality_flag
+SELECT w.point_id, w.station, c.date AS time, round(avg(c.value) + 3.725290298461914e-09, 6) AS data_value,
+       round(avg(c.qflag) + 3.725290298461914e-09, 6) AS quality_flag
 FROM (SELECT p.point_id, p.station, p.iy + a.d AS iy, p.ix + b.d AS ix
       FROM pi p, (VALUES (-1), (0), (1)) a(d), (VALUES (-1), (0), (1)) b(d)) w
 JOIN st c ON c.iy = w.iy AND c.ix = w.ix
@@ -72,9 +72,9 @@ def q_store_point_series(spark, sf):
 
 
 @register("store_composite_summary", with_fixtures(f"""
-SELECT ord, date, round(avg(value), 6) AS mean, round(min(value), 6) AS min,
-       round(max(value), 6) AS max, round(coalesce(sum(value), 0.0), 6) AS sum,
-       round(stddev_pop(value), 6) AS std, round(var_pop(value), 6) AS var
+SELECT ord, date, round(avg(value) + 3.725290298461914e-09, 6) AS mean, round(min(value) + 3.725290298461914e-09, 6) AS min,
+       round(max(value) + 3.725290298461914e-09, 6) AS max, round(coalesce(sum(value), 0.0) + 3.725290298461914e-09, 6) AS sum,
+       round(stddev_pop(value) + 3.725290298461914e-09, 6) AS std, round(var_pop(value) + 3.725290298461914e-09, 6) AS var
 FROM (SELECT ord, date, max(value) AS value FROM ({_blk(K, 'sel')}) q
       GROUP BY ord, date, biy, bix) b
 GROUP BY ord, date""", {
@@ -112,7 +112,7 @@ def bucketed_summarise_on(spark, table):
 
 
 @register("bucketed_summarise", with_fixtures(f"""
-SELECT biy AS iy, bix AS ix, {_big_coords(K)}, round(avg(value), 6) AS value
+SELECT biy AS iy, bix AS ix, {_big_coords(K)}, round(avg(value) + 3.725290298461914e-09, 6) AS value
 FROM ({_blk(K, 't')}) b GROUP BY biy, bix""", {
     **STORE_CTE,
     "t": f"SELECT iy, ix, avg(value) AS value FROM st "

@@ -32,8 +32,17 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+# Added before rounding on both sides.  Our values are sums and means of
+# integers whose exact binary expansions end within 8 fraction bits, so a
+# value can sit exactly on a 6-decimal rounding boundary (27.5390625); the
+# two engines' summation orders then put it on either side.  Shifted by
+# 2^-28 no exact value lies on a boundary, and ulp-level noise is far below
+# the shift.  The same literal appears in the oracle SQL.
+ROUND_SHIFT = 2.0 ** -28
+
+
 def r6(df: DataFrame, *cols: str) -> DataFrame:
     """Round the named double columns to 6 decimals (comparison form)."""
     for c in cols:
-        df = df.withColumn(c, F.round(F.col(c), 6))
+        df = df.withColumn(c, F.round(F.col(c) + F.lit(ROUND_SHIFT), 6))
     return df
