@@ -64,17 +64,21 @@ def _is_tiff_tree(spark: SparkSession, directory: str) -> bool:
 
 
 def load_stack(spark: SparkSession, directory: str, spec: GridSpec | None = None,
-               crs: str | None = None) -> tuple[DataFrame, GridSpec]:
-    """Cells of a store and their grid."""
+               crs: str | None = None, when=None) -> tuple[DataFrame, GridSpec]:
+    """Cells of a store and their grid.  ``when`` (a Column over ``date``)
+    selects dates before files are opened (GeoTIFF) or as a partition filter
+    (Parquet)."""
     if _is_tiff_tree(spark, directory):
-        files = read_tile_files(spark, directory)
         if spec is None:
-            first = files.select(F.min("date")).scalar()
-            spec = infer_spec(tile_headers(files.where(F.col("date") == first)), crs)
-        return decode_tiles(files, spec), spec
+            from gridfold.sources.store import scan_tiles
+            first = scan_tiles(spark, directory).select(F.min("date")).first()[0]
+            one_date = read_tile_files(spark, directory, F.col("date") == F.lit(first))
+            spec = infer_spec(tile_headers(one_date), crs)
+        return decode_tiles(read_tile_files(spark, directory, when), spec), spec
     if spec is None:
         raise ValueError("a Parquet cell store needs its GridSpec")
-    return read_cells(spark, directory), spec
+    cells = read_cells(spark, directory)
+    return (cells.where(when) if when is not None else cells), spec
 
 
 def _crop(lon_min, lon_max, lat_min, lat_max) -> jobs.Crop:
@@ -130,9 +134,12 @@ def plot_range(spark: SparkSession, directory: str, dates: list, out_dir: str, c
                stop_after_save: bool = False, spec: GridSpec | None = None) -> dict | None:
     """Summary over a date range or a list of ranges (E3).  ``dates`` is
     [start, end] or [[start, end], ...]; '' is an open bound."""
-    cells, spec = load_stack(spark, directory, spec)
     ranges = [tuple(d) for d in dates] if dates and isinstance(dates[0], (list, tuple)) \
         else [tuple(dates)]
+    from functools import reduce
+    from gridfold.operators.select import in_range
+    when = reduce(lambda a, b: a | b, [in_range(s_, e_) for s_, e_ in ranges])
+    cells, spec = load_stack(spark, directory, spec, when=when)
     actions = Actions.parse(extra_actions)
     with_lc = lc is not None and actions.side_products
     s = jobs.range_summary(
@@ -155,9 +162,9 @@ def plot_composite(spark: SparkSession, directory: str, dates: list, out_dir: st
     """Per-composite products and statistics for the chosen dates (E2),
     all dates in one job; an empty list takes every date."""
     from gridfold.operators.stats import profile
-    cells, spec = load_stack(spark, directory, spec)
-    if not dates:
-        dates = []
+    dates = list(dates or [])
+    when = F.col("date").isin([F.lit(d).cast("date") for d in dates]) if dates else None
+    cells, spec = load_stack(spark, directory, spec, when=when)
     r = jobs.composite_summary(cells, spec, list(dates), coarsen,
                                _crop(lon_min, lon_max, lat_min, lat_max), value_factor,
                                save_path=f"{out_dir}/data_save/composites" if save_composite else None,
@@ -189,8 +196,10 @@ def extract_timeseries(spark: SparkSession, directory: str, dir_out: str, points
     window cells are also written when ``extract_area``.  ``points`` needs
     x, y, crs and ``point_id`` (generated when absent: unique, not
     consecutive); ``name_column`` names the stations, else ``point_%05d``."""
+    from gridfold.operators.select import in_range
     from gridfold.sources.store import read_points
-    cells, spec = load_stack(spark, directory, spec)
+    when = in_range(time_start or None, time_end or None) if (time_start or time_end) else None
+    cells, spec = load_stack(spark, directory, spec, when=when)
     id_col = "point_id" if "point_id" in points.columns else None
     if id_col is None:
         points = points.withColumn("point_id", F.monotonically_increasing_id())

@@ -29,18 +29,32 @@ BAND_COLS = ("value", "qflag")
 TILE_RE = r"(h\d+v\d+)"
 
 
-def read_tile_files(spark: SparkSession, root: str) -> DataFrame:
-    """Dated tile files with their bytes: (path, date, tile_key, content)."""
+def read_tile_files(spark: SparkSession, root: str, when=None) -> DataFrame:
+    """Dated tile files with their bytes: (path, date, tile_key, content).
+
+    ``when`` (a Column over ``date``, e.g. ``select.in_range(...)``) chooses
+    dates before any byte is read: the path-only listing is filtered, the
+    chosen date folders (one path per composite date) are collected, and
+    only they are opened.  Without it every file under ``root`` is read."""
+    paths = [root]
+    if when is not None:
+        from gridfold.sources.store import scan_tiles
+        listing = scan_tiles(spark, root).where(when)
+        dirs = listing.select(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("d")).distinct()
+        paths = [r["d"] for r in dirs.collect()]
+        if not paths:
+            return spark.createDataFrame([], "path STRING, date DATE, tile_key STRING, content BINARY")
     files = (spark.read.format("binaryFile")
              .option("recursiveFileLookup", "true")
              .option("pathGlobFilter", "*.tif")
-             .load(root))
+             .load(paths if len(paths) > 1 else paths[0]))
     files = files.select(
         "path", "content",
         F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("dir"),
         F.regexp_extract("path", r"([^/]+)$", 1).alias("file"))
     files = parse_tile_name(date_dirs(files, "dir"), "file")
-    return files.select("path", "date", "tile_key", "content")
+    out = files.select("path", "date", "tile_key", "content")
+    return out.where(when) if when is not None else out
 
 
 def _decode_partition(bands: tuple[str, ...]):

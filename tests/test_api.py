@@ -67,3 +67,12 @@ def test_actions_parse():
     assert a.record and a.plot and a.methods() == ("sum",)
     with pytest.raises(ValueError):
         api.Actions.parse("plot+png")
+
+
+def test_date_selection_opens_only_chosen_folders(spark, tree):
+    from gridfold.operators.select import in_range
+    from gridfold.sources.raster import read_tile_files
+    files = read_tile_files(spark, tree, in_range("2020-01-09", "2020-01-17"))
+    p = files._jdf.queryExecution().executedPlan().toString()
+    assert "2020-01-09" in p and "2020-01-17" in p and "2020-01-25" not in p
+    assert sorted({str(r["date"]) for r in files.select("date").collect()}) == ["2020-01-09", "2020-01-17"]
