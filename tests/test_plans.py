@@ -4,7 +4,6 @@ broadcast only when checked, coordinates are not shuffled."""
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from gridfold.operators.points import sample_nearest
 from gridfold.operators.temporal import temporal_reduce
