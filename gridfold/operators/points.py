@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gridfold.functions.projection import transform
 from gridfold.model import GridSpec
-from gridfold.plans.broadcast import broadcast_if_small
+from gridfold.plans.broadcast import DEFAULT_MAX_BROADCAST_ROWS, row_count_at_most
 
 
 def to_grid_crs(points: DataFrame, crs: str) -> DataFrame:
@@ -59,14 +59,32 @@ def _value_cols(cells: DataFrame) -> list[str]:
     return [c for c in ("band", "value", "qflag") if c in cells.columns]
 
 
+def join_to_cells(cells: DataFrame, keyed: DataFrame,
+                  max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """Join point rows keyed by (iy, ix) to the cells, never shuffling the
+    whole stack when it can be avoided.
+
+    1. Few point rows: broadcast them (size checked).
+    2. Many point rows but few distinct cells (points cluster): broadcast the
+       distinct cells as a semi-join filter, so only the needed cells reach
+       the shuffle join with the points.
+    3. Otherwise a shuffle join on (iy, ix); AQE splits hot cells and the
+       runtime bloom filter trims the stack side."""
+    if row_count_at_most(keyed, max_rows) is not None:
+        return cells.join(F.broadcast(keyed), ["iy", "ix"])
+    needed = keyed.select("iy", "ix").distinct()
+    if row_count_at_most(needed, max_rows) is not None:
+        cells = cells.join(F.broadcast(needed), ["iy", "ix"], "left_semi")
+    return cells.join(keyed, ["iy", "ix"])
+
+
 def sample_nearest(cells: DataFrame, points: DataFrame, spec: GridSpec,
                    tie: str = "coord") -> DataFrame:
     """Value of the nearest cell for every point and date."""
     pts = nearest_index(points.select("point_id", "station", "x", "y"), spec, tie)
-    pts = broadcast_if_small(pts.select("point_id", "station", "iy", "ix"))
     vals = cells.select("date", "iy", "ix", *_value_cols(cells))
-    return (vals.join(pts, ["iy", "ix"])
-                .select("point_id", "station", "date", *_value_cols(cells)))
+    return (join_to_cells(vals, pts.select("point_id", "station", "iy", "ix"))
+            .select("point_id", "station", "date", *_value_cols(cells)))
 
 
 def window_offsets(points: DataFrame, spec: GridSpec, buffer: int,
@@ -98,11 +116,11 @@ def sample_window(cells: DataFrame, points: DataFrame, spec: GridSpec, buffer: i
     Values and quality flags are both averaged; missing cells are skipped."""
     if buffer <= 0:
         return sample_nearest(cells, points, spec, tie="coord")
-    win = broadcast_if_small(window_offsets(points, spec, buffer, edge))
+    win = window_offsets(points, spec, buffer, edge)
     vcols = [c for c in ("value", "qflag") if c in cells.columns]
     band = ["band"] if "band" in cells.columns else []
     vals = cells.select("date", "iy", "ix", *band, *vcols)
-    return (vals.join(win, ["iy", "ix"])
+    return (join_to_cells(vals, win)
                 .groupBy("point_id", "station", "date", *band)
                 .agg(*[F.avg(c).alias(c) for c in vcols]))
 

@@ -77,3 +77,17 @@ def test_scale_conf_sizes_partitions():
     c = scale_conf(100 * 2**40, 4000)
     assert int(c["spark.sql.shuffle.partitions"]) == 100 * 2**40 // (256 << 20) + 1
     assert int(scale_conf(1e6, 8)["spark.sql.shuffle.partitions"]) == 16
+
+
+def test_many_points_on_few_cells_filter_the_stack(spark):
+    """Past the row bound, the distinct cells still travel as a broadcast
+    semi-join filter, so the stack is cut before the shuffle join."""
+    from gridfold.operators.points import join_to_cells, nearest_index
+    cells = fx.cells(spark, SF_SMALL).select("date", "iy", "ix", "value")
+    pts = nearest_index(fx.points(spark, SF_SMALL), fx.CELLS_SPEC).select("point_id", "iy", "ix")
+    # sf0.001: 150 points on 126 distinct cells; a bound in between
+    assert pts.count() == 150 and pts.select("iy", "ix").distinct().count() == 126
+    out = join_to_cells(cells, pts, max_rows=140)
+    assert "LeftSemi" in plan(out)
+    assert out.count() == cells.join(pts, ["iy", "ix"]).count()
+    assert "LeftSemi" not in plan(join_to_cells(cells, pts, max_rows=100))
