@@ -131,7 +131,8 @@ def plot_range(spark: SparkSession, directory: str, dates: list, out_dir: str, c
                lc: DataFrame | None = None, lc_spec: GridSpec | None = None,
                lon_min=None, lon_max=None, lat_min=None, lat_max=None,
                max_factor: float = 1.0, exclude_lc_class=(), export_stats: bool = False,
-               stop_after_save: bool = False, spec: GridSpec | None = None) -> dict | None:
+               stop_after_save: bool = False, spec: GridSpec | None = None,
+               crs: str | None = None) -> dict | None:
     """Summary over a date range or a list of ranges (E3).  ``dates`` is
     [start, end] or [[start, end], ...]; '' is an open bound."""
     ranges = [tuple(d) for d in dates] if dates and isinstance(dates[0], (list, tuple)) \
@@ -139,7 +140,7 @@ def plot_range(spark: SparkSession, directory: str, dates: list, out_dir: str, c
     from functools import reduce
     from gridfold.operators.select import in_range
     when = reduce(lambda a, b: a | b, [in_range(s_, e_) for s_, e_ in ranges])
-    cells, spec = load_stack(spark, directory, spec, when=when)
+    cells, spec = load_stack(spark, directory, spec, crs, when=when)
     actions = Actions.parse(extra_actions)
     with_lc = lc is not None and actions.side_products
     s = jobs.range_summary(
@@ -158,13 +159,13 @@ def plot_composite(spark: SparkSession, directory: str, dates: list, out_dir: st
                    coarsen: int = 1, value_factor: float = 1.0, save_composite: bool = False,
                    extra_actions: str = "", lon_min=None, lon_max=None, lat_min=None,
                    lat_max=None, export_stats: bool = False, stop_after_save: bool = False,
-                   spec: GridSpec | None = None) -> dict | None:
+                   spec: GridSpec | None = None, crs: str | None = None) -> dict | None:
     """Per-composite products and statistics for the chosen dates (E2),
     all dates in one job; an empty list takes every date."""
     from gridfold.operators.stats import profile
     dates = list(dates or [])
     when = F.col("date").isin([F.lit(d).cast("date") for d in dates]) if dates else None
-    cells, spec = load_stack(spark, directory, spec, when=when)
+    cells, spec = load_stack(spark, directory, spec, crs, when=when)
     r = jobs.composite_summary(cells, spec, list(dates), coarsen,
                                _crop(lon_min, lon_max, lat_min, lat_max), value_factor,
                                save_path=f"{out_dir}/data_save/composites" if save_composite else None,
@@ -191,7 +192,7 @@ def extract_timeseries(spark: SparkSession, directory: str, dir_out: str, points
                        time_end: str = "", scale_factor: float | None = None,
                        flag_value: bool = True, flag_quality: bool = False,
                        cellbuffer_extend: int = 0, extract_area: bool = False,
-                       spec: GridSpec | None = None) -> DataFrame:
+                       spec: GridSpec | None = None, crs: str | None = None) -> DataFrame:
     """Per-station series (E1) written as CSV folders per station; the
     window cells are also written when ``extract_area``.  ``points`` needs
     x, y, crs and ``point_id`` (generated when absent: unique, not
@@ -199,7 +200,7 @@ def extract_timeseries(spark: SparkSession, directory: str, dir_out: str, points
     from gridfold.operators.select import in_range
     from gridfold.sources.store import read_points
     when = in_range(time_start or None, time_end or None) if (time_start or time_end) else None
-    cells, spec = load_stack(spark, directory, spec, when=when)
+    cells, spec = load_stack(spark, directory, spec, crs, when=when)
     id_col = "point_id" if "point_id" in points.columns else None
     if id_col is None:
         points = points.withColumn("point_id", F.monotonically_increasing_id())

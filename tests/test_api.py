@@ -76,3 +76,19 @@ def test_date_selection_opens_only_chosen_folders(spark, tree):
     p = files._jdf.queryExecution().executedPlan().toString()
     assert "2020-01-09" in p and "2020-01-17" in p and "2020-01-25" not in p
     assert sorted({str(r["date"]) for r in files.select("date").collect()}) == ["2020-01-09", "2020-01-17"]
+
+
+def test_sinusoidal_tree_is_reprojected(spark):
+    """Tiles in the sinusoidal projection (no EPSG code): the CRS is given,
+    the grid inferred, and the summary is reprojected to lon/lat."""
+    from gridfold.catalog.q_reproject import SIN_SPEC
+    from gridfold.model import SINUSOIDAL
+    cells = fx.cells(spark, SF_SMALL)
+    root = write_tiles(cells, scratch_path(spark, "api-sin"), SIN_SPEC, 8, 16)
+    _, spec = api.load_stack(spark, root, crs=SINUSOIDAL)
+    assert spec == SIN_SPEC
+    out = api.plot_range(spark, root, ["", ""], scratch_path(spark, "api-sin-out"), crs=SINUSOIDAL)
+    f32 = cells.withColumn("value", F.col("value").cast("float").cast("double"))
+    ref = jobs.grid_summary(f32, SIN_SPEC, "mean", "banded", 1, persist=False).stats.first()
+    got = out["stats"].first()
+    assert all(got[k] == pytest.approx(ref[k]) for k in STAT_ORDER)
