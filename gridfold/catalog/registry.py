@@ -43,6 +43,4 @@ ROUND_SHIFT = 2.0 ** -28
 
 def r6(df: DataFrame, *cols: str) -> DataFrame:
     """Round the named double columns to 6 decimals (comparison form)."""
-    for c in cols:
-        df = df.withColumn(c, F.round(F.col(c) + F.lit(ROUND_SHIFT), 6))
-    return df
+    return df.withColumns({c: F.round(F.col(c) + F.lit(ROUND_SHIFT), 6) for c in cols})

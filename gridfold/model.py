@@ -73,7 +73,7 @@ class GridSpec:
 
     def with_coords(self, df: DataFrame) -> DataFrame:
         """(Re)compute ``y``/``x`` from ``iy``/``ix``."""
-        return df.withColumn("y", self.y_of("iy")).withColumn("x", self.x_of("ix"))
+        return df.withColumns({"y": self.y_of("iy"), "x": self.x_of("ix")})
 
     # -- derived grids -------------------------------------------------
     def coarsened(self, k: int) -> "GridSpec":

@@ -20,10 +20,7 @@ FLOAT_COLS = ("value", "qflag")
 
 def as_float32(df: DataFrame) -> DataFrame:
     """Data columns to float32 (C5); indices and coordinates unchanged."""
-    for c in FLOAT_COLS:
-        if c in df.columns:
-            df = df.withColumn(c, F.col(c).cast("float"))
-    return df
+    return df.withColumns({c: F.col(c).cast("float") for c in FLOAT_COLS if c in df.columns})
 
 
 def write_cells(df: DataFrame, path: str, float32: bool = True, mode: str = "overwrite",

@@ -111,9 +111,7 @@ def read_cells(spark: SparkSession, path: str | list[str], start=None, end=None,
     if dates:
         df = df.where(F.col("date").isin([F.lit(d).cast("date") for d in dates]))
     value_cols = [c for c in ("value", "qflag") if c in df.columns]
-    for c in value_cols:
-        df = df.withColumn(c, nan_to_null(F.col(c).cast("double")))
-    return df
+    return df.withColumns({c: nan_to_null(F.col(c).cast("double")) for c in value_cols})
 
 
 def read_bucketed(spark: SparkSession, table: str, start=None, end=None,
@@ -126,10 +124,8 @@ def read_bucketed(spark: SparkSession, table: str, start=None, end=None,
         df = df.where(F.col("date") <= F.lit(end).cast("date"))
     if dates:
         df = df.where(F.col("date").isin([F.lit(d).cast("date") for d in dates]))
-    for c in ("value", "qflag"):
-        if c in df.columns:
-            df = df.withColumn(c, nan_to_null(F.col(c).cast("double")))
-    return df
+    return df.withColumns({c: nan_to_null(F.col(c).cast("double"))
+                           for c in ("value", "qflag") if c in df.columns})
 
 
 # -- points (S4, C7, F9) ---------------------------------------------------
