@@ -247,3 +247,27 @@ def test_summary_checkpointed(spark, grid_small):
     a = grid_summary(c, grid_small, "mean", "banded", 2, persist="checkpoint").stats.first()
     b = grid_summary(c, grid_small, "mean", "banded", 2, persist=False).stats.first()
     assert a == b
+
+
+# Strict tile completeness raises; the per-tile path rejects only_plot
+def test_strict_tiles_and_low_mem_operator(spark):
+    from gridfold.operators.align import check_complete, tile_gaps
+    tiles = spark.createDataFrame([(D1, "h00v00"), (D1, "h01v00"), (D2, "h00v00")],
+                                  "date DATE, tile_key STRING")
+    gaps = tile_gaps(tiles).collect()
+    assert [(r["tile_key"], r["date"]) for r in gaps] == [("h01v00", D2)]
+    with pytest.raises(ValueError):
+        check_complete(tiles)
+    spec = GridSpec(0.0, 1.0, 0.5, 0.5, nx=2, ny=2)
+    c = cells_df(spark, spec, [(D1, 0, 0, 1.0)])
+    with pytest.raises(ValueError):
+        range_summary(c, spec, [("", "")], "only_plot", 2, low_mem=True, persist=False)
+
+
+# Products are keyed by operator and dates, not by tile alone
+def test_skip_existing_key(spark):
+    from gridfold.operators.align import skip_existing
+    wanted = spark.createDataFrame([("h00v00", "mean"), ("h00v00", "sum")], "tile STRING, operator STRING")
+    existing = spark.createDataFrame([("h00v00", "sum")], "tile STRING, operator STRING")
+    assert [tuple(r) for r in skip_existing(wanted, existing, ["tile", "operator"]).collect()] == \
+        [("h00v00", "mean")]
