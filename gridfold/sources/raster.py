@@ -14,6 +14,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -163,8 +164,12 @@ def write_tiles(cells: DataFrame, root: str, spec: GridSpec, tile_h: int, tile_w
         folder = os.path.join(root, date.strftime("%Y-%m-%d"))
         os.makedirs(folder, exist_ok=True)
         path = os.path.join(folder, f"{prefix}_{date.strftime('%Y%m%d')}_{tile}_{suffix}.tif")
-        with open(path, "wb") as f:
+        # a retried or speculative task rewrites the same deterministic bytes;
+        # writing aside and renaming keeps readers from seeing a partial file
+        tmp = f"{path}.{uuid.uuid4().hex}.part"
+        with open(tmp, "wb") as f:
             f.write(buf)
+        os.replace(tmp, path)
         return pd.DataFrame({"path": [path], "n": [len(pdf)]})
 
     done = (cells.select("date", "tile", "iy", "ix", *bands)
