@@ -120,9 +120,12 @@ def sample_window(cells: DataFrame, points: DataFrame, spec: GridSpec, buffer: i
     vcols = [c for c in ("value", "qflag") if c in cells.columns]
     band = ["band"] if "band" in cells.columns else []
     vals = cells.select("date", "iy", "ix", *band, *vcols)
+    # the station name depends on the point: it rides along as first(),
+    # keeping string hashing out of the group key
     return (join_to_cells(vals, win)
-                .groupBy("point_id", "station", "date", *band)
-                .agg(*[F.avg(c).alias(c) for c in vcols]))
+                .groupBy("point_id", "date", *band)
+                .agg(F.first("station").alias("station"), *[F.avg(c).alias(c) for c in vcols])
+                .select("point_id", "station", "date", *band, *vcols))
 
 
 def series(sampled: DataFrame, scale_factor: float | None = None, flag_value: bool = True,
