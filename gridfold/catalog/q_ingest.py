@@ -42,3 +42,50 @@ SELECT date, tile, iy, ix, y, x, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value,
 def q_decode_tiles_zstd(spark, sf):
     root = tile_store(spark, sf, compression="zstd", predictor=3)
     return decode_tiles(read_tile_files(spark, root), SPEC)
+
+
+# -- whole workflows through the reference-shaped entry points -----------------
+F32_CELLS = """SELECT date, iy, ix, y, x, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value,
+                      CAST(CAST(qflag AS FLOAT) AS DOUBLE) AS qflag FROM cells"""
+
+
+@register("workflow_plot_range", with_fixtures("""
+SELECT round(avg(value) + 3.725290298461914e-09, 6) AS mean, round(min(value) + 3.725290298461914e-09, 6) AS min,
+       round(max(value) + 3.725290298461914e-09, 6) AS max,
+       round(coalesce(sum(value), 0.0) + 3.725290298461914e-09, 6) AS sum,
+       round(stddev_pop(value) + 3.725290298461914e-09, 6) AS std,
+       round(var_pop(value) + 3.725290298461914e-09, 6) AS var
+FROM (SELECT CAST(CAST(61.0 AS DOUBLE) - (floor(iy/2) + 0.5) * 1.0 AS DOUBLE) AS y,
+             CAST(CAST(10.0 AS DOUBLE) + (floor(ix/2) + 0.5) * 1.0 AS DOUBLE) AS x,
+             sum(value) * 8.0 AS value
+      FROM (SELECT iy, ix, coalesce(sum(value), 0.0) AS value FROM f32
+            WHERE date BETWEEN DATE '2020-01-01' AND DATE '2020-01-25' GROUP BY iy, ix) t
+      WHERE iy < 22 AND ix < 42 GROUP BY floor(iy/2), floor(ix/2)) p
+WHERE x BETWEEN 12.0 AND 30.0 AND y BETWEEN 50.0 AND 60.0""", {"f32": F32_CELLS}))
+def q_workflow_plot_range(spark, sf):
+    """A yearly-sum style run over a GeoTIFF tree: range, sum, 2x coarser,
+    crop, value factor 8, statistics (grid inferred from the tiles)."""
+    from gridfold.api import plot_range
+    from gridfold.catalog.registry import r6
+    from gridfold.operators.stats import STAT_ORDER
+    out = plot_range(spark, tile_store(spark, sf), ["2020-01-01", "2020-01-25"],
+                     scratch_path(spark, "workflow-range"), coarsen=2, operator="sum",
+                     value_factor=8.0, lon_min=12.0, lon_max=30.0, lat_min=50.0, lat_max=60.0)
+    return r6(out["stats"], *STAT_ORDER)
+
+
+@register("workflow_extract_timeseries", with_fixtures("""
+SELECT p.point_id, p.station, c.date AS time, c.value * 0.5 AS data_value, c.qflag AS quality_flag
+FROM f32 c JOIN (
+  SELECT point_id, printf('point_%05d', point_id) AS station,
+         CAST(least(greatest(ceil(((CAST(61.0 AS DOUBLE) - y) / 0.5 - 0.5) - 0.5), 0), 21) AS INT) AS iy,
+         CAST(least(greatest(floor(((x - CAST(10.0 AS DOUBLE)) / 0.5 - 0.5) + 0.5), 0), 42) AS INT) AS ix
+  FROM points) p ON c.iy = p.iy AND c.ix = p.ix
+WHERE c.date >= DATE '2020-01-17'""", {"f32": F32_CELLS}))
+def q_workflow_extract_timeseries(spark, sf):
+    """Station series from a GeoTIFF tree, nearest cell, scale 0.5, values
+    and quality flags, written per station (and returned)."""
+    from gridfold.api import extract_timeseries
+    return extract_timeseries(spark, tile_store(spark, sf), scratch_path(spark, "workflow-series"),
+                              fx.points(spark, sf).drop("station"), time_start="2020-01-17",
+                              scale_factor=0.5, flag_quality=True)
