@@ -57,8 +57,23 @@ PRESETS = {
 }
 
 
+def colocate_by_block(cells: DataFrame, spec: GridSpec, k: int, block: int = 64,
+                      partitions: int | None = None) -> tuple[DataFrame, int]:
+    """Hash-partition raw rows by a spatial block (a multiple of k, so a
+    k-block never straddles two) and tag them with ``blk``.  The time and
+    block reductions of ``summarise(bucket_block=...)`` then both ride on
+    this one Exchange.  Meant for stores where a task holds one date (a
+    date-partitioned store), where map-side combining saves nothing."""
+    from gridfold.sources.sinks import block_id
+    b = k * max(1, -(-block // k))
+    tagged = cells.withColumn("blk", block_id(spec, b))
+    out = tagged.repartition(partitions, "blk") if partitions else tagged.repartition("blk")
+    return out, b
+
+
 def summarise(cells: DataFrame, operator: str, k: int, spec: GridSpec,
-              preset: str = "banded", bucket_block: int | None = None) -> DataFrame:
+              preset: str = "banded", bucket_block: int | None = None,
+              colocate: bool = True) -> DataFrame:
     """Operator over time followed by k x k coarsening.
 
     ``operator="only_plot"`` coarsens every date with ``max`` and keeps the
@@ -69,7 +84,16 @@ def summarise(cells: DataFrame, operator: str, k: int, spec: GridSpec,
     store bucketed by ``blk`` is reduced inside its scan tasks; for the
     block step only when k divides the bucket block (a coarse block must not
     straddle two buckets).
+
+    ``colocate`` (k > 1, not bucketed): rows are hash-partitioned once by a
+    spatial block that k divides, and both reductions ride on that one
+    Exchange instead of shuffling raw rows by cell and then cells by block.
+    Pass False for inputs whose tasks already hold many dates of the same
+    cells (there map-side combining before the first shuffle pays).
     """
+    if (colocate and bucket_block is None and k > 1 and operator != "only_plot"
+            and "blk" not in cells.columns):
+        cells, bucket_block = colocate_by_block(cells, spec, k)
     colocated = bucket_block is not None and "blk" in cells.columns
     bkey = ("blk",) if colocated else ()
     bkey_k = bkey if colocated and bucket_block % k == 0 else ()

@@ -91,3 +91,14 @@ def test_many_points_on_few_cells_filter_the_stack(spark):
     assert "LeftSemi" in plan(out)
     assert out.count() == cells.join(pts, ["iy", "ix"]).count()
     assert "LeftSemi" not in plan(join_to_cells(cells, pts, max_rows=100))
+
+
+def test_summarise_one_exchange_for_both_reductions(spark, store):
+    """Time mean then 4 x 4 blocks over a date-partitioned store: the raw
+    rows are shuffled once (by block); both aggregates ride on it."""
+    from gridfold.operators.coarsen import summarise
+    df = summarise(read_cells(spark, store), "mean", 4, fx.CELLS_SPEC)
+    ex = [l for l in plan(df).splitlines() if "Exchange" in l]
+    assert len(ex) == 1 and "blk" in ex[0]
+    two = summarise(read_cells(spark, store), "mean", 4, fx.CELLS_SPEC, colocate=False)
+    assert len([l for l in plan(two).splitlines() if "Exchange" in l]) == 2
