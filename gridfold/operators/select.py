@@ -95,6 +95,8 @@ def is_cropped(lon_min=None, lon_max=None, lat_min=None, lat_max=None) -> bool:
     return any(v is not None for v in (lon_min, lon_max, lat_min, lat_max))
 
 
+# Fixed value: smallest value shown on a map (display mask and colour-scale
+# lower end of the standard plot).
 DISPLAY_FLOOR = 0.0001
 
 

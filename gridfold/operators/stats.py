@@ -75,6 +75,7 @@ def profile(grid: DataFrame, method: str = "sum", keys: tuple[str, ...] = (),
 
 
 PLOT_TYPES = ("standard", "difference")
+# Fixed value: a given colour-scale maximum is never below this.
 MIN_VMAX = 20.0
 
 
