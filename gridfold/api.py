@@ -16,10 +16,12 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridfold.model import GridSpec
+from gridfold.operators.coarsen import coarsen as coarsen_grid
 from gridfold.operators.points import sample_window
 from gridfold.plans import jobs
 from gridfold.sources import sinks
@@ -132,9 +134,13 @@ def plot_range(spark: SparkSession, directory: str, dates: list, out_dir: str, c
                lon_min=None, lon_max=None, lat_min=None, lat_max=None,
                max_factor: float = 1.0, exclude_lc_class=(), export_stats: bool = False,
                stop_after_save: bool = False, spec: GridSpec | None = None,
-               crs: str | None = None) -> dict | None:
+               crs: str | None = None, continue_plot: bool = False) -> dict | None:
     """Summary over a date range or a list of ranges (E3).  ``dates`` is
-    [start, end] or [[start, end], ...]; '' is an open bound."""
+    [start, end] or [[start, end], ...]; '' is an open bound.
+
+    ``low_mem`` with ``continue_plot`` resumes: per-tile products already in
+    ``<out_dir>/data_save/tiles_<operator>_<dates>`` are reused and only the
+    missing tiles are computed and appended (J10)."""
     ranges = [tuple(d) for d in dates] if dates and isinstance(dates[0], (list, tuple)) \
         else [tuple(dates)]
     from functools import reduce
@@ -143,6 +149,15 @@ def plot_range(spark: SparkSession, directory: str, dates: list, out_dir: str, c
     cells, spec = load_stack(spark, directory, spec, crs, when=when)
     actions = Actions.parse(extra_actions)
     with_lc = lc is not None and actions.side_products
+    if low_mem and continue_plot:
+        product = _resume_tile_products(spark, cells, spec, ranges, operator, out_dir)
+        s = jobs.summary_of_product(
+            coarsen_grid(product, coarsen, "max", spec), spec.coarsened(coarsen),
+            box=_crop(lon_min, lon_max, lat_min, lat_max), value_factor=value_factor,
+            vmax=vmax, max_factor=max_factor,
+            profiles=actions.methods() if actions.side_products else (),
+            lc=lc if with_lc else None, lc_spec=lc_spec, exclude_lc=tuple(exclude_lc_class))
+        return _outputs(s, out_dir, actions, export_stats, with_lc)
     s = jobs.range_summary(
         cells, spec, ranges, operator, coarsen, low_mem=low_mem,
         save_path=f"{out_dir}/data_save/stack" if output_data else None,
@@ -155,6 +170,31 @@ def plot_range(spark: SparkSession, directory: str, dates: list, out_dir: str, c
     return _outputs(s, out_dir, actions, export_stats, with_lc)
 
 
+def _resume_tile_products(spark: SparkSession, cells: DataFrame, spec: GridSpec, ranges,
+                          operator: str, out_dir: str) -> DataFrame:
+    """Per-tile time reductions, computing only tiles not yet written.  The
+    folder name carries the operator and the date set, so a product of
+    other dates or another operator is never reused."""
+    import hashlib
+    from gridfold.operators.align import skip_existing
+    from gridfold.operators.select import select_ranges
+    from gridfold.operators.temporal import temporal_reduce
+    from gridfold.plans.broadcast import broadcast_if_small
+    tag = hashlib.sha1(repr(sorted(ranges)).encode()).hexdigest()[:10]
+    path = f"{out_dir}/data_save/tiles_{operator}_{tag}"
+    sel = select_ranges(cells, ranges)
+    wanted = sel.select("tile").distinct()
+    try:
+        existing = spark.read.parquet(path).select("tile").distinct()
+        todo = skip_existing(wanted, existing, ["tile"])
+    except AnalysisException:  # no products yet
+        todo = wanted
+    todo = broadcast_if_small(todo, 100_000)          # one row per tile
+    fresh = temporal_reduce(sel.join(todo, "tile", "left_semi"), operator, spec, keys=("tile",))
+    sinks.write_cells(fresh, path, mode="append")
+    return spark.read.parquet(path).drop("tile").withColumn("value", F.col("value").cast("double"))
+
+
 def plot_composite(spark: SparkSession, directory: str, dates: list, out_dir: str,
                    coarsen: int = 1, value_factor: float = 1.0, save_composite: bool = False,
                    extra_actions: str = "", lon_min=None, lon_max=None, lat_min=None,

@@ -124,7 +124,7 @@ def grid_summary(cells: DataFrame, spec: GridSpec, operator: str = "mean",
         dst, _ = sub_spec(full, box) if box.active else (full, None)
         product = reproject_bilinear(product, pspec, dst)
         pspec = dst
-    return _summary_of_product(product, pspec, box, value_factor, plot_type, vmax, max_factor,
+    return summary_of_product(product, pspec, box, value_factor, plot_type, vmax, max_factor,
                                profiles, lc, lc_spec, exclude_lc, persist)
 
 
@@ -152,11 +152,11 @@ def range_summary(cells: DataFrame, spec: GridSpec, ranges: list[tuple], operato
             if stop_after_save:
                 return None
         product = coarsen(per_tile.drop("tile"), k, "max", spec)
-        return _summary_of_product(product, spec.coarsened(k), **kw)
+        return summary_of_product(product, spec.coarsened(k), **kw)
     return grid_summary(sel, spec, operator, "banded", k, **kw)
 
 
-def _summary_of_product(product: DataFrame, pspec: GridSpec, box: Crop | None = None,
+def summary_of_product(product: DataFrame, pspec: GridSpec, box: Crop | None = None,
                         value_factor: float = 1.0, plot_type: str = "standard",
                         vmax=None, max_factor: float = 1.0,
                         profiles=("sum", "mean"), lc=None, lc_spec=None,
