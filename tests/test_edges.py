@@ -271,3 +271,38 @@ def test_skip_existing_key(spark):
     existing = spark.createDataFrame([("h00v00", "sum")], "tile STRING, operator STRING")
     assert [tuple(r) for r in skip_existing(wanted, existing, ["tile", "operator"]).collect()] == \
         [("h00v00", "mean")]
+
+
+def test_projections_round_trip(spark):
+    import math
+    from gridfold.functions.projection import R_WEB_MERCATOR, transform
+    from gridfold.model import SINUSOIDAL, WEB_MERCATOR, WGS84
+    df = spark.createDataFrame([(180.0, 0.0), (-45.0, 60.0), (10.5, -33.25)], "x DOUBLE, y DOUBLE")
+    mx, my = transform(WGS84, WEB_MERCATOR, F.col("x"), F.col("y"))
+    m = df.select(mx.alias("x"), my.alias("y")).collect()
+    assert m[0]["x"] == pytest.approx(math.pi * R_WEB_MERCATOR)
+    assert m[0]["y"] == pytest.approx(0.0, abs=1e-6)
+    assert m[1]["y"] == pytest.approx(R_WEB_MERCATOR * math.log(math.tan(math.pi / 4 + math.radians(30))))
+    for crs in (WEB_MERCATOR, SINUSOIDAL):
+        fx_, fy_ = transform(WGS84, crs, F.col("x"), F.col("y"))
+        there = df.select(fx_.alias("x"), fy_.alias("y"))
+        bx, by = transform(crs, WGS84, F.col("x"), F.col("y"))
+        back = there.select(bx.alias("x"), by.alias("y")).collect()
+        for a, b in zip(df.collect(), back):
+            assert b["x"] == pytest.approx(a["x"], abs=1e-9)
+            assert b["y"] == pytest.approx(a["y"], abs=1e-9)
+
+
+def test_target_grid_of_sinusoidal_fixture():
+    import math
+    from gridfold.catalog.q_reproject import SIN_SPEC
+    from gridfold.operators.reproject import target_grid, target_resolution
+    r, (w, s, e, n) = target_resolution(SIN_SPEC)
+    assert (s, n) == (pytest.approx(50.0), pytest.approx(61.0))
+    assert w == pytest.approx(10.0 / math.cos(math.radians(50.0)))
+    assert e == pytest.approx(31.5 / math.cos(math.radians(61.0)))
+    assert r == pytest.approx(0.5)
+    g = target_grid(SIN_SPEC)
+    assert (g.nx, g.ny, g.dx) == (round((e - w) / 0.5), 22, pytest.approx(0.5))
+    r2, _ = target_resolution(SIN_SPEC, lon_min=20.0, lon_max=21.0)
+    assert r2 == pytest.approx(max(min(1.0 / 43, 11.0 / 22), 11.0 / 1600))
