@@ -151,6 +151,11 @@ def range_summary(cells: DataFrame, spec: GridSpec, ranges: list[tuple], operato
             write_cells(per_tile, save_path)
             if stop_after_save:
                 return None
+        box = kw.get("box")
+        if box is not None and spec.crs == WGS84:
+            # the crop's source window reaches the scan; the saved per-tile
+            # product above stays whole
+            per_tile = precrop_source(per_tile, spec, k, box)
         product = coarsen(per_tile.drop("tile"), k, "max", spec)
         return summary_of_product(product, spec.coarsened(k), **kw)
     return grid_summary(sel, spec, operator, "banded", k, **kw)
