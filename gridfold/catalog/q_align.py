@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridfold.catalog.fixture_sql import with_fixtures
-from gridfold.catalog.q_reduce import YEARS_SQL, _block_sql, _coords, years_cells
+from gridfold.catalog.q_reduce import YEARS_SQL, block_sql, coords_sql, years_cells
 from gridfold.catalog.registry import r6, register
 from gridfold.operators.align import (dates_of, frame_cells, mosaic, overlaps, skip_existing,
                                       tile_gaps, time_stack)
@@ -67,8 +67,8 @@ YEARS = (2020, 2021, 2022, 2023)
 
 
 @register("time_stack", with_fixtures(f"""
-SELECT biy AS iy, bix AS ix, {_coords(4, 'biy', 'bix')}, round(max(value) + 3.725290298461914e-09, 6) AS value
-FROM ({_block_sql(4, 't')}) b GROUP BY biy, bix""", {
+SELECT biy AS iy, bix AS ix, {coords_sql(4, 'biy', 'bix')}, round(max(value) + 3.725290298461914e-09, 6) AS value
+FROM ({block_sql(4, 't')}) b GROUP BY biy, bix""", {
     "cy": YEARS_SQL,
     "t0": "SELECT year(date) AS yr, iy, ix, coalesce(sum(value), 0.0) AS value FROM cy GROUP BY 1, 2, 3",
     "t": "SELECT iy, ix, avg(value) AS value FROM t0 GROUP BY iy, ix"}))

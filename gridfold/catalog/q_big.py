@@ -28,13 +28,13 @@ BIG_SIN = GridSpec(x0=-100.0 * _M, y0=65.0 * _M, dx=0.2 * _M, dy=0.25 * _M,
 K = 8
 
 
-def _blk(k: int, src: str) -> str:
+def big_block_sql(k: int, src: str) -> str:
     ny, nx = (BIG.ny // k) * k, (BIG.nx // k) * k
     return f"""SELECT CAST(floor(iy/{k}) AS INT) AS biy, CAST(floor(ix/{k}) AS INT) AS bix, *
                FROM {src} WHERE iy < {ny} AND ix < {nx}"""
 
 
-def _big_coords(k: int) -> str:
+def big_coords_sql(k: int) -> str:
     d = 0.5 * k
     return (f"CAST(CAST(61.0 AS DOUBLE) - (biy + 0.5) * {d} AS DOUBLE) AS y, "
             f"CAST(CAST(10.0 AS DOUBLE) + (bix + 0.5) * {d} AS DOUBLE) AS x")
@@ -47,8 +47,8 @@ def q_big_temporal_mean(spark, sf):
 
 
 @register("big_summarise_mean", with_fixtures(f"""
-SELECT biy AS iy, bix AS ix, {_big_coords(K)}, round(avg(value) + 3.725290298461914e-09, 6) AS value
-FROM ({_blk(K, 't')}) b GROUP BY biy, bix""", {
+SELECT biy AS iy, bix AS ix, {big_coords_sql(K)}, round(avg(value) + 3.725290298461914e-09, 6) AS value
+FROM ({big_block_sql(K, 't')}) b GROUP BY biy, bix""", {
     "t": "SELECT iy, ix, avg(value) AS value FROM cells_big GROUP BY iy, ix"}))
 def q_big_summarise_mean(spark, sf):
     return r6(summarise(fx.cells_big(spark, sf), "mean", K, BIG, "banded"), "value")
@@ -58,7 +58,7 @@ def q_big_summarise_mean(spark, sf):
 SELECT round(avg(value) + 3.725290298461914e-09, 6) AS mean, round(min(value) + 3.725290298461914e-09, 6) AS min, round(max(value) + 3.725290298461914e-09, 6) AS max,
        round(coalesce(sum(value), 0.0) + 3.725290298461914e-09, 6) AS sum,
        round(stddev_pop(value) + 3.725290298461914e-09, 6) AS std, round(var_pop(value) + 3.725290298461914e-09, 6) AS var
-FROM (SELECT avg(value) AS value FROM ({_blk(K, 't')}) b GROUP BY biy, bix) s""", {
+FROM (SELECT avg(value) AS value FROM ({big_block_sql(K, 't')}) b GROUP BY biy, bix) s""", {
     "t": "SELECT iy, ix, avg(value) AS value FROM cells_big "
          "WHERE date BETWEEN DATE '2020-01-09' AND DATE '2020-02-10' GROUP BY iy, ix"}))
 def q_big_range_stats(spark, sf):
@@ -73,7 +73,7 @@ def q_big_profile_sum(spark, sf):
     return profile(temporal_reduce(fx.cells_big(spark, sf), "sum", BIG), "sum")
 
 
-def _big_idx(tie: str) -> str:
+def big_point_index_sql(tie: str) -> str:
     v = "((CAST(61.0 AS DOUBLE) - y) / 0.5 - 0.5)"
     u = "((x - CAST(10.0 AS DOUBLE)) / 0.5 - 0.5)"
     iy = f"ceil({v} - 0.5)" if tie == "coord" else f"floor({v} + 0.5)"
@@ -84,7 +84,7 @@ def _big_idx(tie: str) -> str:
 
 @register("big_point_nearest", with_fixtures("""
 SELECT p.point_id, p.station, c.date, c.value, c.qflag
-FROM cells_big c JOIN pn p ON c.iy = p.iy AND c.ix = p.ix""", {"pn": _big_idx("coord")}))
+FROM cells_big c JOIN pn p ON c.iy = p.iy AND c.ix = p.ix""", {"pn": big_point_index_sql("coord")}))
 def q_big_point_nearest(spark, sf):
     return sample_nearest(fx.cells_big(spark, sf), fx.points(spark, sf), BIG)
 
@@ -95,7 +95,7 @@ SELECT w.point_id, w.station, c.date, round(avg(c.value) + 3.725290298461914e-09
 FROM (SELECT p.point_id, p.station, p.iy + a.d AS iy, p.ix + b.d AS ix
       FROM pi p, (VALUES (-2), (-1), (0), (1), (2)) a(d), (VALUES (-2), (-1), (0), (1), (2)) b(d)) w
 JOIN cells_big c ON c.iy = w.iy AND c.ix = w.ix
-GROUP BY w.point_id, w.station, c.date""", {"pi": _big_idx("index")}))
+GROUP BY w.point_id, w.station, c.date""", {"pi": big_point_index_sql("index")}))
 def q_big_point_window(spark, sf):
     out = sample_window(fx.cells_big(spark, sf), fx.points(spark, sf), BIG, 2)
     return r6(out, "value", "qflag")
@@ -107,7 +107,7 @@ BIG_DST = target_grid(BIG_SIN.coarsened(4))
 @register("big_reproject", with_fixtures(
     "SELECT iy, ix, y, x, round(value + 3.725290298461914e-09, 6) AS value FROM b", {
         "t": "SELECT iy, ix, avg(value) AS value FROM cells_big GROUP BY iy, ix",
-        "src": f"SELECT biy AS iy, bix AS ix, avg(value) AS value FROM ({_blk(4, 't')}) q "
+        "src": f"SELECT biy AS iy, bix AS ix, avg(value) AS value FROM ({big_block_sql(4, 't')}) q "
                "GROUP BY biy, bix",
         "b": bilinear_sql(BIG_SIN.coarsened(4), BIG_DST)}))
 def q_big_reproject(spark, sf):

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from gridfold.catalog.fixture_sql import with_fixtures
-from gridfold.catalog.q_landcover import EXCLUDED, LC_CTES, ZONAL_SQL, _share_sql, lc_grid
-from gridfold.catalog.q_points import _idx_sql, _window_sql
+from gridfold.catalog.q_landcover import EXCLUDED, LC_CTES, ZONAL_SQL, share_sql, lc_grid
+from gridfold.catalog.q_points import point_index_sql, window_sql
 from gridfold.catalog.q_reduce import TEMPORAL_MEAN_SQL, TEMPORAL_SUM_SQL
 from gridfold.catalog.registry import r6, register
 from gridfold.operators.landcover import zonal_share, zonal_sum
 from gridfold.operators.points import sample_window
 from gridfold.operators.stats import grid_stats, profile
 from gridfold.operators.temporal import temporal_reduce
-from gridfold.catalog.q_select import _ranges_values
+from gridfold.catalog.q_select import ranges_values_sql
 from gridfold.plans.jobs import point_series, range_summary
 from gridfold.session import scratch_path
 from gridfold.sources import fixtures as fx
@@ -44,7 +44,7 @@ def q_read_saved(spark, sf):
 
 @register("series_csv", with_fixtures("""
 SELECT p.point_id, p.station, c.date AS time, c.value AS data_value, c.qflag AS quality_flag
-FROM cells c JOIN pn p ON c.iy = p.iy AND c.ix = p.ix""", {"pn": _idx_sql("coord")}))
+FROM cells c JOIN pn p ON c.iy = p.iy AND c.ix = p.ix""", {"pn": point_index_sql("coord")}))
 def q_series_csv(spark, sf):
     s = point_series(fx.cells(spark, sf), SPEC, fx.points(spark, sf), flag_quality=True)
     path = write_series_csv(s, scratch_path(spark, "series"))
@@ -64,7 +64,7 @@ def q_profile_csv(spark, sf):
 
 
 @register("zonal_csv", with_fixtures("SELECT * FROM zs", {
-    **LC_CTES, "t": TEMPORAL_SUM_SQL, "z": ZONAL_SQL, "zs": _share_sql(EXCLUDED)}))
+    **LC_CTES, "t": TEMPORAL_SUM_SQL, "z": ZONAL_SQL, "zs": share_sql(EXCLUDED)}))
 def q_zonal_csv(spark, sf):
     g = temporal_reduce(fx.cells(spark, sf), "sum", SPEC)
     shares = zonal_share(zonal_sum(g, lc_grid(spark, sf)), EXCLUDED)
@@ -84,7 +84,7 @@ def q_stats_text(spark, sf):
 
 @register("window_cells", with_fixtures(
     "SELECT point_id, station, date, value, qflag FROM w",
-    {"pi": _idx_sql("index"), "w": _window_sql(1, "truncate")}))
+    {"pi": point_index_sql("index"), "w": window_sql(1, "truncate")}))
 def q_window_cells(spark, sf):
     w = sample_window(fx.cells(spark, sf), fx.points(spark, sf), SPEC, 1)
     path = write_cells(w, scratch_path(spark, "window"), float32=False)
@@ -95,7 +95,7 @@ def q_window_cells(spark, sf):
 @register("range_save_stack", with_fixtures(f"""
 SELECT c.date, c.tile, c.iy, c.ix, c.y, c.x, CAST(CAST(c.value AS FLOAT) AS DOUBLE) AS value,
        CAST(CAST(c.qflag AS FLOAT) AS DOUBLE) AS qflag, r.k
-FROM cells c JOIN (VALUES {_ranges_values()}) r(k, s, e) ON c.date BETWEEN r.s AND r.e"""))
+FROM cells c JOIN (VALUES {ranges_values_sql()}) r(k, s, e) ON c.date BETWEEN r.s AND r.e"""))
 def q_range_save_stack(spark, sf):
     """The stack of overlapping ranges saved before the reduction (a date in
     two ranges is saved twice, tagged by range) and read back."""

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from gridfold.catalog.fixture_sql import with_fixtures
 from gridfold.catalog.q_landcover import label_case
-from gridfold.catalog.q_reduce import STATS_SQL, _block_sql, _coords
+from gridfold.catalog.q_reduce import STATS_SQL, block_sql, coords_sql
 from gridfold.catalog.q_reproject import DST, SIN_SPEC, SRC_MEAN_SQL, bilinear_sql
-from gridfold.catalog.q_select import DATE_REQUEST, _ranges_values
+from gridfold.catalog.q_select import DATE_REQUEST, ranges_values_sql
 from gridfold.catalog.registry import r6, register
 from gridfold.operators.stats import STAT_ORDER
 from gridfold.plans.jobs import Crop, composite_summary, grid_summary, range_summary
@@ -21,8 +21,8 @@ EXCLUDED = ["Permanent Water Bodies", "Built-up"]
 # The summary product in SQL: temporal mean, 2 x 2 block mean, crop, x 8.
 PRODUCT_CTES = {
     "t0": "SELECT iy, ix, avg(value) AS value FROM cells GROUP BY iy, ix",
-    "b": f"""SELECT biy AS iy, bix AS ix, {_coords(K, 'biy', 'bix')}, avg(value) AS value
-             FROM ({_block_sql(K, 't0')}) q GROUP BY biy, bix""",
+    "b": f"""SELECT biy AS iy, bix AS ix, {coords_sql(K, 'biy', 'bix')}, avg(value) AS value
+             FROM ({block_sql(K, 't0')}) q GROUP BY biy, bix""",
     "t": f"""SELECT iy, ix, y, x, value * {FACTOR} AS value FROM b
              WHERE x BETWEEN 12.0 AND 28.0 AND y BETWEEN 52.0 AND 60.0""",
 }
@@ -67,7 +67,7 @@ WHERE lc_label NOT IN ({excl})""", {
                        CAST(floor((x - CAST(10.0 AS DOUBLE)) / 1.0) AS INT) AS ix, lc_code
                 FROM lc_fine""",
         "lcg": f"""
-SELECT a.iy, a.ix, {_coords(K, 'a.iy', 'a.ix')}, b.lc_code
+SELECT a.iy, a.ix, {coords_sql(K, 'a.iy', 'a.ix')}, b.lc_code
 FROM (SELECT DISTINCT iy, ix FROM m WHERE iy BETWEEN 0 AND {SPEC.ny // K - 1}
                                     AND ix BETWEEN 0 AND {SPEC.nx // K - 1}) a
 LEFT JOIN (SELECT iy, ix, lc_code,
@@ -91,14 +91,14 @@ def q_grid_summary_reprojected(spark, sf):
 
 RANGE_CTES = {
     "sel": f"""SELECT c.* FROM cells c
-               JOIN (VALUES {_ranges_values()}) r(k, s, e) ON c.date BETWEEN r.s AND r.e""",
+               JOIN (VALUES {ranges_values_sql()}) r(k, s, e) ON c.date BETWEEN r.s AND r.e""",
     "t0": "SELECT tile, iy, ix, coalesce(sum(value), 0.0) AS value FROM sel GROUP BY tile, iy, ix",
 }
 
 
 @register("range_summary", with_fixtures(STATS_SQL, {
     **RANGE_CTES,
-    "t": f"SELECT sum(value) AS value FROM ({_block_sql(4, 't0')}) q GROUP BY biy, bix"}))
+    "t": f"SELECT sum(value) AS value FROM ({block_sql(4, 't0')}) q GROUP BY biy, bix"}))
 def q_range_summary(spark, sf):
     s = range_summary(fx.cells(spark, sf), SPEC, fx.DATE_RANGES, "sum", 4, persist=False)
     return r6(s.stats, *STAT_ORDER)
@@ -106,7 +106,7 @@ def q_range_summary(spark, sf):
 
 @register("range_summary_lowmem", with_fixtures(STATS_SQL, {
     **RANGE_CTES,
-    "t": f"SELECT max(value) AS value FROM ({_block_sql(4, 't0')}) q GROUP BY biy, bix"}))
+    "t": f"SELECT max(value) AS value FROM ({block_sql(4, 't0')}) q GROUP BY biy, bix"}))
 def q_range_summary_lowmem(spark, sf):
     s = range_summary(fx.cells(spark, sf), SPEC, fx.DATE_RANGES, "sum", 4, low_mem=True,
                       persist=False)
@@ -117,7 +117,7 @@ def q_range_summary_lowmem(spark, sf):
 SELECT ord, date, round(avg(value) + 3.725290298461914e-09, 6) AS mean, round(min(value) + 3.725290298461914e-09, 6) AS min,
        round(max(value) + 3.725290298461914e-09, 6) AS max, round(coalesce(sum(value), 0.0) + 3.725290298461914e-09, 6) AS sum,
        round(stddev_pop(value) + 3.725290298461914e-09, 6) AS std, round(var_pop(value) + 3.725290298461914e-09, 6) AS var
-FROM (SELECT ord, date, max(value) AS value FROM ({_block_sql(4, 'sel')}) q
+FROM (SELECT ord, date, max(value) AS value FROM ({block_sql(4, 'sel')}) q
       GROUP BY ord, date, biy, bix) b
 GROUP BY ord, date""", {
     "sel": f"""SELECT c.*, r.ord FROM cells c JOIN (VALUES {", ".join(

@@ -78,7 +78,7 @@ def q_zonal_sum(spark, sf):
     return zonal_sum(g, lc_grid(spark, sf))
 
 
-def _share_sql(excluded: list[str]) -> str:
+def share_sql(excluded: list[str]) -> str:
     where = ("WHERE " + label_case() + " NOT IN (" + ", ".join(f"'{e}'" for e in excluded) + ")"
              if excluded else "")
     return f"""
@@ -87,13 +87,13 @@ SELECT lc_code, lc_label, gpp_sum,
 FROM (SELECT lc_code, {label_case()} AS lc_label, gpp_sum FROM z {where}) s"""
 
 
-@register("zonal_share", with_fixtures(_share_sql([]), _zonal_ctes()))
+@register("zonal_share", with_fixtures(share_sql([]), _zonal_ctes()))
 def q_zonal_share(spark, sf):
     g = temporal_reduce(fx.cells(spark, sf), "sum", SPEC)
     return zonal_share(zonal_sum(g, lc_grid(spark, sf)))
 
 
-@register("zonal_exclude", with_fixtures(_share_sql(EXCLUDED), _zonal_ctes()))
+@register("zonal_exclude", with_fixtures(share_sql(EXCLUDED), _zonal_ctes()))
 def q_zonal_exclude(spark, sf):
     g = temporal_reduce(fx.cells(spark, sf), "sum", SPEC)
     return zonal_share(zonal_sum(g, lc_grid(spark, sf)), EXCLUDED)
@@ -102,7 +102,7 @@ def q_zonal_exclude(spark, sf):
 @register("zonal_share_mean", with_fixtures(
     "SELECT lc_code, lc_label, round(gpp_sum + 3.725290298461914e-09, 6) AS gpp_sum, percentage FROM zs", {
         **LC_CTES, "t": TEMPORAL_SUM_SQL.replace("coalesce(sum(value), 0.0)", "avg(value)"),
-        "z": ZONAL_SQL, "zs": _share_sql([])}))
+        "z": ZONAL_SQL, "zs": share_sql([])}))
 def q_zonal_share_mean(spark, sf):
     g = temporal_reduce(fx.cells(spark, sf), "mean", SPEC)
     return r6(zonal_share(zonal_sum(g, lc_grid(spark, sf))), "gpp_sum")

@@ -16,7 +16,7 @@ from gridfold.sources.store import read_points
 SPEC = fx.CELLS_SPEC
 
 
-def _idx_sql(tie: str) -> str:
+def point_index_sql(tie: str) -> str:
     v = "((CAST(61.0 AS DOUBLE) - y) / 0.5 - 0.5)"
     u = "((x - CAST(10.0 AS DOUBLE)) / 0.5 - 0.5)"
     iy = f"ceil({v} - 0.5)" if tie == "coord" else f"floor({v} + 0.5)"
@@ -33,7 +33,7 @@ SELECT p.point_id, p.station, c.date, c.value, c.qflag
 FROM cells c JOIN pn p ON c.iy = p.iy AND c.ix = p.ix"""
 
 
-def _window_sql(b: int, edge: str) -> str:
+def window_sql(b: int, edge: str) -> str:
     offs = ", ".join(f"({i})" for i in range(-b, b + 1))
     cond = f"WHERE p.iy >= {b} AND p.ix >= {b}" if edge == "reference" else ""
     return f"""
@@ -70,19 +70,19 @@ def q_points_reproject(spark, sf):
     return p.withColumn("x", F.round("x", 4)).withColumn("y", F.round("y", 4))
 
 
-@register("point_nearest", with_fixtures(NEAREST_SQL, {"pn": _idx_sql("coord")}))
+@register("point_nearest", with_fixtures(NEAREST_SQL, {"pn": point_index_sql("coord")}))
 def q_point_nearest(spark, sf):
     return sample_nearest(fx.cells(spark, sf), fx.points(spark, sf), SPEC)
 
 
-@register("point_window", with_fixtures(_window_sql(1, "truncate"), {"pi": _idx_sql("index")}))
+@register("point_window", with_fixtures(window_sql(1, "truncate"), {"pi": point_index_sql("index")}))
 def q_point_window(spark, sf):
     out = sample_window(fx.cells(spark, sf), fx.points(spark, sf), SPEC, 1)
     return r6(out, "value", "qflag")
 
 
-@register("point_window_refedge", with_fixtures(_window_sql(2, "reference"),
-                                                {"pi": _idx_sql("index")}))
+@register("point_window_refedge", with_fixtures(window_sql(2, "reference"),
+                                                {"pi": point_index_sql("index")}))
 def q_point_window_refedge(spark, sf):
     out = sample_window(fx.cells(spark, sf), fx.points(spark, sf), SPEC, 2, edge="reference")
     return r6(out, "value", "qflag")
@@ -93,7 +93,7 @@ SELECT p.point_id, p.station, c.date AS time,
        max(CASE WHEN c.band = 1 THEN c.value END) AS data_value,
        max(CASE WHEN c.band = 2 THEN c.value END) AS quality_flag
 FROM cells_long c JOIN pn p ON c.iy = p.iy AND c.ix = p.ix
-GROUP BY p.point_id, p.station, c.date""", {"pn": _idx_sql("coord")}))
+GROUP BY p.point_id, p.station, c.date""", {"pn": point_index_sql("coord")}))
 def q_series_pivot(spark, sf):
     sampled = sample_nearest(fx.cells_long(spark, sf), fx.points(spark, sf), SPEC)
     return series(sampled, flag_value=True, flag_quality=True)
@@ -103,7 +103,7 @@ def q_series_pivot(spark, sf):
 SELECT p.point_id, p.station, c.date AS time, round(c.value * 0.01 + 3.725290298461914e-09, 6) AS data_value,
        c.qflag AS quality_flag
 FROM cells c JOIN pn p ON c.iy = p.iy AND c.ix = p.ix
-WHERE c.date BETWEEN DATE '2020-01-09' AND DATE '2020-02-02'""", {"pn": _idx_sql("coord")}))
+WHERE c.date BETWEEN DATE '2020-01-09' AND DATE '2020-02-02'""", {"pn": point_index_sql("coord")}))
 def q_point_series(spark, sf):
     out = point_series(fx.cells(spark, sf), SPEC, fx.points(spark, sf), "2020-01-09",
                        "2020-02-02", scale_factor=0.01, flag_quality=True)
@@ -113,7 +113,7 @@ def q_point_series(spark, sf):
 @register("point_series_window", with_fixtures("""
 SELECT point_id, station, date AS time, value AS data_value FROM w
 WHERE date BETWEEN DATE '2020-01-09' AND DATE '2020-02-02'""",
-    {"pi": _idx_sql("index"), "w": _window_sql(1, "truncate")}))
+    {"pi": point_index_sql("index"), "w": window_sql(1, "truncate")}))
 def q_point_series_window(spark, sf):
     out = point_series(fx.cells(spark, sf), SPEC, fx.points(spark, sf), "2020-01-09",
                        "2020-02-02", buffer=1)

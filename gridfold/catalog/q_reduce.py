@@ -18,14 +18,14 @@ SPEC = fx.CELLS_SPEC
 
 # -- SQL helpers ---------------------------------------------------------------
 # Block centre of a k-block on the 0.5 degree fixture grid (x0=10, y0=61).
-def _block_sql(k: int, src: str = "g", where: str = "") -> str:
+def block_sql(k: int, src: str = "g", where: str = "") -> str:
     ny, nx = (SPEC.ny // k) * k, (SPEC.nx // k) * k
     return f"""
   SELECT CAST(floor(iy/{k}) AS INT) AS biy, CAST(floor(ix/{k}) AS INT) AS bix, *
   FROM {src} WHERE iy < {ny} AND ix < {nx} {where}"""
 
 
-def _coords(k: int, iy: str = "iy", ix: str = "ix") -> str:
+def coords_sql(k: int, iy: str = "iy", ix: str = "ix") -> str:
     d = 0.5 * k
     return (f"CAST(CAST(61.0 AS DOUBLE) - ({iy} + 0.5) * {d} AS DOUBLE) AS y, "
             f"CAST(CAST(10.0 AS DOUBLE) + ({ix} + 0.5) * {d} AS DOUBLE) AS x")
@@ -58,8 +58,8 @@ def q_tile_temporal(spark, sf):
 def _per_date_block_sql(agg: str) -> str:
     e = {"mean": "round(avg(value) + 3.725290298461914e-09, 6)", "sum": "coalesce(sum(value), 0.0)", "max": "max(value)"}[agg]
     return with_fixtures(f"""
-SELECT date, biy AS iy, bix AS ix, {_coords(4, 'biy', 'bix')}, {e} AS value
-FROM ({_block_sql(4, 'cells')}) b
+SELECT date, biy AS iy, bix AS ix, {coords_sql(4, 'biy', 'bix')}, {e} AS value
+FROM ({block_sql(4, 'cells')}) b
 GROUP BY date, biy, bix""")
 
 
@@ -80,8 +80,8 @@ def _preset_sql(time_op: str, block_op: str) -> str:
     b = {"mean": "round(avg(value) + 3.725290298461914e-09, 6)", "sum": "coalesce(sum(value), 0.0)",
          "max": "round(max(value) + 3.725290298461914e-09, 6)"}[block_op]
     return with_fixtures(f"""
-SELECT biy AS iy, bix AS ix, {_coords(4, 'biy', 'bix')}, {b} AS value
-FROM ({_block_sql(4, 't')}) b
+SELECT biy AS iy, bix AS ix, {coords_sql(4, 'biy', 'bix')}, {b} AS value
+FROM ({block_sql(4, 't')}) b
 GROUP BY biy, bix""", {"t": f"SELECT iy, ix, {t} AS value FROM cells GROUP BY iy, ix"})
 
 
@@ -99,8 +99,8 @@ for (_op, _preset_name), (_t, _b) in {("mean", "banded"): ("mean", "mean"),
 
 
 @register("summarise_only", with_fixtures(f"""
-SELECT date, biy AS iy, bix AS ix, {_coords(4, 'biy', 'bix')}, max(value) AS value
-FROM ({_block_sql(4, 'cells')}) b
+SELECT date, biy AS iy, bix AS ix, {coords_sql(4, 'biy', 'bix')}, max(value) AS value
+FROM ({block_sql(4, 'cells')}) b
 GROUP BY date, biy, bix"""))
 def q_summarise_only(spark, sf):
     return summarise(fx.cells(spark, sf), "only_plot", 4, SPEC)
@@ -234,7 +234,7 @@ def q_yearly_sum_mean(spark, sf):
 @register("range_mean_coarse_stats", with_fixtures(STATS_SQL, {
     "t0": "SELECT iy, ix, avg(value) AS value FROM cells "
           "WHERE date BETWEEN DATE '2020-01-09' AND DATE '2020-02-10' GROUP BY iy, ix",
-    "t": f"SELECT biy, bix, avg(value) AS value FROM ({_block_sql(4, 't0')}) b GROUP BY biy, bix"}))
+    "t": f"SELECT biy, bix, avg(value) AS value FROM ({block_sql(4, 't0')}) b GROUP BY biy, bix"}))
 def q_range_mean_coarse_stats(spark, sf):
     return flagship(fx.cells(spark, sf))
 

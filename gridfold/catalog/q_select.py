@@ -29,20 +29,20 @@ def q_select_range_open(spark, sf):
     return select_range(fx.cells(spark, sf), "2020-01-25", "")
 
 
-def _ranges_values() -> str:
+def ranges_values_sql() -> str:
     return ", ".join(f"({i}, DATE '{s}', DATE '{e}')" for i, (s, e) in enumerate(fx.DATE_RANGES))
 
 
 @register("select_ranges", with_fixtures(f"""
 SELECT c.date, c.tile, c.iy, c.ix, c.y, c.x, c.value, c.qflag, r.k
-FROM cells c JOIN (VALUES {_ranges_values()}) r(k, s, e) ON c.date BETWEEN r.s AND r.e"""))
+FROM cells c JOIN (VALUES {ranges_values_sql()}) r(k, s, e) ON c.date BETWEEN r.s AND r.e"""))
 def q_select_ranges(spark, sf):
     return select_ranges(fx.cells(spark, sf), fx.DATE_RANGES)
 
 
 @register("select_ranges_distinct", with_fixtures(f"""
 SELECT {CELL_COLS} FROM cells c
-WHERE EXISTS (SELECT 1 FROM (VALUES {_ranges_values()}) r(k, s, e) WHERE c.date BETWEEN r.s AND r.e)"""))
+WHERE EXISTS (SELECT 1 FROM (VALUES {ranges_values_sql()}) r(k, s, e) WHERE c.date BETWEEN r.s AND r.e)"""))
 def q_select_ranges_distinct(spark, sf):
     return select_ranges(fx.cells(spark, sf), fx.DATE_RANGES, distinct=True)
 

@@ -6,7 +6,7 @@ writes it once and times the reads."""
 from __future__ import annotations
 
 from gridfold.catalog.fixture_sql import with_fixtures
-from gridfold.catalog.q_big import BIG, _big_idx, _blk, _big_coords
+from gridfold.catalog.q_big import BIG, big_point_index_sql, big_block_sql, big_coords_sql
 from gridfold.catalog.registry import r6, register
 from gridfold.operators.stats import STAT_ORDER
 from gridfold.plans.jobs import Crop, composite_summary, grid_summary, point_series
@@ -50,7 +50,7 @@ STORE_CTE = {"st": f"SELECT date, iy, ix, {F32} AS value, CAST(CAST(qflag AS FLO
 SELECT round(avg(value) + 3.725290298461914e-09, 6) AS mean, round(min(value) + 3.725290298461914e-09, 6) AS min, round(max(value) + 3.725290298461914e-09, 6) AS max,
        round(coalesce(sum(value), 0.0) + 3.725290298461914e-09, 6) AS sum,
        round(stddev_pop(value) + 3.725290298461914e-09, 6) AS std, round(var_pop(value) + 3.725290298461914e-09, 6) AS var
-FROM (SELECT {_big_coords(K)}, avg(value) AS value FROM ({_blk(K, 't')}) b GROUP BY biy, bix) p
+FROM (SELECT {big_coords_sql(K)}, avg(value) AS value FROM ({big_block_sql(K, 't')}) b GROUP BY biy, bix) p
 WHERE x BETWEEN 60.0 AND 400.0 AND y BETWEEN -150.0 AND 40.0""", {
     **STORE_CTE,
     "t": f"SELECT iy, ix, avg(value) AS value FROM st "
@@ -66,7 +66,7 @@ FROM (SELECT p.point_id, p.station, p.iy + a.d AS iy, p.ix + b.d AS ix
       FROM pi p, (VALUES (-1), (0), (1)) a(d), (VALUES (-1), (0), (1)) b(d)) w
 JOIN st c ON c.iy = w.iy AND c.ix = w.ix
 WHERE c.date BETWEEN DATE '{START}' AND DATE '{END}'
-GROUP BY w.point_id, w.station, c.date""", {**STORE_CTE, "pi": _big_idx("index")}))
+GROUP BY w.point_id, w.station, c.date""", {**STORE_CTE, "pi": big_point_index_sql("index")}))
 def q_store_point_series(spark, sf):
     return point_series_on(spark, big_store(spark, sf), fx.points(spark, sf))
 
@@ -75,7 +75,7 @@ def q_store_point_series(spark, sf):
 SELECT ord, date, round(avg(value) + 3.725290298461914e-09, 6) AS mean, round(min(value) + 3.725290298461914e-09, 6) AS min,
        round(max(value) + 3.725290298461914e-09, 6) AS max, round(coalesce(sum(value), 0.0) + 3.725290298461914e-09, 6) AS sum,
        round(stddev_pop(value) + 3.725290298461914e-09, 6) AS std, round(var_pop(value) + 3.725290298461914e-09, 6) AS var
-FROM (SELECT ord, date, max(value) AS value FROM ({_blk(K, 'sel')}) q
+FROM (SELECT ord, date, max(value) AS value FROM ({big_block_sql(K, 'sel')}) q
       GROUP BY ord, date, biy, bix) b
 GROUP BY ord, date""", {
     **STORE_CTE,
@@ -112,8 +112,8 @@ def bucketed_summarise_on(spark, table):
 
 
 @register("bucketed_summarise", with_fixtures(f"""
-SELECT biy AS iy, bix AS ix, {_big_coords(K)}, round(avg(value) + 3.725290298461914e-09, 6) AS value
-FROM ({_blk(K, 't')}) b GROUP BY biy, bix""", {
+SELECT biy AS iy, bix AS ix, {big_coords_sql(K)}, round(avg(value) + 3.725290298461914e-09, 6) AS value
+FROM ({big_block_sql(K, 't')}) b GROUP BY biy, bix""", {
     **STORE_CTE,
     "t": f"SELECT iy, ix, avg(value) AS value FROM st "
          f"WHERE date BETWEEN DATE '{START}' AND DATE '{END}' GROUP BY iy, ix"}))
