@@ -199,7 +199,9 @@ def plot_composite(spark: SparkSession, directory: str, dates: list, out_dir: st
                    coarsen: int = 1, value_factor: float = 1.0, save_composite: bool = False,
                    extra_actions: str = "", lon_min=None, lon_max=None, lat_min=None,
                    lat_max=None, export_stats: bool = False, stop_after_save: bool = False,
-                   spec: GridSpec | None = None, crs: str | None = None) -> dict | None:
+                   spec: GridSpec | None = None, crs: str | None = None,
+                   lc: DataFrame | None = None, lc_spec: GridSpec | None = None,
+                   exclude_lc_class=()) -> dict | None:
     """Per-composite products and statistics for the chosen dates (E2),
     all dates in one job; an empty list takes every date."""
     from gridfold.operators.stats import profile
@@ -224,6 +226,14 @@ def plot_composite(spark: SparkSession, directory: str, dates: list, out_dir: st
             if actions.record:
                 (prof.write.mode("overwrite").partitionBy("date").option("header", True)
                      .csv(f"{out_dir}/data_save/longitude_data_{m}"))
+        if lc is not None and lc_spec is not None:
+            box = _crop(lon_min, lon_max, lat_min, lat_max)
+            shares = jobs.composite_zonal(product, jobs.product_spec(spec, coarsen, box), lc,
+                                          lc_spec, box, tuple(exclude_lc_class))
+            out["lc_percentages"] = shares
+            if actions.record:
+                (shares.write.mode("overwrite").partitionBy("date").option("header", True)
+                       .csv(f"{out_dir}/data_save/lc_percentages"))
     return out
 
 

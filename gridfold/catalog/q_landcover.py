@@ -106,3 +106,21 @@ def q_zonal_exclude(spark, sf):
 def q_zonal_share_mean(spark, sf):
     g = temporal_reduce(fx.cells(spark, sf), "mean", SPEC)
     return r6(zonal_share(zonal_sum(g, lc_grid(spark, sf))), "gpp_sum")
+
+
+@register("zonal_share_by_date", with_fixtures("""
+SELECT p.date, p.lc_code, """ + label_case("p.lc_code") + """ AS lc_label,
+       coalesce(s.gpp_sum, 0.0) AS gpp_sum,
+       round_even(coalesce(s.gpp_sum, 0.0) / sum(coalesce(s.gpp_sum, 0.0)) OVER (PARTITION BY p.date) * 100.0, 1)
+         AS percentage
+FROM (SELECT d.date, c.lc_code FROM (SELECT DISTINCT date FROM cells) d,
+                                    (SELECT DISTINCT lc_code FROM lcg WHERE lc_code IS NOT NULL) c) p
+LEFT JOIN (SELECT c.date, l.lc_code, sum(c.value) AS gpp_sum
+           FROM cells c JOIN lcg l ON c.iy = l.iy AND c.ix = l.ix
+           WHERE l.lc_code IS NOT NULL GROUP BY c.date, l.lc_code) s
+  ON s.date = p.date AND s.lc_code = p.lc_code""", LC_CTES))
+def q_zonal_share_by_date(spark, sf):
+    """Shares per composite date; a class with no value on a date has 0."""
+    g = fx.cells(spark, sf).select("date", "iy", "ix", "value")
+    keys = ("date",)
+    return zonal_share(zonal_sum(g, lc_grid(spark, sf), keys), keys=keys)

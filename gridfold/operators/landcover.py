@@ -9,7 +9,7 @@ so a class covering most of the grid does not skew the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridfold.functions.labels import lc_label
@@ -52,27 +52,43 @@ def with_labels(df: DataFrame, strict: bool = False) -> DataFrame:
     return df.withColumn("lc_label", lc_label("lc_code", strict))
 
 
-def zonal_sum(grid: DataFrame, lc_grid: DataFrame) -> DataFrame:
+def zonal_sum(grid: DataFrame, lc_grid: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Sum of the product per land-cover class.
 
     Every class present on the grid appears, with 0 when none of its cells
-    has a value; NULL classes are skipped."""
+    has a value; NULL classes are skipped.  ``keys`` (e.g. ``ord``, ``date``)
+    give one set of sums per key: the (key, class) pairs are the distinct
+    keys of ``grid`` exploded over the <= 11 classes, so a class without
+    values on some date still gets its 0 there."""
     lc = lc_grid.where(F.col("lc_code").isNotNull()).select("iy", "ix", "lc_code")
-    joined = lc.join(grid.select("iy", "ix", "value"), ["iy", "ix"], "left")
-    return joined.groupBy("lc_code").agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("gpp_sum"))
+    if not keys:
+        joined = lc.join(grid.select("iy", "ix", "value"), ["iy", "ix"], "left")
+        return joined.groupBy("lc_code").agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("gpp_sum"))
+    sums = (grid.select(*keys, "iy", "ix", "value").join(lc, ["iy", "ix"])
+                .groupBy(*keys, "lc_code").agg(F.sum("value").alias("s")))
+    key_set = grid.select(F.collect_set(F.struct(*keys))).scalar()   # one entry per key value
+    pairs = (lc.select("lc_code").distinct()
+               .select("lc_code", F.explode(key_set).alias("k"))
+               .select(*[F.col(f"k.{c}").alias(c) for c in keys], "lc_code"))
+    return (pairs.join(sums, [*keys, "lc_code"], "left")
+                 .select(*keys, "lc_code", F.coalesce(F.col("s"), F.lit(0.0)).alias("gpp_sum")))
 
 
 def zonal_share(zonal: DataFrame, exclude_labels: list[str] | tuple = (),
-                strict: bool = False) -> DataFrame:
+                strict: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
     """Share of each class in the total, in percent with one decimal,
     rounded half to even (G11, C9).  Classes are excluded by label before the
-    total is taken, so the shares of the rest add up to 100 (F8)."""
+    total is taken, so the shares of the rest add up to 100 (F8).  With
+    ``keys`` the total is taken per key (a window over <= 11 rows a key)."""
     z = with_labels(zonal, strict)
     if exclude_labels:
         z = z.where(~F.coalesce(F.col("lc_label").isin(list(exclude_labels)), F.lit(False)))
-    total = z.agg(F.sum("gpp_sum")).scalar()   # <= 11 rows, computed once
+    if keys:
+        total = F.sum("gpp_sum").over(Window.partitionBy(*keys))
+    else:
+        total = z.agg(F.sum("gpp_sum")).scalar()   # <= 11 rows, computed once
     pct = F.bround(F.try_divide(F.col("gpp_sum"), total) * F.lit(100.0), 1)
-    return z.select("lc_code", "lc_label", "gpp_sum", pct.alias("percentage"))
+    return z.select(*keys, "lc_code", "lc_label", "gpp_sum", pct.alias("percentage"))
 
 
 def zonal_from_fine(spark: SparkSession, grid: DataFrame, lc: DataFrame, lc_spec: GridSpec,

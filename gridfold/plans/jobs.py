@@ -198,14 +198,32 @@ def composite_summary(cells: DataFrame, spec: GridSpec, dates: list[str], k: int
     sel = select_dates(src, dates)
     product = coarsen(value_band(sel), k, "max", spec, keys=("ord", "date"))
     if reproject:
-        pspec = spec.coarsened(k)
-        full = target_grid(pspec, WGS84, **box.kw())
-        dst, _ = sub_spec(full, box) if box.active else (full, None)
-        product = reproject_bilinear(product, pspec, dst, keys=("ord", "date"))
+        product = reproject_bilinear(product, spec.coarsened(k), product_spec(spec, k, box),
+                                     keys=("ord", "date"))
     product = scale_value(crop(product, **box.kw()), value_factor)
     return product, grid_stats(product, keys=("ord", "date"))
 
 
+def product_spec(spec: GridSpec, k: int, box: Crop | None = None) -> GridSpec:
+    """Grid of a product: the k-coarsened grid, or for a projected stack the
+    lon/lat target grid (restricted to the crop box when there is one)."""
+    box = box or Crop()
+    pspec = spec.coarsened(k)
+    if spec.crs == WGS84:
+        return pspec
+    full = target_grid(pspec, WGS84, **box.kw())
+    return sub_spec(full, box)[0] if box.active else full
+
+
+def composite_zonal(product: DataFrame, pspec: GridSpec, lc: DataFrame, lc_spec: GridSpec,
+                    box: Crop | None = None, exclude_lc: tuple[str, ...] = ()) -> DataFrame:
+    """Land-cover shares of every composite (per ``ord``, ``date``)."""
+    box = box or Crop()
+    lcg = crop(lc_to_grid(lc, lc_spec, pspec), **box.kw())
+    keys = ("ord", "date")
+    return zonal_share(zonal_sum(product, lcg, keys), exclude_lc, keys=keys)
+
+
 def point_series(cells: DataFrame, spec: GridSpec, points: DataFrame, start=None, end=None,
                  buffer: int = 0, scale_factor: float | None = None, flag_value: bool = True,
                  flag_quality: bool = False, edge: str = "truncate",

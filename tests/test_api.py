@@ -112,3 +112,14 @@ def test_continue_plot_reuses_tile_products(spark, tree):
     assert len(again) - len(files) <= 1   # at most one (empty) file appended
     rows = spark.read.parquet(glob.glob(f"{out_dir}/data_save/tiles_sum_*")[0])
     assert rows.count() == rows.select("tile", "iy", "ix").distinct().count()
+
+
+def test_plot_composite_land_cover_per_date(spark, tree):
+    out = api.plot_composite(spark, tree, ["2020-01-01", "2020-01-09"], scratch_path(spark, "api-lc"),
+                             coarsen=2, extra_actions="record+plot", lc=fx.lc_fine(spark, SF_SMALL),
+                             lc_spec=fx.LC_SPEC, exclude_lc_class=["Built-up"])
+    shares = out["lc_percentages"]
+    per_date = shares.groupBy("date").agg(F.sum("percentage").alias("p"), F.count("*").alias("n")).collect()
+    assert len(per_date) == 2
+    assert all(abs(r["p"] - 100.0) <= 0.05 * r["n"] + 1e-9 for r in per_date)
+    assert shares.where("lc_label = 'Built-up'").count() == 0
