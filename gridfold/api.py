@@ -215,7 +215,10 @@ def plot_composite(spark: SparkSession, directory: str, dates: list, out_dir: st
     if r is None:
         return None
     product, stats = r
-    out = {"product": product, "stats": stats}
+    from gridfold.operators.stats import display_range, quick_stats
+    keys = ("ord", "date")
+    out = {"product": product, "stats": stats,
+           "display": display_range(quick_stats(product, keys), keys=keys)}
     if export_stats:
         sinks.write_stats_text(stats.drop("ord"), f"{out_dir}/stats", keys=("date",))
     actions = Actions.parse(extra_actions)
