@@ -25,7 +25,7 @@ from gridfold.operators.coarsen import coarsen as coarsen_grid
 from gridfold.operators.points import sample_window
 from gridfold.plans import jobs
 from gridfold.sources import sinks
-from gridfold.sources.raster import decode_tiles, infer_spec, read_tile_files, tile_headers
+from gridfold.sources.raster import decode_store, infer_spec, read_tile_files, tile_headers
 from gridfold.sources.store import read_cells
 
 
@@ -76,7 +76,7 @@ def load_stack(spark: SparkSession, directory: str, spec: GridSpec | None = None
             first = scan_tiles(spark, directory).select(F.min("date")).first()[0]
             one_date = read_tile_files(spark, directory, F.col("date") == F.lit(first))
             spec = infer_spec(tile_headers(one_date), crs)
-        return decode_tiles(read_tile_files(spark, directory, when), spec), spec
+        return decode_store(spark, directory, spec, when), spec
     if spec is None:
         raise ValueError("a Parquet cell store needs its GridSpec")
     cells = read_cells(spark, directory)

@@ -51,8 +51,21 @@ class Raster:
 
 
 # -- reading -------------------------------------------------------------------
-def _tags(buf: bytes) -> tuple[str, dict]:
-    bo = {b"II": "<", b"MM": ">"}.get(buf[:2])
+class _FileBytes:
+    """Slice access to an open file, reading only the requested ranges."""
+
+    def __init__(self, f):
+        self.f = f
+
+    def __getitem__(self, sl: slice) -> bytes:
+        self.f.seek(sl.start or 0)
+        return self.f.read(sl.stop - (sl.start or 0))
+def _tags(buf) -> tuple[str, dict]:
+    """Parse the first IFD.  ``buf`` is the file's bytes or a file object
+    opened for binary reading (only the header and the IFD are read)."""
+    if not isinstance(buf, (bytes, bytearray, memoryview)):
+        buf = _FileBytes(buf)
+    bo = {b"II": "<", b"MM": ">"}.get(bytes(buf[:2]))
     if bo is None:
         raise ValueError("not a TIFF file")
     magic = struct.unpack(bo + "H", buf[2:4])[0]
@@ -130,64 +143,68 @@ def _unpredict(block: np.ndarray, predictor: int, dtype: np.dtype, spp: int) ->
     raise NotImplementedError(f"TIFF predictor {predictor} not supported")
 
 
-def header(buf: bytes) -> dict:
+def header(buf) -> dict:
     """Georeference and size without decoding pixels: x0, y0, dx, dy,
-    width, height, epsg."""
+    width, height, epsg (``buf``: bytes or an open binary file)."""
     _, t = _tags(buf)
-    scale = t.get(MODEL_PIXEL_SCALE, (1.0, 1.0, 0.0))
-    tie = t.get(MODEL_TIEPOINT, (0.0, 0.0, 0.0, 0.0, 0.0, 0.0))
-    epsg = None
-    gk = t.get(GEO_KEY_DIRECTORY)
-    if gk:
-        for i in range(gk[3]):
-            key, loc, _cnt, val = gk[4 + 4 * i: 8 + 4 * i]
-            if key in (GEOGRAPHIC_TYPE_KEY, PROJECTED_CS_TYPE_KEY) and loc == 0:
-                epsg = val
-    return {"x0": tie[3] - tie[0] * scale[0], "y0": tie[4] + tie[1] * scale[1],
-            "dx": scale[0], "dy": scale[1], "width": t[IMAGE_WIDTH][0],
+    x0, y0, dx, dy, _nodata, epsg = georef(t)
+    return {"x0": x0, "y0": y0, "dx": dx, "dy": dy, "width": t[IMAGE_WIDTH][0],
             "height": t[IMAGE_LENGTH][0], "epsg": epsg}
 
 
-def decode(buf: bytes) -> Raster:
-    """Decode a GeoTIFF held in memory."""
+@dataclass
+class Layout:
+    bo: str
+    dtype: np.dtype
+    width: int
+    height: int
+    spp: int
+    planar: int
+    codec: int
+    predictor: int
+    blocks: list          # (plane, row0, col0, rows, cols, offset, byte_count)
+    tags: dict
+
+
+def layout(buf) -> Layout:
+    """Sample layout and the list of compressed blocks (strips or tiles)."""
     bo, t = _tags(buf)
     w, h = t[IMAGE_WIDTH][0], t[IMAGE_LENGTH][0]
     spp = t.get(SAMPLES_PER_PIXEL, (1,))[0]
-    bits = t.get(BITS_PER_SAMPLE, (1,))[0]
-    fmt = t.get(SAMPLE_FORMAT, (1,))[0]
-    dtype = _dtype(bo, bits, fmt)
-    codec = t.get(COMPRESSION, (1,))[0]
-    predictor = t.get(PREDICTOR, (1,))[0]
+    dtype = _dtype(bo, t.get(BITS_PER_SAMPLE, (1,))[0], t.get(SAMPLE_FORMAT, (1,))[0])
     planar = t.get(PLANAR_CONFIG, (1,))[0]
-    out = np.empty((spp, h, w), dtype=dtype.newbyteorder("="))
     planes = spp if planar == 2 else 1
-    per_block = 1 if planar == 2 else spp
     if TILE_WIDTH in t:
         bw, bh = t[TILE_WIDTH][0], t[TILE_LENGTH][0]
         offs, counts = t[TILE_OFFSETS], t[TILE_BYTE_COUNTS]
         across, down = math.ceil(w / bw), math.ceil(h / bh)
-        blocks = [(p, r * bh, c * bw, bh, bw) for p in range(planes)
-                  for r in range(down) for c in range(across)]
+        geo = [(p, r * bh, c * bw, bh, bw) for p in range(planes)
+               for r in range(down) for c in range(across)]
     else:
         rps = min(t.get(ROWS_PER_STRIP, (h,))[0], h)
         offs, counts = t[STRIP_OFFSETS], t[STRIP_BYTE_COUNTS]
-        n_strips = math.ceil(h / rps)
-        blocks = [(p, s * rps, 0, min(rps, h - s * rps), w) for p in range(planes)
-                  for s in range(n_strips)]
-    for (p, r0, c0, bh, bw), off, cnt in zip(blocks, offs, counts):
-        raw = _inflate(buf[off:off + cnt], codec)
-        a = np.frombuffer(raw, dtype=dtype, count=bh * bw * per_block).reshape(bh, bw * per_block)
-        a = _unpredict(a, predictor, dtype, per_block)
-        a = a.reshape(bh, bw, per_block)
-        rh, rw = min(bh, h - r0), min(bw, w - c0)
-        if planar == 2:
-            out[p, r0:r0 + rh, c0:c0 + rw] = a[:rh, :rw, 0]
-        else:
-            out[:, r0:r0 + rh, c0:c0 + rw] = np.moveaxis(a[:rh, :rw, :], 2, 0)
+        geo = [(p, s * rps, 0, min(rps, h - s * rps), w) for p in range(planes)
+               for s in range(math.ceil(h / rps))]
+    blocks = [g + (o, c) for g, o, c in zip(geo, offs, counts)]
+    return Layout(bo, dtype, w, h, spp, planar, t.get(COMPRESSION, (1,))[0],
+                  t.get(PREDICTOR, (1,))[0], blocks, t)
+
+
+def decode_block(raw: bytes, lay: Layout, block) -> np.ndarray:
+    """One compressed block -> (bands_in_block, rows, cols), cut to the image."""
+    p, r0, c0, bh, bw, _off, _cnt = block
+    per_block = 1 if lay.planar == 2 else lay.spp
+    a = np.frombuffer(_inflate(raw, lay.codec), dtype=lay.dtype,
+                      count=bh * bw * per_block).reshape(bh, bw * per_block)
+    a = _unpredict(a, lay.predictor, lay.dtype, per_block).reshape(bh, bw, per_block)
+    rh, rw = min(bh, lay.height - r0), min(bw, lay.width - c0)
+    return np.moveaxis(a[:rh, :rw, :], 2, 0)
+
+
+def georef(t: dict) -> tuple[float, float, float, float, float | None, int | None]:
+    """(x0, y0, dx, dy, nodata, epsg) from the tags."""
     scale = t.get(MODEL_PIXEL_SCALE, (1.0, 1.0, 0.0))
     tie = t.get(MODEL_TIEPOINT, (0.0, 0.0, 0.0, 0.0, 0.0, 0.0))
-    x0 = tie[3] - tie[0] * scale[0]
-    y0 = tie[4] + tie[1] * scale[1]
     nodata = None
     if GDAL_NODATA in t:
         try:
@@ -201,7 +218,24 @@ def decode(buf: bytes) -> Raster:
             key, loc, _cnt, val = gk[4 + 4 * i: 8 + 4 * i]
             if key in (GEOGRAPHIC_TYPE_KEY, PROJECTED_CS_TYPE_KEY) and loc == 0:
                 epsg = val
-    return Raster(out, x0, y0, scale[0], scale[1], nodata, epsg)
+    return (tie[3] - tie[0] * scale[0], tie[4] + tie[1] * scale[1], scale[0], scale[1],
+            nodata, epsg)
+
+
+def decode(buf: bytes) -> Raster:
+    """Decode a GeoTIFF held in memory."""
+    lay = layout(buf)
+    out = np.empty((lay.spp, lay.height, lay.width), dtype=lay.dtype.newbyteorder("="))
+    for blk in lay.blocks:
+        p, r0, c0, _bh, _bw, off, cnt = blk
+        part = decode_block(buf[off:off + cnt], lay, blk)
+        rh, rw = part.shape[1:]
+        if lay.planar == 2:
+            out[p, r0:r0 + rh, c0:c0 + rw] = part[0]
+        else:
+            out[:, r0:r0 + rh, c0:c0 + rw] = part
+    x0, y0, dx, dy, nodata, epsg = georef(lay.tags)
+    return Raster(out, x0, y0, dx, dy, nodata, epsg)
 
 
 # -- writing -------------------------------------------------------------------

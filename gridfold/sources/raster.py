@@ -30,7 +30,26 @@ BAND_COLS = ("value", "qflag")
 TILE_RE = r"(h\d+v\d+)"
 
 
-def read_tile_files(spark: SparkSession, root: str, when=None) -> DataFrame:
+def _posix(path: str) -> str:
+    return path[len("file:"):] if path.startswith("file:") else path
+
+
+def list_tile_files(spark: SparkSession, root: str, when=None) -> DataFrame:
+    """(path, date, tile_key, length) of the tile files; no bytes read."""
+    files = (spark.read.format("binaryFile")
+             .option("recursiveFileLookup", "true")
+             .option("pathGlobFilter", "*.tif")
+             .load(root)
+             .select("path", "length",
+                     F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("dir"),
+                     F.regexp_extract("path", r"([^/]+)$", 1).alias("file")))
+    files = parse_tile_name(date_dirs(files, "dir"), "file").select("path", "date", "tile_key",
+                                                                     "length")
+    return files.where(when) if when is not None else files
+
+
+def read_tile_files(spark: SparkSession, root: str, when=None,
+                    max_bytes: int | None = None) -> DataFrame:
     """Dated tile files with their bytes: (path, date, tile_key, content).
 
     ``when`` (a Column over ``date``, e.g. ``select.in_range(...)``) chooses
@@ -50,10 +69,12 @@ def read_tile_files(spark: SparkSession, root: str, when=None) -> DataFrame:
              .option("pathGlobFilter", "*.tif")
              .load(paths if len(paths) > 1 else paths[0]))
     files = files.select(
-        "path", "content",
+        "path", "content", "length",
         F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("dir"),
         F.regexp_extract("path", r"([^/]+)$", 1).alias("file"))
     files = parse_tile_name(date_dirs(files, "dir"), "file")
+    if max_bytes is not None:
+        files = files.where(F.col("length") <= F.lit(max_bytes))
     out = files.select("path", "date", "tile_key", "content")
     return out.where(when) if when is not None else out
 
@@ -93,6 +114,11 @@ def decode_tiles(files: DataFrame, spec: GridSpec, bands: tuple[str, ...] = BAND
     schema = "date DATE, tile_key STRING, x DOUBLE, y DOUBLE, " + \
         ", ".join(f"{b} DOUBLE" for b in bands)
     px = files.select("date", "tile_key", "content").mapInPandas(_decode_partition(bands), schema)
+    return _pixels_to_cells(px, spec, bands)
+
+
+def _pixels_to_cells(px: DataFrame, spec: GridSpec, bands: tuple[str, ...]) -> DataFrame:
+    """Pixel centres -> cells of ``spec`` (the mosaic by coordinates)."""
     cells = px.select(
         "date",
         F.coalesce(F.nullif(F.regexp_extract("tile_key", TILE_RE, 1), F.lit("")),
@@ -103,6 +129,96 @@ def decode_tiles(files: DataFrame, spec: GridSpec, bands: tuple[str, ...] = BAND
     return spec.with_coords(cells).select("date", "tile", "iy", "ix", "y", "x", *bands)
 
 
+# Files above this size are decoded block by block across tasks instead of
+# whole in one task (a single file may hold much of a store).
+SPLIT_BYTES = 256 << 20
+BLOCKS_PER_TASK = 64
+
+
+def _block_rows(batches):
+    from gridfold.sources.geotiff import layout
+    for pdf in batches:
+        rows = []
+        for path, date, key in zip(pdf["path"], pdf["date"], pdf["tile_key"]):
+            with open(_posix(path), "rb") as f:
+                lay = layout(f)
+            spatial: dict = {}
+            for p, r0, c0, bh, bw, off, cnt in lay.blocks:
+                spatial.setdefault((r0, c0, bh, bw), []).append((p, off, cnt))
+            for (r0, c0, bh, bw), parts in spatial.items():
+                parts.sort()
+                rows.append((path, date, key, r0, c0, bh, bw,
+                             [o for _, o, _ in parts], [c for _, _, c in parts]))
+        yield pd.DataFrame(rows, columns=["path", "date", "tile_key", "r0", "c0", "bh", "bw",
+                                          "offs", "cnts"])
+
+
+def _decode_block_rows(bands: tuple[str, ...]):
+    from gridfold.sources.geotiff import decode_block, georef, layout
+
+    def run(batches):
+        layouts: dict = {}
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                with open(_posix(row.path), "rb") as f:
+                    if row.path not in layouts:
+                        layouts[row.path] = layout(f)
+                    lay = layouts[row.path]
+                    parts = []
+                    for plane, (off, cnt) in enumerate(zip(row.offs, row.cnts)):
+                        f.seek(int(off))
+                        blk = (plane, row.r0, row.c0, row.bh, row.bw, int(off), int(cnt))
+                        parts.append(decode_block(f.read(int(cnt)), lay, blk))
+                data = np.concatenate(parts, axis=0).astype(np.float64)
+                x0, y0, dx, dy, nodata, _ = georef(lay.tags)
+                if nodata is not None and not np.isnan(nodata):
+                    data[data == nodata] = np.nan
+                nb, h, w = data.shape
+                flat = data.reshape(nb, -1)
+                keep = ~np.all(np.isnan(flat), axis=0)
+                if not keep.any():
+                    continue
+                cols = row.c0 + np.arange(w)
+                rows_ = row.r0 + np.arange(h)
+                out = {"date": row.date, "tile_key": row.tile_key,
+                       "x": np.tile(x0 + (cols + 0.5) * dx, h)[keep],
+                       "y": np.repeat(y0 - (rows_ + 0.5) * dy, w)[keep]}
+                for i, b in enumerate(bands):
+                    out[b] = flat[i][keep] if i < nb else np.full(keep.sum(), np.nan)
+                yield pd.DataFrame(out)
+    return run
+
+
+def decode_large_tiles(listing: DataFrame, spec: GridSpec,
+                       bands: tuple[str, ...] = BAND_COLS) -> DataFrame:
+    """Decode big files (``list_tile_files`` rows) block by block: the
+    block list of every file is read from its header, the blocks are spread
+    over tasks, and each task reads only its blocks' byte ranges.  Paths
+    must be visible to the executors as files (POSIX)."""
+    spark = listing.sparkSession
+    blocks = listing.select("path", "date", "tile_key").mapInPandas(
+        _block_rows, "path STRING, date DATE, tile_key STRING, r0 INT, c0 INT, bh INT, bw INT, "
+                     "offs ARRAY<BIGINT>, cnts ARRAY<BIGINT>")
+    n = max(spark.sparkContext.defaultParallelism,
+            -(-blocks.count() // BLOCKS_PER_TASK))   # one small action: block count
+    schema = "date DATE, tile_key STRING, x DOUBLE, y DOUBLE, " + \
+        ", ".join(f"{b} DOUBLE" for b in bands)
+    px = blocks.repartition(n).mapInPandas(_decode_block_rows(bands), schema)
+    return _pixels_to_cells(px, spec, bands)
+
+
+def decode_store(spark: SparkSession, root: str, spec: GridSpec, when=None,
+                 split_bytes: int = SPLIT_BYTES, bands: tuple[str, ...] = BAND_COLS) -> DataFrame:
+    """All (or the ``when``-selected) tiles of a store as cells: files up to
+    ``split_bytes`` are decoded whole (one task per file), bigger ones block
+    by block across tasks."""
+    small = decode_tiles(read_tile_files(spark, root, when, max_bytes=split_bytes), spec, bands)
+    big = list_tile_files(spark, root, when).where(F.col("length") > F.lit(split_bytes))
+    if big.limit(1).count() == 0:
+        return small
+    return small.unionByName(decode_large_tiles(big, spec, bands))
+
+
 def tile_headers(files: DataFrame) -> DataFrame:
     """Georeference of every tile file: (path, x0, y0, dx, dy, width,
     height, epsg); pixels are not decoded."""
