@@ -89,3 +89,13 @@ def q_workflow_extract_timeseries(spark, sf):
     return extract_timeseries(spark, tile_store(spark, sf), scratch_path(spark, "workflow-series"),
                               fx.points(spark, sf).drop("station"), time_start="2020-01-17",
                               scale_factor=0.5, flag_quality=True)
+
+
+@register("decode_tiles_split", with_fixtures("""
+SELECT date, tile, iy, ix, y, x, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value,
+       CAST(CAST(qflag AS FLOAT) AS DOUBLE) AS qflag FROM cells"""))
+def q_decode_tiles_split(spark, sf):
+    """Every file taken as 'big': decoded strip by strip across tasks, each
+    reading only its byte ranges."""
+    from gridfold.sources.raster import decode_store
+    return decode_store(spark, tile_store(spark, sf), SPEC, split_bytes=0)
