@@ -8,6 +8,7 @@ Usage: python tests/oracle_check.py [sf_dir] [name ...]
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
@@ -73,7 +74,14 @@ def main(argv):
     names = argv[2:]
     from gridfold.session import get_session
     import __spark_entry__ as entry
-    spark = get_session("local[8]", shuffle_partitions=8)
+    if os.environ.get("PLAIN_SESSION"):
+        # the driver's own session: none of our defaults, other time zone
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[8]")
+                 .config("spark.sql.session.timeZone", os.environ["PLAIN_SESSION"])
+                 .getOrCreate())
+    else:
+        spark = get_session("local[8]", shuffle_partitions=8)
     qs, oracles = entry.queries(), entry.oracle_sql()
     con = duck_con(sf)
     bad = 0
