@@ -118,3 +118,21 @@ def q_point_series_window(spark, sf):
     out = point_series(fx.cells(spark, sf), SPEC, fx.points(spark, sf), "2020-01-09",
                        "2020-02-02", buffer=1)
     return r6(out, "data_value")
+
+
+def _to_wkb(x, y):
+    """(x, y) series -> little-endian WKB points (test-input construction)."""
+    import struct
+    import pandas as pd
+    return pd.Series([struct.pack("<BIdd", 1, 1, a, b) for a, b in zip(x, y)])
+
+
+@register("points_wkb", with_fixtures("SELECT point_id, station, x, y, crs FROM points"))
+def q_points_wkb(spark, sf):
+    """Stations given as WKB point geometries (GeoParquet style) are decoded
+    to coordinates; the result equals the coordinate table."""
+    from pyspark.sql.functions import pandas_udf
+    enc = pandas_udf(_to_wkb, "binary")
+    geo = fx.points(spark, sf).select("point_id", "station", "crs",
+                                      enc("x", "y").alias("geometry"))
+    return read_points(geo, name_col="station", geometry_col="geometry")

@@ -129,16 +129,52 @@ def read_bucketed(spark: SparkSession, table: str, start=None, end=None,
 
 
 # -- points (S4, C7, F9) ---------------------------------------------------
+def _wkb_points(geom):
+    """WKB / EWKB points -> (x, y); NaN for empty points; raises for any
+    other geometry type.  Vectorised per Arrow batch."""
+    import numpy as np
+    import pandas as pd
+    import struct
+
+    def one(b):
+        if b is None:
+            return (np.nan, np.nan)
+        b = bytes(b)
+        bo = "<" if b[0] == 1 else ">"
+        t = struct.unpack(bo + "I", b[1:5])[0]
+        off = 5
+        if t & 0x20000000:          # EWKB with SRID
+            off += 4
+        base = (t & 0x0FFFFFFF) % 1000
+        if base != 1:
+            raise ValueError("Only Point geometries are supported")
+        return struct.unpack(bo + "dd", b[off:off + 16])
+    xy = np.array([one(b) for b in geom], dtype=float).reshape(-1, 2)
+    return pd.DataFrame({"x": xy[:, 0], "y": xy[:, 1]})
+
+
+def point_xy(geometry: str):
+    """Column struct (x, y) decoded from a WKB point column."""
+    from pyspark.sql.functions import pandas_udf
+    udf = pandas_udf(_wkb_points, "x DOUBLE, y DOUBLE")
+    return udf(F.col(geometry))
+
+
 def read_points(df: DataFrame, x: str = "x", y: str = "y", name_col: str | None = None,
                 id_col: str = "point_id", crs: str | None = None,
-                crs_col: str = "crs") -> DataFrame:
+                crs_col: str = "crs", geometry_col: str | None = None) -> DataFrame:
     """Validate a point table and bring it to (point_id, station, x, y, crs).
 
     * a CRS is required: either ``crs=`` for the whole table or a ``crs``
       column without NULLs (the job fails otherwise);
+    * ``geometry_col``: coordinates come from a WKB geometry (GeoParquet
+      style); any geometry that is not a Point fails the job;
     * rows without coordinates (empty geometries) are skipped;
     * the station is ``name_col`` or ``point_%05d`` of the point id.
     """
+    if geometry_col is not None:
+        df = (df.withColumn("_xy", point_xy(geometry_col))
+                .withColumns({x: F.col("_xy.x"), y: F.col("_xy.y")}).drop("_xy"))
     if crs is not None:
         crs_c = F.lit(crs)
     elif crs_col in df.columns:

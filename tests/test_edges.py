@@ -306,3 +306,23 @@ def test_target_grid_of_sinusoidal_fixture():
     assert (g.nx, g.ny, g.dx) == (round((e - w) / 0.5), 22, pytest.approx(0.5))
     r2, _ = target_resolution(SIN_SPEC, lon_min=20.0, lon_max=21.0)
     assert r2 == pytest.approx(max(min(1.0 / 43, 11.0 / 22), 11.0 / 1600))
+
+
+def test_points_from_wkb(spark):
+    """WKB points (either byte order, EWKB with SRID) are read; empty
+    points are skipped; any other geometry type fails the job."""
+    import struct
+    from gridfold.sources.store import read_points
+    le = struct.pack("<BIdd", 1, 1, 10.5, 50.25)
+    be = struct.pack(">BIdd", 0, 1, -3.0, 7.5)
+    ewkb = struct.pack("<BIIdd", 1, 1 | 0x20000000, 4326, 1.0, 2.0)
+    empty = struct.pack("<BIdd", 1, 1, float("nan"), float("nan"))
+    df = spark.createDataFrame([(1, le), (2, be), (3, ewkb), (4, empty)],
+                               "point_id BIGINT, geometry BINARY")
+    got = {r["point_id"]: (r["x"], r["y"]) for r in
+           read_points(df, geometry_col="geometry", crs="EPSG:4326").collect()}
+    assert got == {1: (10.5, 50.25), 2: (-3.0, 7.5), 3: (1.0, 2.0)}
+    line = struct.pack("<BII", 1, 2, 0)
+    bad = spark.createDataFrame([(5, line)], "point_id BIGINT, geometry BINARY")
+    with pytest.raises(Exception):
+        read_points(bad, geometry_col="geometry", crs="EPSG:4326").collect()
