@@ -59,22 +59,56 @@ def _value_cols(cells: DataFrame) -> list[str]:
     return [c for c in ("band", "value", "qflag") if c in cells.columns]
 
 
+MAX_ROW_RUNS = 32
+
+
+def row_runs(rows: list[int], max_runs: int = MAX_ROW_RUNS) -> list[tuple[int, int]]:
+    """Sorted grid rows -> at most ``max_runs`` inclusive ranges covering
+    them (the smallest gaps are closed first)."""
+    runs: list[list[int]] = []
+    for r in sorted(set(rows)):
+        if runs and r == runs[-1][1] + 1:
+            runs[-1][1] = r
+        else:
+            runs.append([r, r])
+    while len(runs) > max_runs:
+        i = min(range(len(runs) - 1), key=lambda j: runs[j + 1][0] - runs[j][1])
+        runs[i][1] = runs[i + 1][1]
+        del runs[i + 1]
+    return [(a, b) for a, b in runs]
+
+
+def prune_rows(cells: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Keep only the grid rows the points need, as ``iy`` ranges that reach
+    the Parquet scan (row groups and strip files of other rows are skipped).
+    The distinct rows are bounded by the grid height."""
+    rows = [r[0] for r in keyed.select("iy").distinct().collect()]
+    if not rows:
+        return cells.where(F.lit(False))
+    cond = None
+    for a, b in row_runs(rows):
+        c = F.col("iy").between(a, b)
+        cond = c if cond is None else cond | c
+    return cells.where(cond)
+
+
 def join_to_cells(cells: DataFrame, keyed: DataFrame,
                   max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Join point rows keyed by (iy, ix) to the cells, never shuffling the
     whole stack when it can be avoided.
 
-    1. Few point rows: broadcast them (size checked).
+    1. Few point rows: broadcast them (size checked); the grid rows they
+       need become ``iy`` ranges pushed into the scan.
     2. Many point rows but few distinct cells (points cluster): broadcast the
-       distinct cells as a semi-join filter, so only the needed cells reach
-       the shuffle join with the points.
+       distinct cells as a semi-join filter (after the same row pruning), so
+       only the needed cells reach the shuffle join with the points.
     3. Otherwise a shuffle join on (iy, ix); AQE splits hot cells and the
        runtime bloom filter trims the stack side."""
     if row_count_at_most(keyed, max_rows) is not None:
-        return cells.join(F.broadcast(keyed), ["iy", "ix"])
+        return prune_rows(cells, keyed).join(F.broadcast(keyed), ["iy", "ix"])
     needed = keyed.select("iy", "ix").distinct()
     if row_count_at_most(needed, max_rows) is not None:
-        cells = cells.join(F.broadcast(needed), ["iy", "ix"], "left_semi")
+        cells = prune_rows(cells, needed).join(F.broadcast(needed), ["iy", "ix"], "left_semi")
     return cells.join(keyed, ["iy", "ix"])
 
 

@@ -102,3 +102,17 @@ def test_summarise_one_exchange_for_both_reductions(spark, store):
     assert len(ex) == 1 and "blk" in ex[0]
     two = summarise(read_cells(spark, store), "mean", 4, fx.CELLS_SPEC, colocate=False)
     assert len([l for l in plan(two).splitlines() if "Exchange" in l]) == 2
+
+
+def test_station_rows_reach_the_scan(spark, store):
+    """Sampling a few stations reads only their grid rows: the needed rows
+    become iy ranges in the Parquet scan's pushed filters."""
+    from gridfold.operators.points import row_runs, sample_nearest
+    pts = spark.createDataFrame([(1, "a", 12.3, 59.1), (2, "b", 20.1, 52.2)],
+                                "point_id BIGINT, station STRING, x DOUBLE, y DOUBLE")
+    df = sample_nearest(read_cells(spark, store), pts, fx.CELLS_SPEC)
+    p = plan(df)
+    assert "PushedFilters" in p and "GreaterThanOrEqual(iy" in p
+    assert df.count() > 0
+    assert row_runs([5, 1, 2, 3, 9, 10]) == [(1, 3), (5, 5), (9, 10)]
+    assert row_runs([1, 3, 10, 11], max_runs=2) == [(1, 3), (10, 11)]
