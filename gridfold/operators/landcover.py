@@ -9,6 +9,8 @@ so a class covering most of the grid does not skew the shuffle.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +19,23 @@ from gridfold.model import GridSpec
 from gridfold.operators.align import grid_frame
 
 
-def lc_to_grid(lc: DataFrame, lc_spec: GridSpec, spec: GridSpec) -> DataFrame:
+def fine_window(lc_spec: GridSpec, spec: GridSpec, window) -> tuple[int, int, int, int]:
+    """Rows/columns of the land-cover raster whose centres can fall into the
+    product cells ``window`` = (iy_lo, iy_hi, ix_lo, ix_hi), one cell of
+    margin on each side (the exact mapping still decides)."""
+    iy_lo, iy_hi, ix_lo, ix_hi = window
+
+    def rng(origin_t, step_t, lo, hi, origin_f, step_f, sign):
+        # fine index r has centre origin_f + sign * (r + 0.5) * step_f
+        a = sign * (origin_t - origin_f) / step_f + lo * step_t / step_f - 0.5
+        b = sign * (origin_t - origin_f) / step_f + (hi + 1) * step_t / step_f - 0.5
+        return int(math.floor(a)) - 1, int(math.ceil(b)) + 1
+    r_lo, r_hi = rng(spec.y0, spec.dy, iy_lo, iy_hi, lc_spec.y0, lc_spec.dy, -1)
+    c_lo, c_hi = rng(spec.x0, spec.dx, ix_lo, ix_hi, lc_spec.x0, lc_spec.dx, 1)
+    return r_lo, r_hi, c_lo, c_hi
+
+
+def lc_to_grid(lc: DataFrame, lc_spec: GridSpec, spec: GridSpec, window=None) -> DataFrame:
     """Land cover (iy, ix, lc_code on ``lc_spec``) onto ``spec``.
 
     Finer land cover: every fine centre votes for the product cell that
@@ -28,6 +46,10 @@ def lc_to_grid(lc: DataFrame, lc_spec: GridSpec, spec: GridSpec) -> DataFrame:
     if lc_spec.crs != spec.crs:
         raise ValueError("land cover must be in the grid's CRS")
     if lc_spec.dx <= spec.dx and lc_spec.dy <= spec.dy:
+        if window is not None:
+            # only the land cover under the product window is read
+            r_lo, r_hi, c_lo, c_hi = fine_window(lc_spec, spec, window)
+            lc = lc.where(F.col("iy").between(r_lo, r_hi) & F.col("ix").between(c_lo, c_hi))
         m = lc.select(spec.iy_of(lc_spec.y_of("iy")).alias("iy"),
                       spec.ix_of(lc_spec.x_of("ix")).alias("ix"), "lc_code")
         m = m.where(F.col("iy").between(0, spec.ny - 1) & F.col("ix").between(0, spec.nx - 1))

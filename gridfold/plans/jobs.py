@@ -173,7 +173,8 @@ def summary_of_product(product: DataFrame, pspec: GridSpec, box: Crop | None = N
     profs = {m: profile(product, m) for m in profiles}
     zonal = None
     if lc is not None and lc_spec is not None:
-        lcg = crop(lc_to_grid(lc, lc_spec, pspec), **box.kw())
+        window = pspec.index_window(**box.kw()) if box.active else None
+        lcg = crop(lc_to_grid(lc, lc_spec, pspec, window), **box.kw())
         zonal = zonal_share(zonal_sum(product, lcg), exclude_lc)
     return Summary(product, pspec, stats, disp, profs, zonal)
 
@@ -219,7 +220,8 @@ def composite_zonal(product: DataFrame, pspec: GridSpec, lc: DataFrame, lc_spec:
                     box: Crop | None = None, exclude_lc: tuple[str, ...] = ()) -> DataFrame:
     """Land-cover shares of every composite (per ``ord``, ``date``)."""
     box = box or Crop()
-    lcg = crop(lc_to_grid(lc, lc_spec, pspec), **box.kw())
+    window = pspec.index_window(**box.kw()) if box.active else None
+    lcg = crop(lc_to_grid(lc, lc_spec, pspec, window), **box.kw())
     keys = ("ord", "date")
     return zonal_share(zonal_sum(product, lcg, keys), exclude_lc, keys=keys)
 

@@ -326,3 +326,18 @@ def test_points_from_wkb(spark):
     bad = spark.createDataFrame([(5, line)], "point_id BIGINT, geometry BINARY")
     with pytest.raises(Exception):
         read_points(bad, geometry_col="geometry", crs="EPSG:4326").collect()
+
+
+def test_land_cover_window_is_exact(spark):
+    """Restricting the land cover to a product window changes nothing inside
+    the window."""
+    from gridfold.sources import fixtures as fx
+    from tests.conftest import SF_SMALL
+    lc = fx.lc_fine(spark, SF_SMALL)
+    spec = fx.CELLS_SPEC.coarsened(2)
+    window = spec.index_window(lon_min=13.0, lon_max=25.0, lat_min=52.0, lat_max=58.0)
+    iy_lo, iy_hi, ix_lo, ix_hi = window
+    inside = (F.col("iy").between(iy_lo, iy_hi) & F.col("ix").between(ix_lo, ix_hi))
+    full = lc_to_grid(lc, fx.LC_SPEC, spec).where(inside)
+    part = lc_to_grid(lc, fx.LC_SPEC, spec, window).where(inside)
+    assert sorted(full.collect()) == sorted(part.collect()) and full.count() > 0
