@@ -19,7 +19,7 @@ from gridfold.model import WGS84, GridSpec
 from gridfold.operators.coarsen import coarsen, summarise
 from gridfold.operators.landcover import lc_to_grid, zonal_share, zonal_sum
 from gridfold.operators.points import sample_nearest, sample_window, series, to_grid_crs
-from gridfold.operators.reproject import reproject_bilinear, target_grid
+from gridfold.operators.reproject import reproject_bilinear, source_window, target_grid
 from gridfold.operators.select import (crop, is_cropped, scale_value, select_dates,
                                        select_range, select_ranges)
 from gridfold.operators.stats import display_range, grid_stats, profile, quick_stats
@@ -94,6 +94,15 @@ def precrop_source(cells: DataFrame, spec: GridSpec, k: int, box: Crop) -> DataF
                        & F.col("ix").between(ix_lo * k, (ix_hi + 1) * k - 1))
 
 
+def source_for_reprojection(cells: DataFrame, spec: GridSpec, k: int, box: Crop) -> DataFrame:
+    """Keep the source cells whose k-blocks the lon/lat product can touch
+    (the bilinear source window, in source rows/columns): an index-range
+    filter that reaches the scan, before any reduction."""
+    iy_lo, iy_hi, ix_lo, ix_hi = source_window(spec.coarsened(k), product_spec(spec, k, box))
+    return cells.where(F.col("iy").between(iy_lo * k, (iy_hi + 1) * k - 1)
+                       & F.col("ix").between(ix_lo * k, (ix_hi + 1) * k - 1))
+
+
 def grid_summary(cells: DataFrame, spec: GridSpec, operator: str = "mean",
                  preset: str = "banded", k: int = 1, box: Crop | None = None,
                  value_factor: float = 1.0, plot_type: str = "standard",
@@ -116,12 +125,12 @@ def grid_summary(cells: DataFrame, spec: GridSpec, operator: str = "mean",
     reproject = spec.crs != WGS84
     if operator == "only_plot" and "date" in value_band(cells).columns:
         raise ValueError("grid_summary reduces over time; use composite_summary per date")
-    src = cells if reproject else precrop_source(cells, spec, k, box)
+    src = source_for_reprojection(cells, spec, k, box) if reproject \
+        else precrop_source(cells, spec, k, box)
     product = summarise(src, operator, k, spec, preset, bucket_block)
     pspec = spec.coarsened(k)
     if reproject:
-        full = target_grid(pspec, WGS84, **box.kw())
-        dst, _ = sub_spec(full, box) if box.active else (full, None)
+        dst = product_spec(spec, k, box)
         product = reproject_bilinear(product, pspec, dst)
         pspec = dst
     return summary_of_product(product, pspec, box, value_factor, plot_type, vmax, max_factor,
@@ -195,7 +204,8 @@ def composite_summary(cells: DataFrame, spec: GridSpec, dates: list[str], k: int
             return None
     box = box or Crop()
     reproject = spec.crs != WGS84
-    src = cells if reproject else precrop_source(cells, spec, k, box)
+    src = source_for_reprojection(cells, spec, k, box) if reproject \
+        else precrop_source(cells, spec, k, box)
     sel = select_dates(src, dates)
     product = coarsen(value_band(sel), k, "max", spec, keys=("ord", "date"))
     if reproject:
