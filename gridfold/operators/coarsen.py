@@ -57,6 +57,12 @@ PRESETS = {
 }
 
 
+# Largest k whose colocated plan is used.  That plan sends every raw row of
+# a block (at most 2k x 2k cells x dates) to one task without a map-side
+# combine; for larger k the two-step plan's partial aggregation spreads it.
+MAX_COLOCATE_K = 64
+
+
 def colocate_by_block(cells: DataFrame, spec: GridSpec, k: int, block: int = 64,
                       partitions: int | None = None) -> tuple[DataFrame, int]:
     """Hash-partition raw rows by a spatial block (a multiple of k, so a
@@ -85,14 +91,14 @@ def summarise(cells: DataFrame, operator: str, k: int, spec: GridSpec,
     block step only when k divides the bucket block (a coarse block must not
     straddle two buckets).
 
-    ``colocate`` (k > 1, not bucketed): rows are hash-partitioned once by a
+    ``colocate`` (1 < k <= 64, not bucketed): rows are hash-partitioned once by a
     spatial block that k divides, and both reductions ride on that one
     Exchange instead of shuffling raw rows by cell and then cells by block.
     Pass False for inputs whose tasks already hold many dates of the same
     cells (there map-side combining before the first shuffle pays).
     """
-    if (colocate and bucket_block is None and k > 1 and operator != "only_plot"
-            and "blk" not in cells.columns):
+    if (colocate and bucket_block is None and 1 < k <= MAX_COLOCATE_K
+            and operator != "only_plot" and "blk" not in cells.columns):
         cells, bucket_block = colocate_by_block(cells, spec, k)
     colocated = bucket_block is not None and "blk" in cells.columns
     bkey = ("blk",) if colocated else ()

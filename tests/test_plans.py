@@ -116,3 +116,13 @@ def test_station_rows_reach_the_scan(spark, store):
     assert df.count() > 0
     assert row_runs([5, 1, 2, 3, 9, 10]) == [(1, 3), (5, 5), (9, 10)]
     assert row_runs([1, 3, 10, 11], max_runs=2) == [(1, 3), (10, 11)]
+
+
+def test_huge_blocks_keep_partial_aggregation(spark, store):
+    """For a very coarse k one block would hold most of the grid: the plan
+    keeps two Exchanges with map-side combining instead."""
+    from gridfold.model import GridSpec
+    from gridfold.operators.coarsen import summarise
+    spec = GridSpec(x0=10.0, y0=61.0, dx=0.5 / 100, dy=0.5 / 100, nx=4300, ny=2200)
+    df = summarise(read_cells(spark, store), "mean", 100, spec)
+    assert len([l for l in plan(df).splitlines() if "Exchange" in l]) == 2
