@@ -68,6 +68,9 @@ def write_cells_bucketed(df: DataFrame, table: str, spec: GridSpec, path: str,
     spark = df.sparkSession
     n = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = as_float32(df).withColumn("blk", block_id(spec, block))
+    # hash partitioning by blk with n partitions puts bucket i in task i, so
+    # each task writes one file per date instead of one per bucket per date
+    out = out.repartition(n, "blk")
     (out.write.mode(mode).partitionBy("date").bucketBy(n, "blk").sortBy("iy", "ix")
         .option("compression", "zstd").option("path", path).format("parquet")
         .saveAsTable(table))
