@@ -227,16 +227,17 @@ def plot_composite(spark: SparkSession, directory: str, dates: list, out_dir: st
             prof = profile(product, m, keys=("ord", "date"))
             out[f"profile_{m}"] = prof
             if actions.record:
-                (prof.write.mode("overwrite").partitionBy("date").option("header", True)
-                     .csv(f"{out_dir}/data_save/longitude_data_{m}"))
+                # one file per date: a date's profile has one row per grid row
+                (prof.repartition("date").write.mode("overwrite").partitionBy("date")
+                     .option("header", True).csv(f"{out_dir}/data_save/longitude_data_{m}"))
         if lc is not None and lc_spec is not None:
             box = _crop(lon_min, lon_max, lat_min, lat_max)
             shares = jobs.composite_zonal(product, jobs.product_spec(spec, coarsen, box), lc,
                                           lc_spec, box, tuple(exclude_lc_class))
             out["lc_percentages"] = shares
             if actions.record:
-                (shares.write.mode("overwrite").partitionBy("date").option("header", True)
-                       .csv(f"{out_dir}/data_save/lc_percentages"))
+                (shares.repartition("date").write.mode("overwrite").partitionBy("date")
+                       .option("header", True).csv(f"{out_dir}/data_save/lc_percentages"))
     return out
 
 
