@@ -20,6 +20,9 @@ from pyspark.sql.streaming import StreamingQuery
 from gridfold.model import GridSpec
 from gridfold.session import scratch_path
 
+STATE_PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 STORE_SCHEMA = ("tile STRING, iy INT, ix INT, y DOUBLE, x DOUBLE, value FLOAT, "
                 "qflag FLOAT, date DATE")
 
@@ -48,6 +51,11 @@ def start_running_temporal(stream: DataFrame, log_path: str, checkpoint: str | N
     """Start the running reduction; its updates land in ``log_path``."""
     spark = stream.sparkSession
     checkpoint = checkpoint or scratch_path(spark, "running-ckpt")
+    # one state row per cell: keep it in RocksDB (off the JVM heap) unless
+    # the session already names a provider; the choice is kept in the
+    # checkpoint, so a restarted query uses the same store
+    if spark.conf.get(STATE_PROVIDER_KEY, None) is None:
+        spark.conf.set(STATE_PROVIDER_KEY, ROCKSDB_PROVIDER)
 
     def flush(batch: DataFrame, batch_id: int) -> None:
         (batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
