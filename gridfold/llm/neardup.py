@@ -39,8 +39,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from gridfold.llm.common import col, text_of, unpack, whole_row, written
+from gridfold.llm.common import SPACE_CHARS, col, text_of, unpack, whole_row, written
 
 SHINGLE = 5
 ROWS = 10                 # registers per band
@@ -155,8 +156,8 @@ def band_keys(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, class (16 bytes, null without words), n_shingles and keys (one
-    per band) of each row; keys are null where the same words came before in
+    """doc_id, raw (hash of the text), class (of its words, null without any),
+    n_shingles and keys (one per band) of each row; keys are null where the same words came before in
     the batch."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
@@ -177,33 +178,32 @@ def _signed(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 keys = np.full(len(part), None, object)
                 for k, registers in zip(where, superminhash(sets, bands * rows)):
                     keys[k] = band_keys(registers, bands, rows)
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "class": cls,
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array,
+                                    "raw": part["raw"].array, "class": cls,
                                     "n_shingles": n, "keys": keys})
 
-    src = docs.select(col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("_text"))
-    return src.mapInPandas(run, "doc_id bigint, class binary, n_shingles bigint, keys array<bigint>")
+    src = docs.select(col("doc_id").cast("bigint").alias("doc_id"), _raw(), text_of().alias("_text"))
+    return src.mapInPandas(run, "doc_id bigint, raw binary, class binary, n_shingles bigint, keys array<bigint>")
 
 
-def _sets(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
-    """(class, set) of the wanted classes, one row each."""
+def _sets(docs: DataFrame, size: int, signed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(class, set) of the wanted classes, one row each: built from one text
+    of each class, found by the hash of its raw text."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
         hashes = WordHashes()
         for b in batches:
-            # the class comes with the row: only wanted rows arrive here
             yield pd.DataFrame({"class": b["class"], "set": [
                 shingle_set(normal_words(t), hashes, size).view(np.int64) for t in b["_text"]]})
 
-    key = F.unhex(F.md5(F.array_join(_lower_words(), " ").cast("binary")))
-    src = docs.select(key.alias("class"), text_of().alias("_text"))
-    one = src.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
-    return one.mapInPandas(run, "class binary, set array<bigint>")
+    raw = (signed.select("class", "raw").join(wanted.select("class"), "class", "left_semi")
+           .groupBy("class").agg(F.min("raw").alias("raw")))
+    src = docs.select(_raw(), text_of().alias("_text"))
+    one = src.join(raw, "raw").dropDuplicates(["class"])
+    return one.select("class", "_text").mapInPandas(run, "class binary, set array<bigint>")
 
 
-def _lower_words():
-    from gridfold.llm.common import words
-    a = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return words(F.translate(text_of(), a, a.lower()))
+def _raw():
+    return F.unhex(F.md5(text_of().cast("binary"))).alias("raw")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -295,11 +295,11 @@ def _cross_links(members: DataFrame, comps: DataFrame, sets: DataFrame, percent:
 
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE, rows: int = ROWS,
                     miss: float = MISS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, and the group's class (null
-    without words) of every document."""
+    """doc_id, n_shingles, component_id, kept, group (the class of its root;
+    null without words) and raw (hash of the text) of every document."""
     bands = bands_for(percent / 100.0, rows, miss)
     signed = written(_signed(docs, size, bands, rows), "dedup-signed")
-    classes = signed.select("doc_id", "class", "n_shingles")
+    classes = signed.select("doc_id", "raw", "class", "n_shingles")
     # copies in different tasks give the same rows: one row per class first
     one = signed.where(F.col("keys").isNotNull()).groupBy("class").agg(F.first("keys").alias("keys"))
     keys = one.select("class", F.explode("keys").alias("key"))
@@ -310,7 +310,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE, row
                .agg(F.max_by("class", F.struct("degree", "class")).alias("a")))
     pairs = (members.select("key", F.col("class").alias("b")).join(centres, "key").where("a <> b")
              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    sets = written(_sets(docs, size, members.select("class").distinct()), "dedup-sets")
+    sets = written(_sets(docs, size, signed, members.select("class").distinct()), "dedup-sets")
     links = written(_verified(pairs, sets, percent), "dedup-verified")
     comps = components(links)
     more = _cross_links(members, comps, sets, percent)
@@ -322,6 +322,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE, row
 
 
 def _labelled(classes: DataFrame, comps: DataFrame) -> DataFrame:
+    """Component and verdict of every row of ``classes`` (doc_id, raw, class, n_shingles)."""
     low = classes.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("low"))
     rooted = (low.join(comps, "class", "left").withColumn("root", F.coalesce("root", "class")))
     first = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -330,18 +331,20 @@ def _labelled(classes: DataFrame, comps: DataFrame) -> DataFrame:
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"),
-                      F.col("root").alias("group"))
+                      F.col("root").alias("group"), "raw")
 
 
 def deduplicated(docs: DataFrame, percent: int = 80, **kw) -> DataFrame:
     """One document of each group, with all its columns; documents without
     words all stay.  Of repeated rows one stays."""
-    marks = near_duplicates(docs, percent, **kw).where("kept").select(
-        F.col("doc_id").alias("_kid"), F.col("group").alias("_kg")).distinct()
-    key = F.unhex(F.md5(F.array_join(_lower_words(), " ").cast("binary")))
-    has_words = F.size(_lower_words()) > 0
-    d = docs.select(whole_row(docs), col("doc_id").cast("bigint").alias("_id"), has_words.alias("_has"))
-    marks = marks.withColumn("_has2", F.col("_kg").isNotNull())
-    full = d.where("_has").join(marks.where("_has2"), F.col("_id").eqNullSafe(F.col("_kid")))
-    one = full.dropDuplicates(["_kg"])
-    return unpack(one.select("_row").unionByName(d.where("not _has").select("_row")), docs.columns)
+    # one row of each group, by id and raw text; rows without words all stay
+    kept = near_duplicates(docs, percent, **kw).where("kept and group is not null")
+    one = kept.groupBy("group").agg(F.min(F.struct("doc_id", "raw")).alias("_k")).select("_k.*")
+    one = one.select(F.col("doc_id").alias("_kid"), F.col("raw").alias("_kraw"))
+    d = docs.select(whole_row(docs), col("doc_id").cast("bigint").alias("_id"), _raw(),
+                    F.btrim(text_of(), F.lit(SPACE_CHARS)).alias("_t"))
+    full = (d.where("_t <> ''").join(one, F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("raw") == F.col("_kraw")))
+            .drop("_kid", "_kraw"))
+    # repeated rows (equal id and text) leave one
+    full = full.withColumn("_r", F.row_number().over(Window.partitionBy("_id", "raw").orderBy("_id"))).where("_r = 1")
+    return unpack(full.select("_row").unionByName(d.where("_t = ''").select("_row")), docs.columns)
