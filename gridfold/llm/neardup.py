@@ -48,7 +48,8 @@ ROWS = 10                 # registers per band
 MISS = 1e-4               # accepted chance that a pair at the threshold shares no bucket
 BLOCK = 128               # classes compared at once in a bucket
 CHUNK = 4096              # shingles that draw permutations at once
-SIGN_ROWS = 256           # documents signed at once
+SIGN_ROWS = 1024          # documents signed at once
+LAZY = 12                 # swaps of a permutation that are looked up one by one
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -101,12 +102,14 @@ def shingle_set(w: list[bytes], hashes: WordHashes, size: int = SHINGLE) -> np.n
 def superminhash(sets: list[np.ndarray], m: int) -> np.ndarray:
     """SuperMinHash registers (one row per set) of sets of 64-bit elements.
 
-    Small sets are drawn together, long ones in parts of ``CHUNK`` elements,
-    so memory is bounded by CHUNK * m whatever the sets' sizes."""
+    Sets of like size are drawn together (the smallest need the most steps),
+    long ones in parts of ``CHUNK`` elements, so memory is bounded by
+    CHUNK * m whatever the sets' sizes."""
     out = np.full((len(sets), m), np.inf)
     parts: list[tuple[int, np.ndarray]] = []
     held = 0
-    for k, s in enumerate(sets):
+    for k in sorted(range(len(sets)), key=lambda k: len(sets[k])):
+        s = sets[k]
         for at in range(0, len(s), CHUNK):
             parts.append((k, s[at:at + CHUNK]))
             held += len(parts[-1][1])
@@ -119,30 +122,51 @@ def superminhash(sets: list[np.ndarray], m: int) -> np.ndarray:
 
 
 def _draw(parts: list[tuple[int, np.ndarray]], out: np.ndarray, m: int) -> None:
-    """Lowers the registers of the parts' sets by their elements."""
+    """Lowers the registers of the parts' sets by their elements.
+
+    Permutations are drawn by swaps (Fisher-Yates).  The first ``LAZY`` swaps
+    are only noted and looked up; elements that need more get theirs in full."""
+    flat = out.reshape(-1)
     owner = np.repeat([k for k, _ in parts], [len(e) for _, e in parts])
     docs = np.array(sorted({k for k, _ in parts}))
     with np.errstate(over="ignore"):
         state = mix64(np.concatenate([e for _, e in parts]) + _STEP)
-        perm = np.repeat(np.arange(m, dtype=np.int16)[:, None], len(state), axis=1)
-        at = np.arange(len(state))
+        swaps: list[tuple[np.ndarray, np.ndarray]] = []     # (place, value moved there) of each step
+        perm, at = None, None
         for j in range(m):
             # early stop: registers at or below j cannot be lowered any more
-            docs = docs[out[docs].max(axis=1) > j]
-            if not len(docs):
+            open_ = out[docs].max(axis=1) > j
+            if not open_.any():
                 return
-            if 2 * len(docs) <= len(out) or len(docs) == 1:
-                alive = np.isin(owner, docs)
-                if 2 * alive.sum() <= len(owner):
-                    owner, state, perm = owner[alive], state[alive], perm[:, alive]
-                    at = np.arange(len(state))
+            if not open_.all():
+                docs = docs[open_]
+                live = np.zeros(len(out), bool)
+                live[docs] = True
+                alive = live[owner]
+                owner, state = owner[alive], state[alive]
+                swaps = [(p[alive], v[alive]) for p, v in swaps]
+                if perm is not None:
+                    perm, at = perm[:, alive], np.arange(len(state))
+            if j == LAZY:
+                at = np.arange(len(state))
+                perm = np.repeat(np.arange(m, dtype=np.int16)[:, None], len(state), axis=1)
+                for i, (place, _) in enumerate(swaps):
+                    moved = perm[place, at]
+                    perm[place, at], perm[i] = perm[i], moved
+                swaps = []
             state = mix64(state + _STEP)
-            frac = (state >> np.uint64(11)).astype(np.float64) * 2.0 ** -53
-            pick = j + (mix64(state ^ _MIX1) % np.uint64(m - j)).astype(np.int64)
-            chosen = perm[pick, at]
-            perm[pick, at] = perm[j]
-            perm[j] = chosen
-            np.minimum.at(out, (owner, chosen), j + frac)
+            frac = (state >> np.uint64(24)).astype(np.float64) * 2.0 ** -40
+            pick = j + (((state & np.uint64(0xFFFFFF)) * np.uint64(m - j)) >> np.uint64(24)).astype(np.int64)
+            if perm is None:
+                chosen, here = pick.copy(), np.full(len(pick), j)
+                for place, value in swaps:                  # a later move hides an earlier one
+                    np.copyto(chosen, value, where=place == pick)
+                    np.copyto(here, value, where=place == j)
+                swaps.append((pick, here))
+            else:
+                chosen = perm[pick, at]
+                perm[pick, at], perm[j] = perm[j], chosen
+            np.minimum.at(flat, owner * m + chosen, j + frac)
 
 
 def band_keys(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
