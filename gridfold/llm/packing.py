@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridfold.llm.common import col, text_of
-from gridfold.llm.tokens import chunk_encoder
+from gridfold.llm.tokens import id_encoder
 
 MAX_TOKENS = 1024
 MAX_DOCS = 256
@@ -52,12 +52,12 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, max_tokens: int
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zlib
-        encode = chunk_encoder(path)
+        encode = id_encoder(path)
         end = np.uint32(end_id).astype("<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc_id, data in zip(batch["doc_id"], encode(batch["_text"].tolist())):
-                data += end
+            for doc_id, text in zip(batch["doc_id"], batch["_text"]):
+                data = encode(text) + end
                 n = len(data) // 4
                 first = n if n <= max_tokens else (n % max_tokens or max_tokens)
                 at, k = 0, 0

@@ -1,4 +1,4 @@
-"""Token counts by trie-shared dynamic programming, and chunked BPE ids.
+"""Token counts by trie-shared dynamic programming, and byte-level ids.
 
 ``token_counts`` segments every pre-token by a unigram model over a public
 vocabulary: the best split is the one with the highest sum of piece scores.
@@ -32,23 +32,26 @@ from pyspark.sql import functions as F
 from gridfold.llm.common import col, text_of
 
 MAX_NODES = 400_000
-MAX_CHUNKS = 200_000
+LONG_WORD = 2000
+VERIFIED_TEXTS = 5
+# how byte-level vocabularies of this kind divide a text (fixed value)
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # pre-tokens: a word with the blank before it, or other white space
 PRE_TOKEN = re.compile(r" ?[^\W\d_]+| ?\d+| ?[^\s\w]+| ?_+|\s")
-# a blank between two visible characters always begins a pre-token of the
-# byte-level vocabulary, so texts can be cut there without changing their ids
-_CUT = re.compile(r"(?<=\S)(?= \S)")
-_ODD_SPACE = re.compile(r"\s | \s|^ | $")
+
+
+def _shown_bytes() -> dict[str, int]:
+    """Byte-level files write each byte as one visible character."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
 def vocabulary(path: str) -> dict[str, float]:
     """Piece -> unigram score of a tokenizer file with a byte-level vocabulary."""
     with open(path, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
-    # byte-level files write each byte as one visible character
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte_of = {chr(b): b for b in shown}
-    byte_of |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+    byte_of = _shown_bytes()
     out = {}
     for piece, rank in vocab.items():
         if all(c in byte_of for c in piece):
@@ -124,35 +127,44 @@ def token_counts(docs: DataFrame, vocabulary_path: str, max_nodes: int = MAX_NOD
     return src.mapInPandas(run, "doc_id bigint, n_pretokens bigint, n_tokens bigint")
 
 
-def chunk_encoder(path: str, max_chunks: int = MAX_CHUNKS) -> Callable[[list[str]], Iterator[bytes]]:
-    """A function from texts to their ids as little-endian 32-bit bytes.
+def byte_ranks(path: str) -> dict[bytes, int]:
+    """Bytes -> id of a byte-level vocabulary file, special tokens left out."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    special = {t["content"] for t in spec.get("added_tokens", ())}
+    byte_of = _shown_bytes()
+    return {bytes(byte_of[c] for c in piece): i for piece, i in spec["model"]["vocab"].items()
+            if piece not in special}
+
+
+def id_encoder(path: str) -> Callable[[str], bytes]:
+    """A function from a text to its ids as little-endian 32-bit bytes.
 
-    The ids are those of the tokenizer file on the whole text.  Texts are cut
-    at blanks that begin a pre-token; each distinct chunk is encoded once and
-    kept until ``max_chunks`` are held."""
+    The ids are those that ``tokenizers`` gives for the file.  The merging
+    itself is done by ``tiktoken`` on the file's vocabulary, several times as
+    fast; texts with a word of more than ``LONG_WORD`` characters go to
+    ``tokenizers``, whose time does not grow with the square of a word.  The
+    first texts of every task are encoded by both and must agree."""
     import numpy as np
+    import tiktoken
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    known: dict[str, bytes] = {}
-
-    def chunks(text: str) -> list[str]:
-        if _ODD_SPACE.search(text):
-            return _CUT.split(text)
-        return text.replace(" ", "\0 ").split("\0") if "\0" not in text else _CUT.split(text)
-
-    def encode(texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            parts = chunks(text) if text else []
-            new = list({p for p in parts if p not in known})
-            if new:
-                if len(known) + len(new) > max_chunks:
-                    known.clear()
-                    new = list(set(parts))
-                for at in range(0, len(new), 10_000):
-                    part = new[at:at + 10_000]
-                    for p, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)):
-                        known[p] = np.array(e.ids, "<u4").tobytes()
-            yield b"".join(map(known.__getitem__, parts))
+    tok.encode_special_tokens = True            # their strings are ordinary text
+    fast = tiktoken.Encoding("file", pat_str=BYTE_PATTERN, mergeable_ranks=byte_ranks(path), special_tokens={})
+    left = VERIFIED_TEXTS
+
+    def exact(text: str) -> bytes:
+        return np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode(text: str) -> bytes:
+        nonlocal left
+        if max(map(len, text.split()), default=0) > LONG_WORD:
+            return exact(text)
+        ids = fast.encode_to_numpy(text).astype("<u4", copy=False).tobytes()
+        if left and text:
+            left -= 1
+            if ids != exact(text):
+                raise ValueError(f"{path} is not a byte-level vocabulary in merge order")
+        return ids
 
     return encode
