@@ -63,51 +63,53 @@ def vocabulary(path: str) -> dict[str, float]:
     return out
 
 
-class PrefixTrie:
-    """Best segmentation of strings, shared over common prefixes."""
+class PrefixTrie(dict):
+    """Token counts of strings (the terminal nodes' counts), filled through a
+    trie whose nodes hold the best segmentation of their prefix."""
 
     def __init__(self, scores: dict[str, float], max_nodes: int = MAX_NODES):
+        super().__init__()
         self.scores, self.max_nodes = scores, max_nodes
         self.longest = max(map(len, scores), default=1)
         self.unknown = min(scores.values(), default=0.0) - 10.0
         self.clear()
 
     def clear(self) -> None:
-        self.children: list[dict[str, int] | None] = [{}]
-        self.best: list[tuple[float, int]] = [(0.0, 0)]      # (score, -tokens) of the path's string
-        self.terminal: dict[str, int] = {"": 0}
+        super().clear()
+        self.children: list[dict[str, int]] = [{}]
+        self.best: list[float] = [0.0]       # forward score of the node's prefix
+        self.tokens: list[int] = [0]         # its tokens
 
-    def count(self, token: str) -> int:
-        """Number of tokens of the best segmentation."""
-        known = self.terminal.get(token)
-        if known is not None:
-            return known
+    def __missing__(self, token: str) -> int:
         if len(self.best) + len(token) > self.max_nodes:
             self.clear()
-        path, node = [0], 0
-        for i, c in enumerate(token):
-            kids = self.children[node]
-            nxt = kids.get(c)
-            if nxt is None:
-                nxt = len(self.best)
-                kids[c] = nxt
-                self.children.append({})
-                self.best.append(self._forward(token, i + 1, path))
-            path.append(nxt)
-            node = nxt
-        n = -self.best[node][1]
-        self.terminal[token] = n
-        return n
-
-    def _forward(self, token: str, end: int, path: list[int]) -> tuple[float, int]:
-        score, n = self.best[path[end - 1]]
-        top = (score + self.scores.get(token[end - 1], self.unknown), n - 1)
-        for start in range(max(0, end - self.longest), end - 1):
-            piece = self.scores.get(token[start:end])
-            if piece is not None:
-                s, n = self.best[path[start]]
-                top = max(top, (s + piece, n - 1))
-        return top
+        children, best, tokens, scores = self.children, self.best, self.tokens, self.scores
+        path, node, end = [0], 0, 0
+        for c in token:
+            end += 1
+            kids = children[node]
+            node = kids.get(c)
+            if node is None:                 # beyond the shared prefix: one forward step
+                last = path[-1]
+                top, n = best[last] + scores.get(c, self.unknown), tokens[last] + 1
+                for start in range(max(0, end - self.longest), end - 1):
+                    piece = scores.get(token[start:end])
+                    if piece is not None:
+                        before = path[start]
+                        score = best[before] + piece
+                        if score > top or (score == top and tokens[before] + 1 < n):
+                            top, n = score, tokens[before] + 1
+                node = kids[c] = len(best)
+                children.append({})
+                best.append(top)
+                tokens.append(n)
+            path.append(node)
+        self[token] = tokens[node]
+        return tokens[node]
+
+    def count(self, token: str) -> int:
+        """Number of tokens of the best segmentation."""
+        return self[token]
 
 
 def token_counts(docs: DataFrame, vocabulary_path: str, max_nodes: int = MAX_NODES) -> DataFrame:
@@ -119,7 +121,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str, max_nodes: int = MAX_NOD
             for text in batch["_text"]:
                 parts = PRE_TOKEN.findall(text)
                 pre.append(len(parts))
-                tok.append(sum(map(trie.count, parts)))
+                tok.append(sum(map(trie.__getitem__, parts)))
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"),
                                 "n_pretokens": pre, "n_tokens": tok})
 
