@@ -25,8 +25,8 @@ from gridfold.llm.common import col, text_of, unpack, whole_row, words, written
 
 BUCKETS = 1 << 16
 TRUSTED_ROWS = 20_000     # bound of the trusted sample (ids are broadcast: 8 bytes each)
-THRESHOLD = -0.1          # mean log ratio per n-gram (natural log) below which a text goes
-SMOOTHING = 0.5           # added to each bucket's count
+THRESHOLD = -0.125        # mean log ratio per n-gram (natural log) below which a text goes
+SMOOTHING = 4.0           # added to each bucket's trusted and expected count
 PRIOR_GRAMS = 8           # neutral n-grams added to each text's length
 UNIT = 1 << 20
 WINDOW = 5
@@ -63,9 +63,10 @@ def fit_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS,
     counts = written(grams.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("raw"), F.sum("_in").alias("good")), "bucket-counts")
     total = counts.agg(F.sum("raw").alias("raws"), F.sum("good").alias("goods"))
-    extra = smoothing * buckets
-    ratio = (F.log((F.col("good") + smoothing) / (F.col("goods") + extra))
-             - F.log((F.col("raw") + smoothing) / (F.col("raws") + extra)))
+    # trusted count against the count expected from the raw corpus, both drawn
+    # to 1 by ``smoothing``: buckets with few expected counts say nothing
+    expected = F.col("raw") * F.col("goods") / F.col("raws")
+    ratio = F.log((F.col("good") + smoothing) / (expected + smoothing))
     return (counts.withColumn("raws", total.select("raws").scalar())
             .withColumn("goods", total.select("goods").scalar())
             .select("bucket", F.when(F.col("goods") == 0, F.lit(0))
@@ -144,4 +145,6 @@ def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
                    buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
     """The kept documents with all their columns."""
     d = _scored(docs, labels, threshold, buckets, trusted_rows, [whole_row(docs)])
-    return unpack(d.where("kept"), docs.columns)
+    # written before it is filtered: a filter over this chain would be pushed to
+    # the scan with all its expressions repeated for each of their uses
+    return unpack(written(d.select("_row", "kept"), "quality-verdicts").where("kept"), docs.columns)
