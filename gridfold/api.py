@@ -25,7 +25,7 @@ from gridfold.operators.coarsen import coarsen as coarsen_grid
 from gridfold.operators.points import sample_window
 from gridfold.plans import jobs
 from gridfold.sources import sinks
-from gridfold.sources.raster import decode_store, infer_spec, read_tile_files, tile_headers
+from gridfold.sources.raster import decode_store, infer_spec, read_tile_files, tile_headers, tile_overlaps
 from gridfold.sources.store import read_cells
 
 
@@ -72,10 +72,12 @@ def load_stack(spark: SparkSession, directory: str, spec: GridSpec | None = None
     (Parquet)."""
     if _is_tiff_tree(spark, directory):
         if spec is None:
-            from gridfold.sources.store import scan_tiles
-            first = scan_tiles(spark, directory).select(F.min("date")).first()[0]
-            one_date = read_tile_files(spark, directory, F.col("date") == F.lit(first))
-            spec = infer_spec(tile_headers(one_date), crs)
+            # the grid holds the tiles of every selected date, not of the first one
+            headers = tile_headers(read_tile_files(spark, directory, when))
+            spec = infer_spec(headers, crs)
+            clash = tile_overlaps(headers).first()
+            if clash is not None:
+                raise ValueError(f"tiles overlap on one date: {clash['a']} and {clash['b']}")
         return decode_store(spark, directory, spec, when), spec
     if spec is None:
         raise ValueError("a Parquet cell store needs its GridSpec")

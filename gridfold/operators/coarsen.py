@@ -109,7 +109,7 @@ def summarise(cells: DataFrame, operator: str, k: int, spec: GridSpec,
         return coarsen(src, k, "max", spec, keys=keys + bkey_k).drop(*bkey_k)
     if (operator, preset) not in PRESETS:
         raise ValueError(
-            f"Operator {operator} not supported. Supported operators are: mean and sum.")
+            f"no time reduction {operator!r} with preset {preset!r}: use mean or sum")
     time_op, block_op = PRESETS[(operator, preset)]
     per_cell = temporal_reduce(cells, time_op, spec, keys=bkey)
     if bkey and not bkey_k:

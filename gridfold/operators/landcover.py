@@ -9,6 +9,8 @@ so a class covering most of the grid does not skew the shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import math
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -92,7 +94,10 @@ def zonal_sum(grid: DataFrame, lc_grid: DataFrame, keys: tuple[str, ...] = ()) -
     pairs = (lc.select("lc_code").distinct()
                .select("lc_code", F.explode(key_set).alias("k"))
                .select(*[F.col(f"k.{c}").alias(c) for c in keys], "lc_code"))
-    return (pairs.join(sums, [*keys, "lc_code"], "left")
+    # keys may be null (``ord`` of an open date list): null meets null
+    sums = sums.select(*[F.col(c).alias(f"_{c}") for c in (*keys, "lc_code")], "s")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*keys, "lc_code")])
+    return (pairs.join(sums, same, "left")
                  .select(*keys, "lc_code", F.coalesce(F.col("s"), F.lit(0.0)).alias("gpp_sum")))
 
 
@@ -111,14 +116,3 @@ def zonal_share(zonal: DataFrame, exclude_labels: list[str] | tuple = (),
         total = z.agg(F.sum("gpp_sum")).scalar()   # <= 11 rows, computed once
     pct = F.bround(F.try_divide(F.col("gpp_sum"), total) * F.lit(100.0), 1)
     return z.select(*keys, "lc_code", "lc_label", "gpp_sum", pct.alias("percentage"))
-
-
-def zonal_from_fine(spark: SparkSession, grid: DataFrame, lc: DataFrame, lc_spec: GridSpec,
-                    spec: GridSpec, exclude_labels=(), crop_box: dict | None = None) -> DataFrame:
-    """Land cover onto the product grid, cropped like the product, then the
-    class shares (the land-cover step of a summary)."""
-    from gridfold.operators.select import crop
-    lcg = lc_to_grid(lc, lc_spec, spec)
-    if crop_box:
-        lcg = crop(lcg, **crop_box)
-    return zonal_share(zonal_sum(grid, lcg), exclude_labels)

@@ -70,7 +70,7 @@ def profile(grid: DataFrame, method: str = "sum", keys: tuple[str, ...] = (),
     elif method == "mean":
         e = F.coalesce(F.avg(col), F.lit(0.0))
     else:
-        raise ValueError(f"Method {method} not supported. Supported methods are: sum and mean.")
+        raise ValueError(f"a profile is a sum or a mean, not {method!r}")
     return grid.groupBy(*keys, "y").agg(e.alias("value"))
 
 
@@ -101,7 +101,7 @@ def display_range(quick: DataFrame, plot_type: str = "standard", vmax: float | N
         lo = -hi
     else:
         raise NotImplementedError(
-            f"Plot type {plot_type} not supported. Supported types are: standard and difference.")
+            f"a display range is standard or difference, not {plot_type!r}")
     return quick.select(*keys, lo.cast("double").alias("vmin"), hi.alias("vmax"))
 
 

@@ -25,7 +25,7 @@ def reduce_expr(op: str, col: str = "value") -> Column:
         return F.max(col)
     if op == "min":
         return F.min(col)
-    raise ValueError(f"Operator {op} not supported. Supported operators are: mean and sum.")
+    raise ValueError(f"no time reduction {op!r}: use mean or sum")
 
 
 def value_band(cells: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def temporal_reduce(cells: DataFrame, op: str = "mean", spec: GridSpec | None =
     from ``spec`` instead of being carried through the shuffle.
     """
     if op not in OPERATORS:
-        raise ValueError(f"Operator {op} not supported. Supported operators are: mean and sum.")
+        raise ValueError(f"no time reduction {op!r}: use mean or sum")
     cells = value_band(cells)
     out = cells.groupBy(*keys, "iy", "ix").agg(reduce_expr(op, col).alias("value"))
     if spec is not None:

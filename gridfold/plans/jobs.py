@@ -153,8 +153,7 @@ def range_summary(cells: DataFrame, spec: GridSpec, ranges: list[tuple], operato
             return None
     if low_mem:
         if operator not in ("mean", "sum"):
-            raise ValueError(f"Operator {operator} not supported. "
-                             "Supported operators are: mean and sum.")
+            raise ValueError(f"the per-tile path reduces by mean or sum, not {operator!r}")
         per_tile = temporal_reduce(sel, operator, spec, keys=("tile",))
         if save_path is not None:
             write_cells(per_tile, save_path)
@@ -165,8 +164,12 @@ def range_summary(cells: DataFrame, spec: GridSpec, ranges: list[tuple], operato
             # the crop's source window reaches the scan; the saved per-tile
             # product above stays whole
             per_tile = precrop_source(per_tile, spec, k, box)
-        product = coarsen(per_tile.drop("tile"), k, "max", spec)
-        return summary_of_product(product, spec.coarsened(k), **kw)
+        product, pspec = coarsen(per_tile.drop("tile"), k, "max", spec), spec.coarsened(k)
+        if spec.crs != WGS84:
+            # the same tail as the other path: reproject, then crop and scale
+            dst = product_spec(spec, k, box)
+            product, pspec = reproject_bilinear(product, pspec, dst), dst
+        return summary_of_product(product, pspec, **kw)
     return grid_summary(sel, spec, operator, "banded", k, **kw)
 
 
@@ -243,7 +246,7 @@ def point_series(cells: DataFrame, spec: GridSpec, points: DataFrame, start=None
     """Time series at points (E1): date range -> points in the grid CRS ->
     nearest cell (buffer 0) or window mean -> per-station series."""
     if not (flag_value or flag_quality):
-        raise ValueError("No objects to concatenate: enable flag_value or flag_quality")
+        raise ValueError("a series needs its values, its quality flags or both")
     sel = select_range(cells, start, end)
     if points_crs is None:
         pts = to_grid_crs(points, spec.crs)

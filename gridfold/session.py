@@ -67,6 +67,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="gridfold-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
@@ -80,11 +82,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}{sep}gridfold/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def is_local_path(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
-
-
-def ensure_parent(path: str) -> None:
-    if is_local_path(path):
-        p = path[len("file:"):] if path.startswith("file:") else path
-        os.makedirs(os.path.dirname(p) or ".", exist_ok=True)
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once a session, so that they
+    find it from whatever folder the driver was started in."""
+    import shutil
+    sc = spark.sparkContext
+    if getattr(sc, "_gridfold_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="gridfold-ship-")     # read by the driver's file server only
+    archive = shutil.make_archive(os.path.join(folder, "gridfold"), "zip", os.path.dirname(home),
+                                  os.path.basename(home))
+    sc.addPyFile(archive)
+    sc._gridfold_shipped = True

@@ -125,7 +125,9 @@ def _pixels_to_cells(px: DataFrame, spec: GridSpec, bands: tuple[str, ...]) -> D
                    F.col("tile_key")).alias("tile"),
         spec.iy_of("y").alias("iy"), spec.ix_of("x").alias("ix"),
         *[F.when(~F.isnan(b), F.col(b)).alias(b) for b in bands])
-    cells = cells.where(F.col("iy").between(0, spec.ny - 1) & F.col("ix").between(0, spec.nx - 1))
+    inside = F.col("iy").between(0, spec.ny - 1) & F.col("ix").between(0, spec.nx - 1)
+    cells = cells.withColumn("iy", F.when(inside, F.col("iy")).otherwise(F.raise_error(F.concat(
+        F.lit("a pixel of tile "), F.coalesce("tile", F.lit("?")), F.lit(" lies outside the grid")))))
     return spec.with_coords(cells).select("date", "tile", "iy", "ix", "y", "x", *bands)
 
 
@@ -234,6 +236,29 @@ def tile_headers(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, schema)
 
 
+def tile_overlaps(headers: DataFrame) -> DataFrame:
+    """Pairs of tile files (a, b) of one date folder whose footprints share
+    cells.  Tiles meet in blocks of the largest tile's size, at most four
+    each, so a tile is compared with its neighbours only."""
+    size = headers.agg(F.max(F.col("width") * F.col("dx")).alias("w"),
+                       F.max(F.col("height") * F.col("dy")).alias("h"))
+    w, h = size.select("w").scalar(), size.select("h").scalar()
+    box = headers.select(
+        "path", F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("dir"),
+        F.col("x0").alias("l"), (F.col("x0") + F.col("width") * F.col("dx")).alias("r"),
+        (F.col("y0") - F.col("height") * F.col("dy")).alias("b"), F.col("y0").alias("t"),
+        (F.least("dx", "dy") / 2).alias("eps")).withColumn("w", w).withColumn("h", h)
+    for axis, lo, hi, step in (("bx", "l", "r", "w"), ("by", "b", "t", "h")):
+        box = box.withColumn(axis, F.explode(F.sequence(
+            F.floor((F.col(lo) + F.col("eps")) / F.col(step)), F.floor((F.col(hi) - F.col("eps")) / F.col(step)))))
+    one, two = box.alias("one"), box.alias("two")
+    cond = [F.col(f"one.{c}") == F.col(f"two.{c}") for c in ("dir", "bx", "by")] + [
+        F.col("one.path") < F.col("two.path"),
+        F.col("one.l") < F.col("two.r") - F.col("one.eps"), F.col("two.l") < F.col("one.r") - F.col("one.eps"),
+        F.col("one.b") < F.col("two.t") - F.col("one.eps"), F.col("two.b") < F.col("one.t") - F.col("one.eps")]
+    return one.join(two, cond).select(F.col("one.path").alias("a"), F.col("two.path").alias("b")).distinct()
+
+
 def infer_spec(headers: DataFrame, crs: str | None = None) -> GridSpec:
     """The grid that holds all tiles: union of their bounds at their common
     cell size (one aggregate row reaches the driver)."""

@@ -92,14 +92,14 @@ def write_series_csv(series: DataFrame, path: str, mode: str = "overwrite") -> s
 def write_profile_csv(profile: DataFrame, path: str, mode: str = "overwrite") -> str:
     """(y, value) without missing rows, one file (K3).  A profile has one
     row per grid row, so a single writer task is bounded by the grid height."""
-    (profile.select("y", "value").dropna().coalesce(1).sortWithinPartitions(F.col("y").desc())
+    (profile.select("y", "value").dropna().repartition(1).sortWithinPartitions(F.col("y").desc())
             .write.mode(mode).option("header", True).csv(path))
     return path
 
 
 def write_zonal_csv(shares: DataFrame, path: str, mode: str = "overwrite") -> str:
     """Land-cover shares (<= 11 rows), one file (K4)."""
-    (shares.select("lc_code", "lc_label", "gpp_sum", "percentage").coalesce(1)
+    (shares.select("lc_code", "lc_label", "gpp_sum", "percentage").repartition(1)
            .sortWithinPartitions("lc_code")
            .write.mode(mode).option("header", True).csv(path))
     return path

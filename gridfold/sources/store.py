@@ -147,7 +147,7 @@ def _wkb_points(geom):
             off += 4
         base = (t & 0x0FFFFFFF) % 1000
         if base != 1:
-            raise ValueError("Only Point geometries are supported")
+            raise ValueError(f"geometry type {base} is not a point")
         return struct.unpack(bo + "dd", b[off:off + 16])
     xy = np.array([one(b) for b in geom], dtype=float).reshape(-1, 2)
     return pd.DataFrame({"x": xy[:, 0], "y": xy[:, 1]})

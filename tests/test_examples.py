@@ -1,4 +1,4 @@
-"""The example script of the documented workflows runs end to end."""
+"""The example script runs end to end."""
 
 import importlib.util
 import os
@@ -6,9 +6,9 @@ import os
 from tests.conftest import ROOT, SF_SMALL
 
 
-def test_reference_workflows_example(spark, capsys):
-    path = os.path.join(ROOT, "examples", "reference_workflows.py")
-    spec = importlib.util.spec_from_file_location("reference_workflows", path)
+def test_crop_season_example(spark, capsys):
+    path = os.path.join(ROOT, "examples", "crop_season.py")
+    spec = importlib.util.spec_from_file_location("crop_season", path)
     mod = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(mod)
     mod.main(SF_SMALL)
