@@ -83,7 +83,7 @@ def test_defined_results(spark, odd):
     kept = neardup.deduplicated(odd, 85).collect()
     assert sorted((r["doc_id"] or 0) for r in kept) == [0, 1, 2, 3, 4, 7, 9]
     got = {r["doc_id"]: r for r in licenses.license_scan(odd).collect()}
-    assert got[9]["base_labels"] == "mit" and (got[9]["first_word"], got[2]["n_words"]) == (5, 0)
+    assert got[9]["base_labels"] == "mit" and (got[9]["first_word"], got[2]["n_words"]) == (6, 0)
     same = fingerprint.edited_fingerprints(odd).where("doc_id = 4 or doc_id is null").select("fingerprint").collect()
     assert len({r[0] for r in same}) == 2
 
