@@ -7,8 +7,11 @@ from tests.oracle_check import compare, duck_con
 
 import __spark_entry__ as entry
 
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+from gridfold import catalog
+
+# the optional text subpackage has its own tests
+QUERIES = catalog.queries()
+ORACLES = catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -32,6 +35,10 @@ def test_every_query_has_oracle_or_reason():
     assert set(QUERIES) - set(ORACLES) <= {"stats_text"}
 
 
+def test_entry_lists_the_catalog():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+
+
 def test_entry_smoke(spark):
     df = entry.entry(spark)
     rows = df.collect()
