@@ -11,8 +11,10 @@ names keep their title and so their gender.
 Collision checks run over the distinct entities of all documents: of several
 entities with one surrogate all but the first, and any whose surrogate is a
 real entity of the corpus, are drawn again with the next attempt number, until
-none is left.  Only the redrawn ones (normally none) are joined to the
-documents that hold them; texts stay where they are.
+none is left.  Family names are settled first, as entities of their own,
+so that a redrawn one changes for all its bearers alike; later attempts draw
+from longer names.  Only the redrawn ones are joined to the documents that
+hold them; texts stay where they are.
 
 Defined results: a null text stays null, an empty one empty; digits that fail
 the card check sum are left alone; repeated rows get equal results; an empty
@@ -30,7 +32,7 @@ from pyspark.sql.window import Window
 from gridfold.llm.common import col, text_of, unpack, whole_row, written
 
 MAX_ATTEMPTS = 64
-FREE_FROM = 4       # from this attempt on, addresses may change their length
+FREE_FROM = 4       # from this attempt on, addresses and names may change their length
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _TITLES_M = r"Mr|Herr|Monsieur|Señor|Sr|Господин|Κύριος"
@@ -87,7 +89,7 @@ def _stream(key: Column, kind: str, canon: Column, attempt: Column) -> Column:
     return F.concat(*[F.sha2(F.concat(F.lit(f"{n}|"), seed).cast("binary"), 512) for n in (0, 1)])
 
 
-def _number(stream: Column, at: Column, below: int) -> Column:
+def _number(stream: Column, at: Column, below: int | Column) -> Column:
     """A number under ``below`` from place ``at`` of the stream (64 places)."""
     return F.pmod(F.conv(F.substring(stream, 1 + 4 * F.pmod(at, F.lit(64)), F.lit(4)), 16, 10).cast("int"),
                   F.lit(below))
@@ -169,7 +171,8 @@ def canonical(kind: Column, v: Column) -> Column:
             .when(kind.isin("card", "social"), _digits(v))
             .when(kind == "account", F.replace(v, F.lit(" "), F.lit("")))
             .when(kind == "email", F.lower(v))
-            .when(kind == "person", F.regexp_replace(v, r"\.? +", " "))
+            .when(kind == "person", F.lower(F.regexp_replace(v, r"\.? +", " ")))
+            .when(kind == "family", F.lower(v))
             .otherwise(v))
 
 
@@ -211,32 +214,50 @@ def _account(v: Column, s: Column) -> Column:
     return _let(body, form)
 
 
-def _person(v: Column, key: Column, attempt: Column) -> Column:
+def family_of(person: Column) -> Column:
+    return F.substring_index(person, " ", -1)
+
+
+def _names(values: dict, script: Column, female: Column | None = None) -> Column:
+    """The names of a script (and gender) as an array."""
+    out = F.lit("")
+    for k, names in values.items():
+        fits = script == k if female is None else (script == k[1]) & (female == F.lit(k[0] == "f"))
+        out = F.when(fits, F.lit(names)).otherwise(out)
+    return F.split(out, " ")
+
+
+def _drawn(names: Column, stream: Column, n: Column, between: str) -> Column:
+    """``n`` names from an array, drawn from the first places of the stream."""
+    return _let(names, lambda a: F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(
+        a, _number(stream, i, F.size(a)))), between))
+
+
+def _family(family: Column, female: Column, key: Column, attempt: Column) -> Column:
+    """A family name, drawn by itself so that all its bearers agree."""
+    script = _script(family)
+    syllables = F.when(attempt >= FREE_FROM, 7).otherwise(3)
+    drawn = _let(_stream(key, "family", F.lower(family), attempt), lambda s: F.concat(
+        _drawn(_names(SYLLABLES, script), s, syllables, ""), F.get(_names(ENDINGS, script, female), F.lit(0))))
+    return _let(drawn, lambda d: F.when(family.rlike(r"^\p{Lu}{2,}$"), F.upper(d)).otherwise(F.initcap(d)))
+
+
+def _person(v: Column, key: Column, attempt: Column, family_attempt: Column) -> Column:
     title = F.substring_index(v, " ", 1)
     female = title.rlike(rf"^(?:{_TITLES_F})\.?$")
-    parts = F.size(F.split(v, " "))
-    family, given = F.substring_index(v, " ", -1), F.get(F.split(v, " "), F.lit(1))
-    script = _script(v)
-
-    def table(values: dict, stream: Column, at: Column, by_gender: bool) -> Column:
-        out = F.lit("")
-        for k, names in values.items():
-            names = names.split()
-            pick = F.get(F.array(*map(F.lit, names)), _number(stream, at, len(names)))
-            fits = (script == k[1]) & (female == F.lit(k[0] == "f")) if by_gender else script == k
-            out = F.when(fits, pick).otherwise(out)
-        return out
-
-    # the family name is drawn by itself, so that it agrees with and without a given name
-    fam = _let(_stream(key, "family", F.lower(family), attempt), lambda s: F.initcap(F.concat(
-        *[table(SYLLABLES, s, F.lit(i), False) for i in range(3)],
-        table(ENDINGS, s, F.lit(3), True))))
-    giv = _let(_stream(key, "given", F.lower(given), attempt), lambda s: table(GIVEN, s, F.lit(0), True))
-    return F.when(parts > 2, F.concat_ws(" ", title, giv, fam)).otherwise(F.concat_ws(" ", title, fam))
-
-
-def surrogate(kind: Column, v: Column, attempt: Column, key: Column) -> Column:
-    """The replacement of entity ``v``."""
+    given = F.get(F.split(v, " "), F.lit(1))
+    more = F.least(F.floor(attempt / FREE_FROM), F.lit(3)).cast("int")
+    giv = _let(_stream(key, "given", F.lower(given), attempt), lambda s: _drawn(
+        _names(GIVEN, _script(given), female), s, 1 + more, "-"))
+    # concat_ws leaves out a null: a person without a given name
+    return F.concat_ws(" ", title, F.when(F.size(F.split(v, " ")) > 2, giv),
+                       _family(family_of(v), female, key, family_attempt))
+
+
+def surrogate(kind: Column, v: Column, attempt: Column, key: Column, family_attempt: Column | None = None) -> Column:
+    """The replacement of entity ``v``; ``family_attempt``: that of a person's
+    family name."""
+    family_attempt = F.lit(0) if family_attempt is None else family_attempt
     c = canonical(kind, v)
 
     def drawn(name: str, body) -> Column:
@@ -254,7 +275,8 @@ def surrogate(kind: Column, v: Column, attempt: Column, key: Column) -> Column:
             .when(kind == "address", drawn("address", lambda s: _ip(v, s, attempt)))
             .when(kind == "card", card).when(kind == "phone", phone).when(kind == "social", social)
             .when(kind == "account", drawn("account", lambda s: _account(v, s)))
-            .when(kind == "person", _person(v, key, attempt))
+            .when(kind == "person", _person(v, key, attempt, family_attempt))
+            .when(kind == "family", _family(v, F.lit(False), key, attempt))
             .when(kind == "access_key", drawn("access_key", lambda s: F.concat(
                 F.lit("AKIA"), _charwise(F.substring(v, F.lit(5), F.length(v)), s, F.lit(False)))))
             .when(kind == "secret", drawn("secret", lambda s: _charwise(v, s, hex_only)))
@@ -270,23 +292,26 @@ def found(text: Column) -> Column:
 def redrawn(entities: DataFrame, key: Column, max_attempts: int = MAX_ATTEMPTS) -> DataFrame | None:
     """(kind, canon, attempt) of the entities that need a later attempt; None
     if no surrogate collides.  ``entities``: distinct kind, canon with one
-    writing v."""
+    writing v, and the attempt of its family name."""
     state = entities.withColumn("attempt", F.lit(0))
-    real = entities.select(F.col("kind").alias("_rk"), F.col("canon").alias("_rc"), F.lit(True).alias("_real"))
+    # family names are compared in the form that men bear
+    borne = F.regexp_replace(F.regexp_replace("canon", "ова$", "ов"), "η$", "ης")
+    real = entities.select(F.col("kind").alias("_rk"), F.when(F.col("kind") == "family", borne).otherwise(
+        F.col("canon")).alias("_rc"), F.lit(True).alias("_real")).distinct()
     moved = False
     for _ in range(max_attempts):
         drawn = state.withColumn("s", canonical(F.col("kind"), surrogate(
-            F.col("kind"), F.col("v"), F.col("attempt"), key)))
+            F.col("kind"), F.col("v"), F.col("attempt"), key, F.col("family_attempt"))))
         # settled entities keep their surrogate: lower attempts come first
         order = Window.partitionBy("kind", "s").orderBy("attempt", "canon")
         judged = (drawn.withColumn("_n", F.row_number().over(order))
                   .join(real, (F.col("kind") == F.col("_rk")) & (F.col("s") == F.col("_rc")), "left")
                   .withColumn("bad", (F.col("_n") > 1) | F.coalesce("_real", F.lit(False))))
-        judged = written(judged.select("kind", "canon", "v", "attempt", "bad"), "surrogate-round")
+        judged = written(judged.select("kind", "canon", "v", "family_attempt", "attempt", "bad"), "surrogate-round")
         if judged.where("bad").isEmpty():
             return state.where("attempt > 0").select("kind", "canon", "attempt") if moved else None
         moved = True
-        state = judged.select("kind", "canon", "v", (F.col("attempt") + F.col("bad").cast("int")).alias("attempt"))
+        state = judged.select("kind", "canon", "v", "family_attempt", (F.col("attempt") + F.col("bad").cast("int")).alias("attempt"))
     raise RuntimeError(f"surrogates still collide after {max_attempts} attempts")
 
 
@@ -300,13 +325,28 @@ def _replaced(docs: DataFrame, keep: list[Column], key_text: str) -> DataFrame:
     one = one.withColumn("kind", kind_of(F.col("v"))).where("kind is not null")
     one = one.withColumn("canon", canonical(F.col("kind"), F.col("v")))
     entities = written(one.groupBy("kind", "canon").agg(F.min("v").alias("v")), "surrogate-entities")
+    families = (entities.where("kind = 'person'")
+                .select(F.lit("family").alias("kind"), family_of(F.col("v")).alias("v"))
+                .groupBy("kind", F.lower("v").alias("canon")).agg(F.min("v").alias("v")))
+    first = redrawn(families.withColumn("family_attempt", F.lit(0)), key)
+    if first is None:
+        entities = entities.withColumn("family_attempt", F.lit(0))
+    else:
+        borne = first.select(F.lit("person").alias("kind"), F.col("canon").alias("_f"),
+                             F.col("attempt").alias("family_attempt"))
+        entities = (entities.withColumn("_f", F.lower(family_of(F.col("v")))).join(borne, ["kind", "_f"], "left")
+                    .drop("_f").withColumn("family_attempt", F.coalesce("family_attempt", F.lit(0))))
     late = redrawn(entities, key)
+    if first is not None:
+        late = first if late is None else late.unionByName(first)
     attempts = F.lit(None).cast("map<string,int>")
     if late is not None:
         # per text with a redrawn entity, which attempt each takes
         held = (d.where(F.size("_e") > 0).select(F.md5(F.col("_text").cast("binary")).alias("_h"),
                                                  F.explode("_e").alias("v")).distinct())
         held = held.withColumn("kind", kind_of(F.col("v"))).where("kind is not null")
+        bearers = held.where("kind = 'person'").select("_h", family_of(F.col("v")).alias("v"), F.lit("family").alias("kind"))
+        held = held.unionByName(bearers)
         held = held.withColumn("canon", canonical(F.col("kind"), F.col("v"))).select("_h", "kind", "canon").distinct()
         per = (held.join(late, ["kind", "canon"]).groupBy("_h").agg(F.map_from_entries(F.collect_list(
             F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias("_late")))
@@ -315,10 +355,13 @@ def _replaced(docs: DataFrame, keep: list[Column], key_text: str) -> DataFrame:
         attempts = F.col("_late")
 
     def new(v):
+        def attempt_of(k, canon):
+            return F.lit(0) if late is None else F.coalesce(F.try_element_at(
+                attempts, F.concat_ws("|", k, canon)), F.lit(0))
+
         def typed(k):
-            n = F.lit(0) if late is None else F.coalesce(F.try_element_at(
-                attempts, F.concat_ws("|", k, canonical(k, v))), F.lit(0))
-            return surrogate(k, v, n, key)
+            return _let(attempt_of(k, canonical(k, v)), lambda n: _let(
+                attempt_of(F.lit("family"), F.lower(family_of(v))), lambda m: surrogate(k, v, n, key, m)))
         return F.coalesce(_let(kind_of(v), typed), v)
 
     pieces = F.split("_text", ENTITY_RE)

@@ -143,6 +143,25 @@ def test_colliding_surrogates_are_redrawn(spark):
     assert len(set(out)) == len(ips) and not set(out) & set(ips)
 
 
+def test_family_names_stay_distinct_and_agree(spark, monkeypatch):
+    # more family names than there are first draws (4096), each borne three ways
+    monkeypatch.setattr(surrogates, "FREE_FROM", 1)      # fewer rounds
+    parts = [a + b for a in "BCDFGHJKLM" for b in "aeiou"]
+    names = [x + y.lower() + z for x in parts for y in parts[:20] for z in ("n", "rt", "x", "ll", "sk", "m")][:5000]
+    rows = [(i, f"Mr {n} and Mrs. Anna {n}; Mr {n.upper()} left") for i, n in enumerate(names)]
+    rows += [(10_000 + i, f"Mr {g} Baben") for i, g in enumerate(names[:40])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in surrogates.surrogate_report(d, "k").collect()}
+    seen = set()
+    for i, n in enumerate(names):
+        a, b, c = re.fullmatch(r"Mr (\w+) and Mrs\. [\w-]+ (\w+); Mr (\w+) left", got[i]).groups()
+        assert a == b and c == a.upper() and a not in names
+        seen.add(a)
+    assert len(seen) == len(names)
+    given = [got[10_000 + i] for i in range(40)]
+    assert len(set(given)) == 40 and len({t.split()[-1] for t in given}) == 1
+
+
 # 3 language
 
 def test_language_held_out_accuracy(spark):
