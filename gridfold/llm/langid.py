@@ -4,9 +4,9 @@ linear support vector machines among the languages of that family.
 Features are counts of hashed letter 1- to 3-grams of the whole text (letters
 in lower case, anything else one blank), square-rooted and scaled to length 1.  The
 classifiers are fitted on a bounded sample of labelled rows: about
-``per_language`` documents of each language, picked by a hash of their id; the
-feature vectors of the sample (at most ``max_rows`` * ``dims`` numbers) are the
-only thing that reaches the driver.  Predictions run in ``mapInPandas`` over
+``per_language`` documents of each of the ``MAX_LANGUAGES`` most frequent
+languages, picked by a hash of their id; the feature vectors of the sample (at
+most ``max_rows`` * ``dims`` numbers) are the only thing that reaches the driver.  Predictions run in ``mapInPandas`` over
 all documents.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
@@ -32,6 +32,7 @@ from gridfold.llm.common import col, text_of
 DIMS = 4096
 PER_LANGUAGE = 600
 MAX_ROWS = 6000
+MAX_LANGUAGES = 200       # languages learned at most: bounds the broadcast of their counts
 EPOCHS = 12
 LAMBDA = 1e-4
 UNKNOWN = "und"
@@ -152,19 +153,22 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_rows: int = M
     """Fits a model on (doc_id, text, lang); rows without text or lang are left out."""
     rows = labelled.select(col("doc_id").alias("_id"), col("lang").cast("string").alias("lang"),
                            text_of().alias("_text")).where("lang is not null and _text rlike '\\\\p{L}'")
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = (rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+              .orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES))
     # a hash below per_language / n of its range: about per_language rows each
     place = F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) / float(1 << 30)
-    picked = (rows.join(counts, "lang").where(place * F.col("n") < per_language)
-              .orderBy(F.xxhash64("_id", "_text"), "lang").limit(max_rows))
+    # texts stay where they are: only the counts travel
+    picked = rows.join(F.broadcast(counts), "lang").where(place * F.col("n") < per_language)
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             v = [features(t, dims) for t in b["_text"]]
             ok = [k for k, f in enumerate(v) if f is not None]
-            yield pd.DataFrame({"lang": b["lang"].iloc[ok], "x": [v[k].tobytes() for k in ok]})
+            yield pd.DataFrame({"h": b["h"].iloc[ok], "lang": b["lang"].iloc[ok], "x": [v[k].tobytes() for k in ok]})
 
-    got = picked.select("lang", "_text").mapInPandas(vectors, "lang string, x binary").collect()
+    got = (picked.select(F.xxhash64("_id", "_text").alias("h"), "lang", "_text")
+           .mapInPandas(vectors, "h bigint, lang string, x binary")
+           .orderBy("h", "lang", "x").limit(max_rows).collect())
     got.sort(key=lambda r: (r["lang"], bytes(r["x"])))
     if not got:
         return Model(dims, {}, {})
