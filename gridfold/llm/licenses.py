@@ -1,10 +1,17 @@
 """License scans as an exact set-similarity join of text blocks and templates.
 
-A text's words are cut into blocks of ``2 * m`` words, one starting every ``m``
-words, with m the size of the largest template, so every run of m words lies
-within a block.  A block meets a template if it holds at least ``threshold`` of
-the template's distinct tokens.  Tokens are ordered by how many documents hold
-them (rarest first, then by name); with o = the tokens needed,
+Templates fall into classes by their number of words (repeated ones counted):
+up to ``SHORT`` words, and then one class for each doubling.  For each class a
+text's words are cut into blocks of ``2 * m`` words, one starting every ``m``
+words, so every run of m words lies within a block.  m is the number of words of
+the class's longest template, so a verbatim copy lies whole within a block.  For
+the short class m is the largest number of distinct tokens (as in the query's
+SQL) as long as that finds a verbatim copy of each template wherever it starts;
+a block may then miss a few words at the copy's edge, and its score be below 1.
+
+A block meets a template of its class if it holds at least ``threshold`` of the
+template's distinct tokens.  Tokens are ordered by how many documents hold them
+(rarest first, then by name); with o = the tokens needed,
 
 * length filter: a block with fewer than o template tokens cannot meet it;
 * prefix filter: template and block must share a token among the template's
@@ -38,6 +45,7 @@ WORD_RE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP_RE = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 THRESHOLD = 0.8
 MAX_TEMPLATES = 1000
+SHORT = 64          # words of the longest template of the short class
 
 # phrases and their labels (fixed values)
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -72,12 +80,14 @@ def scan_words(text: Column) -> Column:
 
 
 def template_table(spark: SparkSession, templates=None, threshold: float = THRESHOLD) -> DataFrame:
-    """(tid, label, tokens, need): distinct tokens and how many are needed."""
+    """(tid, label, words, tokens, need): all words, the distinct ones and how many
+    of these are needed."""
     rows = templates if templates is not None else TEMPLATES
     if len(rows) > MAX_TEMPLATES:
         raise ValueError(f"{len(rows)} templates; at most {MAX_TEMPLATES} are joined by broadcast")
     t = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], "tid int, label string, body string")
-    t = t.select("tid", "label", F.array_distinct(scan_words(F.col("body"))).alias("tokens"))
+    t = t.select("tid", "label", scan_words(F.col("body")).alias("words"))
+    t = t.withColumn("tokens", F.array_distinct("words"))
     return t.where(F.size("tokens") > 0).withColumn(
         "need", F.ceil(F.size("tokens") * F.lit(threshold) - 1e-9).cast("int"))
 
@@ -90,12 +100,41 @@ def token_order(words: DataFrame, vocabulary: list[str]) -> list[str]:
     return sorted(vocabulary, key=lambda t: (counts.get(t, 0), t))
 
 
-def blocks(words: DataFrame, span: int) -> DataFrame:
-    """_key and the words of each block, start + i * span, of 2 * span words."""
-    last = F.greatest(F.ceil(F.size("_w") / span).cast("int") - 2, F.lit(0))
+def class_of(n_words: int) -> int:
+    """0 for up to SHORT words, then one class for each doubling."""
+    return max(math.ceil(math.log2(n_words / SHORT)), 0)
+
+
+def found_anywhere(words: list[str], need: int, span: int) -> bool:
+    """Whether some block holds ``need`` distinct tokens of a verbatim copy,
+    whatever the place in a block at which the copy starts."""
+    def best(start):
+        return max(len(set(words[max(at - start, 0):at + 2 * span - start]))
+                   for at in range(0, start + len(words), span))
+    return all(best(start) >= need for start in range(span))
+
+
+def class_spans(table: list[dict]) -> dict[int, int]:
+    """m of each class of the templates."""
+    spans = {}
+    for c in sorted({class_of(len(r["words"])) for r in table}):
+        mine = [r for r in table if class_of(len(r["words"])) == c]
+        span = max(len(r["tokens"]) for r in mine)
+        if c > 0 or not all(found_anywhere(r["words"], r["need"], span) for r in mine):
+            span = max(len(r["words"]) for r in mine)
+        spans[c] = span
+    return spans
+
+
+def blocks(words: DataFrame, spans: dict[int, int]) -> DataFrame:
+    """_key, the class and the words of each block, start + i * span, of 2 * span words."""
+    def starts(c, span):
+        last = F.greatest(F.ceil(F.size("_w") / span).cast("int") - 2, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(
+            F.lit(c).alias("c"), (i * span + 1).alias("at"), F.lit(2 * span).alias("n")))
     return words.where(F.size("_w") > 0).select(
-        "_key", "_w", F.explode(F.sequence(F.lit(0), last)).alias("_i")).select(
-        "_key", F.slice("_w", F.col("_i") * span + 1, 2 * span).alias("_b"))
+        "_key", "_w", F.explode(F.concat(*[starts(c, m) for c, m in spans.items()])).alias("_i")).select(
+        "_key", F.col("_i.c").alias("cls"), F.slice("_w", F.col("_i.at"), F.col("_i.n")).alias("_b"))
 
 
 def matches(words: DataFrame, templates: DataFrame) -> DataFrame:
@@ -105,21 +144,23 @@ def matches(words: DataFrame, templates: DataFrame) -> DataFrame:
         return words.select("_key").limit(0).withColumns({"label": F.lit(""), "containment": F.lit(0.0)})
     order = token_order(words, sorted({x for r in table for x in r["tokens"]}))
     rank = {t: i for i, t in enumerate(order)}
-    span = max(len(r["tokens"]) for r in table)
-    least = min(r["need"] for r in table)
+    spans = class_spans(table)
+    least = F.lit(0)
+    for c in spans:
+        least = F.when(F.col("cls") == c, min(r["need"] for r in table if class_of(len(r["words"])) == c)).otherwise(least)
     index = []
     for r in table:
         toks = sorted(r["tokens"], key=rank.__getitem__)
         for at, token in enumerate(toks[:len(toks) - r["need"] + 1]):
-            index.append((token, at, r["tid"], r["label"], toks, r["need"]))
+            index.append((class_of(len(r["words"])), token, at, r["tid"], r["label"], toks, r["need"]))
     prefix = F.broadcast(words.sparkSession.createDataFrame(
-        index, "token string, t_at int, tid int, label string, t_tokens array<string>, need int"))
+        index, "cls int, token string, t_at int, tid int, label string, t_tokens array<string>, need int"))
     # array_intersect keeps the order of its first argument: the global order
-    b = blocks(words, span).select("_key", F.array_intersect(F.lit(order), F.col("_b")).alias("_t"))
+    b = blocks(words, spans).select("_key", "cls", F.array_intersect(F.lit(order), F.col("_b")).alias("_t"))
     b = b.where(F.size("_t") >= least)                                             # length filter
-    heads = b.select("_key", "_t", F.posexplode(F.slice("_t", F.lit(1), F.size("_t") - least + 1))
+    heads = b.select("_key", "cls", "_t", F.posexplode(F.slice("_t", F.lit(1), F.size("_t") - least + 1))
                      .alias("b_at", "token"))
-    cand = heads.join(prefix, "token").where(
+    cand = heads.join(prefix, ["cls", "token"]).where(
         (F.col("b_at") <= F.size("_t") - F.col("need"))                            # the block's own prefix
         & (F.least(F.size("t_tokens") - F.col("t_at"), F.size("_t") - F.col("b_at")) + F.least("t_at", "b_at")
            >= F.col("need")))                                                      # positional filter

@@ -222,6 +222,27 @@ def test_prefix_join_equals_brute_force(spark, docs):
         assert got[i] == ",".join(sorted(want))
 
 
+def test_verbatim_copies_are_found_at_every_offset(spark):
+    # words repeat: 300 words, 60 of them distinct; 50 and 12; and the built-in notices
+    rng = np.random.default_rng(7)
+    long, short = ([f"{p}{i}" for i in list(range(n)) + list(rng.integers(0, n, m - n))]
+                   for p, n, m in (("x", 60, 300), ("y", 12, 50)))
+    tpl = [("long", " ".join(rng.permutation(long))), ("short", " ".join(short)), *licenses.TEMPLATES]
+    for mine in (tpl, licenses.TEMPLATES):
+        rows, want = [], {}
+        for label, body in tpl[:2] if mine is tpl else mine:
+            n = len(body.split()) + 8
+            for k in range(2 * n):
+                want[len(rows)] = label
+                rows.append((len(rows), "filler " * k + body + " filler" * (2 * n)))
+        d = spark.createDataFrame(rows, "doc_id long, text string")
+        got = licenses.license_scan(d, licenses.template_table(spark, mine), {"no such phrase": "p"}).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert want[r["doc_id"]] in r["labels"].split(",")
+            assert want[r["doc_id"]] != "long" or r["score"] == 1.0
+
+
 # 6 near-duplicates
 
 def brute_components(texts, percent, size=5):
