@@ -17,7 +17,7 @@ from longer names.  Only the redrawn ones are joined to the documents that
 hold them; texts stay where they are.
 
 Defined results: a null text stays null, an empty one empty; digits that fail
-the card check sum are left alone; repeated rows get equal results; an empty
+the card check sum are left alone, unless they stand behind a secret's keyword; repeated rows get equal results; an empty
 table gives an empty result; other columns are kept by ``anonymized``.
 """
 
@@ -37,11 +37,13 @@ FREE_FROM = 4       # from this attempt on, addresses and names may change their
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _TITLES_M = r"Mr|Herr|Monsieur|Señor|Sr|Господин|Κύριος"
 _TITLES_F = r"Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа|Κυρία"
+# what a secret stands behind (ASCII letters of either case), and its characters
+_KEYWORD = r"(?i:token|secret|password|passwd|pwd|api_key|apikey)[ ]{0,2}[=:][ ]{0,2}[\"']{0,1}"
+_SECRET = r"[A-Za-z0-9+/_\-]{8,}"
 # entity types with the pattern that finds them; the first that fits wins
 PATTERNS = {
     "access_key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
-    "secret": (r"(?<=(?:token|secret|password|passwd|pwd|api_key|apikey)[ ]{0,2}[=:][ ]{0,2}[\"']{0,1})"
-               r"[A-Za-z0-9+/_\-]{8,}"),
+    "secret": rf"(?<={_KEYWORD}){_SECRET}",
     "email": (r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]+@[\p{L}\p{N}\-]+"
               r"(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}"),
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -53,8 +55,9 @@ PATTERNS = {
     "person": rf"(?<!\p{{L}})(?:{_TITLES_M}|{_TITLES_F})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
 }
 ENTITY_RE = "|".join(f"(?:{p})" for p in PATTERNS.values())
-# every entity holds a digit, an at sign, a title or a keyword of a secret
-_HINT_RE = rf"[\d@]|(?:{_TITLES_M}|{_TITLES_F})\.? \p{{Lu}}|(?:token|secret|pass|pwd|api)\w* {{0,2}}[=:]"
+# every entity holds a digit, an at sign, the start of an access key, a title or
+# a keyword of a secret
+_HINT_RE = rf"[\d@]|AKIA|(?:{_TITLES_M}|{_TITLES_F})\.? \p{{Lu}}|{_KEYWORD}"
 
 # Given names and name parts by gender and script (fixed values)
 GIVEN = {
@@ -156,12 +159,13 @@ def _script(v: Column) -> Column:
             .otherwise("latin"))
 
 
-def kind_of(v: Column) -> Column:
-    """Type of a found entity; null for digits that are no card."""
-    rules = [(k, v.rlike(f"^(?:{p})$")) for k, p in PATTERNS.items() if k != "secret"]
+def kind_of(v: Column, led: Column) -> Column:
+    """Type of a found entity; null for digits that are no card.  ``led``:
+    whether it stands behind a keyword of a secret."""
+    rules = [(k, (led & v.rlike(f"^{_SECRET}$")) if k == "secret" else v.rlike(f"^(?:{p})$"))
+             for k, p in PATTERNS.items()]
     rules = [(k, (r & is_card(v)) if k == "card" else r) for k, r in rules]
-    out = reduce(lambda acc, kr: F.when(kr[1], F.lit(kr[0])).otherwise(acc), reversed(rules),
-                 F.when(v.rlike(r"^\d(?:[ \-]?\d){12,18}$"), F.lit(None)).otherwise(F.lit("secret")))
+    out = reduce(lambda acc, kr: F.when(kr[1], F.lit(kr[0])).otherwise(acc), reversed(rules), F.lit(None).cast("string"))
     return out
 
 
@@ -284,9 +288,19 @@ def surrogate(kind: Column, v: Column, attempt: Column, key: Column, family_atte
 
 
 def found(text: Column) -> Column:
-    """Array of a text's entity candidates, in order."""
-    none = F.array().cast("array<string>")
-    return F.when(text.rlike(_HINT_RE), F.regexp_extract_all(text, F.lit(ENTITY_RE), F.lit(0))).otherwise(none)
+    """Array of a text's entity candidates, in order: v and led (whether it
+    stands behind a keyword of a secret)."""
+    none = F.array().cast("array<struct<v:string,led:boolean>>")
+    values = F.regexp_extract_all(text, F.lit(ENTITY_RE), F.lit(0))
+
+    def entity(v, led):
+        return F.struct(v.alias("v"), led.alias("led"))
+    plain = F.transform(values, lambda v: entity(v, F.lit(False)))
+    # a keyword may reach into the entity before it
+    marked = _let(F.struct(values.alias("v"), F.split(text, ENTITY_RE).alias("p")), lambda x: F.transform(
+        x["v"], lambda v, i: entity(v, F.concat(F.coalesce(F.get(x["v"], i - 1), F.lit("")), F.get(x["p"], i))
+                                    .rlike(f"{_KEYWORD}$"))))
+    return F.when(text.rlike(_KEYWORD), marked).when(text.rlike(_HINT_RE), plain).otherwise(none)
 
 
 def redrawn(entities: DataFrame, key: Column, max_attempts: int = MAX_ATTEMPTS) -> DataFrame | None:
@@ -320,9 +334,9 @@ def _replaced(docs: DataFrame, keep: list[Column], key_text: str) -> DataFrame:
     key = F.lit(key_text)
     d = docs.select(*keep, col("text").cast("string").alias("_text"))
     d = d.withColumn("_e", found(F.coalesce("_text", F.lit(""))))
-    one = (docs.select(text_of().alias("_t")).select(F.explode(found(F.col("_t"))).alias("v"))
-           .groupBy("v").agg(F.count(F.lit(1)).alias("n")))
-    one = one.withColumn("kind", kind_of(F.col("v"))).where("kind is not null")
+    one = (docs.select(text_of().alias("_t")).select(F.explode(found(F.col("_t"))).alias("e"))
+           .groupBy(F.col("e.v").alias("v"), F.col("e.led").alias("led")).agg(F.count(F.lit(1)).alias("n")))
+    one = one.withColumn("kind", kind_of(F.col("v"), F.col("led"))).where("kind is not null")
     one = one.withColumn("canon", canonical(F.col("kind"), F.col("v")))
     entities = written(one.groupBy("kind", "canon").agg(F.min("v").alias("v")), "surrogate-entities")
     families = (entities.where("kind = 'person'")
@@ -343,8 +357,9 @@ def _replaced(docs: DataFrame, keep: list[Column], key_text: str) -> DataFrame:
     if late is not None:
         # per text with a redrawn entity, which attempt each takes
         held = (d.where(F.size("_e") > 0).select(F.md5(F.col("_text").cast("binary")).alias("_h"),
-                                                 F.explode("_e").alias("v")).distinct())
-        held = held.withColumn("kind", kind_of(F.col("v"))).where("kind is not null")
+                                                 F.explode("_e").alias("e")).distinct())
+        held = (held.select("_h", F.col("e.v").alias("v"), kind_of(F.col("e.v"), F.col("e.led")).alias("kind"))
+                .where("kind is not null"))
         bearers = held.where("kind = 'person'").select("_h", family_of(F.col("v")).alias("v"), F.lit("family").alias("kind"))
         held = held.unionByName(bearers)
         held = held.withColumn("canon", canonical(F.col("kind"), F.col("v"))).select("_h", "kind", "canon").distinct()
@@ -354,7 +369,9 @@ def _replaced(docs: DataFrame, keep: list[Column], key_text: str) -> DataFrame:
         d = d.join(per, F.col("_h0") == F.col("_h"), "left").drop("_h", "_h0")
         attempts = F.col("_late")
 
-    def new(v):
+    def new(e):
+        v = e["v"]
+
         def attempt_of(k, canon):
             return F.lit(0) if late is None else F.coalesce(F.try_element_at(
                 attempts, F.concat_ws("|", k, canon)), F.lit(0))
@@ -362,12 +379,12 @@ def _replaced(docs: DataFrame, keep: list[Column], key_text: str) -> DataFrame:
         def typed(k):
             return _let(attempt_of(k, canonical(k, v)), lambda n: _let(
                 attempt_of(F.lit("family"), F.lower(family_of(v))), lambda m: surrogate(k, v, n, key, m)))
-        return F.coalesce(_let(kind_of(v), typed), v)
+        return F.coalesce(_let(kind_of(v, e["led"]), typed), v)
 
     pieces = F.split("_text", ENTITY_RE)
     whole = F.concat(F.array_join(F.zip_with(pieces, F.transform("_e", new), lambda p, e: F.concat(
         p, F.coalesce(e, F.lit("")))), ""))
-    d = d.withColumn("_kinds", F.filter(F.transform("_e", kind_of), lambda k: k.isNotNull()))
+    d = d.withColumn("_kinds", F.filter(F.transform("_e", lambda e: kind_of(e["v"], e["led"])), lambda k: k.isNotNull()))
     return d.withColumn("_new", F.when(F.size("_e") > 0, whole).otherwise(F.col("_text")))
 
 
