@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridfold.llm import (fingerprint, langid, licenses, mixing, neardup, packing, quality,
-                          surrogates, tokens, urls)
+from gridfold.llm import (fingerprint, infill, langid, licenses, mixing, neardup, packing, periodic,
+                          quality, surrogates, tokens, topk, urls)
 from gridfold.llm.common import read
 
 SURROGATE_KEY = "surrogate-key-1"
@@ -55,6 +55,18 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read(spark, sf_dir, "documents"), packing.default_tokenizer())
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.infill_report(read(spark, sf_dir, "documents"))
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.ordered_neighbours(read(spark, sf_dir, "embeddings"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_report(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -62,7 +74,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_mix, op2_surrogates, op3_language, op4_pack, op5_licenses, op6_neardup, op7_urls,
-    op8_quality, op9_fingerprints, op10_tokens, pipeline)}
+    op8_quality, op9_fingerprints, op10_tokens, op11_infill, op12_topk, op13_runs, pipeline)}
 
 
 def queries():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridfold.llm import licenses, mixing, urls
+from gridfold.llm import infill, licenses, mixing, urls
 
 # words of [^\x20\x09-\x0D]+
 _SIZE = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -93,4 +93,37 @@ LEFT JOIN m USING (rid)
 """
 
 
-SQL = {"op1_mix": OP1, "op5_licenses": _op5(), "op7_urls": _op7()}
+_P, _S, _M = (_text(x) for x in (infill.PREFIX, infill.SUFFIX, infill.MIDDLE))
+_JOINED = "array_to_string(list_slice(w, {}, {}), '')"
+
+OP11 = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (SELECT doc_id, t, w, len(w)::BIGINT AS n,
+             [('0x' || substr(x, 8 * i + 1, 8))::BIGINT for i in [0, 1, 2, 3]] AS h FROM d),
+k AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS lo, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS hi,
+             CASE WHEN t = '' OR contains(t, {_P}) OR contains(t, {_S}) OR contains(t, {_M}) OR h[3] % 100 >= {infill.PLAIN_FROM}
+                  THEN 'plain' WHEN h[4] % 100 < {infill.SPM_BELOW} THEN 'spm' ELSE 'psm' END AS form FROM h),
+c AS (SELECT doc_id, t, n, form, {_JOINED.format("1", "lo")} AS a, {_JOINED.format("lo + 1", "hi")} AS b,
+             {_JOINED.format("hi + 1", "n")} AS c FROM k)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN length(a)::BIGINT END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(b)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN {_P} || a || {_S} || c || {_M} || b
+              ELSE {_S} || c || {_P} || a || {_M} || b END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM c
+"""
+
+OP12 = """
+WITH r AS (SELECT row_number() OVER () AS rid, vec_id, embedding FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+v AS (SELECT rid, vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS e FROM r),
+s AS (SELECT q.rid, q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e)::BIGINT AS score
+      FROM v AS q JOIN v ON q.rid <> v.rid WHERE q.vec_id % 50 = 0),
+t AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST) AS place FROM s)
+SELECT query_id, place::INTEGER AS rank, vec_id, score FROM t WHERE place <= 5
+"""
+
+SQL = {"op1_mix": OP1, "op5_licenses": _op5(), "op7_urls": _op7(), "op11_infill": OP11, "op12_topk": OP12}
