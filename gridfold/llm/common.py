@@ -42,6 +42,13 @@ def words(text: Column) -> Column:
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, SPACE_RE))
 
 
+def held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column by way of a generator that gives one row for each row.  No
+    condition is moved below it and its expression is never copied into others,
+    so it is computed once a row, whatever is later done with the result."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the cluster's shared folder and reread:
     later jobs start from the files, whichever executors are lost."""

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridfold.llm.common import col, text_of, words
+from gridfold.llm.common import col, held, text_of, words
 
 K = 64
 SHINGLE = 5
@@ -87,8 +87,8 @@ def as_text(s: Column) -> Column:
 def fingerprints(docs: DataFrame, k: int = K, size: int = SHINGLE) -> DataFrame:
     """doc_id, _text and _sketch of every document."""
     d = docs.select(col("doc_id").alias("doc_id"), text_of().alias("_text"))
-    return (d.withColumn("_w", words(F.col("_text")))
-            .withColumn("_sketch", sketch(F.col("_w"), k, size)).drop("_w"))
+    d = held(d, "_w", words(F.col("_text")))
+    return held(d, "_sketch", sketch(F.col("_w"), k, size)).drop("_w")
 
 
 def with_next(docs: DataFrame, payload: list[str], parts: int) -> DataFrame:
@@ -149,10 +149,9 @@ def edited_fingerprints(docs: DataFrame, k: int = K, size: int = SHINGLE,
     d = with_next(fingerprints(docs, k, size), ["_text", "_sketch"], parts)
     n = F.length("_text")
     half = F.floor(n / 2).cast("int")
-    d = (d.withColumn("n_chars", n.cast("long"))
-         .withColumn("_edited", F.concat(F.substring("_text", F.lit(1), n - half),
-                                         F.substring(F.col("_next._text"), F.lit(1), half))))
-    d = d.withColumn("_w", words(F.col("_edited"))).withColumn("_es", sketch(F.col("_w"), k, size))
+    d = held(d.withColumn("n_chars", n.cast("long")), "_edited", F.concat(
+        F.substring("_text", F.lit(1), n - half), F.substring(F.col("_next._text"), F.lit(1), half)))
+    d = held(held(d, "_w", words(F.col("_edited"))), "_es", sketch(F.col("_w"), k, size))
     return d.select(
         "doc_id", "n_chars", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"),
         as_text(F.col("_sketch")).alias("fingerprint"), as_text(F.col("_es")).alias("edited_fingerprint"),

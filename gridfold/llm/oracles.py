@@ -118,8 +118,8 @@ FROM c
 
 OP12 = """
 WITH r AS (SELECT row_number() OVER () AS rid, vec_id, embedding FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-v AS (SELECT rid, vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS e FROM r),
+           WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+v AS (SELECT rid, vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS e FROM r),
 s AS (SELECT q.rid, q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e)::BIGINT AS score
       FROM v AS q JOIN v ON q.rid <> v.rid WHERE q.vec_id % 50 = 0),
 t AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST) AS place FROM s)

@@ -4,10 +4,14 @@ Two multinomials over hashed word 1- and 2-grams are estimated: one from a
 trusted sample, one from the whole raw corpus.  A document's score is the
 mean of log(p_trusted / p_raw) over its n-grams, in whole units of
 1/``UNIT`` so that sums do not depend on their order; documents below a fixed
-threshold are rejected.  Everything on the path is DataFrame functions: the
-bucket counts are combined map-side and the finished weights (``buckets``
-whole numbers, whatever the corpus' size) go into the plan as one constant
-array; no text is shuffled.
+threshold are rejected.  Everything on the path is DataFrame functions.
+
+The number of buckets grows with the square root of the corpus' length, about
+as its vocabulary does (``bucket_number``); bucket counts are combined
+map-side.  Up to ``ARRAY_MOST`` buckets the finished weights go into the plan
+as one constant array and no text is shuffled; beyond it each document's
+bucket counts are joined to the table of weights.  Both ways give the same
+sums.
 
 Defined results: a null text has no words; a text without words has score 0
 and fails the base rules; with no trusted documents all weights are 0 and
@@ -18,12 +22,16 @@ read nor returned by ``quality_scores`` and are kept by ``quality_filter``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridfold.llm.common import col, text_of, unpack, whole_row, words, written
+from gridfold.llm.common import col, held, text_of, unpack, whole_row, words, written
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 16         # fewest buckets
+BUCKETS_PER_ROOT = 4      # buckets for the square root of the corpus' length in characters
+ARRAY_MOST = 1 << 22      # weights that are sent along with the plan, at most
 TRUSTED_ROWS = 20_000     # bound of the trusted sample (ids are broadcast: 8 bytes each)
 THRESHOLD = -0.125        # mean log ratio per n-gram (natural log) below which a text goes
 SMOOTHING = 4.0           # added to each bucket's trusted and expected count
@@ -42,6 +50,13 @@ def ngram_buckets(w: Column, buckets: int = BUCKETS) -> Column:
     return F.concat(ones, twos)
 
 
+def bucket_number(docs: DataFrame) -> int:
+    """Buckets for a corpus: a power of two, at least ``BUCKETS``."""
+    chars = docs.agg(F.sum(F.length(text_of())).alias("n")).first()["n"] or 0
+    wanted = BUCKETS_PER_ROOT * math.sqrt(chars)
+    return max(BUCKETS, 1 << math.ceil(math.log2(max(wanted, 1))))
+
+
 def trusted_ids(labels: DataFrame, limit: int = TRUSTED_ROWS) -> DataFrame:
     """Ids of trusted documents (quality 1, not toxic), at most ``limit``: those
     of the smallest hash of the id."""
@@ -113,38 +128,67 @@ def base_columns(df: DataFrame, text: str = "_text", w: str = "_w") -> DataFrame
             .drop("_lines", "_win", "_sorted", "_starts"))
 
 
-def _scored(docs: DataFrame, labels: DataFrame, threshold: float, buckets: int,
-            trusted_rows: int, keep: list[Column]) -> DataFrame:
-    weights = fit_weights(docs, trusted_ids(labels, trusted_rows), buckets)
+FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+           "n_grams", "llr_sum"]
+
+
+def array_sums(d: DataFrame, weights: DataFrame, buckets: int) -> DataFrame:
+    """Adds llr_sum of the buckets ``_g``, looked up in one constant array."""
     values = weight_array(weights, buckets).first()["w"]
-    # a constant array, folded once: looked up by place, without a join
-    lookup = F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
-    d = docs.select(*keep, text_of().alias("_text"))
-    d = base_columns(d.withColumn("_w", words(F.col("_text"))))
-    d = d.withColumn("_g", ngram_buckets(F.col("_w"), buckets))
-    total = F.aggregate("_g", F.lit(0).cast("long"),
-                        lambda a, b: a + F.coalesce(F.get(lookup, b), F.lit(0).cast("long")))
-    d = d.withColumn("llr_sum", total).withColumn("n_grams", F.size("_g").cast("long"))
+    lookup = F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")    # folded once
+    return d.withColumn("llr_sum", F.aggregate("_g", F.lit(0).cast("long"), lambda a, b: a + F.coalesce(
+        F.get(lookup, b), F.lit(0).cast("long"))))
+
+
+def joined_sums(d: DataFrame, weights: DataFrame) -> DataFrame:
+    """Adds llr_sum of the buckets ``_g`` by a join of each row's counts with
+    the weights (AQE splits the buckets of common words)."""
+    d = written(d.withColumn("_id", F.monotonically_increasing_id()), "quality-grams")
+    counts = (d.select("_id", F.explode("_g").alias("bucket")).groupBy("_id", "bucket")
+              .agg(F.count(F.lit(1)).alias("n")))
+    sums = (counts.join(weights, "bucket").groupBy(F.col("_id").alias("_sid"))
+            .agg(F.sum(F.col("n") * F.col("weight")).alias("_sum")))
+    return (d.join(sums, F.col("_id") == F.col("_sid"), "left")
+            .withColumn("llr_sum", F.coalesce("_sum", F.lit(0).cast("long"))).drop("_id", "_sid", "_sum"))
+
+
+def _scored(docs: DataFrame, labels: DataFrame, threshold: float, buckets: int | None,
+            trusted_rows: int, keep: Column, array_most: int) -> DataFrame:
+    """``_keep`` and the figures, score and kept of every document.  Words,
+    figures and sums are held: a condition on the result is not moved below
+    them, where it would repeat their expressions for each of their uses."""
+    buckets = buckets or bucket_number(docs)
+    weights = fit_weights(docs, trusted_ids(labels, trusted_rows), buckets)
+    d = held(docs.select(keep.alias("_keep"), text_of().alias("_text")), "_w", words(F.col("_text")))
+    d = base_columns(d).withColumn("_g", ngram_buckets(F.col("_w"), buckets))
+    d = d.withColumn("n_grams", F.size("_g").cast("long"))
     d = d.withColumn("base_failed", (F.col("n_words") < 10)
                      | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    if buckets <= array_most:
+        d = array_sums(d, weights, buckets)
+    else:
+        d = joined_sums(d.drop("_text", "_w"), weights)
+    d = held(d.select("_keep", F.struct(*FIGURES).alias("_f")), "_r", F.col("_f")).select("_keep", "_r.*")
     # whole numbers on both sides: the decision is the same on every run
-    ok = F.col("llr_sum") >= F.lit(round(threshold * UNIT)).cast("long") * (F.col("n_grams") + PRIOR_GRAMS)
-    return (d.withColumn("score", F.col("llr_sum") / (F.lit(float(UNIT)) * (F.col("n_grams") + PRIOR_GRAMS)))
+    grams = F.col("n_grams") + PRIOR_GRAMS
+    ok = F.col("llr_sum") >= F.lit(round(threshold * UNIT)).cast("long") * grams
+    return (d.withColumn("score", F.col("llr_sum") / (F.lit(float(UNIT)) * grams))
             .withColumn("kept", ~F.col("base_failed") & ok))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
-                   buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
-    """One row per document: doc_id, the base figures, score, base_failed, kept."""
-    d = _scored(docs, labels, threshold, buckets, trusted_rows, [col("doc_id").alias("doc_id")])
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                   buckets: int | None = None, trusted_rows: int = TRUSTED_ROWS,
+                   array_most: int = ARRAY_MOST) -> DataFrame:
+    """One row per document: doc_id, the base figures, score, base_failed, kept.
+    ``buckets``: their number, by default that of ``bucket_number``."""
+    d = _scored(docs, labels, threshold, buckets, trusted_rows, col("doc_id"), array_most)
+    return d.select(F.col("_keep").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
                     "n_repeat_words", "base_failed", "kept", "score", "n_grams")
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
-                   buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
+                   buckets: int | None = None, trusted_rows: int = TRUSTED_ROWS,
+                   array_most: int = ARRAY_MOST) -> DataFrame:
     """The kept documents with all their columns."""
-    d = _scored(docs, labels, threshold, buckets, trusted_rows, [whole_row(docs)])
-    # written before it is filtered: a filter over this chain would be pushed to
-    # the scan with all its expressions repeated for each of their uses
-    return unpack(written(d.select("_row", "kept"), "quality-verdicts").where("kept"), docs.columns)
+    d = _scored(docs, labels, threshold, buckets, trusted_rows, whole_row(docs), array_most)
+    return unpack(d.where("kept"), docs.columns, "_keep")

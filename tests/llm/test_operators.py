@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from itertools import combinations
 
@@ -73,6 +74,28 @@ def test_odd_rows_and_empty_tables(spark, odd, name):
     assert op(odd.limit(0)).count() == 0
 
 
+CONDITIONS = {
+    "mix": "taken > 0", "mixed": "length(text) > 3", "surrogates": "n_entities > 0", "anonymized": "length(text) > 3",
+    "language": "score > 0.5", "pack": "length > 100", "licenses": "score > 0.5", "neardup": "kept", "dedup": "doc_id > 3",
+    "quality": "kept and score > -1", "filter": "length(text) > 3", "fingerprints": "near_edited > 0.5 or near_next > 0.5",
+    "tokens": "doc_id > 3"}
+
+
+@pytest.mark.parametrize("name", sorted(CONDITIONS))
+def test_results_can_be_filtered_and_counted(spark, docs, name):
+    """A condition on a result costs about as much as the result."""
+    some = docs.where("length(text) < 20000")
+    result = operators(spark)[name](some)
+    began = time.time()
+    rows = result.collect()
+    plain = time.time() - began
+    began = time.time()
+    mine = result.where(CONDITIONS[name])
+    n = mine.count()
+    assert mine.groupBy(*result.columns[:1]).count().agg(F.sum("count")).first()[0] in (n, None)
+    assert n <= len(rows) and time.time() - began < 20 + 4 * plain
+
+
 def test_defined_results(spark, odd):
     by = {r["doc_id"]: r for r in langid.identified(odd).collect()}
     assert by[1]["lang_pred"] == by[2]["lang_pred"] == "und" and by[2]["score"] == 0
@@ -364,6 +387,22 @@ def test_quality_weights_equal_brute_force(spark):
     assert got == want
 
 
+def test_quality_sums_are_the_same_by_array_and_by_join(spark, docs):
+    labels = read(spark, SF_SMALL, "labels")
+    odd = docs.unionByName(docs.limit(5)).unionByName(docs.limit(3).withColumn("text", F.lit(None).cast("string")))
+    one, two = (sorted(map(tuple, quality.quality_scores(odd, labels, array_most=most).collect()), key=str)
+                for most in (quality.ARRAY_MOST, 1))
+    assert one == two and len(one) == odd.count()
+
+
+def test_quality_buckets_grow_with_the_corpus(spark):
+    def corpus(rows):
+        return spark.range(rows).select(F.col("id").alias("doc_id"), F.lit("x" * 1000).alias("text"))
+    base = quality.BUCKETS
+    assert quality.bucket_number(corpus(1)) == base == quality.bucket_number(corpus(0))
+    assert quality.bucket_number(corpus(1_000_000)) == 2 * base
+
+
 # 9 fingerprints
 
 def test_fingerprints_equal_brute_force(spark, docs, texts):
