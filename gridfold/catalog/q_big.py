@@ -17,6 +17,7 @@ from gridfold.operators.reproject import reproject_bilinear, target_grid
 from gridfold.operators.select import select_range
 from gridfold.operators.stats import STAT_ORDER, grid_stats, profile
 from gridfold.operators.temporal import temporal_reduce
+from gridfold.plans.jobs import point_series
 from gridfold.sources import fixtures as fx
 
 BIG = fx.BIG_SPEC
@@ -83,19 +84,44 @@ def big_point_index_sql(tie: str) -> str:
 
 
 @register("big_point_nearest", with_fixtures("""
-SELECT p.point_id, p.station, c.date, c.value, c.qflag
-FROM cells_big c JOIN pn p ON c.iy = p.iy AND c.ix = p.ix""", {"pn": big_point_index_sql("coord")}))
+SELECT p.point_id, p.station, d.date, c.value, c.qflag
+FROM pn p CROSS JOIN (SELECT DISTINCT date FROM cells_big) d
+LEFT JOIN cells_big c ON c.iy = p.iy AND c.ix = p.ix AND c.date = d.date""", {"pn": big_point_index_sql("coord")}))
 def q_big_point_nearest(spark, sf):
     return sample_nearest(fx.cells_big(spark, sf), fx.points(spark, sf), BIG)
 
 
-@register("big_point_window", with_fixtures("""
-SELECT w.point_id, w.station, c.date, round(avg(c.value) + 3.725290298461914e-09, 6) AS value,
-       round(avg(c.qflag) + 3.725290298461914e-09, 6) AS qflag
-FROM (SELECT p.point_id, p.station, p.iy + a.d AS iy, p.ix + b.d AS ix
-      FROM pi p, (VALUES (-2), (-1), (0), (1), (2)) a(d), (VALUES (-2), (-1), (0), (1), (2)) b(d)) w
-JOIN cells_big c ON c.iy = w.iy AND c.ix = w.ix
-GROUP BY w.point_id, w.station, c.date""", {"pi": big_point_index_sql("index")}))
+def big_window_sql(b: int, src: str = "cells_big", edge: str = "truncate") -> str:
+    """Windows joined by ranges, then completed to every station and date."""
+    cond = f"AND p.iy >= {b} AND p.ix >= {b}" if edge == "reference" else ""
+    return f"""
+SELECT p.point_id, p.station, d.date, m.value, m.qflag
+FROM pi p CROSS JOIN (SELECT DISTINCT date FROM {src}) d
+LEFT JOIN (SELECT p.point_id, c.date, round(avg(c.value) + 3.725290298461914e-09, 6) AS value,
+                  round(avg(c.qflag) + 3.725290298461914e-09, 6) AS qflag
+           FROM pi p JOIN {src} c ON c.iy BETWEEN p.iy - {b} AND p.iy + {b} AND c.ix BETWEEN p.ix - {b} AND p.ix + {b} {cond}
+           GROUP BY p.point_id, c.date) m ON m.point_id = p.point_id AND m.date = d.date"""
+
+
+@register("point_window_large", with_fixtures(big_window_sql(40, edge="reference"), {"pi": big_point_index_sql("index")}))
+def q_point_window_large(spark, sf):
+    """Windows of 81 x 81 cells: a point stays at most four join rows."""
+    out = sample_window(fx.cells_big(spark, sf), fx.points(spark, sf), BIG, 40, edge="reference")
+    return r6(out, "value", "qflag")
+
+
+@register("point_series_all", with_fixtures(f"""
+SELECT point_id, station, date AS time, value AS data_value, qflag AS quality_flag
+FROM ({big_window_sql(1)}) s WHERE date BETWEEN DATE '2020-01-09' AND DATE '2020-02-02'""", {
+    "pi": big_point_index_sql("index")}))
+def q_point_series_all(spark, sf):
+    """The series job: one row for each station and date of the range."""
+    out = point_series(fx.cells_big(spark, sf), BIG, fx.points(spark, sf), "2020-01-09", "2020-02-02",
+                       buffer=1, flag_quality=True)
+    return r6(out, "data_value", "quality_flag")
+
+
+@register("big_point_window", with_fixtures(big_window_sql(2), {"pi": big_point_index_sql("index")}))
 def q_big_point_window(spark, sf):
     out = sample_window(fx.cells_big(spark, sf), fx.points(spark, sf), BIG, 2)
     return r6(out, "value", "qflag")

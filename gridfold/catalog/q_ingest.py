@@ -75,13 +75,14 @@ def q_workflow_plot_range(spark, sf):
 
 
 @register("workflow_extract_timeseries", with_fixtures("""
-SELECT p.point_id, p.station, c.date AS time, c.value * 0.5 AS data_value, c.qflag AS quality_flag
-FROM f32 c JOIN (
+SELECT p.point_id, p.station, d.date AS time, c.value * 0.5 AS data_value, c.qflag AS quality_flag
+FROM (
   SELECT point_id, printf('point_%05d', point_id) AS station,
          CAST(least(greatest(ceil(((CAST(61.0 AS DOUBLE) - y) / 0.5 - 0.5) - 0.5), 0), 21) AS INT) AS iy,
          CAST(least(greatest(floor(((x - CAST(10.0 AS DOUBLE)) / 0.5 - 0.5) + 0.5), 0), 42) AS INT) AS ix
-  FROM points) p ON c.iy = p.iy AND c.ix = p.ix
-WHERE c.date >= DATE '2020-01-17'""", {"f32": F32_CELLS}))
+  FROM points) p CROSS JOIN (SELECT DISTINCT date FROM f32) d
+LEFT JOIN f32 c ON c.iy = p.iy AND c.ix = p.ix AND c.date = d.date
+WHERE d.date >= DATE '2020-01-17'""", {"f32": F32_CELLS}))
 def q_workflow_extract_timeseries(spark, sf):
     """Station series from a GeoTIFF tree, nearest cell, scale 0.5, values
     and quality flags, written per station (and returned)."""

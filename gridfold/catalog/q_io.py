@@ -43,8 +43,9 @@ def q_read_saved(spark, sf):
 
 
 @register("series_csv", with_fixtures("""
-SELECT p.point_id, p.station, c.date AS time, c.value AS data_value, c.qflag AS quality_flag
-FROM cells c JOIN pn p ON c.iy = p.iy AND c.ix = p.ix""", {"pn": point_index_sql("coord")}))
+SELECT p.point_id, p.station, d.date AS time, c.value AS data_value, c.qflag AS quality_flag
+FROM pn p CROSS JOIN (SELECT DISTINCT date FROM cells) d
+LEFT JOIN cells c ON c.iy = p.iy AND c.ix = p.ix AND c.date = d.date""", {"pn": point_index_sql("coord")}))
 def q_series_csv(spark, sf):
     s = point_series(fx.cells(spark, sf), SPEC, fx.points(spark, sf), flag_quality=True)
     path = write_series_csv(s, scratch_path(spark, "series"))

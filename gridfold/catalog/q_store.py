@@ -6,7 +6,7 @@ writes it once and times the reads."""
 from __future__ import annotations
 
 from gridfold.catalog.fixture_sql import with_fixtures
-from gridfold.catalog.q_big import BIG, big_point_index_sql, big_block_sql, big_coords_sql
+from gridfold.catalog.q_big import BIG, big_point_index_sql, big_block_sql, big_coords_sql, big_window_sql
 from gridfold.catalog.registry import r6, register
 from gridfold.operators.stats import STAT_ORDER
 from gridfold.plans.jobs import Crop, composite_summary, grid_summary, point_series
@@ -60,13 +60,9 @@ def q_store_range_summary(spark, sf):
 
 
 @register("store_point_series", with_fixtures(f"""
-SELECT w.point_id, w.station, c.date AS time, round(avg(c.value) + 3.725290298461914e-09, 6) AS data_value,
-       round(avg(c.qflag) + 3.725290298461914e-09, 6) AS quality_flag
-FROM (SELECT p.point_id, p.station, p.iy + a.d AS iy, p.ix + b.d AS ix
-      FROM pi p, (VALUES (-1), (0), (1)) a(d), (VALUES (-1), (0), (1)) b(d)) w
-JOIN st c ON c.iy = w.iy AND c.ix = w.ix
-WHERE c.date BETWEEN DATE '{START}' AND DATE '{END}'
-GROUP BY w.point_id, w.station, c.date""", {**STORE_CTE, "pi": big_point_index_sql("index")}))
+SELECT point_id, station, date AS time, value AS data_value, qflag AS quality_flag
+FROM ({big_window_sql(1, "st")}) s WHERE date BETWEEN DATE '{START}' AND DATE '{END}'""", {
+    **STORE_CTE, "pi": big_point_index_sql("index")}))
 def q_store_point_series(spark, sf):
     return point_series_on(spark, big_store(spark, sf), fx.points(spark, sf))
 

@@ -1,19 +1,21 @@
 """Sampling the stack at points: nearest cell or the mean of a window.
 
-Points are a small dimension; they are indexed on the grid with column
-arithmetic and joined to the cells by (iy, ix).  The points side is
-broadcast only after its size has been checked; the cells are never
-cross-joined with the points.
+Every station has one row for every date of the stack, with NULL where it has
+no valid cell.  Points are indexed on the grid with column arithmetic and
+joined to the cells by square blocks as wide as the window, so a point is at
+most four join rows whatever the window's size, and the cells of a window are
+summed up before anything but one partial row per task is shuffled.  Spark
+picks the join by the sides' sizes; there is one plan for any number of points.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridfold.functions.projection import transform
 from gridfold.model import GridSpec
-from gridfold.plans.broadcast import DEFAULT_MAX_BROADCAST_ROWS, row_count_at_most
+from gridfold.operators.align import dates_of
 
 
 def to_grid_crs(points: DataFrame, crs: str) -> DataFrame:
@@ -56,7 +58,7 @@ def nearest_index(points: DataFrame, spec: GridSpec, tie: str = "coord") -> Data
 
 
 def _value_cols(cells: DataFrame) -> list[str]:
-    return [c for c in ("band", "value", "qflag") if c in cells.columns]
+    return [c for c in ("value", "qflag") if c in cells.columns]
 
 
 MAX_ROW_RUNS = 32
@@ -64,102 +66,174 @@ MAX_ROW_RUNS = 32
 
 def row_runs(rows: list[int], max_runs: int = MAX_ROW_RUNS) -> list[tuple[int, int]]:
     """Sorted grid rows -> at most ``max_runs`` inclusive ranges covering
-    them (the smallest gaps are closed first)."""
-    runs: list[list[int]] = []
-    for r in sorted(set(rows)):
-        if runs and r == runs[-1][1] + 1:
-            runs[-1][1] = r
-        else:
-            runs.append([r, r])
-    while len(runs) > max_runs:
-        i = min(range(len(runs) - 1), key=lambda j: runs[j + 1][0] - runs[j][1])
-        runs[i][1] = runs[i + 1][1]
-        del runs[i + 1]
-    return [(a, b) for a, b in runs]
-
-
-def prune_rows(cells: DataFrame, keyed: DataFrame) -> DataFrame:
+    them (the widest gaps stay open)."""
+    rows = sorted(set(rows))
+    gaps = sorted(range(1, len(rows)), key=lambda i: rows[i - 1] - rows[i])
+    cuts = sorted(i for i in gaps[:max_runs - 1] if rows[i] - rows[i - 1] > 1)
+    return [(rows[a], rows[b - 1]) for a, b in zip([0, *cuts], [*cuts, len(rows)])] if rows else []
+
+
+def prune_rows(cells: DataFrame, indexed: DataFrame, buffer: int = 0) -> DataFrame:
     """Keep only the grid rows the points need, as ``iy`` ranges that reach
     the Parquet scan (row groups and strip files of other rows are skipped).
-    The distinct rows are bounded by the grid height."""
-    rows = [r[0] for r in keyed.select("iy").distinct().collect()]
+    The distinct rows are bounded by the grid height, however many points."""
+    rows = [r[0] for r in indexed.select("iy").distinct().collect() if r[0] is not None]
     if not rows:
         return cells.where(F.lit(False))
     cond = None
     for a, b in row_runs(rows):
-        c = F.col("iy").between(a, b)
+        c = F.col("iy").between(a - buffer, b + buffer)
         cond = c if cond is None else cond | c
     return cells.where(cond)
 
 
-def join_to_cells(cells: DataFrame, keyed: DataFrame,
-                  max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Join point rows keyed by (iy, ix) to the cells, never shuffling the
-    whole stack when it can be avoided.
-
-    1. Few point rows: broadcast them (size checked); the grid rows they
-       need become ``iy`` ranges pushed into the scan.
-    2. Many point rows but few distinct cells (points cluster): broadcast the
-       distinct cells as a semi-join filter (after the same row pruning), so
-       only the needed cells reach the shuffle join with the points.
-    3. Otherwise a shuffle join on (iy, ix); AQE splits hot cells and the
-       runtime bloom filter trims the stack side."""
-    if row_count_at_most(keyed, max_rows) is not None:
-        return prune_rows(cells, keyed).join(F.broadcast(keyed), ["iy", "ix"])
-    needed = keyed.select("iy", "ix").distinct()
-    if row_count_at_most(needed, max_rows) is not None:
-        cells = prune_rows(cells, needed).join(F.broadcast(needed), ["iy", "ix"], "left_semi")
-    return cells.join(keyed, ["iy", "ix"])
-
-
-def sample_nearest(cells: DataFrame, points: DataFrame, spec: GridSpec,
-                   tie: str = "coord") -> DataFrame:
-    """Value of the nearest cell for every point and date."""
-    pts = nearest_index(points.select("point_id", "station", "x", "y"), spec, tie)
-    vals = cells.select("date", "iy", "ix", *_value_cols(cells))
-    return (join_to_cells(vals, pts.select("point_id", "station", "iy", "ix"))
-            .select("point_id", "station", "date", *_value_cols(cells)))
-
-
-def window_offsets(points: DataFrame, spec: GridSpec, buffer: int,
-                   edge: str = "truncate") -> DataFrame:
-    """Cells of the (2b+1) x (2b+1) window around each point's nearest cell
-    (index tie rule), cut at the grid edges (J5).
-
-    ``edge="reference"`` reproduces slice semantics with a negative start:
-    a window reaching past the top or left edge is empty for that point."""
-    pts = nearest_index(points.select("point_id", "station", "x", "y"), spec, tie="index")
-    if edge == "reference":
-        pts = pts.where((F.col("iy") >= buffer) & (F.col("ix") >= buffer))
-    elif edge != "truncate":
-        raise ValueError(f"unknown edge rule {edge}")
-    offs = F.sequence(F.lit(-buffer), F.lit(buffer))
-    win = (pts.select("point_id", "station", "iy", "ix",
-                      F.explode(offs).alias("dy"))
-              .select("point_id", "station", "iy", "ix", "dy", F.explode(offs).alias("dx"))
-              .select("point_id", "station",
-                      (F.col("iy") + F.col("dy")).alias("iy"),
-                      (F.col("ix") + F.col("dx")).alias("ix")))
-    return win.where(F.col("iy").between(0, spec.ny - 1) & F.col("ix").between(0, spec.nx - 1))
+def join_windows(cells: DataFrame, indexed: DataFrame, buffer: int) -> DataFrame:
+    """Cells of the (2b+1) x (2b+1) window around each point's cell (piy, pix):
+    an equi-join on blocks of the window's width, of which a window touches at
+    most four, and an exact test of the distance."""
+    edge = F.lit(2 * buffer + 1)
 
+    def block(c: Column) -> Column:
+        return F.floor(c / edge).cast("int")
 
-def sample_window(cells: DataFrame, points: DataFrame, spec: GridSpec, buffer: int,
-                  edge: str = "truncate") -> DataFrame:
-    """Mean over the window around each point, per date (and band).
+    def touched(c: Column) -> Column:
+        return F.array_distinct(F.array(block(c - buffer), block(c + buffer)))
+    pts = (indexed.withColumnsRenamed({"iy": "piy", "ix": "pix"})
+           .withColumn("_by", F.explode(touched(F.col("piy")))).withColumn("_bx", F.explode(touched(F.col("pix")))))
+    near = (cells.withColumn("_by", block(F.col("iy"))).withColumn("_bx", block(F.col("ix")))
+            .join(pts, ["_by", "_bx"]))
+    if buffer:
+        near = near.where((F.abs(F.col("iy") - F.col("piy")) <= buffer) & (F.abs(F.col("ix") - F.col("pix")) <= buffer))
+    return near.drop("_by", "_bx", "iy", "ix")
 
-    Values and quality flags are both averaged; missing cells are skipped."""
-    if buffer <= 0:
-        return sample_nearest(cells, points, spec, tie="coord")
-    win = window_offsets(points, spec, buffer, edge)
-    vcols = [c for c in ("value", "qflag") if c in cells.columns]
+
+def _dated(cells: DataFrame, dates) -> DataFrame:
+    """The cells of the dates wanted; a list reaches the scan's partition filter."""
+    if isinstance(dates, (list, tuple)):
+        return cells.where(F.col("date").isin([F.lit(str(d)).cast("date") for d in dates]))
+    return cells if dates is None else cells.where(F.array_contains(dates, F.col("date")))
+
+
+def complete_series(near: DataFrame, points: DataFrame, cells: DataFrame, keys: list[str], dates=None) -> DataFrame:
+    """Mean of the matched cells for every point and date (and band) of the
+    stack: one row for each, NULL where nothing valid was matched.
+
+    The full set of rows takes part in the aggregate as rows without values,
+    so completing the series costs no join.  ``dates``: the dates wanted (a
+    list, or a Column with an array); by default those in ``cells``."""
+    vcols = _value_cols(cells)
+    if dates is None:
+        dates = dates_of(cells)
+    elif isinstance(dates, (list, tuple)):
+        dates = F.array(*[F.lit(str(d)).cast("date") for d in dates]).cast("array<date>")
     band = ["band"] if "band" in cells.columns else []
-    vals = cells.select("date", "iy", "ix", *band, *vcols)
+    rows = points.select(*keys, "station", F.explode(dates).alias("date"))
+    if band:
+        rows = rows.withColumn("band", F.explode(cells.select(F.array_sort(F.collect_set("band"))).scalar()))
+    rows = rows.select(*keys, "station", "date", *band,
+                       *[F.lit(None).cast(near.schema[c].dataType).alias(c) for c in vcols])
     # the station name depends on the point: it rides along as first(),
     # keeping string hashing out of the group key
-    return (join_to_cells(vals, win)
-                .groupBy("point_id", "date", *band)
-                .agg(F.first("station").alias("station"), *[F.avg(c).alias(c) for c in vcols])
-                .select("point_id", "station", "date", *band, *vcols))
+    return (near.select(*rows.columns).unionByName(rows).groupBy(*keys, "date", *band)
+            .agg(F.first("station").alias("station"), *[F.avg(c).alias(c) for c in vcols])
+            .select("point_id", "station", "date", *band, *vcols))
+
+
+def _sample(cells: DataFrame, points: DataFrame, spec: GridSpec, buffer: int, tie: str,
+            inside: Column | None, dates) -> DataFrame:
+    """``inside``: condition on an indexed point for its window to count."""
+    indexed = nearest_index(points.select("point_id", "station", "x", "y"), spec, tie)
+    vals = _dated(cells, dates).select("date", "iy", "ix", *[c for c in ("band",) if c in cells.columns], *_value_cols(cells))
+    asked = indexed if inside is None else indexed.where(inside)
+    near = join_windows(prune_rows(vals, asked, buffer),
+                        asked.select("point_id", "station", "iy", "ix"), buffer)
+    named = indexed.withColumnsRenamed({"iy": "piy", "ix": "pix"})
+    return complete_series(near, named, vals, ["point_id", "piy", "pix"], dates)
+
+
+def _close(points: DataFrame, spec: GridSpec, max_distance: float) -> Column:
+    """Whether the point's cell centre is within ``max_distance`` on both axes."""
+    return ((F.abs(F.col("x") - spec.x_of("ix")) <= F.lit(float(max_distance)))
+            & (F.abs(F.col("y") - spec.y_of("iy")) <= F.lit(float(max_distance))))
+
+
+def sample_nearest(cells: DataFrame, points: DataFrame, spec: GridSpec, tie: str = "coord",
+                   max_distance: float | None = None, dates=None) -> DataFrame:
+    """Value of the nearest cell for every point and date.
+
+    Without ``max_distance`` (in grid units, on each axis) outside points snap
+    to the edge; with it farther points have NULL series."""
+    inside = None if max_distance is None else _close(points, spec, max_distance)
+    return _sample(cells, points, spec, 0, tie, inside, dates)
+
+
+def sample_window(cells: DataFrame, points: DataFrame, spec: GridSpec, buffer: int,
+                  edge: str = "truncate", dates=None) -> DataFrame:
+    """Mean over the (2b+1) x (2b+1) window around each point's nearest cell
+    (index tie rule), per date (and band) (J5, G9).
+
+    Values and quality flags are both averaged; missing cells are skipped, a
+    window without valid cells gives NULL.  Windows are cut at the grid edges;
+    ``edge="reference"`` reproduces slice semantics with a negative start: a
+    window reaching past the top or left edge is empty for that point."""
+    if buffer <= 0:
+        return sample_nearest(cells, points, spec, tie="coord", dates=dates)
+    if edge not in ("truncate", "reference"):
+        raise ValueError(f"unknown edge rule {edge}")
+    inside = (F.col("iy") >= buffer) & (F.col("ix") >= buffer) if edge == "reference" else None
+    return _sample(cells, points, spec, buffer, "index", inside, dates)
+
+
+def first_not_below(axis: Column, v: Column) -> Column:
+    """Place of the first value >= v in a sorted array (its size where none
+    is), by binary search."""
+    start = F.struct(F.lit(0).alias("lo"), F.size(axis).alias("hi"))
+
+    def halve(s, _):
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        below = F.get(axis, mid) < v
+        closed = s["lo"] >= s["hi"]
+        return F.struct(F.when(~closed & below, mid + 1).otherwise(s["lo"]).alias("lo"),
+                        F.when(~closed & ~below, mid).otherwise(s["hi"]).alias("hi"))
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(axis) + F.lit(2.0))).cast("int") + 1)
+    return F.aggregate(steps, start, halve, lambda s: s["lo"])
+
+
+def nearest_on_axis(axis: Column, v: Column, tie_up: bool = True) -> Column:
+    """The value of a sorted axis nearest to ``v``; halfway the larger one
+    (``tie_up``) or the smaller one."""
+    at = first_not_below(axis, v)
+    before, after = F.get(axis, at - 1), F.get(axis, at)
+    low = F.abs(v - before)
+    high = F.abs(v - after)
+    closer = low < high if tie_up else low <= high
+    return F.when(v.isNotNull(), F.when(before.isNull() | (after.isNotNull() & ~closer), after).otherwise(before))
+
+
+def sample_nearest_irregular(cells: DataFrame, points: DataFrame, tie: str = "coord",
+                             max_distance: float | None = None, dates=None) -> DataFrame:
+    """Value of the nearest cell where the axes are no regular grid, for
+    example a mosaic with whole tile columns missing (J4).
+
+    The axes are the distinct ``y`` and ``x`` of the stack (at most the grid's
+    height and width), found by binary search for each point; ties as in
+    ``nearest_index``, ``max_distance`` as in ``sample_nearest``."""
+    if tie not in ("coord", "index"):
+        raise ValueError(f"unknown tie rule {tie}")
+
+    def axis(c):
+        return cells.select(F.array_sort(F.collect_set(c))).scalar()
+    found = points.select("point_id", "station", "x", "y", axis("y").alias("_ys"), axis("x").alias("_xs")).select(
+        "point_id", "station", "x", "y", nearest_on_axis(F.col("_ys"), F.col("y"), tie == "coord").alias("piy"),
+        nearest_on_axis(F.col("_xs"), F.col("x")).alias("pix"))
+    vals = _dated(cells, dates).select("date", "y", "x", *[c for c in ("band",) if c in cells.columns], *_value_cols(cells))
+    asked = found
+    if max_distance is not None:
+        far = F.lit(float(max_distance))
+        asked = found.where((F.abs(F.col("x") - F.col("pix")) <= far) & (F.abs(F.col("y") - F.col("piy")) <= far))
+    near = vals.withColumnsRenamed({"y": "piy", "x": "pix"}).join(
+        asked.select("point_id", "station", "piy", "pix"), ["piy", "pix"])
+    return complete_series(near, found, vals, ["point_id", "piy", "pix"], dates)
 
 
 def series(sampled: DataFrame, scale_factor: float | None = None, flag_value: bool = True,
@@ -168,7 +242,7 @@ def series(sampled: DataFrame, scale_factor: float | None = None, flag_value: bo
     (C4, C10).  The scale factor applies to the value only.  A long input
     (band column) is pivoted with conditional aggregates."""
     if not (flag_value or flag_quality):
-        raise ValueError("No objects to concatenate: enable flag_value or flag_quality")
+        raise ValueError("a series needs its values, its quality flags or both")
     if "band" in sampled.columns:
         sampled = (sampled.groupBy("point_id", "station", "date")
                    .agg(F.max(F.when(F.col("band") == 1, F.col("value"))).alias("value"),

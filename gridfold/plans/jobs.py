@@ -242,9 +242,10 @@ def composite_zonal(product: DataFrame, pspec: GridSpec, lc: DataFrame, lc_spec:
 def point_series(cells: DataFrame, spec: GridSpec, points: DataFrame, start=None, end=None,
                  buffer: int = 0, scale_factor: float | None = None, flag_value: bool = True,
                  flag_quality: bool = False, edge: str = "truncate",
-                 points_crs: str | None = None) -> DataFrame:
+                 points_crs: str | None = None, max_distance: float | None = None) -> DataFrame:
     """Time series at points (E1): date range -> points in the grid CRS ->
-    nearest cell (buffer 0) or window mean -> per-station series."""
+    nearest cell (buffer 0) or window mean -> per-station series, one row for
+    every station and date of the selection."""
     if not (flag_value or flag_quality):
         raise ValueError("a series needs its values, its quality flags or both")
     sel = select_range(cells, start, end)
@@ -257,5 +258,5 @@ def point_series(cells: DataFrame, spec: GridSpec, points: DataFrame, start=None
     if buffer > 0:
         sampled = sample_window(sel, pts, spec, buffer, edge)
     else:
-        sampled = sample_nearest(sel, pts, spec)
+        sampled = sample_nearest(sel, pts, spec, max_distance=max_distance)
     return series(sampled, scale_factor, flag_value, flag_quality)

@@ -4,6 +4,7 @@ broadcast only when checked, coordinates are not shuffled."""
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridfold.operators.points import sample_nearest
 from gridfold.operators.temporal import temporal_reduce
@@ -79,18 +80,30 @@ def test_scale_conf_sizes_partitions():
     assert int(scale_conf(1e6, 8)["spark.sql.shuffle.partitions"]) == 16
 
 
-def test_many_points_on_few_cells_filter_the_stack(spark):
-    """Past the row bound, the distinct cells still travel as a broadcast
-    semi-join filter, so the stack is cut before the shuffle join."""
-    from gridfold.operators.points import join_to_cells, nearest_index
+def test_window_width_does_not_multiply_the_points(spark):
+    """A point is at most four join rows, and one partial row per task, point
+    and date is shuffled, whatever the window's size."""
+    from gridfold.operators.points import join_windows, nearest_index, sample_window
     cells = fx.cells(spark, SF_SMALL).select("date", "iy", "ix", "value")
-    pts = nearest_index(fx.points(spark, SF_SMALL), fx.CELLS_SPEC).select("point_id", "iy", "ix")
-    # sf0.001: 150 points on 126 distinct cells; a bound in between
-    assert pts.count() == 150 and pts.select("iy", "ix").distinct().count() == 126
-    out = join_to_cells(cells, pts, max_rows=140)
-    assert "LeftSemi" in plan(out)
-    assert out.count() == cells.join(pts, ["iy", "ix"]).count()
-    assert "LeftSemi" not in plan(join_to_cells(cells, pts, max_rows=100))
+    pts = nearest_index(fx.points(spark, SF_SMALL), fx.CELLS_SPEC, "index").select("point_id", "iy", "ix")
+    for b in (0, 1, 3, 15):
+        near = join_windows(cells, pts, b)
+        p = pts.withColumnsRenamed({"iy": "piy", "ix": "pix"})
+        want = cells.join(p, (F.abs(F.col("iy") - F.col("piy")) <= b) & (F.abs(F.col("ix") - F.col("pix")) <= b))
+        assert near.count() == want.count()
+    text = plan(sample_window(cells, fx.points(spark, SF_SMALL), fx.CELLS_SPEC, 15))
+    assert text.count("Exchange hashpartitioning(point_id") == 1 and "partial_avg" in text
+
+
+def test_series_are_complete_without_a_join(spark, store):
+    """Every station has every date; the rows come with the aggregate."""
+    from gridfold.operators.points import sample_nearest
+    cells, pts = read_cells(spark, store), fx.points(spark, SF_SMALL)
+    out = sample_nearest(cells, pts, fx.CELLS_SPEC)
+    assert out.count() == pts.count() * cells.select("date").distinct().count()
+    assert plan(out).count("Join") == 1
+    some = sample_nearest(cells, pts, fx.CELLS_SPEC, dates=["2020-01-09", "1999-01-01"])
+    assert some.count() == 2 * pts.count() and some.where("date = date'1999-01-01' and value is not null").count() == 0
 
 
 def test_summarise_one_exchange_for_both_reductions(spark, store):
@@ -116,6 +129,8 @@ def test_station_rows_reach_the_scan(spark, store):
     assert df.count() > 0
     assert row_runs([5, 1, 2, 3, 9, 10]) == [(1, 3), (5, 5), (9, 10)]
     assert row_runs([1, 3, 10, 11], max_runs=2) == [(1, 3), (10, 11)]
+    assert row_runs([]) == [] and row_runs([4]) == [(4, 4)]
+    assert len(row_runs(list(range(0, 200_000, 2)))) == 32       # no quadratic walk over the gaps
 
 
 def test_huge_blocks_keep_partial_aggregation(spark, store):
