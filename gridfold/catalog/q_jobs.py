@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from gridfold.catalog.fixture_sql import with_fixtures
+from gridfold.catalog.q_big import big_block_sql, big_coords_sql
 from gridfold.catalog.q_landcover import label_case
-from gridfold.catalog.q_reduce import STATS_SQL, block_sql, coords_sql
+from gridfold.catalog.q_reduce import STATS_SQL, YEARS_SQL, block_sql, coords_sql, spread_over_years
 from gridfold.catalog.q_reproject import DST, SIN_SPEC, SRC_MEAN_SQL, bilinear_sql
 from gridfold.catalog.q_select import DATE_REQUEST, ranges_values_sql
 from gridfold.catalog.registry import r6, register
 from gridfold.operators.stats import STAT_ORDER
+from gridfold.operators.temporal import yearly_sum_mean
 from gridfold.plans.jobs import Crop, composite_summary, grid_summary, range_summary
 from gridfold.sources import fixtures as fx
 
-SPEC = fx.CELLS_SPEC
+SPEC, BIG = fx.CELLS_SPEC, fx.BIG_SPEC
 BOX = Crop(lon_min=12.0, lon_max=28.0, lat_min=52.0, lat_max=60.0)
 K = 2
 FACTOR = 8.0
@@ -113,6 +117,77 @@ def q_range_summary_lowmem(spark, sf):
     return r6(s.stats, *STAT_ORDER)
 
 
+# -- cells without any row count as missing, as in an array --------------------
+BIG_BOX = Crop(lon_min=100.0, lon_max=300.0, lat_min=-120.0, lat_max=20.0)
+FRAME_CTES = {
+    "selb": f"""SELECT c.iy, c.ix, c.value FROM cells_big c
+                JOIN (VALUES {ranges_values_sql()}) r(k, s, e) ON c.date BETWEEN r.s AND r.e""",
+    "frame": f"SELECT CAST(i // {BIG.nx} AS INT) AS iy, CAST(i % {BIG.nx} AS INT) AS ix FROM range(0, {BIG.n_cells}) r(i)",
+    "t0": """SELECT f.iy, f.ix, coalesce(s.value, 0.0) AS value
+             FROM frame f LEFT JOIN (SELECT iy, ix, sum(value) AS value FROM selb GROUP BY iy, ix) s USING (iy, ix)""",
+    "tb": f"""SELECT biy AS iy, bix AS ix, {big_coords_sql(4)}, sum(value) AS value
+              FROM ({big_block_sql(4, 't0')}) q GROUP BY biy, bix""",
+}
+
+
+@register("range_sum_framed_stats", with_fixtures(STATS_SQL, {**FRAME_CTES, "t": "SELECT value FROM tb"}))
+def q_range_sum_framed_stats(spark, sf):
+    """Sums of a sparse grid: cells that no composite has are 0."""
+    s = range_summary(fx.cells_big(spark, sf), BIG, fx.DATE_RANGES, "sum", 4, persist=False, dense=True)
+    return r6(s.stats, *STAT_ORDER)
+
+
+@register("profile_framed", with_fixtures(
+    "SELECT y, round(avg(value) + 3.725290298461914e-09, 6) AS value FROM tb "
+    "WHERE x BETWEEN 100.0 AND 300.0 AND y BETWEEN -120.0 AND 20.0 GROUP BY y", FRAME_CTES))
+def q_profile_framed(spark, sf):
+    """Profile of the cropped framed sums: all grid rows, absent cells as 0."""
+    s = range_summary(fx.cells_big(spark, sf), BIG, fx.DATE_RANGES, "sum", 4, persist=False, dense=True, box=BIG_BOX)
+    return r6(s.profiles["mean"], "value")
+
+
+TILE_H, TILE_W = 8, 16
+
+
+def tile_footprints(cells):
+    """Footprints of the tiles present, from their names."""
+    h, v = (F.regexp_extract("tile", r"h(\d+)v(\d+)", i).cast("int") for i in (1, 2))
+    return cells.select("tile").distinct().select(
+        "tile", (v * TILE_H).alias("iy_lo"), F.least(v * TILE_H + TILE_H, F.lit(SPEC.ny)).alias("iy_end"),
+        (h * TILE_W).alias("ix_lo"), F.least(h * TILE_W + TILE_W, F.lit(SPEC.nx)).alias("ix_end")).select(
+        "tile", "iy_lo", (F.col("iy_end") - 1).alias("iy_hi"), "ix_lo", (F.col("ix_end") - 1).alias("ix_hi"))
+
+
+@register("range_lowmem_framed", with_fixtures("""
+SELECT iy, ix, y, x, value FROM t""", {
+    "gap": "SELECT * FROM cells WHERE tile <> 'h01v01' AND (7 * iy + ix) % 6 <> 0",
+    "sel": f"""SELECT c.* FROM gap c JOIN (VALUES {ranges_values_sql()}) r(k, s, e) ON c.date BETWEEN r.s AND r.e""",
+    "t0": f"""SELECT f.iy, f.ix, coalesce(s.value, 0.0) AS value
+              FROM (SELECT CAST(i // {SPEC.nx} AS INT) AS iy, CAST(i % {SPEC.nx} AS INT) AS ix FROM range(0, {SPEC.n_cells}) r(i)) f
+              LEFT JOIN (SELECT iy, ix, sum(value) AS value FROM sel GROUP BY iy, ix) s USING (iy, ix)
+              WHERE NOT (f.iy // {TILE_H} = 1 AND f.ix // {TILE_W} = 1)""",
+    "t": f"SELECT biy AS iy, bix AS ix, {coords_sql(3, 'biy', 'bix')}, max(value) AS value FROM ({block_sql(3, 't0')}) q GROUP BY biy, bix"}))
+def q_range_lowmem_framed(spark, sf):
+    """The per-tile path: cells without rows are 0 within the tiles' footprints
+    and missing where no tile reaches (one tile is left out)."""
+    gap = fx.cells(spark, sf).where("tile <> 'h01v01' and (7 * iy + ix) % 6 <> 0")
+    s = range_summary(gap, SPEC, fx.DATE_RANGES, "sum", 3, low_mem=True, persist=False, dense=True,
+                      footprints=tile_footprints(gap))
+    return s.product
+
+
+@register("yearly_framed", with_fixtures(f"""
+SELECT f.iy, f.ix, CAST(61.0 - 0.5 * (f.iy + 0.5) AS DOUBLE) AS y, CAST(10.0 + 0.5 * (f.ix + 0.5) AS DOUBLE) AS x,
+       round(avg(coalesce(s.value, 0.0)) + 3.725290298461914e-09, 6) AS value, count(*) AS n_years
+FROM frame f CROSS JOIN (SELECT DISTINCT year(date) AS yr FROM cy) n
+LEFT JOIN (SELECT iy, ix, year(date) AS yr, sum(value) AS value FROM cy GROUP BY 1, 2, 3) s
+  ON s.iy = f.iy AND s.ix = f.ix AND s.yr = n.yr GROUP BY f.iy, f.ix""", {
+    "cy": YEARS_SQL.replace("FROM cells", "FROM cells_big"), "frame": FRAME_CTES["frame"]}))
+def q_yearly_framed(spark, sf):
+    """Yearly sums and their mean on the whole grid, in one shuffle."""
+    return r6(yearly_sum_mean(spread_over_years(fx.cells_big(spark, sf)), BIG, dense=True), "value")
+
+
 @register("composite_summary", with_fixtures(f"""
 SELECT ord, date, round(avg(value) + 3.725290298461914e-09, 6) AS mean, round(min(value) + 3.725290298461914e-09, 6) AS min,
        round(max(value) + 3.725290298461914e-09, 6) AS max, round(coalesce(sum(value), 0.0) + 3.725290298461914e-09, 6) AS sum,

@@ -213,9 +213,12 @@ SELECT make_date(CAST(year(date) + (ix + 3*iy + dayofyear(date)) % 4 AS BIGINT),
 
 
 def years_cells(spark, sf):
+    return spread_over_years(fx.cells(spark, sf))
+
+
+def spread_over_years(c):
     """The cell stack spread over four years (2020-2023) by a rule of the
     cell and day, so every cell has a different set of years."""
-    c = fx.cells(spark, sf)
     shift = (F.col("ix") + 3 * F.col("iy") + F.dayofyear("date")) % 4
     return c.withColumn("date", F.make_date(F.year("date") + shift, F.month("date"),
                                             F.dayofmonth("date")))

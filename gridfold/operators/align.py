@@ -48,6 +48,38 @@ def frame_cells(cells: DataFrame, spec: GridSpec, dates=None,
                                               "iy", "ix", "y", "x", *value_cols)
 
 
+def frame_rows(spark: SparkSession, spec: GridSpec,
+               window: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """(iy, ix) of every cell of ``spec``, or of an inclusive index window
+    (iy_lo, iy_hi, ix_lo, ix_hi)."""
+    iy_lo, iy_hi, ix_lo, ix_hi = window or (0, spec.ny - 1, 0, spec.nx - 1)
+    ny, nx = max(0, iy_hi - iy_lo + 1), max(0, ix_hi - ix_lo + 1)
+    parts = max(spark.sparkContext.defaultParallelism, -(-ny * nx // FRAME_ROWS_PER_PARTITION))
+    at = F.col("id")
+    return spark.range(0, ny * nx, 1, parts).select(
+        (F.floor(at / F.lit(max(nx, 1))) + F.lit(iy_lo)).cast("int").alias("iy"),
+        (at % F.lit(max(nx, 1)) + F.lit(ix_lo)).cast("int").alias("ix"))
+
+
+def footprint_rows(footprints: DataFrame) -> DataFrame:
+    """(tile, iy, ix) of every cell of tile footprints (tile, iy_lo, iy_hi,
+    ix_lo, ix_hi; inclusive).  One row per tile is spread over tasks by its
+    grid rows before its cells are listed."""
+    rows = footprints.select("tile", "ix_lo", "ix_hi", F.explode(F.sequence("iy_lo", "iy_hi")).alias("iy"))
+    n = footprints.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(n, "tile", "iy").select(
+        "tile", "iy", F.explode(F.sequence("ix_lo", "ix_hi")).alias("ix"))
+
+
+def with_frame(cells: DataFrame, frame: DataFrame) -> DataFrame:
+    """The stack with one more row, without values, for every cell of
+    ``frame``.  A reduction over time then has every cell of the frame (a sum
+    of 0, a mean of NULL) as an outer-aligned array has, for the price of one
+    composite: no frame of cells x dates is built and nothing is joined."""
+    return cells.unionByName(frame.drop(*[c for c in frame.columns if c not in cells.columns]),
+                             allowMissingColumns=True)
+
+
 def dates_of(cells: DataFrame):
     """All distinct dates of ``cells`` as an array-valued scalar subquery
     (one value per composite date: bounded by the number of dates)."""

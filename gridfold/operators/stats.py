@@ -61,10 +61,16 @@ PROFILE_METHODS = ("sum", "mean")
 
 
 def profile(grid: DataFrame, method: str = "sum", keys: tuple[str, ...] = (),
-            col: str = "value") -> DataFrame:
+            col: str = "value", spec: GridSpec | None = None) -> DataFrame:
     """Reduction over x for every y (G8, a latitude profile).
 
-    A row with no valid value gives 0 for both methods."""
+    A row with no valid value gives 0 for both methods.  With ``spec`` every
+    row of that grid is in the profile (without ``keys`` only), also rows
+    that no cell stands in."""
+    if spec is not None and not keys:
+        rows = grid.sparkSession.range(spec.ny).select(
+            spec.y_of(F.col("id").cast("int")).alias("y"), F.lit(None).cast("double").alias(col))
+        grid = grid.select("y", col).unionByName(rows)
     if method == "sum":
         e = F.coalesce(F.sum(col), F.lit(0.0))
     elif method == "mean":

@@ -62,13 +62,25 @@ def tile_temporal(cells: DataFrame, op: str = "mean", spec: GridSpec | None = No
     return temporal_reduce(cells, op, spec, keys=("tile",))
 
 
-def yearly_sum_mean(cells: DataFrame, spec: GridSpec | None = None) -> DataFrame:
+def yearly_sum_mean(cells: DataFrame, spec: GridSpec | None = None, dense: bool = False) -> DataFrame:
     """Sum per cell and calendar year, then the mean of those yearly sums
     over the years present for the cell (G15).
 
     A year in which a cell has rows but no valid value contributes a sum of 0;
-    a year without any row for the cell is not counted."""
+    a year without any row for the cell is not counted.  ``dense`` is the rule
+    of arrays: every cell of ``spec`` has a sum (0 at least) in every year of
+    the stack.  The mean of the yearly sums is then the whole sum over the
+    number of years, so one aggregate and one shuffle do."""
     cells = value_band(cells)
+    if dense:
+        from gridfold.operators.align import frame_rows, with_frame
+        years = cells.select(F.count_distinct(F.year("date"))).scalar()
+        narrow = cells.select("iy", "ix", "value")
+        total = (with_frame(narrow, frame_rows(cells.sparkSession, spec)).groupBy("iy", "ix")
+                 .agg(reduce_expr("sum").alias("value")))
+        out = total.select("iy", "ix", F.try_divide(F.col("value"), years.cast("double")).alias("value"),
+                           years.alias("n_years"))
+        return spec.with_coords(out).select("iy", "ix", "y", "x", "value", "n_years")
     yearly = (cells.groupBy(F.year("date").alias("year"), "iy", "ix")
                    .agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("value")))
     out = yearly.groupBy("iy", "ix").agg(F.avg("value").alias("value"),

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridfold.model import WGS84, GridSpec
+from gridfold.operators.align import footprint_rows, frame_rows, with_frame
 from gridfold.operators.coarsen import coarsen, summarise
 from gridfold.operators.landcover import lc_to_grid, zonal_share, zonal_sum
 from gridfold.operators.points import sample_nearest, sample_window, series, to_grid_crs
@@ -24,7 +25,7 @@ from gridfold.operators.select import (crop, is_cropped, scale_value, select_dat
                                        select_range, select_ranges)
 from gridfold.operators.stats import display_range, grid_stats, profile, quick_stats
 from gridfold.operators.temporal import temporal_reduce, value_band
-from gridfold.sources.sinks import write_cells
+from gridfold.sources.sinks import block_id, write_cells
 
 
 @dataclass
@@ -83,24 +84,28 @@ def sub_spec(spec: GridSpec, box: Crop) -> tuple[GridSpec, tuple[int, int, int,
     return s, (iy_lo, iy_hi, ix_lo, ix_hi)
 
 
-def precrop_source(cells: DataFrame, spec: GridSpec, k: int, box: Crop) -> DataFrame:
-    """Keep only source cells whose k-block centre lies in the crop box: an
-    index-range filter on iy/ix that reaches the Parquet scan.  The exact
-    crop on coordinates still follows."""
-    if not box.active:
-        return cells
-    iy_lo, iy_hi, ix_lo, ix_hi = spec.coarsened(k).index_window(**box.kw())
-    return cells.where(F.col("iy").between(iy_lo * k, (iy_hi + 1) * k - 1)
-                       & F.col("ix").between(ix_lo * k, (ix_hi + 1) * k - 1))
+def source_box(spec: GridSpec, k: int, box: Crop) -> tuple[int, int, int, int] | None:
+    """Index window (iy_lo, iy_hi, ix_lo, ix_hi) of the source cells that a
+    product can use; None for the whole grid.  On a lon/lat grid these are the
+    k-blocks whose centres lie in the crop box, on a projected one the
+    blocks that the bilinear step of the (cropped) lon/lat product touches."""
+    if spec.crs != WGS84:
+        iy_lo, iy_hi, ix_lo, ix_hi = source_window(spec.coarsened(k), product_spec(spec, k, box))
+    elif box.active:
+        iy_lo, iy_hi, ix_lo, ix_hi = spec.coarsened(k).index_window(**box.kw())
+    else:
+        return None
+    return iy_lo * k, (iy_hi + 1) * k - 1, ix_lo * k, (ix_hi + 1) * k - 1
 
 
-def source_for_reprojection(cells: DataFrame, spec: GridSpec, k: int, box: Crop) -> DataFrame:
-    """Keep the source cells whose k-blocks the lon/lat product can touch
-    (the bilinear source window, in source rows/columns): an index-range
-    filter that reaches the scan, before any reduction."""
-    iy_lo, iy_hi, ix_lo, ix_hi = source_window(spec.coarsened(k), product_spec(spec, k, box))
-    return cells.where(F.col("iy").between(iy_lo * k, (iy_hi + 1) * k - 1)
-                       & F.col("ix").between(ix_lo * k, (ix_hi + 1) * k - 1))
+def precrop_source(cells: DataFrame, spec: GridSpec, k: int, box: Crop) -> DataFrame:
+    """Keep only the cells of ``source_box``: an index-range filter on iy/ix
+    that reaches the Parquet scan, before any reduction.  The exact crop on
+    coordinates still follows."""
+    window = source_box(spec, k, box)
+    if window is None:
+        return cells
+    return cells.where(F.col("iy").between(*window[:2]) & F.col("ix").between(*window[2:]))
 
 
 def grid_summary(cells: DataFrame, spec: GridSpec, operator: str = "mean",
@@ -111,9 +116,11 @@ def grid_summary(cells: DataFrame, spec: GridSpec, operator: str = "mean",
                  lc: DataFrame | None = None, lc_spec: GridSpec | None = None,
                  exclude_lc: tuple[str, ...] = (), persist: bool | str = True,
                  bucket_block: int | None = None, save_path: str | None = None,
-                 stop_after_save: bool = False) -> Summary | None:
+                 stop_after_save: bool = False, dense: bool = False) -> Summary | None:
     """Summary of a stack (E4): product grid, statistics, display range,
-    latitude profiles and land-cover shares.  ``bucket_block``: the stack
+    latitude profiles and land-cover shares.  ``dense``: cells of the grid
+    without any row count as missing in every composite, as in an array (a sum
+    is 0 there, a profile has every grid row).  ``bucket_block``: the stack
     is a bucketed store (see ``summarise``).  ``save_path``: the stack as
     given (before any reduction) is written there first; with
     ``stop_after_save`` nothing else is computed (returns None)."""
@@ -125,8 +132,14 @@ def grid_summary(cells: DataFrame, spec: GridSpec, operator: str = "mean",
     reproject = spec.crs != WGS84
     if operator == "only_plot" and "date" in value_band(cells).columns:
         raise ValueError("grid_summary reduces over time; use composite_summary per date")
-    src = source_for_reprojection(cells, spec, k, box) if reproject \
-        else precrop_source(cells, spec, k, box)
+    src = precrop_source(cells, spec, k, box)
+    if dense and operator != "only_plot":
+        src = value_band(src)
+        src = src.select([c for c in ("date", "iy", "ix", "blk", "value") if c in src.columns])
+        frame = frame_rows(cells.sparkSession, spec, source_box(spec, k, box))
+        if "blk" in src.columns:
+            frame = frame.withColumn("blk", block_id(spec, bucket_block))
+        src = with_frame(src, frame)
     product = summarise(src, operator, k, spec, preset, bucket_block)
     pspec = spec.coarsened(k)
     if reproject:
@@ -134,18 +147,24 @@ def grid_summary(cells: DataFrame, spec: GridSpec, operator: str = "mean",
         product = reproject_bilinear(product, pspec, dst)
         pspec = dst
     return summary_of_product(product, pspec, box, value_factor, plot_type, vmax, max_factor,
-                               profiles, lc, lc_spec, exclude_lc, persist)
+                               profiles, lc, lc_spec, exclude_lc, persist, dense)
 
 
 def range_summary(cells: DataFrame, spec: GridSpec, ranges: list[tuple], operator: str = "mean",
                   k: int = 1, low_mem: bool = False, save_path: str | None = None,
-                  stop_after_save: bool = False, **kw) -> Summary | None:
+                  stop_after_save: bool = False, footprints: DataFrame | None = None,
+                  **kw) -> Summary | None:
     """Summary over date ranges (E3).  Overlapping ranges count a date once
     per range.  ``low_mem`` reproduces the per-tile path: the operator per
     tile first, then blocks by ``max`` (a different answer when k > 1).
     ``save_path`` writes the selected stack (with its range index ``k``)
     before the reduction; the low-memory path saves the per-tile product
-    instead, as its stack no longer exists."""
+    instead, as its stack no longer exists.
+
+    ``dense=True`` is the rule of arrays for cells without rows: they are
+    missing in every composite of the grid, or on the low-memory path of
+    their tile (``footprints``: tile, iy_lo, iy_hi, ix_lo, ix_hi; by default
+    the bounds of each tile's cells), where no tile reaches staying missing."""
     sel = select_ranges(cells, ranges)
     if save_path is not None and not low_mem:
         write_cells(sel, save_path)
@@ -154,35 +173,55 @@ def range_summary(cells: DataFrame, spec: GridSpec, ranges: list[tuple], operato
     if low_mem:
         if operator not in ("mean", "sum"):
             raise ValueError(f"the per-tile path reduces by mean or sum, not {operator!r}")
-        per_tile = temporal_reduce(sel, operator, spec, keys=("tile",))
+        per_tile = tile_products(sel, spec, operator, kw.get("dense", False), footprints)
         if save_path is not None:
             write_cells(per_tile, save_path)
             if stop_after_save:
                 return None
-        box = kw.get("box")
-        if box is not None and spec.crs == WGS84:
-            # the crop's source window reaches the scan; the saved per-tile
-            # product above stays whole
-            per_tile = precrop_source(per_tile, spec, k, box)
-        product, pspec = coarsen(per_tile.drop("tile"), k, "max", spec), spec.coarsened(k)
-        if spec.crs != WGS84:
-            # the same tail as the other path: reproject, then crop and scale
-            dst = product_spec(spec, k, box)
-            product, pspec = reproject_bilinear(product, pspec, dst), dst
-        return summary_of_product(product, pspec, **kw)
+        return tile_summary(per_tile, spec, k, **kw)
     return grid_summary(sel, spec, operator, "banded", k, **kw)
 
 
+def tile_bounds(cells: DataFrame) -> DataFrame:
+    """Footprint of each tile as far as its cells show it."""
+    return cells.groupBy("tile").agg(F.min("iy").alias("iy_lo"), F.max("iy").alias("iy_hi"),
+                                     F.min("ix").alias("ix_lo"), F.max("ix").alias("ix_hi"))
+
+
+def tile_products(cells: DataFrame, spec: GridSpec, operator: str, dense: bool = False,
+                  footprints: DataFrame | None = None) -> DataFrame:
+    """Every tile reduced over its dates (the low-memory form, G3); ``dense``
+    as in ``range_summary``."""
+    cells = value_band(cells).select("tile", "iy", "ix", "value")
+    if dense:
+        cells = with_frame(cells, footprint_rows(tile_bounds(cells) if footprints is None else footprints))
+    return temporal_reduce(cells, operator, spec, keys=("tile",))
+
+
+def tile_summary(per_tile: DataFrame, spec: GridSpec, k: int, **kw) -> Summary:
+    """Summary of per-tile products, new or read again: blocks by ``max``,
+    reprojection, crop and scale as on the other path."""
+    box = kw.get("box") or Crop()
+    # the crop's source window reaches the scan or the reduction
+    product = coarsen(precrop_source(per_tile, spec, k, box).drop("tile"), k, "max", spec)
+    pspec = spec.coarsened(k)
+    if spec.crs != WGS84:
+        dst = product_spec(spec, k, box)
+        product, pspec = reproject_bilinear(product, pspec, dst), dst
+    return summary_of_product(product, pspec, **kw)
+
+
 def summary_of_product(product: DataFrame, pspec: GridSpec, box: Crop | None = None,
                         value_factor: float = 1.0, plot_type: str = "standard",
                         vmax=None, max_factor: float = 1.0,
                         profiles=("sum", "mean"), lc=None, lc_spec=None,
-                        exclude_lc=(), persist: bool | str = True) -> Summary:
+                        exclude_lc=(), persist: bool | str = True, dense: bool = False) -> Summary:
     box = box or Crop()
+    rows = sub_spec(pspec, box)[0] if box.active else pspec
     product = materialize(scale_value(crop(product, **box.kw()), value_factor), persist)
     stats = grid_stats(product)
     disp = display_range(quick_stats(product), plot_type, vmax, max_factor)
-    profs = {m: profile(product, m) for m in profiles}
+    profs = {m: profile(product, m, spec=rows if dense else None) for m in profiles}
     zonal = None
     if lc is not None and lc_spec is not None:
         window = pspec.index_window(**box.kw()) if box.active else None
@@ -207,9 +246,7 @@ def composite_summary(cells: DataFrame, spec: GridSpec, dates: list[str], k: int
             return None
     box = box or Crop()
     reproject = spec.crs != WGS84
-    src = source_for_reprojection(cells, spec, k, box) if reproject \
-        else precrop_source(cells, spec, k, box)
-    sel = select_dates(src, dates)
+    sel = select_dates(precrop_source(cells, spec, k, box), dates)
     product = coarsen(value_band(sel), k, "max", spec, keys=("ord", "date"))
     if reproject:
         product = reproject_bilinear(product, spec.coarsened(k), product_spec(spec, k, box),
