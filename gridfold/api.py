@@ -7,26 +7,29 @@ their data are returned as DataFrames.
 
 A store is either a GeoTIFF tree ``<directory>/<date>/*.tif`` (dates as
 ``YYYY-MM-DD`` or ``YYYYMMDD``) or a Parquet cell store written by
-``write_cells``.  The grid of a GeoTIFF tree is inferred from the tiles of
-its first date unless ``spec`` is given.
+``write_cells``.  The grid of a GeoTIFF tree is inferred from the headers of
+the tiles of all selected dates unless ``spec`` is given.  ``dense`` (default)
+is the rule of arrays: a cell without any row is missing in every composite,
+so its sum is 0; ``dense=False`` leaves such cells out.
 """
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridfold.model import GridSpec
-from gridfold.operators.coarsen import coarsen as coarsen_grid
-from gridfold.operators.points import sample_window
-from gridfold.plans import jobs
+from gridfold.operators.align import check_complete, first_tile_wins
+from gridfold.operators.points import sample_window, to_grid_crs
+from gridfold.operators.select import in_range, select_range, select_ranges
+from gridfold.plans import jobs, products
 from gridfold.sources import sinks
-from gridfold.sources.raster import decode_store, infer_spec, read_tile_files, tile_headers, tile_overlaps
-from gridfold.sources.store import read_cells
+from gridfold.sources.raster import (decode_store, infer_spec, list_tile_files, read_tile_files, tile_footprints,
+                                     tile_headers, tile_overlaps)
+from gridfold.sources.store import numbered, read_cells, read_points
 
 
 @dataclass
@@ -53,36 +56,69 @@ class Actions:
         return tuple(m for m in ("sum", "mean") if getattr(self, m))
 
 
-def _is_tiff_tree(spark: SparkSession, directory: str) -> bool:
-    if directory.startswith("file:") or "://" not in directory:
-        root = directory[len("file:"):] if directory.startswith("file:") else directory
-        for _, _, files in os.walk(root):
-            if any(f.endswith(".tif") for f in files):
-                return True
-            if any(f.endswith(".parquet") for f in files):
-                return False
-        return False
-    return False
+@dataclass
+class Stack:
+    """An opened store: its cells and grid, and for a tile tree the footprints
+    of the tiles and the (tile_key, date) pairs of its files."""
+    cells: DataFrame
+    spec: GridSpec
+    footprints: DataFrame | None = None
+    tiles: DataFrame | None = None
 
 
-def load_stack(spark: SparkSession, directory: str, spec: GridSpec | None = None,
-               crs: str | None = None, when=None) -> tuple[DataFrame, GridSpec]:
-    """Cells of a store and their grid.  ``when`` (a Column over ``date``)
-    selects dates before files are opened (GeoTIFF) or as a partition filter
-    (Parquet)."""
-    if _is_tiff_tree(spark, directory):
+FORMATS = ("auto", "geotiff", "parquet")
+OVERLAPS = ("error", "first", "last")
+
+
+def _is_tiff_tree(spark: SparkSession, directory: str, format: str = "auto") -> bool:
+    """Whether the store is a tile tree; "auto" looks for a .tif file by Spark's
+    own listing, on any file system."""
+    if format not in FORMATS:
+        raise ValueError(f"format is one of {FORMATS}, not {format!r}")
+    return format == "geotiff" or (format == "auto" and not list_tile_files(spark, directory).limit(1).isEmpty())
+
+
+def open_stack(spark: SparkSession, directory: str, spec: GridSpec | None = None, crs: str | None = None,
+               when=None, format: str = "auto", overlap: str = "error", alignment: str = "outer") -> Stack:
+    """Opens a store.  ``when`` (a Column over ``date``) selects dates before
+    files are opened (tile tree) or as a partition filter (Parquet).
+
+    ``overlap``: what two tiles of one date that share cells do: raise an
+    error, or give the cell to the tile whose name sorts first or last.
+    ``alignment="strict"``: a tile of the first date that is missing on a
+    later date raises an error; "outer" takes what is there."""
+    if overlap not in OVERLAPS:
+        raise ValueError(f"overlap is one of {OVERLAPS}, not {overlap!r}")
+    if alignment not in ("outer", "strict"):
+        raise ValueError(f"alignment is outer or strict, not {alignment!r}")
+    if not _is_tiff_tree(spark, directory, format):
         if spec is None:
-            # the grid holds the tiles of every selected date, not of the first one
-            headers = tile_headers(read_tile_files(spark, directory, when))
-            spec = infer_spec(headers, crs)
-            clash = tile_overlaps(headers).first()
-            if clash is not None:
-                raise ValueError(f"tiles overlap on one date: {clash['a']} and {clash['b']}")
-        return decode_store(spark, directory, spec, when), spec
+            raise ValueError("a Parquet cell store needs its GridSpec")
+        cells = read_cells(spark, directory)
+        cells = cells.where(when) if when is not None else cells
+        if alignment == "strict":
+            check_complete(cells.select("tile", "date").distinct(), "tile")
+        return Stack(cells, spec)
+    tiles = list_tile_files(spark, directory, when).select("tile_key", "date")
+    if alignment == "strict":
+        check_complete(tiles)
+    headers = tile_headers(read_tile_files(spark, directory, when))
     if spec is None:
-        raise ValueError("a Parquet cell store needs its GridSpec")
-    cells = read_cells(spark, directory)
-    return (cells.where(when) if when is not None else cells), spec
+        spec = infer_spec(headers, crs)           # the tiles of every selected date
+    cells = decode_store(spark, directory, spec, when)
+    clash = tile_overlaps(headers).first()
+    if clash is not None:
+        if overlap == "error":
+            raise ValueError(f"tiles overlap on one date: {clash['a']} and {clash['b']}")
+        cells = first_tile_wins(cells, spec, last=overlap == "last")
+    return Stack(cells, spec, tile_footprints(headers, spec), tiles)
+
+
+def load_stack(spark: SparkSession, directory: str, spec: GridSpec | None = None,
+               crs: str | None = None, when=None, **kw) -> tuple[DataFrame, GridSpec]:
+    """Cells and grid of ``open_stack``."""
+    stack = open_stack(spark, directory, spec, crs, when, **kw)
+    return stack.cells, stack.spec
 
 
 def _crop(lon_min, lon_max, lat_min, lat_max) -> jobs.Crop:
@@ -91,7 +127,9 @@ def _crop(lon_min, lon_max, lat_min, lat_max) -> jobs.Crop:
 
 def _outputs(summary: jobs.Summary, out_dir: str, actions: Actions, export_stats: bool,
              with_lc: bool) -> dict:
-    out = {"product": summary.product, "stats": summary.stats, "display": summary.display}
+    # release() frees the kept product once the outputs have been used
+    out = {"product": summary.product, "stats": summary.stats, "display": summary.display,
+           "release": summary.release}
     if export_stats:
         sinks.write_stats_text(summary.stats, f"{out_dir}/stats")
     if actions.side_products:
@@ -112,7 +150,8 @@ def plot_dataset(spark: SparkSession, cells: DataFrame, spec: GridSpec, out_dir:
                  vmax: float | None = None, value_factor: float = 1.0, output_data: bool = False,
                  extra_actions: str = "", lc: DataFrame | None = None,
                  lc_spec: GridSpec | None = None, exclude_lc_class=(), export_stats: bool = False,
-                 plot_type: str = "standard", stop_after_save: bool = False) -> dict | None:
+                 plot_type: str = "standard", stop_after_save: bool = False,
+                 dense: bool = True) -> dict | None:
     """Operator + coarsen, reprojection, crop, scale, statistics, display
     range, profiles and land-cover shares of a stack (E4)."""
     actions = Actions.parse(extra_actions)
@@ -123,7 +162,7 @@ def plot_dataset(spark: SparkSession, cells: DataFrame, spec: GridSpec, out_dir:
         profiles=actions.methods() if actions.side_products else (),
         lc=lc if with_lc else None, lc_spec=lc_spec, exclude_lc=tuple(exclude_lc_class),
         save_path=f"{out_dir}/data_save/stack" if output_data else None,
-        stop_after_save=stop_after_save)
+        stop_after_save=stop_after_save, dense=dense)
     if s is None:
         return None
     return _outputs(s, out_dir, actions, export_stats, with_lc)
@@ -136,110 +175,74 @@ def plot_range(spark: SparkSession, directory: str, dates: list, out_dir: str, c
                lon_min=None, lon_max=None, lat_min=None, lat_max=None,
                max_factor: float = 1.0, exclude_lc_class=(), export_stats: bool = False,
                stop_after_save: bool = False, spec: GridSpec | None = None,
-               crs: str | None = None, continue_plot: bool = False) -> dict | None:
+               crs: str | None = None, continue_plot: bool = False, dense: bool = True,
+               format: str = "auto", overlap: str = "error", alignment: str = "outer") -> dict | None:
     """Summary over a date range or a list of ranges (E3).  ``dates`` is
     [start, end] or [[start, end], ...]; '' is an open bound.
 
-    ``low_mem`` with ``continue_plot`` resumes: per-tile products already in
-    ``<out_dir>/data_save/tiles_<operator>_<dates>`` are reused and only the
-    missing tiles are computed and appended (J10)."""
+    ``low_mem`` with ``continue_plot`` resumes: products of tiles whose
+    selected dates, operator and grid are unchanged are read from
+    ``<out_dir>/data_save/tile_products`` and only the others are computed
+    (J10, see ``plans.products``)."""
     ranges = [tuple(d) for d in dates] if dates and isinstance(dates[0], (list, tuple)) \
         else [tuple(dates)]
-    from functools import reduce
-    from gridfold.operators.select import in_range
     when = reduce(lambda a, b: a | b, [in_range(s_, e_) for s_, e_ in ranges])
-    cells, spec = load_stack(spark, directory, spec, crs, when=when)
+    stack = open_stack(spark, directory, spec, crs, when, format, overlap, alignment)
     actions = Actions.parse(extra_actions)
     with_lc = lc is not None and actions.side_products
+    tail = dict(box=_crop(lon_min, lon_max, lat_min, lat_max), value_factor=value_factor, vmax=vmax,
+                max_factor=max_factor, profiles=actions.methods() if actions.side_products else (),
+                lc=lc if with_lc else None, lc_spec=lc_spec, exclude_lc=tuple(exclude_lc_class), dense=dense)
     if low_mem and continue_plot:
-        product = _resume_tile_products(spark, cells, spec, ranges, operator, out_dir)
-        s = jobs.summary_of_product(
-            coarsen_grid(product, coarsen, "max", spec), spec.coarsened(coarsen),
-            box=_crop(lon_min, lon_max, lat_min, lat_max), value_factor=value_factor,
-            vmax=vmax, max_factor=max_factor,
-            profiles=actions.methods() if actions.side_products else (),
-            lc=lc if with_lc else None, lc_spec=lc_spec, exclude_lc=tuple(exclude_lc_class))
-        return _outputs(s, out_dir, actions, export_stats, with_lc)
-    s = jobs.range_summary(
-        cells, spec, ranges, operator, coarsen, low_mem=low_mem,
-        save_path=f"{out_dir}/data_save/stack" if output_data else None,
-        stop_after_save=stop_after_save, box=_crop(lon_min, lon_max, lat_min, lat_max),
-        value_factor=value_factor, vmax=vmax, max_factor=max_factor,
-        profiles=actions.methods() if actions.side_products else (),
-        lc=lc if with_lc else None, lc_spec=lc_spec, exclude_lc=tuple(exclude_lc_class))
+        per_tile = products.resumed(select_ranges(stack.cells, ranges), stack.spec, operator,
+                                    f"{out_dir}/data_save/tile_products", dense, stack.footprints)
+        s = jobs.tile_summary(per_tile, stack.spec, coarsen, **tail)
+    else:
+        s = jobs.range_summary(
+            stack.cells, stack.spec, ranges, operator, coarsen, low_mem=low_mem,
+            save_path=f"{out_dir}/data_save/stack" if output_data else None,
+            stop_after_save=stop_after_save, footprints=stack.footprints, **tail)
     if s is None:
         return None
     return _outputs(s, out_dir, actions, export_stats, with_lc)
 
 
-def _resume_tile_products(spark: SparkSession, cells: DataFrame, spec: GridSpec, ranges,
-                          operator: str, out_dir: str) -> DataFrame:
-    """Per-tile time reductions, computing only tiles not yet written.  The
-    folder name carries the operator and the date set, so a product of
-    other dates or another operator is never reused."""
-    import hashlib
-    from gridfold.operators.align import skip_existing
-    from gridfold.operators.select import select_ranges
-    from gridfold.operators.temporal import temporal_reduce
-    from gridfold.plans.broadcast import broadcast_if_small
-    tag = hashlib.sha1(repr(sorted(ranges)).encode()).hexdigest()[:10]
-    path = f"{out_dir}/data_save/tiles_{operator}_{tag}"
-    sel = select_ranges(cells, ranges)
-    wanted = sel.select("tile").distinct()
-    try:
-        existing = spark.read.parquet(path).select("tile").distinct()
-        todo = skip_existing(wanted, existing, ["tile"])
-    except AnalysisException:  # no products yet
-        todo = wanted
-    todo = broadcast_if_small(todo, 100_000)          # one row per tile
-    fresh = temporal_reduce(sel.join(todo, "tile", "left_semi"), operator, spec, keys=("tile",))
-    sinks.write_cells(fresh, path, mode="append")
-    return spark.read.parquet(path).drop("tile").withColumn("value", F.col("value").cast("double"))
-
-
 def plot_composite(spark: SparkSession, directory: str, dates: list, out_dir: str,
                    coarsen: int = 1, value_factor: float = 1.0, save_composite: bool = False,
                    extra_actions: str = "", lon_min=None, lon_max=None, lat_min=None,
                    lat_max=None, export_stats: bool = False, stop_after_save: bool = False,
                    spec: GridSpec | None = None, crs: str | None = None,
                    lc: DataFrame | None = None, lc_spec: GridSpec | None = None,
-                   exclude_lc_class=()) -> dict | None:
+                   exclude_lc_class=(), vmax: float | None = None, max_factor: float = 1.0,
+                   format: str = "auto", overlap: str = "error") -> dict | None:
     """Per-composite products and statistics for the chosen dates (E2),
-    all dates in one job; an empty list takes every date."""
-    from gridfold.operators.stats import profile
+    all dates in one job; an empty list takes every date.  Statistics, display
+    range, profiles and land-cover sums come from one pass over the product."""
     dates = list(dates or [])
     when = F.col("date").isin([F.lit(d).cast("date") for d in dates]) if dates else None
-    cells, spec = load_stack(spark, directory, spec, crs, when=when)
-    r = jobs.composite_summary(cells, spec, list(dates), coarsen,
-                               _crop(lon_min, lon_max, lat_min, lat_max), value_factor,
-                               save_path=f"{out_dir}/data_save/composites" if save_composite else None,
-                               stop_after_save=stop_after_save)
+    cells, spec = load_stack(spark, directory, spec, crs, when=when, format=format, overlap=overlap)
+    box = _crop(lon_min, lon_max, lat_min, lat_max)
+    actions = Actions.parse(extra_actions)
+    r = jobs.composite_report(cells, spec, dates, coarsen, box, value_factor,
+                              lc=lc if actions.side_products else None, lc_spec=lc_spec,
+                              exclude_lc=tuple(exclude_lc_class), vmax=vmax, max_factor=max_factor,
+                              profiles=actions.methods() if actions.side_products else (),
+                              save_path=f"{out_dir}/data_save/composites" if save_composite else None,
+                              stop_after_save=stop_after_save)
     if r is None:
         return None
-    product, stats = r
-    from gridfold.operators.stats import display_range, quick_stats
-    keys = ("ord", "date")
-    out = {"product": product, "stats": stats,
-           "display": display_range(quick_stats(product, keys), keys=keys)}
+    out = {"product": r.product, "stats": r.stats, "display": r.display}
     if export_stats:
-        sinks.write_stats_text(stats.drop("ord"), f"{out_dir}/stats", keys=("date",))
-    actions = Actions.parse(extra_actions)
-    if actions.side_products:
-        for m in actions.methods():
-            prof = profile(product, m, keys=("ord", "date"))
-            out[f"profile_{m}"] = prof
-            if actions.record:
-                # one file per date: a date's profile has one row per grid row
-                (prof.repartition("date").write.mode("overwrite").partitionBy("date")
-                     .option("header", True).csv(f"{out_dir}/data_save/longitude_data_{m}"))
-        if lc is not None and lc_spec is not None:
-            box = _crop(lon_min, lon_max, lat_min, lat_max)
-            shares = jobs.composite_zonal(product, jobs.product_spec(spec, coarsen, box), lc,
-                                          lc_spec, box, tuple(exclude_lc_class))
-            out["lc_percentages"] = shares
-            if actions.record:
-                (shares.repartition("date").write.mode("overwrite").partitionBy("date")
-                       .option("header", True).csv(f"{out_dir}/data_save/lc_percentages"))
+        sinks.write_stats_text(r.stats.drop("ord"), f"{out_dir}/stats", keys=("date",))
+    tables = {f"profile_{m}": (p, f"longitude_data_{m}") for m, p in r.profiles.items()}
+    if r.zonal is not None:
+        tables["lc_percentages"] = (r.zonal, "lc_percentages")
+    for name, (table, folder) in tables.items():
+        out[name] = table
+        if actions.record:
+            # one file per date: a date has one row per grid row or class
+            (table.repartition("date").write.mode("overwrite").partitionBy("date")
+                  .option("header", True).csv(f"{out_dir}/data_save/{folder}"))
     return out
 
 
@@ -248,27 +251,27 @@ def extract_timeseries(spark: SparkSession, directory: str, dir_out: str, points
                        time_end: str = "", scale_factor: float | None = None,
                        flag_value: bool = True, flag_quality: bool = False,
                        cellbuffer_extend: int = 0, extract_area: bool = False,
-                       spec: GridSpec | None = None, crs: str | None = None) -> DataFrame:
-    """Per-station series (E1) written as CSV folders per station; the
-    window cells are also written when ``extract_area``.  ``points`` needs
-    x, y, crs and ``point_id`` (generated when absent: unique, not
-    consecutive); ``name_column`` names the stations, else ``point_%05d``."""
-    from gridfold.operators.select import in_range
-    from gridfold.sources.store import read_points
+                       spec: GridSpec | None = None, crs: str | None = None,
+                       edge: str = "truncate", max_distance: float | None = None,
+                       format: str = "auto", overlap: str = "error") -> DataFrame:
+    """Per-station series (E1), one row for every station and date, written as
+    CSV folders per station; the window cells are also written when
+    ``extract_area``.  ``points`` needs x, y, crs and ``point_id`` (numbered
+    from 0 in the table's order when absent); ``name_column`` names the
+    stations, else ``point_%05d``.  ``edge="reference"``: windows past the top
+    or left edge are empty."""
     when = in_range(time_start or None, time_end or None) if (time_start or time_end) else None
-    cells, spec = load_stack(spark, directory, spec, crs, when=when)
-    id_col = "point_id" if "point_id" in points.columns else None
-    if id_col is None:
-        points = points.withColumn("point_id", F.monotonically_increasing_id())
+    cells, spec = load_stack(spark, directory, spec, crs, when=when, format=format, overlap=overlap)
+    if "point_id" not in points.columns:
+        points = numbered(points, "point_id")
     pts = read_points(points, name_col=name_column)
     series = jobs.point_series(cells, spec, pts, time_start or None, time_end or None,
                                buffer=cellbuffer_extend, scale_factor=scale_factor,
-                               flag_value=flag_value, flag_quality=flag_quality)
+                               flag_value=flag_value, flag_quality=flag_quality, edge=edge,
+                               max_distance=max_distance)
     sinks.write_series_csv(series, f"{dir_out}/time_series")
     if extract_area and cellbuffer_extend > 0:
-        from gridfold.operators.select import select_range
-        from gridfold.operators.points import to_grid_crs
         sel = select_range(cells, time_start or None, time_end or None)
-        area = sample_window(sel, to_grid_crs(pts, spec.crs), spec, cellbuffer_extend)
+        area = sample_window(sel, to_grid_crs(pts, spec.crs), spec, cellbuffer_extend, edge)
         sinks.write_cells(area, f"{dir_out}/time_series_area", float32=False)
     return series

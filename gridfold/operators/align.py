@@ -117,6 +117,17 @@ def check_no_overlaps(cells: DataFrame, keys: tuple[str, ...] = ("date",)) -> No
         raise ValueError("tiles overlap: a cell appears more than once")
 
 
+def first_tile_wins(cells: DataFrame, spec: GridSpec, last: bool = False,
+                    keys: tuple[str, ...] = ("date",)) -> DataFrame:
+    """One row per cell where tiles overlap: that of the tile whose name sorts
+    first (or last).  One aggregate with a map-side step; cells are counted
+    only once in whatever follows."""
+    rest = [c for c in cells.columns if c not in (*keys, "tile", "iy", "ix", "y", "x")]
+    pick = (F.max_by if last else F.min_by)(F.struct("tile", *rest), F.struct(F.col("tile"), *rest))
+    one = cells.groupBy(*keys, "iy", "ix").agg(pick.alias("_c"))
+    return spec.with_coords(one.select(*keys, "iy", "ix", "_c.*")).select(*cells.columns)
+
+
 def time_stack(*parts: DataFrame) -> DataFrame:
     """Concatenate dated parts along time."""
     return reduce(lambda a, b: a.unionByName(b), parts)

@@ -23,8 +23,9 @@ from gridfold.operators.points import sample_nearest, sample_window, series, to_
 from gridfold.operators.reproject import reproject_bilinear, source_window, target_grid
 from gridfold.operators.select import (crop, is_cropped, scale_value, select_dates,
                                        select_range, select_ranges)
-from gridfold.operators.stats import display_range, grid_stats, profile, quick_stats
+from gridfold.operators.stats import STAT_ORDER, display_range, grid_stats, profile, quick_stats
 from gridfold.operators.temporal import temporal_reduce, value_band
+from gridfold.session import scratch_path
 from gridfold.sources.sinks import block_id, write_cells
 
 
@@ -230,6 +231,24 @@ def summary_of_product(product: DataFrame, pspec: GridSpec, box: Crop | None = N
     return Summary(product, pspec, stats, disp, profs, zonal)
 
 
+def composite_product(cells: DataFrame, spec: GridSpec, dates: list[str], k: int = 1,
+                      box: Crop | None = None, value_factor: float = 1.0) -> DataFrame:
+    """Products (ord, date, iy, ix, y, x, value) of the requested dates."""
+    box = box or Crop()
+    sel = select_dates(precrop_source(cells, spec, k, box), dates)
+    product = coarsen(value_band(sel), k, "max", spec, keys=("ord", "date"))
+    if spec.crs != WGS84:
+        product = reproject_bilinear(product, spec.coarsened(k), product_spec(spec, k, box),
+                                     keys=("ord", "date"))
+    return scale_value(crop(product, **box.kw()), value_factor)
+
+
+def _save_composites(cells: DataFrame, dates: list[str], save_path: str) -> None:
+    """Each chosen composite once, even when the request repeats a date."""
+    unique = list(dict.fromkeys(dates))
+    write_cells(value_band(select_dates(cells, unique)).drop("ord"), save_path)
+
+
 def composite_summary(cells: DataFrame, spec: GridSpec, dates: list[str], k: int = 1,
                       box: Crop | None = None, value_factor: float = 1.0,
                       save_path: str | None = None,
@@ -239,22 +258,78 @@ def composite_summary(cells: DataFrame, spec: GridSpec, dates: list[str], k: int
     keys instead of a loop.  Returns (product, stats).  ``save_path``: the
     chosen composites (value band, full resolution) are written first."""
     if save_path is not None:
-        # each chosen composite once, even when the request repeats a date
-        unique = list(dict.fromkeys(dates))
-        write_cells(value_band(select_dates(cells, unique)).drop("ord"), save_path)
+        _save_composites(cells, dates, save_path)
         if stop_after_save:
             return None
-    box = box or Crop()
-    reproject = spec.crs != WGS84
-    sel = select_dates(precrop_source(cells, spec, k, box), dates)
-    product = coarsen(value_band(sel), k, "max", spec, keys=("ord", "date"))
-    if reproject:
-        product = reproject_bilinear(product, spec.coarsened(k), product_spec(spec, k, box),
-                                     keys=("ord", "date"))
-    product = scale_value(crop(product, **box.kw()), value_factor)
+    product = composite_product(cells, spec, dates, k, box, value_factor)
     return product, grid_stats(product, keys=("ord", "date"))
 
 
+@dataclass
+class CompositeReport:
+    """Outputs of ``composite_report``; all but ``product`` read one small table."""
+    product: DataFrame
+    stats: DataFrame
+    display: DataFrame
+    profiles: dict
+    zonal: DataFrame | None = None
+
+
+def composite_report(cells: DataFrame, spec: GridSpec, dates: list[str], k: int = 1,
+                     box: Crop | None = None, value_factor: float = 1.0, lc: DataFrame | None = None,
+                     lc_spec: GridSpec | None = None, exclude_lc: tuple[str, ...] = (),
+                     vmax: float | None = None, max_factor: float = 1.0, plot_type: str = "standard",
+                     profiles: tuple[str, ...] = ("sum", "mean"), save_path: str | None = None,
+                     stop_after_save: bool = False) -> CompositeReport | None:
+    """Everything a composite summary gives (E2) from one pass: statistics,
+    profiles and land-cover sums are grouping sets over (ord, date), the grid
+    row and the class, reduced in one aggregate and written as one table of a
+    row per date, date and grid row, and date and class."""
+    if save_path is not None:
+        _save_composites(cells, dates, save_path)
+        if stop_after_save:
+            return None
+    box = box or Crop()
+    product = composite_product(cells, spec, dates, k, box, value_factor)
+    pspec = product_spec(spec, k, box)
+    with_lc = lc is not None and lc_spec is not None
+    lcg = None
+    source = product
+    if with_lc:
+        window = pspec.index_window(**box.kw()) if box.active else None
+        lcg = crop(lc_to_grid(lc, lc_spec, pspec, window), **box.kw()).select("iy", "ix", "lc_code")
+        source = product.join(lcg, ["iy", "ix"], "left")
+    keys = ("ord", "date")
+    v = F.col("value")
+    sets = [[*keys], *([[*keys, "y"]] if profiles else []), *([[*keys, "lc_code"]] if with_lc else [])]
+    columns = list(dict.fromkeys(c for one in sets for c in one))
+    parts = source.groupingSets([[F.col(c) for c in one] for one in sets], *columns).agg(
+        F.grouping_id().alias("level"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"),
+        F.coalesce(F.sum(v), F.lit(0.0)).alias("sum"), F.stddev_pop(v).alias("std"), F.var_pop(v).alias("var"))
+    path = scratch_path(cells.sparkSession, "composite-report")
+    parts.write.parquet(path)
+    table = cells.sparkSession.read.schema(parts.schema).parquet(path)
+
+    def level(one):
+        """The rows of a grouping set: its id has a bit for each column left out."""
+        bits = sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in one)
+        return table.where(F.col("level") == bits)
+    stats = level(keys).select(*keys, *STAT_ORDER)
+    profs = {m: level((*keys, "y")).select(*keys, "y", F.coalesce(F.col(m), F.lit(0.0)).alias("value")) for m in profiles}
+    zonal = None
+    if with_lc:
+        # a class of the grid without values on a date has a sum of 0 there
+        classes = lcg.where("lc_code is not null").select("lc_code").distinct()
+        pairs = level(keys).select(*keys, F.explode(classes.agg(F.collect_list("lc_code")).scalar()).alias("lc_code"))
+        sums = level((*keys, "lc_code")).select(*[F.col(c).alias(f"_{c}") for c in (*keys, "lc_code")], "sum")
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys] + [F.col("lc_code") == F.col("_lc_code")]
+        found = pairs.join(sums, same, "left").select(
+            *keys, "lc_code", F.coalesce(F.col("sum"), F.lit(0.0)).alias("gpp_sum"))
+        zonal = zonal_share(found, exclude_lc, keys=keys)
+    display = display_range(stats.select(*keys, "min", "mean", "max"), plot_type, vmax, max_factor, keys=keys)
+    return CompositeReport(product, stats, display, profs, zonal)
+
+
 def product_spec(spec: GridSpec, k: int, box: Crop | None = None) -> GridSpec:
     """Grid of a product: the k-coarsened grid, or for a projected stack the
     lon/lat target grid (restricted to the crop box when there is one)."""

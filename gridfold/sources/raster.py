@@ -259,6 +259,19 @@ def tile_overlaps(headers: DataFrame) -> DataFrame:
     return one.join(two, cond).select(F.col("one.path").alias("a"), F.col("two.path").alias("b")).distinct()
 
 
+def tile_footprints(headers: DataFrame, spec: GridSpec) -> DataFrame:
+    """(tile, iy_lo, iy_hi, ix_lo, ix_hi), inclusive, of every tile of a tree:
+    the cells that its files cover, whether they hold data or not."""
+    headers = parse_tile_name(headers.withColumn("file", F.regexp_extract("path", r"([^/]+)$", 1)), "file")
+    key = F.regexp_extract("tile_key", TILE_RE, 1)
+    left, top = (F.col("x0") + F.col("dx") / 2), (F.col("y0") - F.col("dy") / 2)
+    boxes = headers.select(
+        F.when(key != "", key).otherwise(F.col("tile_key")).alias("tile"),
+        spec.iy_of(top).alias("iy_lo"), (spec.iy_of(top) + F.col("height") - 1).alias("iy_hi"),
+        spec.ix_of(left).alias("ix_lo"), (spec.ix_of(left) + F.col("width") - 1).alias("ix_hi"))
+    return boxes.groupBy("tile").agg(*[(F.min if c.endswith("lo") else F.max)(c).alias(c) for c in boxes.columns[1:]])
+
+
 def infer_spec(headers: DataFrame, crs: str | None = None) -> GridSpec:
     """The grid that holds all tiles: union of their bounds at their common
     cell size (one aggregate row reaches the driver)."""

@@ -160,6 +160,21 @@ def point_xy(geometry: str):
     return udf(F.col(geometry))
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with its rows numbered from 0 in their order.  One count per
+    partition reaches the driver; rows stay where they are."""
+    local = F.monotonically_increasing_id()          # partition number above 33 bits of row number
+    sizes = df.select(F.shiftright(local, 33).cast("int").alias("p")).groupBy("p").count().collect()
+    before, upto = [], 0
+    counts = {r["p"]: r["count"] for r in sizes}
+    for p in range(max(counts, default=-1) + 1):
+        before.append(upto)
+        upto += counts.get(p, 0)
+    tagged = df.withColumn("_n", local)
+    start = F.get(F.lit(before or [0]).cast("array<bigint>"), F.shiftright("_n", 33).cast("int"))
+    return tagged.withColumn(name, start + F.col("_n").bitwiseAND(F.lit((1 << 33) - 1))).drop("_n")
+
+
 def read_points(df: DataFrame, x: str = "x", y: str = "y", name_col: str | None = None,
                 id_col: str = "point_id", crs: str | None = None,
                 crs_col: str = "crs", geometry_col: str | None = None) -> DataFrame:
