@@ -4,6 +4,8 @@ and decoded by Spark)."""
 from __future__ import annotations
 
 from gridfold.catalog.fixture_sql import with_fixtures
+from gridfold.catalog.q_reduce import STATS_SQL
+from gridfold.catalog.q_reproject import DST, SIN_SPEC, bilinear_sql
 from gridfold.catalog.registry import register
 from gridfold.session import scratch_path
 from gridfold.sources import fixtures as fx
@@ -58,8 +60,10 @@ SELECT round(avg(value) + 3.725290298461914e-09, 6) AS mean, round(min(value) +
 FROM (SELECT CAST(CAST(61.0 AS DOUBLE) - (floor(iy/2) + 0.5) * 1.0 AS DOUBLE) AS y,
              CAST(CAST(10.0 AS DOUBLE) + (floor(ix/2) + 0.5) * 1.0 AS DOUBLE) AS x,
              sum(value) * 8.0 AS value
-      FROM (SELECT iy, ix, coalesce(sum(value), 0.0) AS value FROM f32
-            WHERE date BETWEEN DATE '2020-01-01' AND DATE '2020-01-25' GROUP BY iy, ix) t
+      FROM (SELECT f.iy, f.ix, coalesce(s.value, 0.0) AS value
+            FROM (SELECT CAST(i // 43 AS INT) AS iy, CAST(i % 43 AS INT) AS ix FROM range(0, 946) r(i)) f
+            LEFT JOIN (SELECT iy, ix, sum(value) AS value FROM f32
+                       WHERE date BETWEEN DATE '2020-01-01' AND DATE '2020-01-25' GROUP BY iy, ix) s USING (iy, ix)) t
       WHERE iy < 22 AND ix < 42 GROUP BY floor(iy/2), floor(ix/2)) p
 WHERE x BETWEEN 12.0 AND 30.0 AND y BETWEEN 50.0 AND 60.0""", {"f32": F32_CELLS}))
 def q_workflow_plot_range(spark, sf):
@@ -92,6 +96,23 @@ def q_workflow_extract_timeseries(spark, sf):
                               scale_factor=0.5, flag_quality=True)
 
 
+@register("workflow_resume_projected", with_fixtures(STATS_SQL, {
+    "f32": F32_CELLS, "src": "SELECT iy, ix, avg(value) AS value FROM f32 GROUP BY iy, ix",
+    "t": bilinear_sql(SIN_SPEC, DST)}))
+def q_workflow_resume_projected(spark, sf):
+    """A low-memory run over a sinusoidal tile tree, then a second one that goes
+    on from its per-tile products; both end on the lon/lat grid."""
+    from gridfold.api import plot_range
+    from gridfold.catalog.registry import r6
+    from gridfold.operators.stats import STAT_ORDER
+    root = write_tiles(fx.cells(spark, sf), scratch_path(spark, "tiles-sin"), SIN_SPEC, TILE_H, TILE_W)
+    out_dir = scratch_path(spark, "workflow-resume")
+    kw = dict(crs=SIN_SPEC.crs, spec=SIN_SPEC, low_mem=True, continue_plot=True)
+    plot_range(spark, root, ["2020-01-01", "2020-01-25"], out_dir, **kw)["release"]()
+    plot_range(spark, root, ["", ""], out_dir, **kw)["release"]()
+    return r6(plot_range(spark, root, ["", ""], out_dir, **kw)["stats"], *STAT_ORDER)
+
+
 @register("decode_tiles_split", with_fixtures("""
 SELECT date, tile, iy, ix, y, x, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value,
        CAST(CAST(qflag AS FLOAT) AS DOUBLE) AS qflag FROM cells"""))

@@ -13,7 +13,8 @@ from gridfold.catalog.q_select import DATE_REQUEST, ranges_values_sql
 from gridfold.catalog.registry import r6, register
 from gridfold.operators.stats import STAT_ORDER
 from gridfold.operators.temporal import yearly_sum_mean
-from gridfold.plans.jobs import Crop, composite_summary, grid_summary, range_summary
+from gridfold.plans.jobs import (Crop, composite_report, composite_summary, grid_summary,
+                                range_summary)
 from gridfold.sources import fixtures as fx
 
 SPEC, BIG = fx.CELLS_SPEC, fx.BIG_SPEC
@@ -215,3 +216,61 @@ def q_composite_summary_reprojected(spark, sf):
     """Per-date products of a sinusoidal stack, reprojected in one job."""
     _, stats = composite_summary(fx.cells(spark, sf), SIN_SPEC, DATE_REQUEST, k=1)
     return r6(stats, *STAT_ORDER)
+
+
+# -- everything of a composite summary from one pass ---------------------------
+REPORT_CTES = {
+    "sel": f"""SELECT c.*, r.ord FROM cells c JOIN (VALUES {", ".join(
+        f"({i}, DATE '{d}')" for i, d in enumerate(DATE_REQUEST))}) r(ord, d) ON c.date = r.d""",
+    "p": f"""SELECT ord, date, biy AS iy, bix AS ix, {coords_sql(2, 'biy', 'bix')}, max(value) * 8.0 AS value
+             FROM ({block_sql(2, 'sel')}) q GROUP BY ord, date, biy, bix""",
+}
+
+
+def report(spark, sf):
+    return composite_report(fx.cells(spark, sf), SPEC, DATE_REQUEST, 2, value_factor=FACTOR,
+                            lc=fx.lc_fine(spark, sf), lc_spec=fx.LC_SPEC, exclude_lc=tuple(EXCLUDED), max_factor=0.5)
+
+
+@register("composite_report_stats", with_fixtures("""
+SELECT ord, date, round(avg(value) + 3.725290298461914e-09, 6) AS mean, round(min(value) + 3.725290298461914e-09, 6) AS min,
+       round(max(value) + 3.725290298461914e-09, 6) AS max, round(coalesce(sum(value), 0.0) + 3.725290298461914e-09, 6) AS sum,
+       round(stddev_pop(value) + 3.725290298461914e-09, 6) AS std, round(var_pop(value) + 3.725290298461914e-09, 6) AS var
+FROM p GROUP BY ord, date""", REPORT_CTES))
+def q_composite_report_stats(spark, sf):
+    return r6(report(spark, sf).stats, *STAT_ORDER)
+
+
+@register("composite_report_display", with_fixtures("""
+SELECT ord, date, CAST(0.0001 AS DOUBLE) AS vmin, CAST(ceil(greatest(max(value) * 0.5, avg(value))) AS DOUBLE) AS vmax
+FROM p GROUP BY ord, date""", REPORT_CTES))
+def q_composite_report_display(spark, sf):
+    return report(spark, sf).display
+
+
+@register("composite_report_profile", with_fixtures("""
+SELECT ord, date, y, round(coalesce(avg(value), 0.0) + 3.725290298461914e-09, 6) AS value FROM p GROUP BY ord, date, y""",
+    REPORT_CTES))
+def q_composite_report_profile(spark, sf):
+    return r6(report(spark, sf).profiles["mean"], "value")
+
+
+@register("composite_report_zonal", with_fixtures(f"""
+SELECT ord, date, lc_code, lc_label, gpp_sum,
+       round_even(gpp_sum / sum(gpp_sum) OVER (PARTITION BY ord, date) * 100.0, 1) AS percentage
+FROM (SELECT k.ord, k.date, k.lc_code, {label_case("k.lc_code")} AS lc_label, coalesce(s.v, 0.0) AS gpp_sum
+      FROM (SELECT d.ord, d.date, l.lc_code FROM (SELECT DISTINCT ord, date FROM p) d,
+                   (SELECT DISTINCT lc_code FROM lcg WHERE lc_code IS NOT NULL) l) k
+      LEFT JOIN (SELECT p.ord, p.date, l.lc_code, sum(p.value) AS v FROM p JOIN lcg l ON p.iy = l.iy AND p.ix = l.ix
+                 GROUP BY 1, 2, 3) s ON s.ord = k.ord AND s.date = k.date AND s.lc_code = k.lc_code) z
+WHERE lc_label NOT IN ({", ".join(f"'{e}'" for e in EXCLUDED)})""", {
+    **REPORT_CTES,
+    "m": """SELECT CAST(floor((CAST(61.0 AS DOUBLE) - y) / 1.0) AS INT) AS iy,
+                   CAST(floor((x - CAST(10.0 AS DOUBLE)) / 1.0) AS INT) AS ix, lc_code FROM lc_fine""",
+    "lcg": f"""SELECT iy, ix, lc_code FROM (
+                 SELECT iy, ix, lc_code, row_number() OVER (PARTITION BY iy, ix ORDER BY n DESC, lc_code) AS rn
+                 FROM (SELECT iy, ix, lc_code, count(*) AS n FROM m
+                       WHERE lc_code IS NOT NULL AND iy < {SPEC.ny // 2} AND ix < {SPEC.nx // 2}
+                       GROUP BY iy, ix, lc_code) c) b WHERE rn = 1"""}))
+def q_composite_report_zonal(spark, sf):
+    return report(spark, sf).zonal

@@ -70,6 +70,30 @@ def transform(src: str, dst: str, x: Column, y: Column) -> tuple[Column, Column]
     return _from_lonlat(dst, lon, lat)
 
 
+def latitude(crs: str, y: Column) -> Column:
+    """Latitude of a y coordinate, cut to the poles."""
+    _check(crs)
+    lat = y
+    if crs == SINUSOIDAL:
+        lat = F.degrees(y / F.lit(R_SINUSOIDAL))
+    elif crs == WEB_MERCATOR:
+        lat = F.degrees(F.lit(2.0) * F.atan(F.exp(y / F.lit(R_WEB_MERCATOR))) - F.lit(math.pi / 2))
+    return F.least(F.greatest(lat, F.lit(-90.0)), F.lit(90.0))
+
+
+def longitude(crs: str, x: Column, lat: Column) -> Column:
+    """Longitude of an x coordinate on the parallel ``lat``, cut to +-180 (on a
+    lon/lat grid as it is)."""
+    _check(crs)
+    if crs == WGS84:
+        return x
+    if crs == SINUSOIDAL:
+        lon = F.degrees(x / F.greatest(F.lit(R_SINUSOIDAL) * F.cos(F.radians(lat)), F.lit(1e-9)))
+    else:
+        lon = F.degrees(x / F.lit(R_WEB_MERCATOR))
+    return F.least(F.greatest(lon, F.lit(-180.0)), F.lit(180.0))
+
+
 # -- scalar twins for plan-time geometry (bounds of a GridSpec) ----------------
 def _from_lonlat_s(crs, lon, lat):
     if crs == WGS84:

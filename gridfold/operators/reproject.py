@@ -1,9 +1,10 @@
 """Bilinear reprojection of a grid to a longitude/latitude grid.
 
-The target grid is generated (``spark.range``), each target centre is
-mapped into the source grid by the inverse of the projection, its four
-neighbours are emitted with their bilinear weights, and an equi-join on
-(iy, ix) fetches the source values.  The result is
+A target centre lies among four source cells; the upper left one is its base.
+Every source value is sent to the (up to four) bases it serves, and one
+aggregate by base lines up the four values: the only shuffle.  The target
+cells of a base are then listed from the inverse of the projection, tested
+with the forward formula, and weighted on the spot.  The result is
 sum(w * v) / sum(w) over the neighbours that have a value (weights are
 renormalised), NULL (absent row) when none has.
 """
@@ -15,9 +16,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridfold.functions.projection import transform, transform_bounds
+from gridfold.functions.projection import latitude, longitude, transform, transform_bounds
 from gridfold.model import WGS84, GridSpec
-from gridfold.operators.align import grid_frame
 from gridfold.operators.select import is_cropped
 
 # Fixed value: effective width in pixels of the displayed map; a cropped
@@ -85,44 +85,60 @@ def source_window(src: GridSpec, dst: GridSpec, margin: int = 1):
     return iy_lo, iy_hi, ix_lo, ix_hi
 
 
-def bilinear_taps(frame: DataFrame, src: GridSpec, dst: GridSpec) -> DataFrame:
-    """For each target cell (tiy, tix) its up to four source neighbours
-    (iy, ix) with bilinear weight ``w`` > 0."""
-    lon, lat = dst.x_of("tix"), dst.y_of("tiy")
-    sx, sy = transform(dst.crs, src.crs, lon, lat)
-    u = (sx - F.lit(src.x0)) / F.lit(src.dx) - F.lit(0.5)
-    v = (F.lit(src.y0) - sy) / F.lit(src.dy) - F.lit(0.5)
-    t = frame.select("tiy", "tix", u.alias("u"), v.alias("v"))
-    t = t.where(F.col("u").between(-0.5, src.nx - 0.5) & F.col("v").between(-0.5, src.ny - 0.5))
-    t = t.select("tiy", "tix",
-                 F.floor("u").cast("int").alias("i0"), F.floor("v").cast("int").alias("j0"),
-                 (F.col("u") - F.floor("u")).alias("fu"), (F.col("v") - F.floor("v")).alias("fv"))
-    taps = F.array(*[
-        F.struct(F.lit(di).alias("di"), F.lit(dj).alias("dj"),
-                 ((F.col("fu") if di else 1 - F.col("fu")) *
-                  (F.col("fv") if dj else 1 - F.col("fv"))).alias("w"))
-        for dj in (0, 1) for di in (0, 1)])
-    e = t.select("tiy", "tix", "i0", "j0", F.explode(taps).alias("t"))
-    e = e.select("tiy", "tix", (F.col("j0") + F.col("t.dj")).alias("iy"),
-                 (F.col("i0") + F.col("t.di")).alias("ix"), F.col("t.w").alias("w"))
-    return e.where((F.col("w") > 0) & F.col("iy").between(0, src.ny - 1)
-                   & F.col("ix").between(0, src.nx - 1))
+def _places(src: GridSpec, dst: GridSpec) -> tuple:
+    """Fractional source index (u, v) of the target centre (tiy, tix)."""
+    sx, sy = transform(dst.crs, src.crs, dst.x_of("tix"), dst.y_of("tiy"))
+    return ((sx - F.lit(src.x0)) / F.lit(src.dx) - F.lit(0.5),
+            (F.lit(src.y0) - sy) / F.lit(src.dy) - F.lit(0.5))
+
+
+def _listed(lo, hi, n: int):
+    """The whole numbers from lo to hi within 0 .. n - 1, none if lo > hi."""
+    lo = F.greatest(F.floor(lo), F.lit(0)).cast("int")
+    hi = F.least(F.ceil(hi), F.lit(n - 1)).cast("int")
+    return F.explode(F.when(lo <= hi, F.sequence(lo, hi)))
+
+
+def targets_of_bases(bases: DataFrame, src: GridSpec, dst: GridSpec) -> DataFrame:
+    """The target cells (tiy, tix) of each base (j, i), with fu and fv, their
+    place between the four cells.  On the projections known here y depends on
+    the latitude only, and x grows with the longitude along a row."""
+    if dst.crs != WGS84:
+        raise ValueError("the target of a reprojection is a longitude/latitude grid")
+    top = F.lit(src.y0) - (F.col("j") + F.lit(0.5)) * F.lit(src.dy)
+    west = F.lit(src.x0) + (F.col("i") + F.lit(0.5)) * F.lit(src.dx)
+    row = [(F.lit(dst.y0) - latitude(src.crs, y)) / F.lit(dst.dy) - F.lit(0.5) for y in (top, top - F.lit(src.dy))]
+    rows = bases.withColumn("tiy", _listed(*row, dst.ny))
+    lat = dst.y_of("tiy")
+    column = [(longitude(src.crs, x, lat) - F.lit(dst.x0)) / F.lit(dst.dx) - F.lit(0.5)
+              for x in (west, west + F.lit(src.dx))]
+    cells = rows.withColumn("tix", _listed(*column, dst.nx))
+    u, v = _places(src, dst)
+    cells = cells.withColumns({"u": u, "v": v})
+    return (cells.where((F.floor("u") == F.col("i")) & (F.floor("v") == F.col("j"))
+                        & F.col("u").between(-0.5, src.nx - 0.5) & F.col("v").between(-0.5, src.ny - 0.5))
+            .withColumns({"fu": F.col("u") - F.col("i"), "fv": F.col("v") - F.col("j")}).drop("u", "v"))
 
 
 def reproject_bilinear(grid: DataFrame, src: GridSpec, dst: GridSpec,
                        keys: tuple[str, ...] = ()) -> DataFrame:
     """Resample ``grid`` (on ``src``) to ``dst`` bilinearly.
 
-    ``keys`` (e.g. ``date``) resample several grids in one job: the taps
-    are computed once per target cell and joined to every keyed grid."""
-    spark = grid.sparkSession
+    ``keys`` (e.g. ``date``) resample several grids in one job."""
     iy_lo, iy_hi, ix_lo, ix_hi = source_window(src, dst)
     source = grid.where(F.col("iy").between(iy_lo, iy_hi) & F.col("ix").between(ix_lo, ix_hi)
                         & F.col("value").isNotNull()).select(*keys, "iy", "ix", "value")
-    frame = grid_frame(spark, dst).select(F.col("iy").alias("tiy"), F.col("ix").alias("tix"))
-    taps = bilinear_taps(frame, src, dst)
-    out = (taps.join(source, ["iy", "ix"])
-               .groupBy(*keys, "tiy", "tix")
-               .agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value")))
-    out = out.select(*keys, F.col("tiy").alias("iy"), F.col("tix").alias("ix"), "value")
+    corners = [(dj, di) for dj in (0, 1) for di in (0, 1)]
+    serves = F.explode(F.array(*[F.struct((F.col("iy") - dj).alias("j"), (F.col("ix") - di).alias("i"),
+                                          F.lit(n).alias("n")) for n, (dj, di) in enumerate(corners)]))
+    bases = (source.select(*keys, "value", serves.alias("_b")).groupBy(*keys, F.col("_b.j").alias("j"), F.col("_b.i").alias("i"))
+             .agg(*[F.max(F.when(F.col("_b.n") == n, F.col("value"))).alias(f"v{n}") for n in range(4)]))
+    cells = targets_of_bases(bases, src, dst)
+    weight = {n: (F.col("fv") if dj else 1 - F.col("fv")) * (F.col("fu") if di else 1 - F.col("fu"))
+              for n, (dj, di) in enumerate(corners)}
+    none = F.lit(0.0)
+    total = sum((F.when(F.col(f"v{n}").isNotNull(), w).otherwise(none) for n, w in weight.items()), none)
+    value = sum((F.coalesce(F.col(f"v{n}") * w, none) for n, w in weight.items()), none)
+    out = (cells.withColumns({"_w": total, "_v": value}).where(F.col("_w") > 0)
+           .select(*keys, F.col("tiy").alias("iy"), F.col("tix").alias("ix"), (F.col("_v") / F.col("_w")).alias("value")))
     return dst.with_coords(out).select(*keys, "iy", "ix", "y", "x", "value")

@@ -141,3 +141,36 @@ def test_huge_blocks_keep_partial_aggregation(spark, store):
     spec = GridSpec(x0=10.0, y0=61.0, dx=0.5 / 100, dy=0.5 / 100, nx=4300, ny=2200)
     df = summarise(read_cells(spark, store), "mean", 100, spec)
     assert len([l for l in plan(df).splitlines() if "Exchange" in l]) == 2
+
+
+def test_bilinear_shuffles_once(spark):
+    """Four values meet by their base cell; targets are listed in place."""
+    from gridfold.catalog.q_reproject import DST, SIN_SPEC
+    from gridfold.operators.reproject import reproject_bilinear
+    path = scratch_path(spark, "bilinear-source")
+    fx.cells(spark, SF_SMALL).where("date = date'2020-01-09'").select("iy", "ix", "value").write.parquet(path)
+    text = plan(reproject_bilinear(spark.read.parquet(path), SIN_SPEC, DST))
+    assert text.count("Exchange") == 1 and "Join" not in text
+
+
+def test_dense_reductions_build_no_frame_of_dates(spark, store):
+    """The frame is one more composite: as many rows as the (cropped) grid, no join."""
+    from gridfold.operators.temporal import yearly_sum_mean
+    cells = read_cells(spark, store)
+    s = grid_summary(cells, fx.CELLS_SPEC, "sum", "banded", 2, Crop(12.0, 20.0, 52.0, 58.0), persist=False, dense=True)
+    text = plan(s.product)
+    assert "Join" not in text and "Range (0, 192" in text          # 12 x 16 cells
+    assert sum("Exchange" in line for line in text.splitlines()) == 1
+    text = plan(yearly_sum_mean(cells, fx.CELLS_SPEC, dense=True))
+    assert "Join" not in text and "Range (0, 946" in text
+    assert len({line.split("Exchange")[1] for line in text.splitlines() if "Exchange hashpartitioning(iy" in line}) == 1
+
+
+def test_composite_report_reads_the_store_once(spark, store):
+    from gridfold.plans.jobs import composite_report
+    r = composite_report(read_cells(spark, store), fx.CELLS_SPEC, ["2020-01-09", "2020-01-17"], 2,
+                         lc=fx.lc_fine(spark, SF_SMALL), lc_spec=fx.LC_SPEC)
+    for df in (r.stats, r.display, *r.profiles.values()):
+        text = plan(df)
+        assert "composite-report" in text and "plan-store" not in text
+    assert "plan-store" not in plan(r.zonal)
