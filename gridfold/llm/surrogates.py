@@ -1,19 +1,21 @@
 """Keyed surrogates for personal data, in DataFrame functions.
 
-Entities (e-mail and IP addresses, phone, card, social-security and account
-numbers, access keys and other secrets, names after a title) are found by one
-regular expression.  Each is replaced by a surrogate drawn from a keyed hash of
+Entities (e-mail, IP and hardware addresses, phone, card, social-security and
+account numbers, access keys, tokens, private keys and other secrets, names
+after a title) are found by one regular expression.  Each is replaced by a surrogate drawn from a keyed hash of
 its type and canonical form, so the same entity gets the same surrogate
 everywhere, in whatever format it is written; the format is kept (punctuation,
 upper and lower case, script, number of digits), check digits are valid, and
-names keep their title and so their gender.
+names keep their title and so their gender.  Within a document, a name found
+behind a title is also replaced where it stands without one, so that all
+mentions stay one person.
 
 Collision checks run over the distinct entities of all documents: of several
 entities with one surrogate all but the first, and any whose surrogate is a
 real entity of the corpus, are drawn again with the next attempt number, until
-none is left.  Family names are settled first, as entities of their own,
-so that a redrawn one changes for all its bearers alike; later attempts draw
-from longer names.  Only the redrawn ones are joined to the documents that
+none is left.  Family names and domains are settled first, as entities of
+their own, so that a redrawn one changes for all its bearers alike; later
+attempts draw from longer names.  Only the redrawn ones are joined to the documents that
 hold them; texts stay where they are.
 
 Defined results: a null text stays null, an empty one empty; digits that fail
@@ -29,35 +31,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridfold.llm.common import col, text_of, unpack, whole_row, written
+from gridfold.llm.common import col, held, whole_row, written
 
 MAX_ATTEMPTS = 64
 FREE_FROM = 4       # from this attempt on, addresses and names may change their length
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-_TITLES_M = r"Mr|Herr|Monsieur|Señor|Sr|Господин|Κύριος"
-_TITLES_F = r"Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа|Κυρία"
+_HEX4 = r"[0-9A-Fa-f]{1,4}"
+# titles as fixed values: of men, of women, of either; the second row of each
+# only as written, since its other writings are common words
+_ANY_M, _AS_M = "mr|herr|monsieur|señor|господин|κύριος", "Sr"
+_ANY_F, _AS_F = "mrs|frau|madame|mme|mlle|señora|señorita|госпожа|κυρία", "Ms|MS|Miss|MISS|Sra|Doña"
+_ANY_N = "dr|prof|professor|доктор"
+_TITLES_F = rf"(?:(?iu:{_ANY_F})|{_AS_F})"
+_TITLES_M = rf"(?:(?iu:{_ANY_M})|{_AS_M})"
+_TITLE = rf"(?:(?iu:{_ANY_M}|{_ANY_F}|{_ANY_N})|{_AS_M}|{_AS_F})"
+_NAME = rf"(?!{_TITLE}(?!\p{{L}}))\p{{Lu}}['’]?\p{{L}}+(?:['’\-]\p{{L}}+){{0,2}}"
 # what a secret stands behind (ASCII letters of either case), and its characters
 _KEYWORD = r"(?i:token|secret|password|passwd|pwd|api_key|apikey)[ ]{0,2}[=:][ ]{0,2}[\"']{0,1}"
 _SECRET = r"[A-Za-z0-9+/_\-]{8,}"
-# entity types with the pattern that finds them; the first that fits wins
+# entity types with the pattern that finds them; the first that fits wins.
+# Groups repeat a bounded number of times and open-ended repeats are of single
+# characters only, so no text, however long, makes the search recurse deeply.
 PATTERNS = {
+    "private_key": (r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]++"
+                    r"-----END [A-Z ]{0,20}PRIVATE KEY-----"),
     "access_key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
+    "token": (r"(?<![A-Za-z0-9_])(?:gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9\-]{10,}"
+              r"|eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,})"),
     "secret": rf"(?<={_KEYWORD}){_SECRET}",
     "email": (r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]+@[\p{L}\p{N}\-]+"
-              r"(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}"),
+              r"(?:\.[\p{L}\p{N}\-]+){0,20}\.\p{L}{2,}"),
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "hardware": r"(?<![0-9A-Za-z:\-])[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}|-[0-9A-Fa-f]{2}){5}(?![0-9A-Za-z:\-])",
+    "address6": (rf"(?<![\p{{L}}\d:.])(?:{_HEX4}:){{7}}{_HEX4}(?![\p{{L}}\d:])"
+                 rf"|(?<![\p{{L}}\d:.])(?=[A-Fa-f:]{{0,30}}\d)(?:{_HEX4}:){{1,6}}(?::{_HEX4}){{1,6}}(?![\p{{L}}\d:])"),
     "card": r"(?<![\p{L}\d+\-])\d(?:[ \-]?\d){12,18}(?![\p{L}\d])",
     "social": r"(?<![\p{L}\d\-])\d{3}-\d{2}-\d{4}(?![\p{L}\d\-])",
     "phone": (r"(?<![\p{L}\d+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?![\p{L}\d])"
-              r"|(?<![\p{L}\d])\+\d{1,3}(?:[ .\-]\d{2,5}){2,5}(?![\p{L}\d])|(?<![\p{L}\d])\+\d{9,14}(?![\p{L}\d])"),
+              r"|(?<![\p{L}\d])\+\d{1,3}(?:[ .\-]\d{2,5}){2,5}(?![\p{L}\d])|(?<![\p{L}\d])\+\d{9,14}(?![\p{L}\d])"
+              r"|(?<=(?i:phone|tel|call|mobile|fax)[ .:]{1,3})\d{7,12}(?![\p{L}\d.])"),
     "address": rf"(?<![\p{{L}}\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\d]|\.\d)",
-    "person": rf"(?<!\p{{L}})(?:{_TITLES_M}|{_TITLES_F})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
+    "person": rf"(?<!\p{{L}})(?:{_TITLE}\.? ){{1,3}}{_NAME}(?: {_NAME})?",
 }
 ENTITY_RE = "|".join(f"(?:{p})" for p in PATTERNS.values())
-# every entity holds a digit, an at sign, the start of an access key, a title or
-# a keyword of a secret
-_HINT_RE = rf"[\d@]|AKIA|(?:{_TITLES_M}|{_TITLES_F})\.? \p{{Lu}}|{_KEYWORD}"
+# every entity holds a digit, an at sign, two colons or hyphens, the start of a
+# key or token, a title or a keyword of a secret
+_HINT_RE = rf"[\d@]|::|[0-9A-Fa-f]{{2}}[:\-][0-9A-Fa-f]{{2}}[:\-]|{_HEX4}:{_HEX4}:|PRIVATE KEY|AKIA|xox|eyJ|gh[pousr]_|{_TITLE}\.? \p{{Lu}}|{_KEYWORD}"
 
 # Given names and name parts by gender and script (fixed values)
 GIVEN = {
@@ -165,6 +185,8 @@ def kind_of(v: Column, led: Column) -> Column:
     rules = [(k, (led & v.rlike(f"^{_SECRET}$")) if k == "secret" else v.rlike(f"^(?:{p})$"))
              for k, p in PATTERNS.items()]
     rules = [(k, (r & is_card(v)) if k == "card" else r) for k, r in rules]
+    # bare digits are found behind a phone's keyword only
+    rules = [(k, (r | v.rlike(r"^\d{7,12}$")) if k == "phone" else r) for k, r in rules]
     out = reduce(lambda acc, kr: F.when(kr[1], F.lit(kr[0])).otherwise(acc), reversed(rules), F.lit(None).cast("string"))
     return out
 
@@ -176,20 +198,51 @@ def canonical(kind: Column, v: Column) -> Column:
             .when(kind == "account", F.replace(v, F.lit(" "), F.lit("")))
             .when(kind == "email", F.lower(v))
             .when(kind == "person", F.lower(F.regexp_replace(v, r"\.? +", " ")))
-            .when(kind == "family", F.lower(v))
+            .when(kind.isin("family", "domain", "hardware", "address6"), F.lower(v))
             .otherwise(v))
 
 
-def _email(v: Column, c: Column, key: Column, attempt: Column) -> Column:
-    local, domain = F.substring_index(v, "@", 1), F.lower(F.substring_index(v, "@", -1))
-    top = F.substring_index(domain, ".", -1)
-    host = F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1)
+def domain_of(email: Column) -> Column:
+    """The domain of an address, without its top level."""
+    domain = F.lower(F.substring_index(email, "@", -1))
+    return F.substring(domain, F.lit(1), F.length(domain) - F.length(F.substring_index(domain, ".", -1)) - 1)
+
+
+def _domain(host: Column, key: Column, attempt: Column) -> Column:
+    """A domain, drawn by itself so that all addresses in it agree."""
+    return _let(_stream(key, "domain", F.lower(host), attempt), lambda t: F.concat(
+        F.when(attempt >= FREE_FROM, F.concat(F.substring(t, 200, 6), F.lit("-"))).otherwise(F.lit("")),
+        _charwise(host, t, F.lit(False))))
+
+
+def _email(v: Column, c: Column, key: Column, attempt: Column, domain_attempt: Column) -> Column:
+    local, top = F.substring_index(v, "@", 1), F.lower(F.substring_index(v, ".", -1))
     return _let(_stream(key, "email", c, attempt), lambda s: F.concat(
         _charwise(local, s, F.lit(False)),
         F.when(attempt >= FREE_FROM, F.concat(F.lit("."), F.substring(s, 200, 8))).otherwise(F.lit("")),
-        # a domain keeps one surrogate, whoever writes from it
-        F.lit("@"), _let(_stream(key, "domain", host, F.lit(0)), lambda t: _charwise(host, t, F.lit(False))),
-        F.lit("."), top))
+        F.lit("@"), _domain(domain_of(v), key, domain_attempt), F.lit("."), top))
+
+
+def _hexwise(v: Column, s: Column) -> Column:
+    """Each hex digit replaced by one, letters in the case they have."""
+    def one(c, i):
+        drawn = _pick(s, i, "0123456789abcdef")
+        return (F.when(c.rlike("[0-9a-f]"), drawn).when(c.rlike("[A-F]"), F.upper(drawn)).otherwise(c))
+    return F.array_join(F.transform(F.split(v, ""), one), "")
+
+
+def _private_key(v: Column, s: Column) -> Column:
+    """The lines between the two marks replaced."""
+    form = r"(?s)^(-----BEGIN [A-Z ]*-----)(.*)(-----END [A-Z ]*-----)$"
+    part = [F.regexp_extract(v, form, i) for i in (1, 2, 3)]
+    return F.concat(part[0], _charwise(part[1], s, F.lit(False)), part[2])
+
+
+def _token(v: Column, s: Column) -> Column:
+    """The mark at the start stays, and both of a signed token."""
+    mark = F.regexp_extract(v, r"^(gh[pousr]_|xox[abprs]-|eyJ)", 1)
+    drawn = F.concat(mark, _charwise(F.substring(v, F.length(mark) + 1, F.length(v)), s, F.lit(False)))
+    return F.when(mark == "eyJ", F.regexp_replace(drawn, r"^([^.]*\.).{3}", "$1eyJ")).otherwise(drawn)
 
 
 def _ip(v: Column, s: Column, attempt: Column) -> Column:
@@ -218,6 +271,14 @@ def _account(v: Column, s: Column) -> Column:
     return _let(body, form)
 
 
+_TITLES_RE = rf"^((?:{_TITLE}\.? )+)"
+
+
+def names_of(person: Column) -> Column:
+    """A person without the titles."""
+    return F.regexp_replace(person, _TITLES_RE, "")
+
+
 def family_of(person: Column) -> Column:
     return F.substring_index(person, " ", -1)
 
@@ -243,25 +304,38 @@ def _family(family: Column, female: Column, key: Column, attempt: Column) -> Col
     syllables = F.when(attempt >= FREE_FROM, 7).otherwise(3)
     drawn = _let(_stream(key, "family", F.lower(family), attempt), lambda s: F.concat(
         _drawn(_names(SYLLABLES, script), s, syllables, ""), F.get(_names(ENDINGS, script, female), F.lit(0))))
-    return _let(drawn, lambda d: F.when(family.rlike(r"^\p{Lu}{2,}$"), F.upper(d)).otherwise(F.initcap(d)))
+    return _let(drawn, lambda d: _cased(family, F.initcap(d)))
+
+
+def _cased(name: Column, drawn: Column) -> Column:
+    return F.when(name.rlike(r"^[\p{Lu}'’\-]{2,}$"), F.upper(drawn)).otherwise(drawn)
+
+
+def _female(titles: Column, given: Column) -> Column:
+    """By the title; behind one of either gender by the given name."""
+    listed = [n.lower() for (g, _), names in GIVEN.items() if g == "f" for n in names.split()]
+    by_name = F.lower(given).isin(listed) | given.rlike("(?iu)[aаяαη]$")
+    return (F.when(titles.rlike(rf"(?:^| ){_TITLES_F}\.? "), F.lit(True))
+            .when(titles.rlike(rf"(?:^| ){_TITLES_M}\.? "), F.lit(False)).otherwise(F.coalesce(by_name, F.lit(False))))
 
 
 def _person(v: Column, key: Column, attempt: Column, family_attempt: Column) -> Column:
-    title = F.substring_index(v, " ", 1)
-    female = title.rlike(rf"^(?:{_TITLES_F})\.?$")
-    given = F.get(F.split(v, " "), F.lit(1))
+    titles = F.regexp_extract(v, _TITLES_RE, 1)
+    names = F.split(names_of(v), " ")
+    given = F.when(F.size(names) > 1, F.get(names, F.lit(0)))
+    female = _female(titles, given)
     more = F.least(F.floor(attempt / FREE_FROM), F.lit(3)).cast("int")
     giv = _let(_stream(key, "given", F.lower(given), attempt), lambda s: _drawn(
         _names(GIVEN, _script(given), female), s, 1 + more, "-"))
     # concat_ws leaves out a null: a person without a given name
-    return F.concat_ws(" ", title, F.when(F.size(F.split(v, " ")) > 2, giv),
-                       _family(family_of(v), female, key, family_attempt))
+    return F.concat(titles, F.concat_ws(" ", F.when(given.isNotNull(), _cased(given, giv)),
+                                        _family(family_of(v), female, key, family_attempt)))
 
 
-def surrogate(kind: Column, v: Column, attempt: Column, key: Column, family_attempt: Column | None = None) -> Column:
-    """The replacement of entity ``v``; ``family_attempt``: that of a person's
-    family name."""
-    family_attempt = F.lit(0) if family_attempt is None else family_attempt
+def surrogate(kind: Column, v: Column, attempt: Column, key: Column, part_attempt: Column | None = None) -> Column:
+    """The replacement of entity ``v``; ``part_attempt``: that of a person's
+    family name or an address's domain."""
+    part_attempt = F.lit(0) if part_attempt is None else part_attempt
     c = canonical(kind, v)
 
     def drawn(name: str, body) -> Column:
@@ -275,11 +349,15 @@ def surrogate(kind: Column, v: Column, attempt: Column, key: Column, family_atte
     social = drawn("social", lambda s: _fill(v, F.concat(
         (1 + _number(s, F.lit(60), 8)).cast("string"), _draw_digits(s, F.lit(8)))))
     hex_only = v.rlike("^[0-9a-f]+$")
-    return (F.when(kind == "email", _email(v, c, key, attempt))
+    return (F.when(kind == "email", _email(v, c, key, attempt, part_attempt))
+            .when(kind == "domain", _domain(v, key, attempt))
+            .when(kind.isin("hardware", "address6"), drawn("hex", lambda s: _hexwise(v, s)))
+            .when(kind == "token", drawn("token", lambda s: _token(v, s)))
+            .when(kind == "private_key", drawn("private_key", lambda s: _private_key(v, s)))
             .when(kind == "address", drawn("address", lambda s: _ip(v, s, attempt)))
             .when(kind == "card", card).when(kind == "phone", phone).when(kind == "social", social)
             .when(kind == "account", drawn("account", lambda s: _account(v, s)))
-            .when(kind == "person", _person(v, key, attempt, family_attempt))
+            .when(kind == "person", _person(v, key, attempt, part_attempt))
             .when(kind == "family", _family(v, F.lit(False), key, attempt))
             .when(kind == "access_key", drawn("access_key", lambda s: F.concat(
                 F.lit("AKIA"), _charwise(F.substring(v, F.lit(5), F.length(v)), s, F.lit(False)))))
@@ -306,7 +384,7 @@ def found(text: Column) -> Column:
 def redrawn(entities: DataFrame, key: Column, max_attempts: int = MAX_ATTEMPTS) -> DataFrame | None:
     """(kind, canon, attempt) of the entities that need a later attempt; None
     if no surrogate collides.  ``entities``: distinct kind, canon with one
-    writing v, and the attempt of its family name."""
+    writing v, and the attempt of its part (family name or domain)."""
     state = entities.withColumn("attempt", F.lit(0))
     # family names are compared in the form that men bear
     borne = F.regexp_replace(F.regexp_replace("canon", "ова$", "ов"), "η$", "ης")
@@ -315,57 +393,107 @@ def redrawn(entities: DataFrame, key: Column, max_attempts: int = MAX_ATTEMPTS)
     moved = False
     for _ in range(max_attempts):
         drawn = state.withColumn("s", canonical(F.col("kind"), surrogate(
-            F.col("kind"), F.col("v"), F.col("attempt"), key, F.col("family_attempt"))))
+            F.col("kind"), F.col("v"), F.col("attempt"), key, F.col("part_attempt"))))
         # settled entities keep their surrogate: lower attempts come first
         order = Window.partitionBy("kind", "s").orderBy("attempt", "canon")
         judged = (drawn.withColumn("_n", F.row_number().over(order))
                   .join(real, (F.col("kind") == F.col("_rk")) & (F.col("s") == F.col("_rc")), "left")
                   .withColumn("bad", (F.col("_n") > 1) | F.coalesce("_real", F.lit(False))))
-        judged = written(judged.select("kind", "canon", "v", "family_attempt", "attempt", "bad"), "surrogate-round")
+        judged = written(judged.select("kind", "canon", "v", "part_attempt", "attempt", "bad"), "surrogate-round")
         if judged.where("bad").isEmpty():
             return state.where("attempt > 0").select("kind", "canon", "attempt") if moved else None
         moved = True
-        state = judged.select("kind", "canon", "v", "family_attempt", (F.col("attempt") + F.col("bad").cast("int")).alias("attempt"))
+        state = judged.select("kind", "canon", "v", "part_attempt", (F.col("attempt") + F.col("bad").cast("int")).alias("attempt"))
     raise RuntimeError(f"surrogates still collide after {max_attempts} attempts")
 
 
-def _replaced(docs: DataFrame, keep: list[Column], key_text: str) -> DataFrame:
-    """keep columns, new _text, _kinds of the entities replaced."""
+def part_of(kind: Column, v: Column) -> Column:
+    """What an entity shares with others: a person's family name, an address's
+    domain."""
+    return F.when(kind == "person", family_of(v)).when(kind == "email", domain_of(v))
+
+
+PARTS = {"person": "family", "email": "domain"}
+
+
+def _part_kind(kind: Column) -> Column:
+    return F.when(kind == "person", F.lit("family")).when(kind == "email", F.lit("domain"))
+
+
+_WORD_RE = r"\p{L}['’]?\p{L}+(?:['’\-]\p{L}+){0,2}"
+
+
+def _mentions(pairs: Column) -> Column:
+    """Old and new family names and full names of a text's persons, as arrays
+    side by side."""
+    persons = F.array_distinct(F.filter(pairs, lambda p: p["kind"] == "person"))
+    part = {"family": family_of, "full": names_of}
+
+    def each(q, f, side):
+        return F.transform(q, lambda p: f(p[side]))
+    return _let(persons, lambda q: F.struct(*[
+        each(q, f, side).alias(f"{side}_{name}") for name, f in part.items() for side in ("old", "new")]))
+
+
+def _referred(text: Column, m: Column) -> Column:
+    """``text`` with the family names of replaced persons replaced where they
+    stand without a title, and the given names before them.  One pass over the
+    words, each looked up among the names of this text."""
+    def new(found):
+        words, gaps = found["w"], found["g"]
+
+        def one(w, i):
+            full = F.when(F.get(gaps, i + 1) == " ", F.concat(w, F.lit(" "), F.get(words, i + 1)))
+            at = F.array_position(m["old_full"], full)
+            given = F.when(at > 0, F.substring_index(F.get(m["new_full"], (at - 1).cast("int")), " ", 1))
+            place = F.array_position(m["old_family"], w)
+            family = F.when(place > 0, F.get(m["new_family"], (place - 1).cast("int")))
+            return F.coalesce(given, family, w)
+        return F.array_join(F.zip_with(gaps, F.transform(words, one), lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")
+    return _let(F.struct(F.regexp_extract_all(text, F.lit(_WORD_RE), F.lit(0)).alias("w"),
+                         F.split(text, _WORD_RE).alias("g")), new)
+
+
+def _replaced(docs: DataFrame, keep: Column, key_text: str) -> DataFrame:
+    """_keep, _text, _new (the text with surrogates) and _kinds of the entities
+    replaced.  Entities are searched once; the table of texts and entities is
+    written, and all later steps read it."""
     key = F.lit(key_text)
-    d = docs.select(*keep, col("text").cast("string").alias("_text"))
-    d = d.withColumn("_e", found(F.coalesce("_text", F.lit(""))))
-    one = (docs.select(text_of().alias("_t")).select(F.explode(found(F.col("_t"))).alias("e"))
+    d = docs.select(keep.alias("_keep"), col("text").cast("string").alias("_text"))
+    d = written(d.withColumn("_e", found(F.coalesce("_text", F.lit("")))), "surrogate-found")
+    one = (d.where(F.size("_e") > 0).select(F.explode("_e").alias("e"))
            .groupBy(F.col("e.v").alias("v"), F.col("e.led").alias("led")).agg(F.count(F.lit(1)).alias("n")))
     one = one.withColumn("kind", kind_of(F.col("v"), F.col("led"))).where("kind is not null")
     one = one.withColumn("canon", canonical(F.col("kind"), F.col("v")))
     entities = written(one.groupBy("kind", "canon").agg(F.min("v").alias("v")), "surrogate-entities")
-    families = (entities.where("kind = 'person'")
-                .select(F.lit("family").alias("kind"), family_of(F.col("v")).alias("v"))
-                .groupBy("kind", F.lower("v").alias("canon")).agg(F.min("v").alias("v")))
-    first = redrawn(families.withColumn("family_attempt", F.lit(0)), key)
+    entities = entities.withColumns({"_k": _part_kind(F.col("kind")), "_p": F.lower(part_of(F.col("kind"), F.col("v")))})
+    parts = (entities.where("_k is not null").select(F.col("_k").alias("kind"), part_of(F.col("kind"), F.col("v")).alias("v"))
+             .groupBy("kind", F.lower("v").alias("canon")).agg(F.min("v").alias("v")))
+    first = redrawn(parts.withColumn("part_attempt", F.lit(0)), key)
     if first is None:
-        entities = entities.withColumn("family_attempt", F.lit(0))
+        entities = entities.drop("_k", "_p").withColumn("part_attempt", F.lit(0))
     else:
-        borne = first.select(F.lit("person").alias("kind"), F.col("canon").alias("_f"),
-                             F.col("attempt").alias("family_attempt"))
-        entities = (entities.withColumn("_f", F.lower(family_of(F.col("v")))).join(borne, ["kind", "_f"], "left")
-                    .drop("_f").withColumn("family_attempt", F.coalesce("family_attempt", F.lit(0))))
+        borne = first.select(F.col("kind").alias("_k"), F.col("canon").alias("_p"),
+                             F.col("attempt").alias("part_attempt"))
+        entities = (entities.join(borne, ["_k", "_p"], "left").drop("_k", "_p")
+                    .withColumn("part_attempt", F.coalesce("part_attempt", F.lit(0))))
     late = redrawn(entities, key)
     if first is not None:
         late = first if late is None else late.unionByName(first)
     attempts = F.lit(None).cast("map<string,int>")
     if late is not None:
         # per text with a redrawn entity, which attempt each takes
-        held = (d.where(F.size("_e") > 0).select(F.md5(F.col("_text").cast("binary")).alias("_h"),
-                                                 F.explode("_e").alias("e")).distinct())
-        held = (held.select("_h", F.col("e.v").alias("v"), kind_of(F.col("e.v"), F.col("e.led")).alias("kind"))
+        hashed = F.md5(F.col("_text").cast("binary"))
+        some = (d.where(F.size("_e") > 0).select(hashed.alias("_h"), F.explode("_e").alias("e")).distinct())
+        some = (some.select("_h", F.col("e.v").alias("v"), kind_of(F.col("e.v"), F.col("e.led")).alias("kind"))
                 .where("kind is not null"))
-        bearers = held.where("kind = 'person'").select("_h", family_of(F.col("v")).alias("v"), F.lit("family").alias("kind"))
-        held = held.unionByName(bearers)
-        held = held.withColumn("canon", canonical(F.col("kind"), F.col("v"))).select("_h", "kind", "canon").distinct()
-        per = (held.join(late, ["kind", "canon"]).groupBy("_h").agg(F.map_from_entries(F.collect_list(
+        bearers = some.where(F.col("kind").isin(*PARTS)).select(
+            "_h", part_of(F.col("kind"), F.col("v")).alias("v"), _part_kind(F.col("kind")).alias("kind"))
+        some = some.unionByName(bearers)
+        some = some.withColumn("canon", canonical(F.col("kind"), F.col("v"))).select("_h", "kind", "canon").distinct()
+        per = (some.join(late, ["kind", "canon"]).groupBy("_h").agg(F.map_from_entries(F.collect_list(
             F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias("_late")))
-        d = d.withColumn("_h0", F.md5(F.coalesce("_text", F.lit("")).cast("binary")))
+        d = d.withColumn("_h0", F.when(F.size("_e") > 0, hashed))
         d = d.join(per, F.col("_h0") == F.col("_h"), "left").drop("_h", "_h0")
         attempts = F.col("_late")
 
@@ -377,30 +505,36 @@ def _replaced(docs: DataFrame, keep: list[Column], key_text: str) -> DataFrame:
                 attempts, F.concat_ws("|", k, canon)), F.lit(0))
 
         def typed(k):
-            return _let(attempt_of(k, canonical(k, v)), lambda n: _let(
-                attempt_of(F.lit("family"), F.lower(family_of(v))), lambda m: surrogate(k, v, n, key, m)))
-        return F.coalesce(_let(kind_of(v, e["led"]), typed), v)
-
-    pieces = F.split("_text", ENTITY_RE)
-    whole = F.concat(F.array_join(F.zip_with(pieces, F.transform("_e", new), lambda p, e: F.concat(
+            drawn = _let(attempt_of(k, canonical(k, v)), lambda n: _let(
+                attempt_of(_part_kind(k), F.lower(part_of(k, v))), lambda m: surrogate(k, v, n, key, m)))
+            return F.struct(k.alias("kind"), v.alias("old"), F.coalesce(drawn, v).alias("new"))
+        return _let(kind_of(v, e["led"]), typed)
+
+    d = held(d, "_pairs", F.transform("_e", new))
+    d = held(d, "_pieces", F.when(F.size("_e") > 0, F.split("_text", ENTITY_RE)))
+    named = F.exists("_pairs", lambda p: F.coalesce(p["kind"] == "person", F.lit(False)))
+    d = held(d, "_m", F.when(named, _mentions(F.col("_pairs"))))
+    pieces = F.when(F.col("_m").isNotNull(), F.transform("_pieces", lambda p: _referred(p, F.col("_m")))).otherwise(F.col("_pieces"))
+    whole = F.concat(F.array_join(F.zip_with(pieces, F.transform("_pairs", lambda p: p["new"]), lambda p, e: F.concat(
         p, F.coalesce(e, F.lit("")))), ""))
-    d = d.withColumn("_kinds", F.filter(F.transform("_e", lambda e: kind_of(e["v"], e["led"])), lambda k: k.isNotNull()))
-    return d.withColumn("_new", F.when(F.size("_e") > 0, whole).otherwise(F.col("_text")))
+    d = d.withColumn("_kinds", F.filter(F.transform("_pairs", lambda p: p["kind"]), lambda k: k.isNotNull()))
+    d = held(d, "_new", F.when(F.size("_e") > 0, whole).otherwise(F.col("_text")))
+    return d.select("_keep", "_text", "_new", "_kinds")
 
 
 def anonymized(docs: DataFrame, key: str) -> DataFrame:
     """The documents with all their columns, personal data replaced (and
     n_chars, where it is a column, brought up to date)."""
-    d = _replaced(docs, [whole_row(docs)], key)
+    d = _replaced(docs, whole_row(docs), key)
     out = [F.col("_new").alias(c) if c == "text"
-           else F.when(F.size("_kinds") > 0, F.length("_new")).otherwise(F.col("_row").getField(c))
+           else F.when(F.size("_kinds") > 0, F.length("_new")).otherwise(F.col("_keep").getField(c))
            .cast(docs.schema[c].dataType).alias(c) if c == "n_chars"
-           else F.col("_row").getField(c).alias(c) for c in docs.columns]
+           else F.col("_keep").getField(c).alias(c) for c in docs.columns]
     return d.select(*out)
 
 
 def surrogate_report(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text with surrogates, n_entities and the sorted kinds."""
-    d = _replaced(docs, [col("doc_id").alias("doc_id")], key)
-    return d.select("doc_id", F.col("_new").alias("text"), F.size("_kinds").cast("long").alias("n_entities"),
+    d = _replaced(docs, col("doc_id"), key)
+    return d.select(F.col("_keep").alias("doc_id"), F.col("_new").alias("text"), F.size("_kinds").cast("long").alias("n_entities"),
                     F.array_join(F.array_sort(F.array_distinct("_kinds")), ",").alias("kinds"))
