@@ -12,9 +12,12 @@ share the total size by weight; a source's target stops at ``cap`` times its
 size and the excess is reshared by weight.  A target above a source's size
 takes whole copies of the source first, then the threshold for the rest.
 
+Rows with equal id and text share a hash.  Where a budget ends within such
+rows, they are divided in the same way by a hash of their row number.
+
 Defined results: a null text has size 0 and is never taken; null is a source
-of its own; rows with equal id and text share a hash and are taken or left
-together; an empty table gives an empty result; other columns are ignored by
+of its own; of equal rows as many are taken as come nearest to the budget; an
+empty table gives an empty result; other columns are ignored by
 ``mix_counts`` and kept by ``mixed``.
 """
 
@@ -59,15 +62,17 @@ def targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
         F.least(F.col("_cap"), F.col("_share") * F.col("_w")), F.col("_cap")), 6).alias("target"))
 
 
-def thresholds(digest: DataFrame, budgets: DataFrame, level_digits: int = LEVEL_DIGITS) -> DataFrame:
-    """(source, threshold): the largest hash whose running size, in hash order,
-    is nearest to the budget (below it on a tie); -1 takes none.
+def boundaries(digest: DataFrame, budgets: DataFrame, level_digits: int = LEVEL_DIGITS) -> DataFrame:
+    """(_source, _prefix, _left, _bucket_size): the hash at which the running
+    size, in hash order, passes the source's budget, what is left of the budget
+    there, and the size of the rows with that hash.  A source that its budget
+    takes whole has no row.
 
     ``digest``: _source, _size, _hash; ``budgets``: _source, _budget.  One row
     per source and bucket leaves each task; each level keeps only the rows of
     the boundary buckets."""
     bits = 4 * level_digits
-    rest = digest.where("_size > 0")
+    rest = digest.where("_size > 0").select("_source", "_size", "_hash")
     state = budgets.select("_source", F.col("_budget").cast("double").alias("_left"),
                            F.lit(0).cast("long").alias("_prefix"))
     shift = 4 * HASH_DIGITS
@@ -89,13 +94,20 @@ def thresholds(digest: DataFrame, budgets: DataFrame, level_digits: int = LEVEL_
         edge = state.select(F.col("_source").alias("_bs"), F.col("_prefix").alias("_bp"))
         rest = rest.join(edge, F.col("_source").eqNullSafe(F.col("_bs"))
                          & (F.shiftright("_hash", shift) == F.col("_bp"))).drop("_bs", "_bp")
+    return state
+
+
+def thresholds(digest: DataFrame, budgets: DataFrame, level_digits: int = LEVEL_DIGITS) -> DataFrame:
+    """(_source, threshold, _edge, _left, _bucket_size): rows up to the
+    threshold make a running size nearest to the budget (below it on a tie); -1
+    takes none.  ``_edge`` is the hash at which the budget ends."""
+    last = boundaries(digest, budgets, level_digits).select(
+        F.col("_source").alias("_ls"), F.col("_prefix").alias("_edge"), "_left", "_bucket_size")
     # the last bucket is one hash value: in, if that comes nearer to the budget
-    last = state.select(F.col("_source").alias("_ls"), F.when(
-        F.col("_bucket_size") - F.col("_left") < F.col("_left"), F.col("_prefix"))
-        .otherwise(F.col("_prefix") - 1).alias("_thr"))
+    near = F.when(F.col("_bucket_size") - F.col("_left") < F.col("_left"), F.col("_edge")).otherwise(F.col("_edge") - 1)
     # a source without a boundary is taken whole
-    return (budgets.join(last, F.col("_source").eqNullSafe(F.col("_ls")), "left")
-            .select("_source", F.coalesce("_thr", F.lit((1 << 60) - 1).cast("long")).alias("threshold")))
+    return (budgets.join(last, F.col("_source").eqNullSafe(F.col("_ls")), "left").select(
+        "_source", F.coalesce(near, F.lit((1 << 60) - 1).cast("long")).alias("threshold"), "_edge", "_left", "_bucket_size"))
 
 
 def _plan(docs: DataFrame, weights, cap: int, keep: list[Column], level_digits: int):
@@ -111,29 +123,53 @@ def mix_counts(docs: DataFrame, weights=WEIGHTS, cap: int = CAP,
                level_digits: int = LEVEL_DIGITS) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every document."""
     digest = written(_plan(docs, weights, cap, [col("doc_id").alias("_id")], level_digits), "mix-digest")
-    return _taken(digest, weights, cap, level_digits).select(
+    p = _per_source(digest, weights, cap, level_digits)
+    return _copied(digest, p, cap, level_digits).select(
         F.col("_id").alias("doc_id"), F.col("_source").alias("source"), F.col("_size").alias("size"),
         "source_size", "target", (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
 def _per_source(digest: DataFrame, weights, cap: int, level_digits: int) -> DataFrame:
+    """Per source: sizes, target, whole copies, threshold; and where equal rows
+    stand at the end of the budget (_split) what is left for them."""
     sizes = digest.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"))
     t = targets(sizes, weights, cap)
     size = F.col("source_size")
     t = t.withColumn("_full", F.when(size > 0, F.floor(F.col("target") / size)).otherwise(0).cast("long"))
     t = written(t.withColumn("_budget", F.col("target") - F.col("_full") * size), "mix-targets")
     thr = thresholds(digest, t.select(F.col("source").alias("_source"), "_budget"), level_digits)
-    return (t.join(thr, F.col("source").eqNullSafe(F.col("_source")))
-            .select(F.col("source").alias("_s"), "source_size", "target", "_full",
-                    # a budget of 0 needs no threshold
-                    F.when(F.col("_budget") > 0, F.col("threshold")).otherwise(F.lit(-1)).alias("_thr")))
-
-
-def _taken(digest: DataFrame, weights, cap: int, level_digits: int) -> DataFrame:
-    p = _per_source(digest, weights, cap, level_digits)
-    d = digest.join(p, F.col("_source").eqNullSafe(F.col("_s")), "left")
-    more = (F.col("_hash") <= F.col("_thr")).cast("long")
-    return d.withColumn("_copies", F.least(F.col("_full") + more, F.lit(cap).cast("long")))
+    p = written(t.join(thr, F.col("source").eqNullSafe(F.col("_source")))
+                .select(F.col("source").alias("_s"), "source_size", "target", "_full", "_edge", "_left",
+                        # a budget of 0 needs no threshold
+                        F.when(F.col("_budget") > 0, F.col("threshold")).otherwise(F.lit(-1)).alias("_thr"),
+                        (F.col("_budget") > 0).alias("_open")), "mix-thresholds")
+    # how many rows stand at the end of each budget
+    ends = p.where("_open").select("_s", "_edge")
+    rows = (digest.where("_size > 0").join(ends, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_hash") == F.col("_edge")))
+            .groupBy("_s").agg(F.count(F.lit(1)).alias("_n")).select(F.col("_s").alias("_rs"), "_n"))
+    return written(p.join(rows, F.col("_s").eqNullSafe(F.col("_rs")), "left")
+                   .withColumn("_split", F.coalesce(F.col("_n") > 1, F.lit(False))).drop("_rs", "_n"), "mix-plan")
+
+
+def _copied(rows: DataFrame, p: DataFrame, cap: int, level_digits: int) -> DataFrame:
+    """Adds the figures of a row's source and _copies, how often it is taken."""
+    d = rows.join(p, F.col("_source").eqNullSafe(F.col("_s")), "left")
+    more = F.col("_hash") <= F.col("_thr")
+    if not p.where("_split").isEmpty():
+        # equal rows at the end of a budget: numbered by a written table and
+        # divided by a hash of the number, as the others by theirs
+        ends = F.col("_split") & (F.col("_hash") == F.col("_edge")) & (F.col("_size") > 0)
+        tied = written(d.where(ends).withColumn("_nth", F.monotonically_increasing_id()), "mix-ties")
+        tied = tied.withColumn("_sub", F.shiftrightunsigned(F.xxhash64("_nth"), 64 - 4 * HASH_DIGITS))
+        sub = thresholds(tied.select("_source", "_size", F.col("_sub").alias("_hash")),
+                         p.where("_split").select(F.col("_s").alias("_source"), F.col("_left").alias("_budget")),
+                         level_digits).select(F.col("_source").alias("_ts"), F.col("threshold").alias("_tt"))
+        tied = (tied.join(sub, F.col("_source").eqNullSafe(F.col("_ts")), "left")
+                .withColumn("_more", F.col("_sub") <= F.col("_tt")).drop("_nth", "_sub", "_ts", "_tt"))
+        d = d.where(~F.coalesce(ends, F.lit(False))).withColumn("_more", more).unionByName(tied)
+    else:
+        d = d.withColumn("_more", more)
+    return d.withColumn("_copies", F.least(F.col("_full") + F.col("_more").cast("long"), F.lit(cap).cast("long")))
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, cap: int = CAP,
@@ -143,9 +179,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, cap: int = CAP,
     digest = written(_plan(docs, weights, cap, [col("doc_id").alias("_id")], level_digits), "mix-digest")
     p = _per_source(digest, weights, cap, level_digits)
     d = _plan(docs, weights, cap, [whole_row(docs), col("doc_id").alias("_id")], level_digits)
-    d = d.join(p, F.col("_source").eqNullSafe(F.col("_s")), "left")
-    copies = F.least(F.col("_full") + (F.col("_hash") <= F.col("_thr")).cast("long"),
-                     F.lit(cap).cast("long"))
-    d = d.withColumn("_copies", F.when(F.col("_size") > 0, copies).otherwise(F.lit(0).cast("long")))
+    d = _copied(d, p, cap, level_digits)
+    d = d.withColumn("_copies", F.when(F.col("_size") > 0, F.col("_copies")).otherwise(F.lit(0).cast("long")))
     d = d.where("_copies > 0").withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
     return unpack(d, docs.columns)

@@ -22,16 +22,19 @@ share AS (SELECT arg_min(level, cap / w) AS share FROM l WHERE cap > level * w),
 t AS (SELECT source, source_size, round(coalesce(least(cap, share * w), cap), 6) AS target
       FROM l CROSS JOIN share),
 b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS times FROM t),
-g AS (SELECT d.source, d.h, sum(d.size) AS size FROM d GROUP BY d.source, d.h),
+g AS (SELECT source, h, sum(size) AS size, count(*) AS rows FROM d WHERE size > 0 GROUP BY source, h),
 r AS (SELECT g.*, b.target - b.times * b.source_size AS budget,
              sum(g.size) OVER (PARTITION BY g.source ORDER BY g.h) AS upto
       FROM g JOIN b ON g.source IS NOT DISTINCT FROM b.source),
-k AS (SELECT source, h, budget > 0 AND (upto <= budget OR (upto - size <= budget AND upto - budget < budget - (upto - size)))
-             AS more FROM r)
-SELECT d.doc_id, d.source, d.size, b.source_size, b.target,
-       (d.size * least(b.times + CASE WHEN k.more THEN 1 ELSE 0 END, 3))::BIGINT AS taken
-FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
-JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.h = k.h
+k AS (SELECT *, greatest((budget - (upto - size)) / (size / rows), 0) AS fit FROM r),
+-- how many of the rows with one hash are taken: all but in the last one
+n AS (SELECT source, h, CASE WHEN budget <= 0 THEN 0 WHEN upto <= budget THEN rows
+             ELSE least(floor(fit) + CASE WHEN fit - floor(fit) > 0.5 THEN 1 ELSE 0 END, rows) END AS most FROM k),
+e AS (SELECT *, row_number() OVER (PARTITION BY source, h ORDER BY doc_id) AS nth FROM d)
+SELECT e.doc_id, e.source, e.size, b.source_size, b.target,
+       (e.size * least(b.times + CASE WHEN e.nth <= n.most THEN 1 ELSE 0 END, 3))::BIGINT AS taken
+FROM e JOIN b ON e.source IS NOT DISTINCT FROM b.source
+LEFT JOIN n ON e.source IS NOT DISTINCT FROM n.source AND e.h = n.h
 """
 
 

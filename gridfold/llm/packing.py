@@ -9,7 +9,14 @@ residual capacity or the smallest norm of the residual left.  Only lengths
 travel to the groups, not ids.
 
 A group of ``group_rows`` pieces wastes less than one sequence's tokens at its
-end, so splitting costs about 1 sequence in ``group_rows`` / 2.
+end, so splitting costs about 1 sequence in ``group_rows`` / 2.  The number of
+groups follows the number of pieces, and pieces are dealt by their row, so
+equal pieces do not meet in one group.
+
+At the default capacities only tokens can bind: a piece has at least one
+token, so 1024 documents never exceed a sequence, and the squared lengths of a
+sequence never exceed a full one's.  Documents and cost then only weigh in the
+choice; smaller capacities bind, at the price of more sequences.
 
 Defined results: a null text is an empty text (its only id is the end id); a
 repeated row is packed again as a row of its own; ties between sequences go to
@@ -27,11 +34,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridfold.llm.common import col, text_of
+from gridfold.llm.common import col, text_of, written
 from gridfold.llm.tokens import id_encoder
 
 MAX_TOKENS = 1024
-MAX_DOCS = 256
+MAX_DOCS = MAX_TOKENS
 MAX_COST = MAX_TOKENS * MAX_TOKENS     # sum of squared lengths, at most one full piece's
 END_ID = 2
 GROUP_ROWS = 20_000
@@ -131,19 +138,18 @@ def fit(lengths: np.ndarray, max_tokens: int = MAX_TOKENS, max_docs: int = MAX_D
 def pack(pieces: DataFrame, groups: int, max_tokens: int = MAX_TOKENS, max_docs: int = MAX_DOCS,
          max_cost: int = MAX_COST, rule: str = "norm", weights=WEIGHTS) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length,
-    ids_crc32).  ``groups``: number of independently packed groups."""
+    ids_crc32, and _row, a number of the piece's row).  ``groups``: number of
+    independently packed groups."""
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         # a fixed order, so that a group repeated on another executor agrees
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"],
-                              ascending=[False, True, True, True], kind="stable")
+        pdf = pdf.sort_values(["length", "_row"], ascending=[False, True], kind="stable")
         seq, off = fit(pdf["length"].to_numpy(), max_tokens, max_docs, max_cost, rule, weights)
         return pdf.assign(sequence_id=pdf["_g"].to_numpy(np.int64) * (1 << 32) + seq, offset=off)[out_cols]
 
     out_cols = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    # dealt by content, so that each group gets all lengths alike
-    g = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int")
-    full = F.col("length") == max_tokens
-    keyed = pieces.select("doc_id", "piece", "start", "length", "ids_crc32", g.alias("_g"))
+    # dealt by a hash, so that each group gets all lengths alike
+    g = F.pmod(F.xxhash64("_row"), F.lit(groups)).cast("int")
+    keyed = pieces.select("doc_id", "piece", "start", "length", "ids_crc32", "_row", g.alias("_g"))
     return keyed.groupBy("_g").applyInPandas(_keep_ids(one), (
         "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint,"
         " sequence_id bigint, offset bigint"))
@@ -158,6 +164,7 @@ def _keep_ids(fn):
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, group_rows: int = GROUP_ROWS,
                    **capacities) -> DataFrame:
     """Tokenizes, cuts and packs all documents."""
-    n = docs.count()
-    return pack(token_pieces(docs, tokenizer, capacities.get("max_tokens", MAX_TOKENS)),
-                max(1, math.ceil(n / group_rows)), **capacities)
+    pieces = token_pieces(docs, tokenizer, capacities.get("max_tokens", MAX_TOKENS))
+    # written once (lengths only): the rows' numbers stay what they are
+    pieces = written(pieces.withColumn("_row", F.monotonically_increasing_id()), "pack-pieces")
+    return pack(pieces, max(1, math.ceil(pieces.count() / group_rows)), **capacities)

@@ -133,6 +133,24 @@ def test_mix_reaches_targets_and_nests(spark, docs):
     assert small == {r["doc_id"]: r["taken"] for r in rows}        # the buckets' width does not matter
 
 
+def test_mix_divides_equal_rows(spark):
+    """Sources of mostly equal rows come within one document of their target,
+    in the figures and in the mixture, whatever the other columns are."""
+    rows = ([(None, "one two three four", "x", i) for i in range(600)] + [(i, f"w{i} " * (1 + i % 9), "y", i) for i in range(400)]
+            + [(7, "same text", "z", 0)] * 300 + [(i, None, "z", 1) for i in range(5)] + [(None, None, None, 2)])
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string, extra int").repartition(3)
+    got = mixing.mix_counts(d).collect()
+    assert len(got) == len(rows)
+    mixture = mixing.mixed(d)
+    words = {r["source"]: r["n"] for r in mixture.groupBy("source").agg(
+        F.sum(F.size(F.split(F.trim("text"), " +"))).alias("n")).collect()}
+    for s in ("x", "y", "z"):
+        mine = [r for r in got if r["source"] == s]
+        taken = sum(r["taken"] for r in mine)
+        assert abs(taken - mine[0]["target"]) <= max(r["size"] for r in mine) and words[s] == taken
+        assert all(r["taken"] <= 3 * r["size"] for r in mine)
+
+
 # 2 surrogates
 
 def test_surrogates_are_consistent(spark):
