@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from gridfold.catalog.fixture_sql import with_fixtures
 from gridfold.catalog.q_landcover import EXCLUDED, LC_CTES, ZONAL_SQL, share_sql, lc_grid
 from gridfold.catalog.q_points import point_index_sql, window_sql
@@ -83,6 +85,18 @@ def q_stats_text(spark, sf):
     return spark.read.text(path)
 
 
+@register("stats_text_parsed", with_fixtures("""
+SELECT stat, round(value + 3.725290298461914e-09, 6) AS value FROM (
+  SELECT unnest(['mean', 'min', 'max', 'sum', 'std', 'var']) AS stat,
+         unnest([avg(value), min(value), max(value), sum(value), stddev_pop(value), var_pop(value)]) AS value
+  FROM (SELECT coalesce(sum(value), 0.0) AS value FROM cells GROUP BY iy, ix) t) s"""))
+def q_stats_text_parsed(spark, sf):
+    """The statistics text read back as names and numbers."""
+    line = F.split("value", ": ")
+    return r6(q_stats_text(spark, sf).select(F.get(line, F.lit(0)).alias("stat"),
+                                             F.get(line, F.lit(1)).cast("double").alias("value")), "value")
+
+
 @register("window_cells", with_fixtures(
     "SELECT point_id, station, date, value, qflag FROM w",
     {"pi": point_index_sql("index"), "w": window_sql(1, "truncate")}))

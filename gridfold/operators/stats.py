@@ -34,6 +34,32 @@ def quick_stats(grid: DataFrame, keys: tuple[str, ...] = (), col: str = "value")
     return grid.groupBy(*keys).agg(*aggs) if keys else grid.agg(*aggs)
 
 
+def moments(cells: DataFrame, band_rows: int = 512, col: str = "value") -> DataFrame:
+    """Mergeable partial statistics of a stack: for every date and strip of
+    ``band_rows`` grid rows n, mean, m2 (sum of squared differences from the
+    mean), min and max (G12).  Written with a store they answer statistics of
+    any date range without reading its cells."""
+    v = F.col(col)
+    return (cells.groupBy("date", F.floor(F.col("iy") / F.lit(band_rows)).cast("int").alias("strip"))
+            .agg(F.count(v).alias("n"), F.avg(v).alias("mean"), (F.var_pop(v) * F.count(v)).alias("m2"),
+                 F.min(v).alias("min"), F.max(v).alias("max")))
+
+
+def merge_moments(parts: DataFrame) -> DataFrame:
+    """The row of ``grid_stats`` from partial statistics: squared differences
+    add up after each part's mean is moved to the common one."""
+    n, total = F.col("n"), F.sum(F.col("n") * F.col("mean"))
+    parts = parts.where(n > 0)
+    mean = parts.agg(F.try_divide(total, F.sum(n))).scalar()
+    m2 = F.sum(F.col("m2") + n * F.pow(F.col("mean") - mean, F.lit(2.0)))
+    var = F.greatest(F.try_divide(m2, F.sum(n)), F.lit(0.0))
+    none = F.coalesce(F.sum(n), F.lit(0)) == 0
+    out = parts.agg(mean.alias("mean"), F.min("min").alias("min"), F.max("max").alias("max"),
+                    F.coalesce(total, F.lit(0.0)).alias("sum"), F.when(~none, F.sqrt(var)).alias("std"),
+                    F.when(~none, var).alias("var"))
+    return out
+
+
 def stats_long(stats: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Unpivot a statistics row into (ord, stat, value) lines (K5)."""
     pairs = ", ".join(f"{i}, '{s}', CAST(`{s}` AS DOUBLE)" for i, s in enumerate(STAT_ORDER))

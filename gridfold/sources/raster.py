@@ -221,6 +221,19 @@ def decode_store(spark: SparkSession, root: str, spec: GridSpec, when=None,
     return small.unionByName(decode_large_tiles(big, spec, bands))
 
 
+def read_landcover(spark: SparkSession, path: str, spec: GridSpec, format: str = "auto") -> DataFrame:
+    """A class raster (iy, ix, y, x, lc_code) on ``spec`` (S5): a tree of
+    GeoTIFF files in one date folder, first band, or a Parquet table with iy, ix
+    and lc_code.  Pixels without a class are absent."""
+    if format == "geotiff" or (format == "auto" and not list_tile_files(spark, path).limit(1).isEmpty()):
+        cells = decode_store(spark, path, spec, bands=("lc_code",))
+    else:
+        cells = spark.read.parquet(path)
+    code = F.col("lc_code").cast("int")
+    return spec.with_coords(cells.select("iy", "ix", code.alias("lc_code")).where(code.isNotNull())).select(
+        "iy", "ix", "y", "x", "lc_code")
+
+
 def tile_headers(files: DataFrame) -> DataFrame:
     """Georeference of every tile file: (path, x0, y0, dx, dy, width,
     height, epsg); pixels are not decoded."""
