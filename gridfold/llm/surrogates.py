@@ -59,7 +59,8 @@ PATTERNS = {
     "access_key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
     "token": (r"(?<![A-Za-z0-9_])(?:gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9\-]{10,}"
               r"|eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,})"),
-    "secret": rf"(?<={_KEYWORD}){_SECRET}",
+    # the cheap looks back come first: few places stand behind a sign or quote
+    "secret": rf"(?:(?<=[=:\"'])|(?<=[=:] )|(?<=[=:]  ))(?<={_KEYWORD}){_SECRET}",
     "email": (r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]+@[\p{L}\p{N}\-]+"
               r"(?:\.[\p{L}\p{N}\-]+){0,20}\.\p{L}{2,}"),
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -70,14 +71,18 @@ PATTERNS = {
     "social": r"(?<![\p{L}\d\-])\d{3}-\d{2}-\d{4}(?![\p{L}\d\-])",
     "phone": (r"(?<![\p{L}\d+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?![\p{L}\d])"
               r"|(?<![\p{L}\d])\+\d{1,3}(?:[ .\-]\d{2,5}){2,5}(?![\p{L}\d])|(?<![\p{L}\d])\+\d{9,14}(?![\p{L}\d])"
-              r"|(?<=(?i:phone|tel|call|mobile|fax)[ .:]{1,3})\d{7,12}(?![\p{L}\d.])"),
+              r"|(?=\d{7})(?<=(?i:phone|tel|call|mobile|fax)[ .:]{1,3})\d{7,12}(?![\p{L}\d.])"),
     "address": rf"(?<![\p{{L}}\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\d]|\.\d)",
     "person": rf"(?<!\p{{L}})(?:{_TITLE}\.? ){{1,3}}{_NAME}(?: {_NAME})?",
 }
-ENTITY_RE = "|".join(f"(?:{p})" for p in PATTERNS.values())
+# but for private keys, no entity begins within a word: most places are passed
+# over by one look back
+ENTITY_RE = (PATTERNS["private_key"] + r"|(?<!\p{L})(?:"
+             + "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k != "private_key") + ")")
 # every entity holds a digit, an at sign, two colons or hyphens, the start of a
 # key or token, a title or a keyword of a secret
-_HINT_RE = rf"[\d@]|::|[0-9A-Fa-f]{{2}}[:\-][0-9A-Fa-f]{{2}}[:\-]|{_HEX4}:{_HEX4}:|PRIVATE KEY|AKIA|xox|eyJ|gh[pousr]_|{_TITLE}\.? \p{{Lu}}|{_KEYWORD}"
+_HINT_RE = (rf"[\d@]|::|[:\-][0-9A-Fa-f]{{1,4}}[:\-]|PRIVATE KEY|(?<!\p{{L}})(?:AKIA|xox|eyJ|gh[pousr]_|{_TITLE}\.? \p{{Lu}})"
+            rf"|{_KEYWORD}")
 
 # Given names and name parts by gender and script (fixed values)
 GIVEN = {
