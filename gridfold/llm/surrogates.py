@@ -111,16 +111,17 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _stream(key: Column, kind: str, canon: Column, attempt: Column) -> Column:
+def _stream(key: Column, kind: str | Column, canon: Column, attempt: Column) -> Column:
     """256 hex digits of a keyed hash."""
-    seed = F.concat_ws("|", key, F.lit(kind), canon, attempt.cast("string"))
-    return F.concat(*[F.sha2(F.concat(F.lit(f"{n}|"), seed).cast("binary"), 512) for n in (0, 1)])
+    kind = kind if isinstance(kind, Column) else F.lit(kind)
+    return _let(F.concat_ws("|", key, kind, canon, attempt.cast("string")), lambda seed: F.concat(
+        *[F.sha2(F.concat(F.lit(f"{n}|"), seed).cast("binary"), 512) for n in (0, 1)]))
 
 
 def _number(stream: Column, at: Column, below: int | Column) -> Column:
     """A number under ``below`` from place ``at`` of the stream (64 places)."""
     return F.pmod(F.conv(F.substring(stream, 1 + 4 * F.pmod(at, F.lit(64)), F.lit(4)), 16, 10).cast("int"),
-                  F.lit(below))
+                  below if isinstance(below, Column) else F.lit(below))
 
 
 def _pick(stream: Column, at: Column, alphabet: str) -> Column:
@@ -131,18 +132,20 @@ def _digits(v: Column) -> Column:
     return F.regexp_replace(v, r"[^0-9]", "")
 
 
+# classes of characters with the alphabet that replaces them; the first that fits
+CLASSES = (("[0-9]", "digit"), ("[A-Z]", "upper"), (r"(?=\p{IsCyrillic})\p{Lu}", "CYRILLIC"),
+           (r"\p{IsCyrillic}", "cyrillic"), (r"(?=\p{IsGreek})\p{Lu}", "GREEK"), (r"\p{IsGreek}", "greek"),
+           (r"\p{L}", "lower"))
+
+
 def _charwise(v: Column, stream: Column, hex_only: Column) -> Column:
     """Each character replaced by one of its class; others stay."""
     def one(c, i):
-        return (F.when(c.rlike("[0-9]"), _pick(stream, i, ALPHABETS["digit"]))
-                .when(c.rlike("[a-f]") & hex_only, _pick(stream, i, ALPHABETS["hex"]))
-                .when(c.rlike("[A-Z]"), _pick(stream, i, ALPHABETS["upper"]))
-                .when(c.rlike(r"\p{IsCyrillic}") & c.rlike(r"\p{Lu}"), _pick(stream, i, ALPHABETS["CYRILLIC"]))
-                .when(c.rlike(r"\p{IsCyrillic}"), _pick(stream, i, ALPHABETS["cyrillic"]))
-                .when(c.rlike(r"\p{IsGreek}") & c.rlike(r"\p{Lu}"), _pick(stream, i, ALPHABETS["GREEK"]))
-                .when(c.rlike(r"\p{IsGreek}"), _pick(stream, i, ALPHABETS["greek"]))
-                .when(c.rlike(r"\p{L}"), _pick(stream, i, ALPHABETS["lower"]))
-                .otherwise(c))
+        alphabet = F.when(hex_only & c.rlike("[a-f]"), ALPHABETS["hex"])
+        for pattern, name in CLASSES:
+            alphabet = alphabet.when(c.rlike(pattern), ALPHABETS[name])
+        return _let(alphabet, lambda a: F.coalesce(
+            F.substring(a, 1 + _number(stream, i, F.length(a)), F.lit(1)), c))
     return F.array_join(F.transform(F.split(v, ""), one), "")
 
 
@@ -213,19 +216,19 @@ def domain_of(email: Column) -> Column:
     return F.substring(domain, F.lit(1), F.length(domain) - F.length(F.substring_index(domain, ".", -1)) - 1)
 
 
-def _domain(host: Column, key: Column, attempt: Column) -> Column:
+def _domain(host: Column, t: Column, attempt: Column) -> Column:
     """A domain, drawn by itself so that all addresses in it agree."""
-    return _let(_stream(key, "domain", F.lower(host), attempt), lambda t: F.concat(
-        F.when(attempt >= FREE_FROM, F.concat(F.substring(t, 200, 6), F.lit("-"))).otherwise(F.lit("")),
-        _charwise(host, t, F.lit(False))))
+    return F.concat(F.when(attempt >= FREE_FROM, F.concat(F.substring(t, 200, 6), F.lit("-"))).otherwise(F.lit("")),
+                    _charwise(host, t, F.lit(False)))
 
 
-def _email(v: Column, c: Column, key: Column, attempt: Column, domain_attempt: Column) -> Column:
+def _email(v: Column, s: Column, key: Column, attempt: Column, domain_attempt: Column) -> Column:
     local, top = F.substring_index(v, "@", 1), F.lower(F.substring_index(v, ".", -1))
-    return _let(_stream(key, "email", c, attempt), lambda s: F.concat(
+    return F.concat(
         _charwise(local, s, F.lit(False)),
         F.when(attempt >= FREE_FROM, F.concat(F.lit("."), F.substring(s, 200, 8))).otherwise(F.lit("")),
-        F.lit("@"), _domain(domain_of(v), key, domain_attempt), F.lit("."), top))
+        F.lit("@"), _let(domain_of(v), lambda h: _let(
+            _stream(key, "domain", h, domain_attempt), lambda t: _domain(h, t, domain_attempt))), F.lit("."), top)
 
 
 def _hexwise(v: Column, s: Column) -> Column:
@@ -236,18 +239,20 @@ def _hexwise(v: Column, s: Column) -> Column:
     return F.array_join(F.transform(F.split(v, ""), one), "")
 
 
-def _private_key(v: Column, s: Column) -> Column:
-    """The lines between the two marks replaced."""
-    form = r"(?s)^(-----BEGIN [A-Z ]*-----)(.*)(-----END [A-Z ]*-----)$"
-    part = [F.regexp_extract(v, form, i) for i in (1, 2, 3)]
-    return F.concat(part[0], _charwise(part[1], s, F.lit(False)), part[2])
+# the part of an entity that is replaced character by character, between what
+# stays: the mark of a key or token, the lines around a private key
+_SPAN_RE = (r"(?s)^(AKIA(?=[0-9A-Z]{16}$)|gh[pousr]_|xox[abprs]-|eyJ(?=[^.]*\.eyJ)|-----BEGIN [A-Z ]*-----)?(.*?)"
+            r"(-----END [A-Z ]*-----)?$")
 
 
-def _token(v: Column, s: Column) -> Column:
-    """The mark at the start stays, and both of a signed token."""
-    mark = F.regexp_extract(v, r"^(gh[pousr]_|xox[abprs]-|eyJ)", 1)
-    drawn = F.concat(mark, _charwise(F.substring(v, F.length(mark) + 1, F.length(v)), s, F.lit(False)))
-    return F.when(mark == "eyJ", F.regexp_replace(drawn, r"^([^.]*\.).{3}", "$1eyJ")).otherwise(drawn)
+def _spanned(v: Column, kind: Column, s: Column) -> Column:
+    """A key, token or secret; a signed token keeps the mark of its second part."""
+    marked = kind.isin("access_key", "token", "private_key")
+    part = [F.regexp_extract(v, _SPAN_RE, i) for i in (1, 2, 3)]
+    body = F.when(marked, part[1]).otherwise(v)
+    drawn = _charwise(body, s, (kind == "secret") & v.rlike("^[0-9a-f]+$"))
+    out = F.when(marked, F.concat(part[0], drawn, part[2])).otherwise(drawn)
+    return F.when((kind == "token") & (part[0] == "eyJ"), F.regexp_replace(out, r"^([^.]*\.).{3}", "$1eyJ")).otherwise(out)
 
 
 def _ip(v: Column, s: Column, attempt: Column) -> Column:
@@ -290,11 +295,10 @@ def family_of(person: Column) -> Column:
 
 def _names(values: dict, script: Column, female: Column | None = None) -> Column:
     """The names of a script (and gender) as an array."""
-    out = F.lit("")
-    for k, names in values.items():
-        fits = script == k if female is None else (script == k[1]) & (female == F.lit(k[0] == "f"))
-        out = F.when(fits, F.lit(names)).otherwise(out)
-    return F.split(out, " ")
+    table = F.create_map(*[F.lit(x) for k, names in values.items()
+                           for x in (k if female is None else f"{k[0]} {k[1]}", names)])
+    key = script if female is None else F.concat(F.when(female, "f ").otherwise("m "), script)
+    return F.split(F.coalesce(F.try_element_at(table, key), F.lit("")), " ")
 
 
 def _drawn(names: Column, stream: Column, n: Column, between: str) -> Column:
@@ -305,11 +309,12 @@ def _drawn(names: Column, stream: Column, n: Column, between: str) -> Column:
 
 def _family(family: Column, female: Column, key: Column, attempt: Column) -> Column:
     """A family name, drawn by itself so that all its bearers agree."""
-    script = _script(family)
     syllables = F.when(attempt >= FREE_FROM, 7).otherwise(3)
-    drawn = _let(_stream(key, "family", F.lower(family), attempt), lambda s: F.concat(
-        _drawn(_names(SYLLABLES, script), s, syllables, ""), F.get(_names(ENDINGS, script, female), F.lit(0))))
-    return _let(drawn, lambda d: _cased(family, F.initcap(d)))
+
+    def drawn(script):
+        return _let(_stream(key, "family", F.lower(family), attempt), lambda s: F.concat(
+            _drawn(_names(SYLLABLES, script), s, syllables, ""), F.get(_names(ENDINGS, script, female), F.lit(0))))
+    return _cased(family, F.initcap(_let(_script(family), drawn)))
 
 
 def _cased(name: Column, drawn: Column) -> Column:
@@ -318,56 +323,52 @@ def _cased(name: Column, drawn: Column) -> Column:
 
 def _female(titles: Column, given: Column) -> Column:
     """By the title; behind one of either gender by the given name."""
-    listed = [n.lower() for (g, _), names in GIVEN.items() if g == "f" for n in names.split()]
-    by_name = F.lower(given).isin(listed) | given.rlike("(?iu)[aаяαη]$")
+    listed = "|".join(n for (g, _), names in GIVEN.items() if g == "f" for n in names.split())
     return (F.when(titles.rlike(rf"(?:^| ){_TITLES_F}\.? "), F.lit(True))
-            .when(titles.rlike(rf"(?:^| ){_TITLES_M}\.? "), F.lit(False)).otherwise(F.coalesce(by_name, F.lit(False))))
+            .when(titles.rlike(rf"(?:^| ){_TITLES_M}\.? "), F.lit(False))
+            .otherwise(F.coalesce(given.rlike(rf"(?iu)^(?:{listed})$|[aаяαη]$"), F.lit(False))))
 
 
 def _person(v: Column, key: Column, attempt: Column, family_attempt: Column) -> Column:
-    titles = F.regexp_extract(v, _TITLES_RE, 1)
-    names = F.split(names_of(v), " ")
-    given = F.when(F.size(names) > 1, F.get(names, F.lit(0)))
-    female = _female(titles, given)
-    more = F.least(F.floor(attempt / FREE_FROM), F.lit(3)).cast("int")
-    giv = _let(_stream(key, "given", F.lower(given), attempt), lambda s: _drawn(
-        _names(GIVEN, _script(given), female), s, 1 + more, "-"))
+    def parts(names):
+        several = F.size(names) > 1
+        return F.struct(F.regexp_extract(v, _TITLES_RE, 1).alias("titles"), F.element_at(names, -1).alias("family"),
+                        F.when(several, F.get(names, F.lit(0))).alias("given"))
+
+    def given(q, female):
+        more = F.least(F.floor(attempt / FREE_FROM), F.lit(3)).cast("int")
+        drawn = _let(_stream(key, "given", F.lower(q["given"]), attempt), lambda s: _drawn(
+            _names(GIVEN, _script(q["given"]), female), s, 1 + more, "-"))
+        return F.when(q["given"].isNotNull(), _cased(q["given"], drawn))
+
     # concat_ws leaves out a null: a person without a given name
-    return F.concat(titles, F.concat_ws(" ", F.when(given.isNotNull(), _cased(given, giv)),
-                                        _family(family_of(v), female, key, family_attempt)))
+    return _let(_let(F.split(names_of(v), " "), parts), lambda q: _let(
+        _female(q["titles"], q["given"]), lambda female: F.concat(q["titles"], F.concat_ws(
+            " ", given(q, female), _family(q["family"], female, key, family_attempt)))))
 
 
 def surrogate(kind: Column, v: Column, attempt: Column, key: Column, part_attempt: Column | None = None) -> Column:
     """The replacement of entity ``v``; ``part_attempt``: that of a person's
     family name or an address's domain."""
     part_attempt = F.lit(0) if part_attempt is None else part_attempt
-    c = canonical(kind, v)
-
-    def drawn(name: str, body) -> Column:
-        return _let(_stream(key, name, c, attempt), body)
-    n = F.length(c)
-    card = drawn("card", lambda s: _let(
-        _draw_digits(s, n - 1, F.substring(c, 1, 1)),
-        lambda b: _fill(v, F.concat(b, _check_digit(b)))))
-    phone = drawn("phone", lambda s: _fill(v, F.concat(
-        (2 + _number(s, F.lit(60), 8)).cast("string"), _draw_digits(s, F.greatest(n - 1, F.lit(1))))))
-    social = drawn("social", lambda s: _fill(v, F.concat(
-        (1 + _number(s, F.lit(60), 8)).cast("string"), _draw_digits(s, F.lit(8)))))
-    hex_only = v.rlike("^[0-9a-f]+$")
-    return (F.when(kind == "email", _email(v, c, key, attempt, part_attempt))
-            .when(kind == "domain", _domain(v, key, attempt))
-            .when(kind.isin("hardware", "address6"), drawn("hex", lambda s: _hexwise(v, s)))
-            .when(kind == "token", drawn("token", lambda s: _token(v, s)))
-            .when(kind == "private_key", drawn("private_key", lambda s: _private_key(v, s)))
-            .when(kind == "address", drawn("address", lambda s: _ip(v, s, attempt)))
-            .when(kind == "card", card).when(kind == "phone", phone).when(kind == "social", social)
-            .when(kind == "account", drawn("account", lambda s: _account(v, s)))
-            .when(kind == "person", _person(v, key, attempt, part_attempt))
-            .when(kind == "family", _family(v, F.lit(False), key, attempt))
-            .when(kind == "access_key", drawn("access_key", lambda s: F.concat(
-                F.lit("AKIA"), _charwise(F.substring(v, F.lit(5), F.length(v)), s, F.lit(False)))))
-            .when(kind == "secret", drawn("secret", lambda s: _charwise(v, s, hex_only)))
-            .otherwise(v))
+
+    def drawn(c, s):
+        n = F.length(c)
+        card = _let(_draw_digits(s, n - 1, F.substring(c, 1, 1)), lambda d: F.concat(d, _check_digit(d)))
+        lead = F.when(kind == "phone", 2 + _number(s, F.lit(60), 8)).otherwise(1 + _number(s, F.lit(60), 8)).cast("string")
+        digits = F.when(kind == "card", card).otherwise(F.concat(
+            lead, _draw_digits(s, F.greatest(F.when(kind == "phone", n - 1).otherwise(F.lit(8)), F.lit(1)))))
+        return (F.when(kind == "email", _email(v, s, key, attempt, part_attempt))
+                .when(kind == "domain", _domain(v, s, attempt))
+                .when(kind.isin("hardware", "address6"), _hexwise(v, s))
+                .when(kind == "address", _ip(v, s, attempt))
+                .when(kind.isin("card", "phone", "social"), _let(digits, lambda d: _fill(v, d)))
+                .when(kind == "account", _account(v, s))
+                .when(kind == "person", _person(v, key, attempt, part_attempt))
+                .when(kind == "family", _family(v, F.lit(False), key, attempt))
+                .when(kind.isin("access_key", "token", "private_key", "secret"), _spanned(v, kind, s))
+                .otherwise(v))
+    return _let(canonical(kind, v), lambda c: _let(_stream(key, kind, c, attempt), lambda s: drawn(c, s)))
 
 
 def found(text: Column) -> Column:
