@@ -17,7 +17,7 @@
    task.  Together with 3 every pair of a bucket that could still join two
    components is tested, so no confirmed link of a bucket is lost.
 
-With 42 bands of 10 registers a pair of similarity 0.85 shares no bucket with
+With 43 bands of 10 registers a pair of similarity 0.85 shares no bucket with
 probability 1e-4, at 0.9 with 3e-8; ``bands_for`` gives the numbers for other
 thresholds.  Everything else is exact.
 
