@@ -75,3 +75,40 @@ def test_empty_inputs(spark, grid_small):
     assert sample_nearest_irregular(cells, pts.limit(0)).count() == 0
     grid = cells.withColumns({"iy": F.lit(0), "ix": F.lit(0)}).limit(0)
     assert sample_nearest(grid, pts, grid_small).count() == 0
+
+
+@pytest.mark.parametrize("listed", [1000, 3])
+def test_series_are_made_once_for_each_cell(spark, grid_small, monkeypatch, listed):
+    """Many points in few cells: what is joined to the cells and averaged is
+    keyed by cell, not by point, and every point still has its own rows."""
+    from gridfold.operators import points as module
+    from tests.test_plans import plan
+    monkeypatch.setattr(module, "MAX_LISTED_CELLS", listed)
+    spec, rng = grid_small, random.Random(2)
+    cells = spec.with_coords(spark.range(2 * spec.n_cells).where("id % 5 <> 3").select(
+        F.when(F.col("id") < spec.n_cells, "2020-01-01").otherwise("2020-01-09").cast("date").alias("date"),
+        (F.col("id") % spec.n_cells / spec.nx).cast("int").alias("iy"), (F.col("id") % spec.nx).cast("int").alias("ix"),
+        F.when(F.col("id") % 7 != 2, F.col("id").cast("double")).alias("value")))
+    data = {(str(r["date"]), r["iy"], r["ix"]): r["value"] for r in cells.collect()}
+    rows = [(i, f"s{i}", rng.randrange(0, 48) / 16, rng.randrange(0, 32) / 16) for i in range(200)]
+    pts = spark.createDataFrame(rows + rows[:20], POINTS)              # a point given twice is one
+
+    def cell(x, y):                                                    # ties to the larger coordinate
+        return -(-(2 - y) // 0.5) - 1 if (2 - y) % 0.5 == 0 else (2 - y) // 0.5, x // 0.5
+
+    def near(x, y, far):
+        iy, ix = (int(v) for v in cell(x, y))
+        iy, ix = min(max(iy, 0), 3), min(ix, 5)
+        inside = far is None or (abs(x - (ix + 0.5) * 0.5) <= far and abs(y - (2 - (iy + 0.5) * 0.5)) <= far)
+        return (iy, ix) if inside else None
+    for far in (None, 0.125):                                          # near and far points share cells
+        want = sorted((i, s, d, data.get((d, *near(x, y, far))) if near(x, y, far) else None)
+                      for i, s, x, y in rows for d in ("2020-01-01", "2020-01-09"))
+        out = sample_nearest(cells, pts, spec, max_distance=far)
+        got = [(r["point_id"], r["station"], str(r["date"]), r["value"]) for r in out.collect()]
+        assert sorted(got, key=lambda r: r[:3]) == sorted(want, key=lambda r: r[:3])
+    for out in (sample_nearest(cells, pts, spec), module.sample_window(cells, pts, spec, 1)):
+        averages = [line for line in plan(out).splitlines() if "partial_avg" in line]
+        assert averages and all("point_id" not in line and "piy" in line for line in averages)
+    averages = [line for line in plan(sample_nearest_irregular(cells, pts)).splitlines() if "partial_avg" in line]
+    assert averages and all("point_id" not in line for line in averages)
