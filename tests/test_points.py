@@ -84,6 +84,7 @@ def test_series_are_made_once_for_each_cell(spark, grid_small, monkeypatch, list
     from gridfold.operators import points as module
     from tests.test_plans import plan
     monkeypatch.setattr(module, "MAX_LISTED_CELLS", listed)
+    monkeypatch.setattr(module, "MAX_BROADCAST_POINTS", 100)
     spec, rng = grid_small, random.Random(2)
     cells = spec.with_coords(spark.range(2 * spec.n_cells).where("id % 5 <> 3").select(
         F.when(F.col("id") < spec.n_cells, "2020-01-01").otherwise("2020-01-09").cast("date").alias("date"),
@@ -110,5 +111,6 @@ def test_series_are_made_once_for_each_cell(spark, grid_small, monkeypatch, list
     for out in (sample_nearest(cells, pts, spec), module.sample_window(cells, pts, spec, 1)):
         averages = [line for line in plan(out).splitlines() if "partial_avg" in line]
         assert averages and all("point_id" not in line and "piy" in line for line in averages)
+        assert "SortMergeJoin" in plan(out)                                # many points are not broadcast
     averages = [line for line in plan(sample_nearest_irregular(cells, pts)).splitlines() if "partial_avg" in line]
     assert averages and all("point_id" not in line for line in averages)
