@@ -114,3 +114,9 @@ def test_series_are_made_once_for_each_cell(spark, grid_small, monkeypatch, list
         assert "SortMergeJoin" in plan(out)                                # many points are not broadcast
     averages = [line for line in plan(sample_nearest_irregular(cells, pts)).splitlines() if "partial_avg" in line]
     assert averages and all("point_id" not in line for line in averages)
+
+
+def test_the_search_runs_once(spark):
+    d = spark.createDataFrame([([0.0, 1.0], 0.4)], "a ARRAY<DOUBLE>, v DOUBLE")
+    text = d.select(nearest_on_axis(F.col("a"), F.col("v")).alias("n"))._jdf.queryExecution().analyzed().toString()
+    assert text.count("aggregate(sequence(") == 1
