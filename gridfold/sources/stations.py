@@ -11,6 +11,8 @@ takes them.
 from __future__ import annotations
 
 import csv
+import errno
+import functools
 import io
 import itertools
 import operator
@@ -29,6 +31,7 @@ from pyspark.sql.types import StructType
 from gridfold.session import ship_package
 
 FILES = "_files"                                    # readers skip names with an underscore
+MADE = "_made"                                      # folders of tasks at work
 NO_NAME = "__HIVE_DEFAULT_PARTITION__"
 ESCAPED = re.compile(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""")
 BATCH = 10_000
@@ -65,31 +68,47 @@ def _batches(rows, schema: pa.Schema):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), schema.types)], schema=schema)
 
 
+def _put(made: str, root: str, folder: str, file: str) -> None:
+    """Move a folder made with its file in it to its place under ``root``; where
+    a folder of this name stands, the file into that."""
+    try:
+        os.rename(f"{made}/{folder}", f"{root}/{folder}")
+    except OSError as e:
+        if e.errno not in (errno.ENOTEMPTY, errno.EEXIST):
+            raise
+        # of another point of this name, or of this task's earlier attempt: the same file again
+        os.replace(f"{made}/{folder}/{file}", f"{root}/{folder}/{file}")
+        os.rmdir(f"{made}/{folder}")
+
+
 def _write_files(root: str, header: str):
     """(station, line) in the order of stations -> a file for each run of lines
-    of one folder, and one row (file, n) for it.  Lines are passed on one by one."""
+    of one folder, and one row (file, n) for it.  Lines are passed on one by one.
+
+    Every attempt makes its folders, with their files, in a folder of its own and
+    moves each to its place: one that all tasks make their folders in is locked
+    while any of them does."""
     def run(batches):
-        rows = ((station_folder(s), line) for b in batches
+        folder_of = functools.lru_cache(maxsize=2)(station_folder)
+        rows = ((folder_of(s), line) for b in batches
                 for s, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
         task = TaskContext.get()
+        made = f"{root}/{MADE}/{task.taskAttemptId()}"
+        head = header.encode()
 
         def files():
+            os.makedirs(made, exist_ok=True)
             for k, (folder, group) in enumerate(itertools.groupby(rows, operator.itemgetter(0))):
-                try:
-                    os.mkdir(f"{root}/{folder}")
-                except FileExistsError:             # of a task with another point of this name
-                    pass
-                file = f"{folder}/part-{task.partitionId():05d}-{k:06d}.csv"
-                # a retried or speculative task writes the same files again, aside and renamed
-                aside = f"{root}/{folder}/.{task.taskAttemptId()}-{k:06d}.part"
+                os.mkdir(f"{made}/{folder}")
+                file = f"part-{task.partitionId():05d}-{k:06d}.csv"
                 n = 0
-                with open(aside, "w", encoding="utf-8", newline="") as f:
-                    f.write(header)
+                with open(f"{made}/{folder}/{file}", "wb") as f:
+                    f.write(head)
                     for _, line in group:
-                        f.write(line + "\n")
+                        f.write(line.encode() + b"\n")
                         n += 1
-                os.replace(aside, f"{root}/{file}")
-                yield file, n
+                _put(made, root, folder, file)
+                yield f"{folder}/{file}", n
         yield from _batches(files(), pa.schema([("file", pa.string()), ("n", pa.int64())]))
     return run
 
@@ -109,6 +128,7 @@ def write_station_files(rows: DataFrame, folder: str) -> None:
         (rows.select(F.col("station").cast("string").alias("station"), F.to_csv(F.struct(*cols)).alias("line"))
              .mapInArrow(_write_files(aside, header.getvalue()), "file STRING, n BIGINT")
              .write.parquet(f"file:{aside}/{FILES}"))
+        shutil.rmtree(f"{aside}/{MADE}", ignore_errors=True)    # empty, but for attempts that failed
         open(f"{aside}/_SUCCESS", "w").close()
         if os.path.lexists(folder):
             os.rename(folder, old)

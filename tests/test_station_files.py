@@ -123,3 +123,59 @@ def test_extract_timeseries_writes_stations_without_side_files(spark):
     folders = glob.glob(f"{path}/station=*")
     assert len(folders) == fx.points(spark, SF_SMALL).count()
     assert all(len(os.listdir(d)) == 1 for d in folders)
+
+
+def _batch(names):
+    import pyarrow as pa
+    lines = [f"{i},2020-01-01" for i in range(len(names))]
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(lines, pa.string())], ["station", "line"])
+
+
+def _attempt(monkeypatch, number, partition=0):
+    from types import SimpleNamespace
+
+    from gridfold.sources import stations
+    task = SimpleNamespace(partitionId=lambda: partition, taskAttemptId=lambda: number)
+    monkeypatch.setattr(stations.TaskContext, "get", lambda: task)
+
+
+def _noted(batches):
+    return [tuple(r.values()) for b in batches for r in b.to_pylist()]
+
+
+def test_folders_are_made_apart_and_moved_to_the_one_all_tasks_share(tmp_path, monkeypatch):
+    from gridfold.sources.stations import _write_files
+    root, mkdir, made = str(tmp_path), os.mkdir, []
+    monkeypatch.setattr(os, "mkdir", lambda path, *a, **k: (made.append(path), mkdir(path, *a, **k))[1])
+    _attempt(monkeypatch, 7)
+    files = _noted(_write_files(root, "point_id,time\n")([_batch(["a", "a", "b"])]))
+    assert files == [("station=a/part-00000-000000.csv", 2), ("station=b/part-00000-000001.csv", 1)]
+    assert [p for p in made if os.path.dirname(p) == root and "station=" in p] == []
+    with open(f"{root}/station=a/part-00000-000000.csv") as f:
+        assert f.read() == "point_id,time\n0,2020-01-01\n1,2020-01-01\n"
+
+
+def test_attempts_leave_whole_files_only_and_a_second_one_the_same(tmp_path, monkeypatch):
+    from gridfold.sources.stations import _write_files
+
+    def fails():
+        yield _batch(["a", "b", "b"])
+        raise OSError("lost")
+    root = str(tmp_path)
+    _attempt(monkeypatch, 1)
+    with pytest.raises(OSError, match="lost"):
+        _noted(_write_files(root, "h\n")(fails()))
+    assert glob.glob(f"{root}/station=*/.*") == [] and sorted(_text(root)) == ["station=a"]
+    _attempt(monkeypatch, 2)
+    one = _noted(_write_files(root, "h\n")([_batch(["a", "b", "b"])]))
+    _attempt(monkeypatch, 3, partition=1)               # another point of the name
+    two = _noted(_write_files(root, "h\n")([_batch(["a"])]))
+    assert sum(n for _, n in one + two) == 4
+    assert {d: len(t) for d, t in _text(root).items()} == {"station=a": 4, "station=b": 3}
+
+
+def test_small_series_are_written_by_many_tasks(spark):
+    path = write_series_csv(_series(spark, [f"s{i}" for i in range(64)]), scratch_path(spark, "spread"))
+    tasks = {os.path.basename(f).split("-")[1] for f in glob.glob(f"{path}/station=*/part-*")}
+    assert len(tasks) >= spark.sparkContext.defaultParallelism
+    assert sorted(x for x in os.listdir(path) if not x.startswith("station=")) == ["_SUCCESS", "_files"]
